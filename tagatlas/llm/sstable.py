@@ -42,7 +42,7 @@ _FOOTER = struct.Struct("<8sIQQQQQQQI")
 BLOCK_IDS, BLOCK_DOCS = 32768, 256
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Encoded pieces that a Python worker keeps; then it starts anew.
-PIECES = 500_000
+PIECES = 1_000_000
 _GLUED = re.compile(r" (?:\s|\Z)|[\x1c-\x1f]")
 
 
@@ -118,7 +118,10 @@ class Encoder:
         self.known.update(zip(new, self._encode_parts([" " + p for p in new]), strict=True))
         heads = iter(self._encode([x[0] if x else t for x, t in zip(split, texts, strict=True)]))
         of = self.known.__getitem__
-        return [next(heads) + (b"".join(map(of, x[1:])) if x else b"") + self.end for x in split]
+        out = [next(heads) + (b"".join(map(of, x[1:])) if x else b"") + self.end for x in split]
+        for p in [p for p in new if len(p) > 64]:
+            del self.known[p]
+        return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
