@@ -59,7 +59,7 @@ class FactorizationMachine:
         return score
 
 
-def fit(rows: list[list[int]], y: np.ndarray, max_terms: int = 8192, factors: int = 6, epochs: int = 30, rate: float = 0.1, l2: float = 2e-4, least: int = 3, balance: float = 1.0, seed: int = 7) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], y: np.ndarray, max_terms: int = 8192, factors: int = 6, epochs: int = 30, rate: float = 0.1, l2: float = 2e-4, least: int = 3, balance: float = 1.0, seed: int = 7) -> FactorizationMachine:
     """AdaGrad over mini-batches; balance = 1 gives both labels the same total weight, 0 each row. Without both classes the machine is its bias alone (the share of label 1)."""
     n = len(rows)
     share = (y.sum() + 1) / (n + 2)
@@ -116,8 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         for part in texts:
             yield pd.Series([sorted(terms(x)) for x in part])
 
-    got = sorted((r.doc_id, r.y, r.t) for r in sample.select("doc_id", "y", hashed("text").alias("t")).collect())
-    return fit([t for _, _, t in got], np.array([y for _, y, _ in got], float), **options)
+    got = sample.select("doc_id", "y", hashed("text").alias("t")).toArrow().sort_by("doc_id")
+    return fit([t.values.to_numpy() for t in got["t"]], got["y"].to_numpy().astype(float), **options)
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text: str = "text", threshold: float = 0.7) -> DataFrame:
