@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -29,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -43,7 +43,9 @@ BLOCK_IDS, BLOCK_DOCS = 32768, 256
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Encoded pieces that a Python worker keeps; then it starts anew.
 PIECES = 1_000_000
-_GLUED = re.compile(r" (?:\s|\Z)|[\x1c-\x1f]")
+SLICE_ROWS, SLICE_BYTES = 4096, 16 << 20
+#: A blank that doesn't begin a piece of its own: one before other white space or at the end; and separators that libraries disagree on.
+_GLUED = r" (?:[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)|[\x1c-\x1f]"
 
 
 # --- encoding
@@ -104,23 +106,53 @@ class Encoder:
             raise ValueError("the vocabulary doesn't split at blanks")
         return out
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
+    def batch(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """For each text its ids and the end id; a null text is an empty one."""
-        texts = [t or "" for t in texts]
-        if not self.by_part:
-            return [b + self.end for b in self._encode(texts)]
-        split = [None if _GLUED.search(t) or any(m in t for m in self.marks) else t.split(" ") for t in texts]
-        need = set().union(*(x[1:] for x in split if x)) - self.known.keys()
-        if len(self.known) + len(need) > PIECES:
-            self.known.clear()
-            need = set().union(*(x[1:] for x in split if x))
-        new = list(need)
-        self.known.update(zip(new, self._encode_parts([" " + p for p in new]), strict=True))
-        heads = iter(self._encode([x[0] if x else t for x, t in zip(split, texts, strict=True)]))
-        of = self.known.__getitem__
-        out = [next(heads) + (b"".join(map(of, x[1:])) if x else b"") + self.end for x in split]
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, _GLUED) if self.by_part else pa.array(np.ones(len(texts), bool))
+        for m in self.marks:
+            whole = pc.or_(whole, pc.match_substring(texts, m))
+        whole = whole.to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(np.flatnonzero(whole).tolist(), self._encode(texts.filter(pa.array(whole)).to_pylist()), strict=True):
+            out[i] = ids + self.end
+        for i, ids in zip(np.flatnonzero(~whole).tolist(), self._by_part(texts.filter(pa.array(~whole))), strict=True):
+            out[i] = ids + self.end
+        return out
+
+    def _by_part(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of texts that split at blanks: each different part is looked up once, and its ids are put in place of its number."""
+        split = pc.split_pattern(texts, " ")
+        begin = np.asarray(split.offsets)
+        parts = split.values.dictionary_encode()
+        numbers, names = np.asarray(parts.indices), parts.dictionary
+        # the first part of a text has no blank before it, and is not one of those kept
+        first = np.zeros(len(numbers), bool)
+        first[begin[:-1]] = True
+        heads = self._encode(split.values.take(pa.array(begin[:-1])).to_numpy(zero_copy_only=False).tolist())
+        numbers = numbers[~first]
+        used = np.zeros(len(names), bool)
+        used[numbers] = True
+        ids = self._kept(names.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        place = np.cumsum(used) - 1
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(place[numbers]))
+        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1].tolist() if len(joined) else [0]
+        data = memoryview(joined.buffers()[2] or b"") if len(joined) else b""
+        ends = (begin - np.arange(len(begin))).tolist()
+        for head, a, b in zip(heads, ends[:-1], ends[1:], strict=True):
+            yield head + bytes(data[at[a] : at[b]])
+
+    def _kept(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts, each with a blank before it."""
+        known = self.known
+        new = [p for p in parts if p not in known]
+        if len(known) + len(new) > PIECES:
+            known.clear()
+            new = parts
+        known.update(zip(new, self._encode_parts([" " + p for p in new]), strict=True))
+        out = [known[p] for p in parts]
         for p in [p for p in new if len(p) > 64]:
-            del self.known[p]
+            del known[p]
         return out
 
 
@@ -284,6 +316,17 @@ class Table:
 # --- Spark
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows to encode at once: many, since parts repeat among them, but not more than SLICE_BYTES of text or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        limit = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        end = max(at + 1, min(limit, at + SLICE_ROWS))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _store(folder: str):
     """The file system of a folder and the folder's path there."""
     if "://" in folder or folder.startswith("file:"):
@@ -305,13 +348,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
         name, own = f"shard-{part:06d}.sst", f"_{uuid.uuid4().hex}.part"
         writer = out = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for rows in _slices(batch):
                 if writer is None:
                     fs.create_dir(path, recursive=True)
                     out = fs.open_output_stream(f"{path}/{own}")
                     writer = Writer(out, enc.width)
-                for i, ids in zip(rows["doc_id"].to_pylist(), enc.batch(rows["text"].to_pylist()), strict=True):
+                for i, ids in zip(rows["doc_id"].to_pylist(), enc.batch(rows["text"]), strict=True):
                     writer.add(key_of(i), ids)
         if writer is not None:
             writer.close()
