@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,10 +218,17 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int
         for part in parts:
             yield pd.Series([subtree_hashes(x) for x in part])
 
+    @F.pandas_udf("binary")
+    def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for part in parts:
+            yield pd.Series([pack((x or "").encode("utf-8", "surrogatepass")) for x in part], dtype=object)
+
     @F.pandas_udf("string")
     def texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for page, gone in parts:
-            yield pd.Series([main_text(p, () if g is None else g.tolist()) for p, g in zip(page, gone, strict=True)], dtype=object)
+            yield pd.Series([main_text(unpack(p).decode("utf-8", "surrogatepass"), () if g is None else g.tolist()) for p, g in zip(page, gone, strict=True)], dtype=object)
 
     site, key = host(F.col(url)), F.sha2(F.concat_ws("\n", host(F.col(url)), F.coalesce(F.col(source), F.lit(""))), 256)
     seen = pages.select(site.alias("site"), key.alias("key"), hashes(F.col(source)).alias("hashes"))
@@ -230,5 +238,6 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int
     found = each.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many)
     templates = found.join(hosts, "site").where(F.col("n") >= share * F.col("pages")).select("site", "h")
     own = each.join(templates, ["site", "h"]).groupBy("key").agg(F.collect_list("h").alias("_gone"))
-    got = pages.withColumn("_key", key).join(own.withColumnRenamed("key", "_key"), "_key", "left")
-    return got.withColumn("text", texts(F.col(source), F.col("_gone"))).withColumn("n_chars", F.char_length("text").cast("long")).drop("_key", "_gone")
+    # pages travel packed to their templates; html itself is only moved if the caller keeps it
+    got = pages.withColumns({"_key": key, "_page": packed(F.col(source))}).join(own.withColumnRenamed("key", "_key"), "_key", "left")
+    return got.withColumn("text", texts(F.col("_page"), F.col("_gone"))).withColumn("n_chars", F.char_length("text").cast("long")).drop("_key", "_page", "_gone")
