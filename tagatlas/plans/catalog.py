@@ -1,11 +1,238 @@
-"""All queries over the driver's tables and their SQL."""
+"""The engine's own queries, each over whole tables of a data folder, and their SQL for a second engine."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagatlas.functions import tags, tiles, urls, zoom
+from tagatlas.operators import directory, elements, features, merge, routes, service, styles
+from tagatlas.operators.comfort import ATTRIBUTES
+from tagatlas.plans import oracle, views
+
+MAX_ZOOM = 14
+OUTLINE = [c for c in ATTRIBUTES if c not in ("website", "opening_date")]
+
+
+def _lines(spark: SparkSession, sf_dir: str, with_routes: bool = False) -> DataFrame:
+    ways = views.ways(spark, sf_dir)
+    return features.lines(routes.with_routes(ways, views.relations(spark, sf_dir), views.members(spark, sf_dir)) if with_routes else ways)
+
+
+def classify_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("osm_id", "branch", *OUTLINE)
+
+
+def comfort_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).groupBy("class", "comfort").agg(F.count("*").alias("n_ways"))
+
+
+def dooring_risk_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).where("dooring_risk").select("osm_id", "branch", "side", "comfort")
+
+
+def bike_route_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.bicycle_routes(views.relations(spark, sf_dir)).select("relation_id")
+
+
+def way_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.with_routes(views.ways(spark, sf_dir), views.relations(spark, sf_dir), views.members(spark, sf_dir)).select("way_id", "routes")
+
+
+def _parking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.elements(spark, sf_dir)
+    return features.all_features(features.parking_points(rows), features.parking_centroids(rows))
+
+
+def parking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parking(spark, sf_dir).select("kind", "osm_id", "amenity", "name", "min_zoom", "osmNodeId", "osmWayId")
+
+
+def zoom_gated_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.at_zooms(_lines(spark, sf_dir, True), MAX_ZOOM).select("osm_id", "z", "comfort", "name", "surface", "routes")
+
+
+def oneway_merge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.merge_keys(_lines(spark, sf_dir)).select("osm_id", "oneway", "no_merge")
+
+
+def merge_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merge.merge_keys(features.at_zooms(_lines(spark, sf_dir, True), MAX_ZOOM))
+    return rows.groupBy("z", *OUTLINE, *features.DETAILS, "no_merge").agg(F.count("*").alias("n_lines"))
+
+
+def min_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(3 + o_orderkey % 6 AS INT) AS z", "CAST(o_custkey % 1200 AS DOUBLE) AS metres")
+    return rows.where(F.col("metres") >= merge.shortest_line(F.col("z")))
+
+
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the tiles of levels 6 to 10, merged; no SQL: tests compare with merging in one go."""
+    rows = features.in_tiles(features.lines(views.placed_ways(spark, sf_dir)), 10)
+    out = merge.merge_lines(rows, ["comfort", "oneway", "class"])
+    return out.select("z", "x", "y", "comfort", "oneway", "class", "n_lines", F.size("geom").alias("n_points"))
+
+
+def style_cycling_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.at_zooms(features.all_features(_lines(spark, sf_dir), _parking(spark, sf_dir)), MAX_ZOOM)
+    return styles.drawn(rows, styles.CYCLING).select("kind", "osm_id", "z", "layer_ord", "style_layer")
+
+
+def style_walking_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.drawn(views.base_features(spark, sf_dir), styles.WALKING).select("k", "z", "layer_ord", "style_layer")
+
+
+def style_basemap_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.drawn(views.base_features(spark, sf_dir), styles.BASEMAP).select("k", "z", "layer_ord", "style_layer")
+
+
+def _zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(22))).alias("z"))
+
+
+def zoom_interpolate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width, opacity = zoom.interpolated(F.col("z"), styles.WIDTHS["cycling_path_4"]), zoom.interpolated(F.col("z"), styles.ARROW_OPACITY)
+    return _zooms(spark, sf_dir).select("k", "z", F.round(width, 6).alias("width"), F.round(opacity, 6).alias("opacity"))
+
+
+def zoom_interpolate_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zooms(spark, sf_dir).select("k", "z", F.round(zoom.interpolated(F.col("z"), [(4, 2), (6, 1.3), (20, 30)], 1.4), 6).alias("width"))
+
+
+def zoom_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zooms(spark, sf_dir).select("k", "z", zoom.stepped(F.col("z"), [(0, "solid"), (12, "dashed")]).alias("dash"))
+
+
+def tile_hilbert_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.event_tiles(spark, sf_dir).select("event_id", tiles.tile_id(F.lit(14), F.col("x14"), F.col("y14")).alias("tile_id"))
+
+
+def tile_zxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tile_hilbert_id(spark, sf_dir).select("event_id", tiles.tile_zxy(F.col("tile_id")).alias("t")).select("event_id", "t.*")
+
+
+def lonlat_to_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "events").selectExpr("event_id", "-140.0 + (event_id % 2500) * 0.01 AS lon", "47.0 + (user_id % 1300) * 0.01 AS lat")
+    return rows.select("event_id", tiles.tile_xy(F.col("lon"), F.col("lat"), F.lit(12)).alias("t")).select("event_id", "t.*")
+
+
+def directory_run_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.runs(views.tile_places(spark, sf_dir), block_bits=8)
+
+
+def _directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory_run_encode(spark, sf_dir).withColumn("directory", F.expr("tile_id div 64"))
+
+
+def directory_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.encoded(_directories(spark, sf_dir))
+
+
+def directory_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.decoded(directory_encode(spark, sf_dir))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "events").selectExpr("event_id", "'cycling' AS archive", "1365 + (event_id * 7919 + user_id) % 4096 AS tile_id")
+
+
+def tile_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.range_lookup(_asked(spark, sf_dir), directory_run_encode(spark, sf_dir)).drop("archive")
+
+
+def tile_asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory.asof_lookup(_asked(spark, sf_dir), directory_run_encode(spark, sf_dir), block_bits=8).drop("archive")
+
+
+def leaf_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A root of pointers to middle directories, which point to leaves of 64 ids each."""
+    leaves = _directories(spark, sf_dir).select("archive", (F.col("directory") + 1_000_000).alias("directory"), "tile_id", "run_length", "offset", "length")
+    pointer = lambda of, to: of.groupBy("archive", "directory").agg(F.min("tile_id").alias("tile_id")).selectExpr("archive", f"{to} AS directory", "tile_id", "CAST(0 AS BIGINT) AS run_length", "directory AS offset", "CAST(1 AS BIGINT) AS length")
+    middle = pointer(leaves, "CAST((directory - 1000000) div 16 AS BIGINT)")
+    root = pointer(middle, "CAST(NULL AS BIGINT)")
+    return directory.flattened(root.unionByName(middle).unionByName(leaves))
+
+
+def legacy_directory_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.event_tiles(spark, sf_dir).selectExpr("14 AS z", "x14 AS x", "y14 AS y", "x14 % 5 = 0 AS is_dir").distinct()
+    return directory.numbered(rows, ["is_dir", "z", "x"], ["y"])
+
+
+def legacy_leaf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.event_tiles(spark, sf_dir).selectExpr("event_id", "'old' AS archive", "14 AS z", "x14 AS x", "y14 AS y")
+    stored = rows.where("x % 3 = 0").select("archive", "z", "x", "y").distinct().selectExpr("*", "false AS is_dir", "x * 16384 + y AS offset", "7 AS length")
+    root = stored.selectExpr("archive", "7 AS z", "shiftright(x, 7) AS x", "shiftright(y, 7) AS y", "true AS is_dir").distinct().selectExpr("*", "x * 128 + y AS offset", "1 AS length")
+    leaves = stored.withColumn("directory", F.expr("shiftright(x, 7) * 128 + shiftright(y, 7)"))
+    return directory.legacy_lookup(rows, root, leaves).select("event_id", "offset", "length")
+
+
+def tile_path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.requests(spark, sf_dir).select("page_id", urls.request(F.col("path")).alias("r")).select("page_id", "r.*")
+
+
+def service_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = service.tilejson(views.archives(spark), "tiles.example.org")
+    got = service.answers(views.requests(spark, sf_dir), known, directory_run_encode(spark, sf_dir))
+    return got.select("page_id", "archive", "status", "content_type", "cache_control", "body_offset", "body_length")
+
+
+def url_view_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "pages").select("page_id", urls.view_state(F.expr(views.VIEW_URL)).alias("v")).select("page_id", "v.*")
+
+
+def tilejson_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = service.tilejson(views.archives(spark), "tiles.example.org")
+    part = lambda name: F.get_json_object("tilejson", f"$.{name}")
+    return doc.select("archive", part("tilejson").alias("tilejson"), part("tiles[0]").alias("tiles"), part("minzoom").cast("int").alias("minzoom"), part("maxzoom").cast("int").alias("maxzoom"), part("name").alias("name"))
+
+
+def area_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "part").select("p_partkey", urls.area_slug(F.col("p_name")).alias("slug"), urls.extract_source(F.col("p_name")).alias("source"))
+
+
+def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elements.parking_details(views.elements(spark, sf_dir))
+
+
+def parking_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _details(spark, sf_dir).select("feature_type", "osm_id", "bicycleParkingType", "name", "operator", "indoor", "capacity", "covered")
+
+
+def other_tags_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.array_join(F.array_sort(F.map_keys("other_tags")), ",")
+    return _details(spark, sf_dir).select("feature_type", "osm_id", F.when(F.size("other_tags") > 0, keys).alias("other_keys"))
+
+
+def parking_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elements.parking_box(_details(spark, sf_dir))
+
+
+def osm_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = elements.lookup(views.elements(spark, sf_dir), "node", 8)
+    return found.select("feature_type", "osm_id", tags.tag("amenity").alias("amenity"), tags.tag("name").alias("name"))
+
+
+def way_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elements.way_box(_lines(spark, sf_dir)).select("osm_id", "title", F.array_join("badges", "|").alias("badges"))
+
+
+def size_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "part").select("p_partkey", service.size_estimates(F.col("p_partkey") * 1000003).alias("e")).select("p_partkey", "e.*")
+
+
+QUERIES = [
+    classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
+    style_cycling_layers, style_walking_layers, style_basemap_layers, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
+    directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
+    url_view_state, tilejson_fields, area_slug, parking_coerce, other_tags_keys, parking_box, osm_point_lookup, way_badges, size_estimates,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
