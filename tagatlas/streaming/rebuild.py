@@ -9,10 +9,10 @@ from pyspark.sql.types import StructType
 
 from tagatlas.operators import features
 
-WAYS = StructType.fromDDL("way_id bigint, tags map<string,string>")
+WAYS = "way_id bigint, tags map<string,string>"
 
 
-def classify_new(spark: SparkSession, ways_folder: str, out_folder: str, checkpoint_folder: str, schema: StructType = WAYS) -> StreamingQuery:
+def classify_new(spark: SparkSession, ways_folder: str, out_folder: str, checkpoint_folder: str, schema: StructType | str = WAYS) -> StreamingQuery:
     """Classifies the Parquet files that have come since the last run and appends their line features, by class; then ends.
 
     The classifier keeps no state, so the run is exact once and resumes from its checkpoint after a loss."""
@@ -21,7 +21,7 @@ def classify_new(spark: SparkSession, ways_folder: str, out_folder: str, checkpo
     return rows.writeStream.format("parquet").option("path", out_folder).option("checkpointLocation", checkpoint_folder).partitionBy("class").trigger(availableNow=True).outputMode("append").start()
 
 
-def comfort_counts(spark: SparkSession, ways_folder: str, checkpoint_folder: str, name: str, schema: StructType = WAYS) -> StreamingQuery:
+def comfort_counts(spark: SparkSession, ways_folder: str, checkpoint_folder: str, name: str, schema: StructType | str = WAYS) -> StreamingQuery:
     """Running counts by class and comfort in an in-memory table, for a look at a stream of ways."""
     counts = features.lines(spark.readStream.schema(schema).parquet(ways_folder)).groupBy("class", "comfort").agg(F.count("*").alias("n_ways"))
     return counts.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).outputMode("complete").start()
