@@ -4,7 +4,8 @@ Every page is parsed into a tree; each element's subtree (tag, attributes of sty
 Spark counts in how many different pages of its host a subtree occurs; those on at least MANY pages and SHARE of the
 host's pages are templates and are deleted. Prose inside the article (paragraphs, headings, list items, quotations, table
 cells) is never a template: a passage that an author repeats stays. What is left is cleaned by element and by the names
-that pages give to menus, adverts, notices, forms and comments, and the article's blocks are joined.
+that pages give to menus, adverts, notices, forms and comments, and the article's blocks are joined. That cleaning looks at
+one page alone, so it is done before pages travel to the join with their templates, as packed trees that keep their hashes.
 
 The counts are a partial aggregate over (host, hash), so a host with a third of all pages is many keys. A page gets its own
 templates by a join on a hash of its content, which Spark may split where many rows are copies of one page.
@@ -13,6 +14,7 @@ templates by a join on a hash of its content, which Spark may split where many r
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections.abc import Iterator
 
@@ -47,13 +49,16 @@ _SCOPE = frozenset("ul ol dl table article section div main body html blockquote
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+_SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hash")
+    """An element. hash: of its subtree; key: the same, signed, if the subtree may be a template, else None."""
 
-    def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.attributes, self.children, self.hash = tag, attributes, [], 0
+    __slots__ = ("tag", "attributes", "children", "hash", "key")
+
+    def __init__(self, tag: str, attributes: str = "", key: int | None = None) -> None:
+        self.tag, self.attributes, self.children, self.hash, self.key = tag, attributes, [], 0, key
 
 
 def parse(source: str) -> Node:
@@ -118,6 +123,48 @@ def _is_noise(node: Node, in_article: bool) -> bool:
     return False
 
 
+def prune(root: Node) -> Node:
+    """Takes out of a tree what is never the article, whatever a site repeats; headers stay, since those in an article belong to it."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.children = [c for c in n.children if not (isinstance(c, Node) and _is_noise(c, True))]
+        todo += [c for c in n.children if isinstance(c, Node)]
+    return root
+
+
+def pack(root: Node) -> bytes:
+    """A pruned tree's tags and texts (white space in runs of one) in page order, compressed; attributes have done their part."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n is None:
+            out.append(">")
+        elif isinstance(n, str):
+            out.append("t" + _SPACE.sub(" ", n))
+        else:
+            out.append("<" + n.tag if n.key is None else f"<{n.tag} {n.key}")
+            todo.append(None)
+            todo += reversed(n.children)
+    return zstandard.ZstdCompressor(level=3).compress(json.dumps(out, ensure_ascii=False).encode("utf-8", "surrogatepass"))
+
+
+def unpack(data: bytes) -> Node:
+    root = Node("")
+    stack = [root]
+    for x in json.loads(zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")):
+        if x == ">":
+            stack.pop()
+        elif x[0] == "t":
+            stack[-1].children.append(x[1:])
+        else:
+            tag, _, key = x[1:].partition(" ")
+            node = Node(tag, key=int(key) if key else None)
+            stack[-1].children.append(node)
+            stack.append(node)
+    return root.children[0]
+
+
 def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
     """Elements from the leaves up, each with whether it lies in an article."""
     todo, out = [(root, False)], []
@@ -129,9 +176,8 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
     return reversed(out)
 
 
-def _hashed(root: Node) -> list[Node]:
-    """Sets the hash of every subtree; the elements that may be templates."""
-    may = []
+def hashed(root: Node) -> Node:
+    """Sets the hash of every subtree, and the key of those that may be templates."""
     for n, inside in _walk(root):
         h = xxhash.xxh64(n.tag.encode())
         for c in n.children:
@@ -141,27 +187,30 @@ def _hashed(root: Node) -> list[Node]:
                 h.update(b"\x00" + " ".join(c.split()).encode())
         n.hash = h.intdigest()
         if n.tag not in _KEPT_OPEN and n.tag not in VOID and not (inside and n.tag in PROSE):
-            may.append(n)
-    return may
+            n.key = n.hash - (1 << 64) if n.hash >> 63 else n.hash
+    return root
 
 
 def subtree_hashes(source: str | None) -> list[int]:
     """The distinct hashes (signed 64 bits) of a page's subtrees that may be templates."""
-    return sorted({h - (1 << 64) if (h := n.hash) >> 63 else h for n in _hashed(parse(source or ""))})
+    return sorted({n.key for n, _ in _walk(hashed(parse(source or ""))) if n.key is not None})
 
 
 def main_text(source: str | None, templates=()) -> str:
     """The article's blocks, joined by blank lines, without the subtrees whose hashes are in templates."""
-    root = parse(source or "")
-    gone = {h % (1 << 64) for h in templates}
-    dropped = {id(n) for n in _hashed(root) if n.hash in gone} if gone else set()
+    return article_text(prune(hashed(parse(source or ""))), templates)
+
+
+def article_text(root: Node, templates=()) -> str:
+    """The main text of a hashed and pruned tree."""
+    gone = frozenset(templates)
     articles, todo = [], [root]
     while todo:  # outermost articles in page order
         n = todo.pop()
         if n.tag == "article" or (n.tag == "main" and not _holds(n, "article")):
             articles.append(n)
         else:
-            todo += [c for c in reversed(n.children) if isinstance(c, Node) and id(c) not in dropped and not _is_noise(c, False)]
+            todo += [c for c in reversed(n.children) if isinstance(c, Node) and c.key not in gone and not _is_noise(c, False)]
     blocks, line = [], []
 
     def end() -> None:
@@ -177,7 +226,7 @@ def main_text(source: str | None, templates=()) -> str:
                 end()
             elif isinstance(n, str):
                 line.append(n)
-            elif n is not top and (id(n) in dropped or _is_noise(n, bool(articles))):
+            elif n is not top and (n.key in gone or _is_noise(n, bool(articles))):
                 if n.tag in BLOCKS:
                     end()
             else:
@@ -219,25 +268,24 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int
             yield pd.Series([subtree_hashes(x) for x in part])
 
     @F.pandas_udf("binary")
-    def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+    def trees(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([pack((x or "").encode("utf-8", "surrogatepass")) for x in part], dtype=object)
+            yield pd.Series([pack(prune(hashed(parse(x or "")))) for x in part], dtype=object)
 
     @F.pandas_udf("string")
     def texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for page, gone in parts:
-            yield pd.Series([main_text(unpack(p).decode("utf-8", "surrogatepass"), () if g is None else g.tolist()) for p, g in zip(page, gone, strict=True)], dtype=object)
+        for tree, gone in parts:
+            yield pd.Series([article_text(unpack(t), () if g is None else g.tolist()) for t, g in zip(tree, gone, strict=True)], dtype=object)
 
-    site, key = host(F.col(url)), F.sha2(F.concat_ws("\n", host(F.col(url)), F.coalesce(F.col(source), F.lit(""))), 256)
-    seen = pages.select(site.alias("site"), key.alias("key"), hashes(F.col(source)).alias("hashes"))
+    site, key = host(F.col(url)), F.unhex(F.sha2(F.concat_ws("\n", host(F.col(url)), F.coalesce(F.col(source), F.lit(""))), 256))
+    # hosts are counted by a hash of their name, which keeps the many rows of subtrees small
+    seen = pages.select(F.xxhash64(site).alias("site"), key.alias("key"), hashes(F.col(source)).alias("hashes"))
     seen = cut(seen.groupBy("key").agg(F.first("site").alias("site"), F.first("hashes").alias("hashes")))
     each = seen.select("site", "key", F.explode("hashes").alias("h"))
     hosts = seen.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     found = each.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many)
     templates = found.join(hosts, "site").where(F.col("n") >= share * F.col("pages")).select("site", "h")
     own = each.join(templates, ["site", "h"]).groupBy("key").agg(F.collect_list("h").alias("_gone"))
-    # pages travel packed to their templates; html itself is only moved if the caller keeps it
-    got = pages.withColumns({"_key": key, "_page": packed(F.col(source))}).join(own.withColumnRenamed("key", "_key"), "_key", "left")
+    # pages travel to their templates as packed, pruned trees; html itself is only moved if the caller keeps it
+    got = pages.withColumns({"_key": key, "_page": trees(F.col(source))}).join(own.withColumnRenamed("key", "_key"), "_key", "left")
     return got.withColumn("text", texts(F.col("_page"), F.col("_gone"))).withColumn("n_chars", F.char_length("text").cast("long")).drop("_key", "_page", "_gone")
