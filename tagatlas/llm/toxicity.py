@@ -2,7 +2,8 @@
 
 score(x) = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i = 1 if the text has term i. The pairwise part
 lets two terms together say more than their sum, such as an insult beside the mention of a group. A document's terms are
-its distinct lower-cased words and the words' first bytes (inflected forms share them), named by a 31-bit hash.
+its distinct lower-cased words, the words' beginnings (which inflected and joined forms share) and the beginnings of several
+words, named by a 31-bit hash.
 
 Training: a bounded sample of labelled documents (per_class rows of each label) is turned into hashed terms on the
 executors; the driver keeps the terms that tell the classes apart best (at most max_terms) and fits w and v with AdaGrad.
@@ -25,16 +26,23 @@ from pyspark.sql import functions as F
 
 from tagatlas.llm.common import labelled_sample, remainder
 
-PREFIX = 5
+#: Lengths in bytes of the beginnings that stand for a word's inflected and joined forms.
+PREFIXES = (4, 5, 6, 7)
 #: Everything in ASCII but letters and digits separates terms.
 _BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def terms(text: str | None) -> set[int]:
-    """The hashed terms of a text: its words, and the first PREFIX bytes of longer words."""
+    """The hashed terms of a text: its words, the beginnings of longer words, and those that several different words share."""
     words = set((text or "").encode().lower().translate(_BREAKS).split())
-    stems = {b"^" + w[:PREFIX] for w in words if len(w) > PREFIX}
-    return {zlib.crc32(w) & 0x7FFFFFFF for w in words | stems}
+    found = set(words)
+    for n in PREFIXES:
+        once, again = set(), set()
+        for w in words:
+            if len(w) > n:
+                (again if w[:n] in once else once).add(w[:n])
+        found.update([b"^" + p for p in once], [b"^^" + p for p in again])
+    return {zlib.crc32(w) & 0x7FFFFFFF for w in found}
 
 
 @dataclass
@@ -59,7 +67,7 @@ class FactorizationMachine:
         return score
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, max_terms: int = 8192, factors: int = 6, epochs: int = 30, rate: float = 0.1, l2: float = 2e-4, least: int = 3, balance: float = 1.0, seed: int = 7) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], y: np.ndarray, max_terms: int = 4096, factors: int = 6, epochs: int = 30, rate: float = 0.1, l2: float = 2e-4, least: int = 3, balance: float = 1.0, seed: int = 7) -> FactorizationMachine:
     """AdaGrad over mini-batches; balance = 1 gives both labels the same total weight, 0 each row. Without both classes the machine is its bias alone (the share of label 1)."""
     n = len(rows)
     share = (y.sum() + 1) / (n + 2)
