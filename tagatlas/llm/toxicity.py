@@ -6,7 +6,7 @@ its distinct lower-cased words, the words' beginnings (which inflected and joine
 words, named by a 31-bit hash.
 
 Training: a bounded sample of labelled documents (per_class rows of each label) is turned into hashed terms on the
-executors; the driver keeps the terms that tell the classes apart best (at most max_terms) and fits w and v with AdaGrad.
+executors, which choose those that tell the classes apart best (at most max_terms); the driver fits w and v with AdaGrad.
 Scoring: one Python pass without a shuffle, the model (at most max_terms rows) goes along with the task.
 
 Nulls and empty texts have no terms and get sigmoid(w0 + the bias of no term); a row's score depends on its text only,
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagatlas.llm.common import labelled_sample, remainder
+from tagatlas.llm.common import cut, labelled_sample, remainder
 
 #: Lengths in bytes of the beginnings that stand for a word's inflected and joined forms.
 PREFIXES = (4, 5, 6, 7)
@@ -112,10 +112,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, max_terms: int = 4096, factors: i
     return FactorizationMachine(float(bias), ids, w.astype(np.float32), v.astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 5000, **options) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 5000, max_terms: int = 4096, least: int = 3, **options) -> FactorizationMachine:
     """A machine from labelled rows whose crc32(doc_id as text) mod 3 is not 1; at most per_class of each label.
 
-    What comes to the driver: for each sampled document its hashed terms, nothing of the others.
+    The terms that fit() would choose are counted and chosen on the executors. What comes to the driver: those terms, and for each
+    sampled document which of them it has.
     """
     sample = labelled_sample(docs, labels, label, remainder(F.col("doc_id"), 3) != 1, per_class)
 
@@ -124,8 +125,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         for part in texts:
             yield pd.Series([sorted(terms(x)) for x in part])
 
-    got = sample.select("doc_id", "y", hashed("text").alias("t")).toArrow().sort_by("doc_id")
-    return fit([t.values.to_numpy() for t in got["t"]], got["y"].to_numpy().astype(float), **options)
+    rows = cut(sample.select("doc_id", "y", hashed("text").alias("t")))
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    p1, p0 = (F.col("pos") + 0.5) / (n1 + 1), (F.col("df") - F.col("pos") + 0.5) / (n - n1 + 1)
+    count = rows.select("y", F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("pos")).where(F.col("df") >= least)
+    best = count.withColumn("gain", F.abs(p1 - p0) / F.sqrt((F.col("df") + 1) / max(n, 1))).where("gain > 0").orderBy(F.desc("gain"), "term").limit(max_terms).select("term")
+    chosen = np.sort(best.toArrow()["term"].to_numpy())
+
+    @F.pandas_udf("array<int>")
+    def kept(found: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in found:
+            yield pd.Series([t[np.isin(t, chosen)] for t in part])
+
+    got = rows.select("doc_id", "y", kept("t").alias("t")).toArrow().sort_by("doc_id")
+    return fit([t.values.to_numpy() for t in got["t"]], got["y"].to_numpy().astype(float), max_terms=max_terms, least=least, **options)
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text: str = "text", threshold: float = 0.7) -> DataFrame:
