@@ -63,3 +63,13 @@ def allowed_origin(origin: Column, allowed: Column) -> Column:
 def numbers(text: Column) -> Column:
     """Comma-separated numbers as an array of doubles; unreadable ones are NULL."""
     return F.transform(F.split(text, ","), lambda v: F.trim(v).try_cast("double"))
+
+
+def tile_source(setting: Column, default: str) -> Column:
+    """The address that a map draws from: the setting, or without one (NULL or empty) the default."""
+    return F.coalesce(F.nullif(setting, F.lit("")), F.lit(default))
+
+
+def reads_archives(addresses: Column) -> Column:
+    """Whether any of the addresses is that of a tile archive."""
+    return F.coalesce(F.exists(addresses, lambda a: F.startswith(a, F.lit("pmtiles://"))), F.lit(False))

@@ -226,3 +226,12 @@ def test_map_build_from_extract_to_archive(spark_sources, tmp_path):
     assert line[1] == {"shared_with_pedestrians": False, "shared_with_vehicles": False, "comfort": 4, "oneway": 0, "class": "track", "subclass": "cycleway", "name": "Grün", "routes": "90"}
     assert "name" not in next(f for f in tiles[12]["cycling"] if f[0] == 2)[1]
     assert next(f for f in tiles[12]["cycling"] if f[0] == 1)[1] == {"amenity": "bicycle_parking", "name": "Grün", "osmNodeId": 5}
+
+
+def test_run_build(spark_sources, tmp_path):
+    from tagatlas.plans.run_build import build
+
+    write_extract(tmp_path / "a.osm.pbf")
+    build(spark_sources, str(tmp_path / "a.osm.pbf"), str(tmp_path / "out"), max_zoom=12, name="n")
+    head = spark_sources.read.format("tile_archive").option("what", "headers").load(str(tmp_path / "out")).first()
+    assert (head["min_zoom"], head["max_zoom"], json.loads(head["metadata"])) == (6, 12, {"name": "n"})

@@ -58,6 +58,8 @@ def test_addresses(spark):
     assert spark.range(1).select(urls.view_query(F.lit(12.34567), F.lit(-123.1), F.lit(49.2))).first()[0] == "zoom=12.3457&lng=-123.1000000000&lat=49.2000000000"
     assert spark.range(1).select(urls.numbers(F.lit("1, 2.5,x"))).first()[0] == [1.0, 2.5, None]
     assert [r[0] for r in spark.createDataFrame([("Planet",), ("british-columbia",)], "a string").select(urls.extract_source(F.col("a"))).collect()] == ["aws:latest", "geofabrik:british-columbia"]
+    rows = spark.createDataFrame([("", ["https://x", "pmtiles://y"]), (None, ["https://x"]), ("s", None)], "s string, a array<string>")
+    assert [tuple(r) for r in rows.select(urls.tile_source(F.col("s"), "d"), urls.reads_archives(F.col("a"))).collect()] == [("d", True), ("d", False), ("s", False)]
 
 
 def test_conversions(spark):
