@@ -84,20 +84,26 @@ def at_zooms(features: DataFrame, max_zoom: int, from_zoom: int = 0) -> DataFram
 
 
 def in_tiles(features: DataFrame, max_zoom: int, from_zoom: int = 0) -> DataFrame:
-    """Features with geom (array of lon x, lat y) at each zoom level in every tile that their bounding box, widened by the buffer, meets.
+    """Features with geom (array of lon x, lat y) at each zoom level in every tile that one of their legs may meet, buffer included.
 
-    Adds z, x, y, and geom in pixels from the tile's corner. A feature without points is in no tile."""
+    Adds z, x, y, and geom in pixels from the tile's corner. The boxes of single legs are looked at, so a long way across the map is
+    not in all tiles of its own box. A feature without points is in no tile."""
     placed = features.where(F.size("geom") > 0).withColumn("geom", F.transform("geom", lambda p: world_xy(p.x, p.y)))
     rows = at_zooms(placed, max_zoom, from_zoom)
     side = F.pow(F.lit(2.0), F.col("z"))
     margin = F.coalesce(F.col("buffer_px"), F.lit(0.0)) / TILE_PX if "buffer_px" in features.columns else F.lit(0.0)
+    none = F.expr("cast(array() as array<bigint>)")
 
-    def span(axis: str) -> Column:
-        values = F.transform("geom", lambda p: p[axis] * side)
-        first = F.greatest(F.floor(F.array_min(values) - margin).cast("bigint"), F.lit(0).cast("bigint"))
-        last = F.least(F.floor(F.array_max(values) + margin).cast("bigint"), side.cast("bigint") - 1)
-        return F.when(first <= last, F.sequence(first, last))
+    def span(a: Column, b: Column) -> Column:
+        first = F.greatest(F.floor(F.least(a, b) * side - margin).cast("bigint"), F.lit(0).cast("bigint"))
+        last = F.least(F.floor(F.greatest(a, b) * side + margin).cast("bigint"), side.cast("bigint") - 1)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(none)
 
-    rows = rows.withColumn("x", F.explode(span("x"))).withColumn("y", F.explode(span("y")))
+    def met(i: Column) -> Column:
+        a, b = F.col("geom")[i], F.col("geom")[F.least(i + 1, F.size("geom") - 1)]
+        return F.flatten(F.transform(span(a.x, b.x), lambda x: F.transform(span(a.y, b.y), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+    legs = F.sequence(F.lit(0), F.greatest(F.size("geom") - 2, F.lit(0)))
+    rows = rows.withColumn("_t", F.explode(F.array_distinct(F.flatten(F.transform(legs, met))))).withColumns({"x": F.col("_t.x"), "y": F.col("_t.y")}).drop("_t")
     pixel = lambda p: F.struct(((p.x * side - F.col("x")) * TILE_PX).alias("x"), ((p.y * side - F.col("y")) * TILE_PX).alias("y"))
     return rows.withColumn("geom", F.transform("geom", pixel))

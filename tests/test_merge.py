@@ -59,3 +59,11 @@ def test_short_lines_go_only_at_low_levels(spark):
 def test_a_line_without_points_is_nowhere(spark):
     ways = spark.sql("SELECT 1L AS way_id, map('highway', 'cycleway') AS tags, cast(array() AS array<struct<x:double,y:double>>) AS geom")
     assert features.in_tiles(features.lines(ways), 8).count() == 0
+
+
+def test_a_long_way_is_only_in_tiles_along_it(spark):
+    ways = spark.sql("SELECT 1L AS way_id, map('highway', 'cycleway') AS tags, transform(sequence(0, 100), i -> named_struct('x', -170D + i * 3D, 'y', 80D - i * 1.6D)) AS geom")
+    rows = features.in_tiles(features.lines(ways), 6).select("x", "y").collect()
+    assert len(rows) == len(set(rows)) and 64 < len(rows) < 300
+    point = features.parking_points(spark.sql("SELECT 'node' AS feature_type, 1L AS osm_id, map('amenity', 'bicycle_parking') AS tags, array(named_struct('x', 10D, 'y', 10D)) AS geom, true AS is_point, false AS can_be_line, false AS can_be_polygon"))
+    assert [r["z"] for r in features.in_tiles(point, 14).orderBy("z").collect()] == [12, 13, 14]
