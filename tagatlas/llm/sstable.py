@@ -41,9 +41,9 @@ MAGIC = b"TATLSST1"
 _FOOTER = struct.Struct("<8sIQQQQQQQI")
 BLOCK_IDS, BLOCK_DOCS = 32768, 256
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Encoded pieces that a Python worker keeps; then it starts anew.
-PIECES = 1_000_000
-SLICE_ROWS, SLICE_BYTES = 4096, 16 << 20
+#: Encoded pieces that a task keeps; then it starts anew.
+PIECES = 500_000
+SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 #: A blank that doesn't begin a piece of its own: one before other white space or at the end; and separators that libraries disagree on.
 _GLUED = r" (?:[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)|[\x1c-\x1f]"
 
@@ -355,6 +355,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
                     writer = Writer(out, enc.width)
                 for i, ids in zip(rows["doc_id"].to_pylist(), enc.batch(rows["text"]), strict=True):
                     writer.add(key_of(i), ids)
+        # workers live on and serve other stages
+        enc.known.clear()
+        pa.default_memory_pool().release_unused()
         if writer is not None:
             writer.close()
             out.close()

@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     @F.pandas_udf("array<int>")
     def hashed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([sorted(terms(x)) for x in part])
+            yield pd.Series([np.sort(np.fromiter(terms(x), np.int32)) for x in part], dtype=object)
 
     rows = cut(sample.select("doc_id", "y", hashed("text").alias("t")))
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     @F.pandas_udf("array<int>")
     def kept(found: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in found:
-            yield pd.Series([t[np.isin(t, chosen)] for t in part])
+            yield pd.Series([t[np.isin(t, chosen)] for t in part], dtype=object)
 
     got = rows.select("doc_id", "y", kept("t").alias("t")).toArrow().sort_by("doc_id")
     return fit([t.values.to_numpy() for t in got["t"]], got["y"].to_numpy().astype(float), max_terms=max_terms, least=least, **options)
