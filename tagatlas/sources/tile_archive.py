@@ -7,6 +7,7 @@
     ... what = "legacy"    archive, directory, z, x, y, is_dir, offset, length of versions 1 and 2
     tiles.repartitionByRange("tile_id").sortWithinPartitions("tile_id").write.format("tile_archive").mode("append").save(folder)
 
+With option("pushdown", "true"), and spark.sql.python.filterPushdown.enabled set, filters on tile_id leave out leaves without such ids.
 A path is an archive or a folder of them. The planner reads each archive's first bytes; tasks read one leaf directory each and the
 ranges of bytes that it lists. A task writes one archive, of its range of ids, so no blob passes the driver and a lost task is written again.
 """
@@ -19,7 +20,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from tagatlas.sources import archive_format as fmt
 from tagatlas.sources.files import Ranges, listed, store
@@ -50,7 +54,8 @@ class TileArchive(DataSource):
         return SCHEMAS[self._what()]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self._what(), self.options["path"])
+        kind = _Narrowed if self.options.get("pushdown", "false").lower() == "true" else _Reader
+        return kind(self._what(), self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
@@ -68,6 +73,30 @@ class Part(InputPartition):
     directory: int | None
 
 
+def blob(folder: str, archive: Column, offset: Column, length: Column) -> Column:
+    """The unpacked tile at a place that a lookup has found in an archive of the folder; NULL where it has found none.
+
+    Only those bytes are read, by the executors; rows sorted by archive and offset are read in one sweep."""
+
+    @F.pandas_udf("binary")
+    def read(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        files: dict[str, tuple[Ranges, dict]] = {}
+        for names, offsets, lengths in parts:
+            out = []
+            for name, at, n in zip(names, offsets, lengths):
+                if name is None or pd.isna(at) or pd.isna(n):
+                    out.append(None)
+                    continue
+                if name not in files:
+                    file = Ranges(f"{folder.rstrip('/')}/{name}{ENDING}")
+                    files[name] = (file, fmt.header(file.read(0, fmt.FIRST_READ)))
+                file, head = files[name]
+                out.append(fmt.unpacked(file.read(head["data_offset"] + int(at), int(n)), head["tile_compression"]))
+            yield pd.Series(out, dtype=object)
+
+    return read(archive, offset, length)
+
+
 def archive_name(path: str) -> str:
     return path.rsplit("/", 1)[-1].removesuffix(ENDING)
 
@@ -75,6 +104,7 @@ def archive_name(path: str) -> str:
 class _Reader(DataSourceReader):
     def __init__(self, what: str, path: str) -> None:
         self.what, self.path = what, path
+        self.low, self.high = 0, 1 << 62
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
@@ -83,7 +113,9 @@ class _Reader(DataSourceReader):
             if self.what in ("tiles", "entries"):
                 with Ranges(path) as file:
                     head, root = _root(file)
-                    out += [Part(path, head["leaf_offset"] + offset, length, offset) for _, run, offset, length in root if run == 0]
+                    # a leaf holds ids from its own first up to the next entry's
+                    ends = [e[0] for e in root[1:]] + [1 << 62]
+                    out += [Part(path, head["leaf_offset"] + offset, length, offset) for (first, run, offset, length), end in zip(root, ends) if run == 0 and first <= self.high and end > self.low]
         return out or [Part("", None, 0, None)]
 
     def read(self, part: Part) -> Iterator[tuple]:
@@ -105,6 +137,25 @@ class _Reader(DataSourceReader):
                         yield from _tiles(name, file, head, entries)
 
 
+class _Narrowed(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Narrows the ids sought, so that leaves without any of them are no parts (which needs spark.sql.python.filterPushdown.enabled).
+
+        All filters stay with Spark too, since a leaf also holds its neighbours."""
+        for f in filters:
+            values = f.value if isinstance(f, In) else (getattr(f, "value", None),)
+            if getattr(f, "attribute", None) == ("tile_id",) and None not in values:
+                if isinstance(f, EqualTo):
+                    self.low, self.high = max(self.low, f.value), min(self.high, f.value)
+                elif isinstance(f, In) and f.value:
+                    self.low, self.high = max(self.low, min(f.value)), min(self.high, max(f.value))
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value)
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, f.value)
+            yield f
+
+
 def _root(file: Ranges) -> tuple[dict, list]:
     first = file.read(0, fmt.FIRST_READ)
     head = fmt.header(first)

@@ -15,7 +15,8 @@ from tagatlas.operators import directory
 from tagatlas.plans import map_build
 from tagatlas.sources import archive_format as fmt
 from tagatlas.sources.osm_pbf import OsmPbf
-from tagatlas.sources.tile_archive import TileArchive, _directories
+from tagatlas.sources.tile_archive import TileArchive, _directories, _Narrowed
+from tagatlas.sources.tile_archive import blob as tile_at
 
 
 @pytest.fixture(scope="module")
@@ -98,6 +99,9 @@ def test_archives_round_trip(spark_sources, tmp_path):
     entries = directory.flattened(spark.read.format("tile_archive").option("what", "entries").load(folder))
     asked = spark.range(0, 61_000).selectExpr("id AS tile_id").crossJoin(entries.select("archive").distinct())
     assert directory.range_lookup(asked, entries).where("entry_id is not null").count() == len(want)
+    hits = directory.range_lookup(asked, entries).where("tile_id % 100 < 7")
+    got = hits.withColumn("data", tile_at(folder, F.col("archive"), F.col("offset"), F.col("length"))).where("data is not null").collect()
+    assert {r["tile_id"]: bytes(r["data"]) for r in got} == {k: v for k, v in want.items() if k % 100 < 7}
     with pytest.raises(Exception, match="ascend"):
         tiles_of(spark, 10).orderBy(F.desc("tile_id")).coalesce(1).write.format("tile_archive").mode("append").save(str(tmp_path / "bad"))
 
@@ -235,3 +239,27 @@ def test_run_build(spark_sources, tmp_path):
     build(spark_sources, str(tmp_path / "a.osm.pbf"), str(tmp_path / "out"), max_zoom=12, name="n")
     head = spark_sources.read.format("tile_archive").option("what", "headers").load(str(tmp_path / "out")).first()
     assert (head["min_zoom"], head["max_zoom"], json.loads(head["metadata"])) == (6, 12, {"name": "n"})
+
+
+def test_leaves_out_of_range_are_not_read(spark_sources, tmp_path):
+    import random
+
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    rng, ids = random.Random(3), []
+    for _ in range(40_000):
+        ids.append((ids[-1] if ids else 0) + rng.randint(1, 9))
+    spark, folder = spark_sources, str(tmp_path / "out")
+    rows = spark.createDataFrame([(i,) for i in ids], "tile_id bigint").selectExpr("tile_id", "encode(repeat(CAST(hash(tile_id) AS STRING), 1 + CAST(abs(hash(tile_id, 1)) % 9 AS INT)), 'utf-8') AS data")
+    map_build.write_archive(rows, folder)
+    whole = len(_Narrowed("tiles", folder).partitions())
+    assert whole > 3
+    for pushed, some in (([EqualTo(("tile_id",), ids[20_000])], 2), ([GreaterThanOrEqual(("tile_id",), ids[0]), LessThan(("tile_id",), ids[10])], 2), ([In(("tile_id",), (ids[5], ids[-5]))], whole)):
+        reader = _Narrowed("tiles", folder)
+        assert list(reader.pushFilters(pushed)) == pushed and len(reader.partitions()) == some
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = spark.read.format("tile_archive").option("pushdown", "true").load(folder).where(F.col("tile_id").between(ids[30_000], ids[30_100]))
+        assert sorted(r["tile_id"] for r in got.collect()) == ids[30_000:30_101]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
