@@ -83,9 +83,8 @@ def classify(ways: DataFrame, tags: str = "tags", maxspeed_invalid: str = "zero"
     for i, rule in enumerate(table[1:], 2):
         first = first.when(rule.when, i)
     out = ways.where(F.coalesce("can_be_line", F.lit(False))) if "can_be_line" in ways.columns else ways
-    out = out.withColumn("branch", first)
-    # one filter on the branch; the attributes then look only at the number, and each tag is read once per row
-    out = out if keep_unmatched else out.where("branch is not null")
+    # exploding no or one branch drops what fits no rule; a filter would be pushed below and evaluate the whole table a second time
+    out = out.withColumn("branch", first if keep_unmatched else F.explode(F.array_compact(F.array(first))))
     return out.withColumns({name: _chosen(table, name).cast(kind) for name, kind in ATTRIBUTES.items()})
 
 
