@@ -6,8 +6,8 @@ them; an L1 penalty keeps few n-grams, a temperature fitted on variations left o
 probabilities. A family is reported only with a probability of at least SURE and if a comparison with the family's
 notices confirms it: half of the paragraph's word pairs occur in them, or it holds four fifths of one notice's pairs.
 
-Main path, DataFrame functions only: one scan keeps texts with a licence word; their distinct texts are split into
-paragraphs, distinct paragraphs into n-grams, which meet the weights (a broadcast of at most MOST_WEIGHTS rows) and are
+Main path, DataFrame functions only: one scan keeps texts with a licence word or the name of a licence; their distinct texts
+are split into lines and lines that run on into joined ones; distinct paragraphs into n-grams, which meet the weights (a broadcast of at most MOST_WEIGHTS rows) and are
 summed per paragraph. So a notice that a third of all documents repeat is scored once.
 """
 
@@ -25,9 +25,17 @@ from pyspark.sql import functions as F
 from tagatlas.llm.common import LOWER, UPPER, cut, let
 
 SURE, PAIRS, WHOLE, MOST_WEIGHTS, SCALE = 0.6, 0.5, 0.8, 20_000, 1000
-#: A paragraph without any of these has no licence notice.
+#: A paragraph without any of these has no licence notice, as the SQL takes it.
 WORDS = r"licen[sc]|copyright|copyleft|rights reserved|creative commons|public domain|spdx|redistribut|\bcc0?[ -]by|\bcc0\b|\bgpl|warranty|permission is hereby|mozilla public"
 
+#: Names of licences that mean nothing else, and those that are other words as well: a paragraph with only the latter is a family or nothing.
+NAMES, SHARED_NAMES = r"\b[al]gpl|\bmpl[ -]?v?[12]|\bbsd-[0-9]", r"\bbsd\b|\bapache\b|\bmit\b|\bgnu\b"
+#: What scan() looks for: phrases may be broken by a line's end, and by marks of a comment after it.
+CLEAR = re.sub(r" (?!-)", r"[\\s*#/]+", WORDS) + "|" + NAMES
+SIEVE = CLEAR + "|" + SHARED_NAMES
+#: A line's end where a notice may not run on: after a sentence or a colon, or before a line without words.
+ENDED = r"""(?<=[.!?:]["')\]]{0,2}\s{0,2})\n|\n(?=[^A-Za-z0-9\n]*(?:\n|\z))"""
+
 # Usual notices of each family.
 NOTICES = {
     "agpl-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
@@ -170,47 +178,78 @@ def _grams(w: Column, n: int) -> Column:
 
 
 def classify(paragraphs: DataFrame, model: Model) -> DataFrame:
-    """(paragraph, label, probability) of distinct, non-null paragraphs; label is a family, unknown or none."""
+    """(paragraph, label, probability, whole) of distinct, non-null paragraphs; label is a family, unknown or none; whole: it holds one of the family's notices."""
     spark, n = paragraphs.sparkSession, len(model.classes)
-    table = spark.createDataFrame([(g, list(w)) for g, w in model.weights], "gram string, w array<int>")
-    of = let(words(F.col("paragraph")), lambda w: F.struct(F.array_distinct(F.concat(*[_grams(w, k) for k in (1, 2, 3)])).alias("grams"), F.array_distinct(_grams(w, 2)).alias("pairs")))
-    rows = paragraphs.select("paragraph", of.alias("of"))
-    met = rows.select("paragraph", "of.pairs", F.explode_outer("of.grams").alias("gram")).join(F.broadcast(table), "gram", "left")
-    sums = met.groupBy("paragraph").agg(F.first("pairs").alias("pairs"), *[F.coalesce(F.sum(F.element_at("w", k + 1)), F.lit(0)).alias(f"z{k}") for k in range(n)])
+    # every paragraph meets the empty gram, so that one without known n-grams stays
+    table = spark.createDataFrame([("", [0] * n), *((g, list(w)) for g, w in model.weights)], "gram string, w array<int>")
+    pairs_of = {family: [sorted({" ".join(w[k : k + 2]) for k in range(len(w) - 1)}) for w in map(tokens, notices)] for family, notices in NOTICES.items()}
+    known = F.array(*map(F.lit, sorted({g for texts in pairs_of.values() for x in texts for g in x})))
+    pairs = lambda w: let(F.array_distinct(_grams(w, 2)), lambda p: F.struct(F.size(p).alias("n"), F.array_intersect(p, known).alias("known")))
+    of = let(words(F.col("paragraph")), lambda w: F.struct(F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(w, k) for k in (1, 2, 3)])).alias("grams"), pairs(w).alias("pairs")))
+    # n-grams travel by a hash and with the notices' pairs only: joined lines may be as long as a text
+    key = F.sha2("paragraph", 256)
+    met = paragraphs.select(key.alias("key"), of.alias("of")).select("key", "of.pairs", F.explode("of.grams").alias("gram")).join(F.broadcast(table), "gram")
+    sums = met.groupBy("key").agg(F.first("pairs").alias("of"), *[F.sum(F.element_at("w", k + 1)).alias(f"z{k}") for k in range(n)])
+    sums = sums.select("*", F.col("of.n").alias("n_pairs"), F.col("of.known").alias("pairs")).drop("of")
     z = F.array(*[(F.col(f"z{k}") + F.lit(b)) / F.lit(SCALE * model.temperature) for k, b in enumerate(model.bias)])
     p = let(z, lambda a: F.transform(a, lambda v: F.exp(v - F.array_max(a)) / F.aggregate(a, F.lit(0.0), lambda s, u: s + F.exp(u - F.array_max(a)))))
     best = sums.withColumn("p", p).withColumn("probability", F.array_max("p"))
     best = best.withColumn("first", F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("p", F.col("probability")).cast("int")))
-    sure = F.lit(False)
-    for family, notices in NOTICES.items():
-        pairs = [sorted({" ".join(w[k : k + 2]) for k in range(len(w) - 1)}) for w in map(tokens, notices)]
-        every = F.array(*map(F.lit, sorted({g for x in pairs for g in x})))
-        here = F.size(F.array_intersect("pairs", every)) >= PAIRS * F.size("pairs")
-        for x in pairs:
-            here = here | (F.size(F.array_intersect("pairs", F.array(*map(F.lit, x)))) >= WHOLE * len(x))
-        sure = sure | ((F.col("first") == family) & (F.size("pairs") > 0) & here)
+    sure, whole = F.lit(False), F.lit(False)
+    for family, texts in pairs_of.items():
+        every = F.array(*map(F.lit, sorted({g for x in texts for g in x})))
+        here = F.size(F.array_intersect("pairs", every)) >= PAIRS * F.col("n_pairs")
+        held = F.lit(False)
+        for x in texts:
+            held = held | (F.size(F.array_intersect("pairs", F.array(*map(F.lit, x)))) >= WHOLE * len(x))
+        here, whole = here | held, whole | ((F.col("first") == family) & held)
+        sure = sure | ((F.col("first") == family) & (F.col("n_pairs") > 0) & here)
     # what looks like a licence, but isn't sure or isn't confirmed, is unknown
     licence = F.lit(1.0) - F.element_at("p", model.classes.index("none") + 1)
     label = F.when((F.col("probability") >= SURE) & sure, F.col("first")).when(licence > 0.5, F.lit("unknown")).otherwise(F.lit("none"))
-    return best.select("paragraph", label.alias("label"), "probability")
+    best = best.select("key", label.alias("label"), "probability", whole.alias("whole"))
+    return paragraphs.select("paragraph", key.alias("key")).join(best, "key").drop("key")
 
 
 def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
     """docs with license_families (sorted, comma-joined; empty if none), n_notices and n_unknown (paragraphs).
 
-    Paragraphs are lines. Null and empty texts have none; repeated rows agree; existing columns of these names are replaced.
+    Paragraphs are lines, and lines that run on (no sentence ends with them) joined. If joined lines give a family of which no
+    line alone holds a notice, they are one notice of it and their lines count only where they hold another family's notice;
+    else each line stands for itself, as all unknown ones do. Null and empty texts have none; repeated rows agree; existing
+    columns of these names are replaced.
     """
     model = model or train()
-    texts = cut(docs.select(F.col(text).alias("text")).where(F.lower(F.col("text")).rlike(WORDS)).distinct())
-    each = texts.select(F.sha2("text", 256).alias("_key"), F.explode(F.split("text", "\n")).alias("paragraph")).where(F.lower("paragraph").rlike(WORDS))
-    labels = cut(classify(each.select("paragraph").distinct(), model)).select("paragraph", "label")
-    found = each.join(labels, "paragraph").where("label <> 'none'").groupBy("_key").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("label") != "unknown", F.col("label")))), ",").alias("families"),
-        F.count(F.when(F.col("label") != "unknown", 1)).alias("notices"),
-        F.count(F.when(F.col("label") == "unknown", 1)).alias("unknown"),
+    texts = cut(docs.select(F.col(text).alias("text")).where(F.lower(F.col("text")).rlike(SIEVE)).distinct())
+    runs = texts.select(F.sha2("text", 256).alias("_key"), F.posexplode(F.split("text", ENDED)).alias("run", "lines")).where(F.lower("lines").rlike(SIEVE))
+    runs = runs.withColumn("lines", F.filter(F.split("lines", "\n"), lambda x: x.rlike("[A-Za-z0-9]")))
+    joined = F.when(F.size("lines") > 1, F.array(F.struct(F.array_join("lines", "\n").alias("paragraph"), F.lit(True).alias("joined"))))
+    parts = F.concat(F.transform("lines", lambda x: F.struct(x.alias("paragraph"), F.lit(False).alias("joined"))), F.coalesce(joined, F.array().cast("array<struct<paragraph:string,joined:boolean>>")))
+    each = runs.select("_key", "run", F.inline(parts)).where(F.lower("paragraph").rlike(SIEVE))
+    labels = cut(classify(each.select("paragraph").distinct(), model)).where(~F.col("label").isin("none", "unknown") | ((F.col("label") == "unknown") & F.lower("paragraph").rlike(CLEAR)))
+    family, alone = F.when(F.col("label") != "unknown", F.col("label")), ~F.col("joined")
+    of_run = each.join(labels.select("paragraph", "label", "whole"), "paragraph").groupBy("_key", "run").agg(
+        F.max(F.when(F.col("joined"), family)).alias("one"),
+        F.collect_set(F.when(alone, family)).alias("families"),
+        F.collect_set(F.when(alone & F.col("whole"), family)).alias("held"),
+        F.count(F.when(alone, family)).alias("notices"),
+        F.count(F.when(alone & F.col("whole"), family)).alias("n_held"),
+        F.count(F.when(alone & (F.col("label") == "unknown"), 1)).alias("unknown"),
+    )
+    runs_on = F.coalesce(~F.array_contains("held", F.col("one")), F.lit(False))
+    of_run = of_run.select(
+        "_key",
+        F.when(runs_on, F.array_union("held", F.array("one"))).otherwise(F.col("families")).alias("families"),
+        F.when(runs_on, F.col("n_held") + 1).otherwise(F.col("notices")).alias("notices"),
+        F.when(runs_on, F.lit(0).cast("long")).otherwise(F.col("unknown")).alias("unknown"),
+    )
+    found = of_run.groupBy("_key").agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))), ",").alias("families"),
+        F.sum("notices").alias("notices"),
+        F.sum("unknown").alias("unknown"),
     )
     found = found.select("_key", F.struct("families", "notices", "unknown").alias("_found"))
-    got = docs.withColumn("_key", F.when(F.lower(F.col(text)).rlike(WORDS), F.sha2(F.col(text), 256))).join(found, "_key", "left")
+    got = docs.withColumn("_key", F.when(F.lower(F.col(text)).rlike(SIEVE), F.sha2(F.col(text), 256))).join(found, "_key", "left")
     got = got.withColumn("license_families", F.coalesce("_found.families", F.lit("")))
     got = got.withColumn("n_notices", F.coalesce("_found.notices", F.lit(0).cast("long"))).withColumn("n_unknown", F.coalesce("_found.unknown", F.lit(0).cast("long")))
     return got.drop("_key", "_found")
@@ -221,7 +260,7 @@ def _quoted(s: str) -> str:
 
 
 def scan_sql(model: Model | None = None) -> str:
-    """scan() of documents as DuckDB SQL: (doc_id, license_families, n_notices, n_unknown)."""
+    """scan() of documents as DuckDB SQL: (doc_id, license_families, n_notices, n_unknown); it sieves by WORDS and knows single lines only."""
     model = model or train()
     n = len(model.classes)
     weights = ", ".join(f"({_quoted(g)}, {list(w)})" for g, w in model.weights)

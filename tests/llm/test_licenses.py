@@ -32,3 +32,20 @@ def test_held_out_accuracy():
                 z[k] += x
         right += m.classes[max(range(len(z)), key=z.__getitem__)] == c
     assert right / len(rows) > 0.95
+
+
+def test_names_alone_and_wrapped_notices(spark):
+    rows = [
+        ("Distributed under LGPL-2.1 or later.", "", 0, 1),
+        ("Released under AGPLv3.", "", 0, 1),
+        ("BSD-3-Clause", "bsd", 1, 0),
+        ("Apache-2.0", "apache-2.0", 1, 0),
+        ("Released under MIT", "mit", 1, 0),
+        ("Ich gehe mit der Katze. Apache helicopters flew by. A gnu runs.", "", 0, 0),
+        ("This program is licensed under the terms of the\nGNU Affero General Public\nLicense, version 3", "agpl-3.0", 1, 0),
+        ("/*\n * Prose here.\n * This work is licensed under a Creative\n * Commons Attribution-ShareAlike 4.0\n * International License.\n */", "cc-by-sa", 1, 0),
+        ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", "apache-2.0,mit", 2, 0),
+        ("Licensed under the Zelmi License, Version 4.0\nReleased under the MIT License", "mit", 1, 1),
+    ]
+    got = L.scan(spark.createDataFrame(rows, "text string, families string, notices long, unknown long")).collect()
+    assert [(r.text, r.license_families, r.n_notices, r.n_unknown) for r in got if (r.license_families, r.n_notices, r.n_unknown) != (r.families, r.notices, r.unknown)] == []
