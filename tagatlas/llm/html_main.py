@@ -1,8 +1,8 @@
 """Main text of web pages, by removing what a site repeats.
 
 Every page is parsed into a tree; each element's subtree (tag, attributes of style left out, text and children) is hashed.
-Spark counts in how many different pages of its host a subtree occurs; those on at least MANY pages and SHARE of the
-host's pages are templates and are deleted. Prose inside the article (paragraphs, headings, list items, quotations, table
+Spark counts in how many different pages of its host a subtree occurs; those on at least MANY pages are
+templates and are deleted, however large the host is. Prose inside the article (paragraphs, headings, list items, quotations, table
 cells) is never a template: a passage that an author repeats stays. What is left is cleaned by element and by the names
 that pages give to menus, adverts, notices, forms and comments, and the article's blocks are joined. That cleaning looks at
 one page alone, so it is done before pages travel to the join with their templates, as packed trees that keep their hashes.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tagatlas.llm.common import cut
 
-MANY, SHARE = 8, 0.1
+MANY = 8
 
 # Fixed values of HTML: elements without an end tag, with raw text, and those that are blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,7 +255,7 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int = MANY, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int = MANY) -> DataFrame:
     """pages with text (main text, empty if none) and n_chars (its code points).
 
     A null page is an empty one; pages without a host are one site; copies of a page count once and get the same text;
@@ -282,9 +282,7 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int
     seen = pages.select(F.xxhash64(site).alias("site"), key.alias("key"), hashes(F.col(source)).alias("hashes"))
     seen = cut(seen.groupBy("key").agg(F.first("site").alias("site"), F.first("hashes").alias("hashes")))
     each = seen.select("site", "key", F.explode("hashes").alias("h"))
-    hosts = seen.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    found = each.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many)
-    templates = found.join(hosts, "site").where(F.col("n") >= share * F.col("pages")).select("site", "h")
+    templates = each.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many).select("site", "h")
     own = each.join(templates, ["site", "h"]).groupBy("key").agg(F.collect_list("h").alias("_gone"))
     # pages travel to their templates as packed, pruned trees; html itself is only moved if the caller keeps it
     got = pages.withColumns({"_key": key, "_page": trees(F.col(source))}).join(own.withColumnRenamed("key", "_key"), "_key", "left")

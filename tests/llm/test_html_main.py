@@ -29,3 +29,9 @@ def test_templates(spark):
     assert all(text[100 + k] == f"Own {k}\n\nA passage that many articles share" for k in range(20))
     assert (text[200], text[201], text[202], text[300]) == ("Our motto", "", "", "one page in many copies")
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_templates_of_a_large_host(spark):
+    rows = [(k, f"https://a.example/{k}", f"<body>{'<div><em>Section menu</em></div>' if k % 20 == 0 else ''}<div><p>Own {k}</p></div><div><p>page {k}</p></div></body>") for k in range(2000)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 2000 and all(r.text == f"Own {r.page_id}\n\npage {r.page_id}" for r in got)
