@@ -2,8 +2,9 @@
 
 Every page is parsed into a tree; each element's subtree (tag, attributes of style left out, text and children) is hashed.
 Spark counts in how many different pages of its host a subtree occurs; those on at least MANY pages are
-templates and are deleted, however large the host is. Prose inside the article (paragraphs, headings, list items, quotations, table
-cells) is never a template: a passage that an author repeats stays. What is left is cleaned by element and by the names
+templates and are deleted, however large the host is. Inside the article, prose (paragraphs, headings, list items,
+quotations, table cells) and whatever holds some (lists, tables, sections) is never a template: a passage that an author repeats
+stays. Other subtrees there are counted over different articles, so copies of one under different menus count once. What is left is cleaned by element and by the names
 that pages give to menus, adverts, notices, forms and comments, and the article's blocks are joined. That cleaning looks at
 one page alone, so it is done before pages travel to the join with their templates, as packed trees that keep their hashes.
 
@@ -33,6 +34,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr dd dt figcaption b i em strong a span code br q cite".split())
+#: Inside an article, what holds one of these is no template.
+PASSAGES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
 DROPPED = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select input textarea dialog menu title noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words in a class or id that name what isn't the article.
@@ -53,12 +56,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element. hash: of its subtree; key: the same, signed, if the subtree may be a template, else None."""
+    """An element. hash: of its subtree; key: the same, signed, if the subtree may be a template, else None; passages: it holds prose."""
 
-    __slots__ = ("tag", "attributes", "children", "hash", "key")
+    __slots__ = ("tag", "attributes", "children", "hash", "key", "passages")
 
     def __init__(self, tag: str, attributes: str = "", key: int | None = None) -> None:
-        self.tag, self.attributes, self.children, self.hash, self.key = tag, attributes, [], 0, key
+        self.tag, self.attributes, self.children, self.hash, self.key, self.passages = tag, attributes, [], 0, key, False
 
 
 def parse(source: str) -> Node:
@@ -176,6 +179,10 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
     return reversed(out)
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def hashed(root: Node) -> Node:
     """Sets the hash of every subtree, and the key of those that may be templates."""
     for n, inside in _walk(root):
@@ -186,14 +193,21 @@ def hashed(root: Node) -> Node:
             else:
                 h.update(b"\x00" + " ".join(c.split()).encode())
         n.hash = h.intdigest()
-        if n.tag not in _KEPT_OPEN and n.tag not in VOID and not (inside and n.tag in PROSE):
-            n.key = n.hash - (1 << 64) if n.hash >> 63 else n.hash
+        n.passages = n.tag in PASSAGES or any(isinstance(c, Node) and c.passages for c in n.children)
+        if n.tag not in _KEPT_OPEN and n.tag not in VOID and not (inside and (n.passages or n.tag in PROSE)):
+            n.key = _signed(n.hash)
     return root
 
 
-def subtree_hashes(source: str | None) -> list[int]:
-    """The distinct hashes (signed 64 bits) of a page's subtrees that may be templates."""
-    return sorted({n.key for n, _ in _walk(hashed(parse(source or ""))) if n.key is not None})
+def subtree_hashes(source: str | None) -> tuple[list[int], list[int], int]:
+    """The distinct hashes (signed 64 bits) of a page's subtrees that may be templates: outside its articles, only inside, and a hash of all its articles."""
+    outside, inside, articles = set(), set(), xxhash.xxh64()
+    for n, within in _walk(hashed(parse(source or ""))):
+        if n.key is not None:
+            (inside if within else outside).add(n.key)
+        elif not within and n.tag in ("article", "main"):
+            articles.update(n.hash.to_bytes(8, "little"))
+    return sorted(outside), sorted(inside - outside), _signed(articles.intdigest())
 
 
 def main_text(source: str | None, templates=()) -> str:
@@ -262,10 +276,10 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int
     an empty table gives no rows. Existing columns text and n_chars are replaced, others pass through.
     """
 
-    @F.pandas_udf("array<long>")
-    def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("outside array<long>, inside array<long>, articles long")
+    def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.Series([subtree_hashes(x) for x in part])
+            yield pd.DataFrame([subtree_hashes(x) for x in part], columns=["outside", "inside", "articles"])
 
     @F.pandas_udf("binary")
     def trees(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -281,8 +295,11 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int
     # hosts are counted by a hash of their name, which keeps the many rows of subtrees small
     seen = pages.select(F.xxhash64(site).alias("site"), key.alias("key"), hashes(F.col(source)).alias("hashes"))
     seen = cut(seen.groupBy("key").agg(F.first("site").alias("site"), F.first("hashes").alias("hashes")))
-    each = seen.select("site", "key", F.explode("hashes").alias("h"))
-    templates = each.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many).select("site", "h")
+    each = seen.select("site", "key", F.explode(F.concat("hashes.outside", "hashes.inside")).alias("h"))
+    # a subtree outside articles counts once a page, one inside once for each different article
+    outside = seen.select("site", F.explode("hashes.outside").alias("h")).groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
+    inside = seen.select("site", F.col("hashes.articles").alias("articles"), F.explode("hashes.inside").alias("h")).distinct().groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
+    templates = outside.unionByName(inside).groupBy("site", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= many).select("site", "h")
     own = each.join(templates, ["site", "h"]).groupBy("key").agg(F.collect_list("h").alias("_gone"))
     # pages travel to their templates as packed, pruned trees; html itself is only moved if the caller keeps it
     got = pages.withColumns({"_key": key, "_page": trees(F.col(source))}).join(own.withColumnRenamed("key", "_key"), "_key", "left")

@@ -35,3 +35,13 @@ def test_templates_of_a_large_host(spark):
     rows = [(k, f"https://a.example/{k}", f"<body>{'<div><em>Section menu</em></div>' if k % 20 == 0 else ''}<div><p>Own {k}</p></div><div><p>page {k}</p></div></body>") for k in range(2000)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 2000 and all(r.text == f"Own {r.page_id}\n\npage {r.page_id}" for r in got)
+
+
+def test_articles_keep_shared_lists_and_copies(spark):
+    shared = "<ul><li>flour</li><li>water</li></ul><table><tbody><tr><td>cell</td></tr></tbody></table><section><div><p>passage</p></div></section>"
+    rows = [(k, f"https://a.example/{k}", f"<body><article><p>Own {k}</p>{shared}<div><span>Rate this</span></div></article></body>") for k in range(20)]
+    rows += [(100 + k, f"https://b.example/{k}", f"<body><div><em>menu {k}</em></div><article><div class='body'><p>The whole story</p></div></article></body>") for k in range(20)]
+    rows += [(200 + k, f"https://c.example/{k}", f"<body><div><em>menu {k}</em></div><article><div class='body'>Bare words<br>of a story</div></article></body>") for k in range(20)]
+    text = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == f"Own {k}\n\nflour\n\nwater\n\ncell\n\npassage" for k in range(20))
+    assert all(text[100 + k] == "The whole story" and text[200 + k] == "Bare words of a story" for k in range(20))
