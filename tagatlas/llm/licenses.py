@@ -174,7 +174,8 @@ def words(text: Column) -> Column:
 
 
 def _grams(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - F.lit(n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # by position: a slice inside a lambda copies the whole array each time, which is quadratic for a long paragraph
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - F.lit(n - 1)), lambda i: F.concat_ws(" ", *[F.element_at(w, i + F.lit(k)) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
 
 def classify(paragraphs: DataFrame, model: Model) -> DataFrame:
