@@ -5,12 +5,14 @@ with seed 42; a bit is set if it is set in over half the hashes.
 
 Comparison: equal fingerprints collapse first. A fingerprint's tile is the population counts of its four 16-bit quarters.
 If two fingerprints differ in at most `radius` bits, these four counts differ by at most `radius` in sum, so only such
-pairs of tiles meet (an equi-join on the neighbour's number); all other pairs are skipped, and nothing is lost. Tiles
-larger than BLOCK fingerprints are split into blocks, and each pair of blocks is one numpy exclusive-or and bit count.
-A pair of blocks gives back a spanning forest of its links, which keeps the components and bounds the rows.
-
-Scale: the work is quadratic within neighbouring tiles, about 5% of all pairs for random fingerprints, spread over
-block pairs; the tile counts (at most 17^4 rows) are the only broadcast. Nothing is sampled or capped.
+pairs of tiles meet; all other pairs are skipped, and nothing is lost. Tiles larger than BLOCK fingerprints are split into
+blocks, and each pair of blocks is one numpy exclusive-or and bit count. A pair of blocks gives back a spanning forest of
+its links, which keeps the components and bounds the rows.
+
+Scale: the work is quadratic within neighbouring tiles, about 5% of all pairs for random fingerprints. The first block of a
+pair travels to the second by an equi-join on the second's number and a salt, which deals the pairs of each block to groups of
+about FAN; so the pairs of the fullest tile are spread over the cluster as well. Tiles and their neighbours (at most 17^4 rows of at most
+65 numbers) are the only broadcast. Nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagatlas.llm.common import cut
+from tagatlas.llm.common import cut, kept
 from tagatlas.llm.components import components
 
 BLOCK = 512
+#: Pairs of blocks that share a key of the join.
+FAN = 64
 _BASE = 17  # counts of a quarter: 0 to 16
 
 
@@ -99,18 +103,22 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     key = F.lit(0)
     for k in range(4):
         key = key * _BASE + F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
-    keyed = fps.where("fp is not null").select("fp").distinct().withColumn("key", key.cast("int"))
-    keyed = cut(keyed)
-    tiles = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    keyed = cut(fps.where("fp is not null").select("fp").distinct().withColumn("key", key.cast("int")))
+    tiles = cut(keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
     blocks = keyed.join(F.broadcast(tiles), "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     blocks = cut(blocks.groupBy("key", "part").agg(F.collect_list("fp").alias("fps")))
     steps = (sum(d * _BASE ** (3 - k) for k, d in enumerate(x)) for x in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, x)) <= radius)
     half = F.array(*(F.lit(s) for s in sorted(s for s in steps if s >= 0)))
-    left = blocks.select(F.col("key").alias("key_a"), F.col("part").alias("part_a"), F.col("fps").alias("a"), F.explode(half).alias("step")).withColumn("key", F.col("key_a") + F.col("step"))
-    left = left.join(F.broadcast(tiles.select("key")), "key", "left_semi")
-    met = left.join(blocks.withColumnRenamed("fps", "b"), "key").where("step > 0 or part_a <= part")
-    met = met.select("a", "b", ((F.col("step") == 0) & (F.col("part_a") == F.col("part"))).alias("same"))
-    return met.mapInArrow(_compare(radius), "u long, v long")
+    near = tiles.select(F.col("key").alias("key_a"), F.col("parts").alias("parts_a"), F.explode(half).alias("step"))
+    near = near.select("key_a", "parts_a", (F.col("key_a") + F.col("step")).alias("key_b")).join(F.broadcast(tiles.select(F.col("key").alias("key_b"), F.col("parts").alias("parts_b"))), "key_b")
+    salts = near.groupBy("key_b").agg(F.ceil(F.sum("parts_a") / FAN).cast("int").alias("salts"))
+    near = cut(near.join(F.broadcast(salts), "key_b").groupBy("key_a").agg(F.collect_list(F.struct("key_b", "parts_b", "salts")).alias("near")))
+    left = blocks.join(F.broadcast(near), blocks["key"] == near["key_a"]).select("key_a", F.col("part").alias("part_a"), F.col("fps").alias("a"), F.explode("near").alias("n"))
+    salt = F.pmod(F.xxhash64("key_a", "part_a"), F.col("n.salts")).cast("int")
+    left = left.select("a", "part_a", (F.col("key_a") == F.col("n.key_b")).alias("own"), F.col("n.key_b").alias("key"), salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.col("n.parts_b") - 1)).alias("part"))
+    right = blocks.join(F.broadcast(salts), blocks["key"] == salts["key_b"]).select("key", "part", F.col("fps").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    met = left.where("not own or part_a <= part").join(right, ["key", "part", "salt"])
+    return met.select("a", "b", (F.col("own") & (F.col("part_a") == F.col("part"))).alias("same")).mapInArrow(_compare(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -127,3 +135,25 @@ def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", doc_id
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = classes.join(smallest, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component of near_duplicates(docs), with the columns of docs.
+
+    The row with the smallest id stays; rows without an id come after all others, ties go by the hash of the text and of the whole
+    row, so reruns agree. Ids need not be unique: an id that several components share keeps a row in each. Null and empty
+    texts are near each other like any texts; an empty table gives no rows. Columns of any name and type pass through.
+
+    Rows of equal fingerprints are reduced first (a partial aggregate, so any number of copies is one row per task and fingerprint).
+    What is linked, without texts, then says which fingerprints go.
+    """
+    whole = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
+    order = F.struct(F.col(doc_id).isNull().alias("nameless"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("text"), F.xxhash64(*whole).alias("row"))
+    rows = fingerprints(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), order.alias("order")), "text")
+    # the one row of each fingerprint, kept in the shared folder: texts are hashed and moved once
+    rows = kept(rows.groupBy("fp").agg(F.min("order").alias("order"), F.min_by("row", "order").alias("row")), "fingerprints")
+    roots = components(links(rows.select("fp"), radius)).withColumnRenamed("node", "fp")
+    linked = cut(roots.join(rows.select("fp", "order"), "fp"))
+    first = linked.groupBy("root").agg(F.min_by("fp", "order").alias("fp"))
+    gone = linked.select("fp").join(first.select("fp"), "fp", "left_anti")
+    return rows.join(gone, "fp", "left_anti").select("row.*")

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from tagatlas.llm import mixing, sstable, toxicity
 from tests.llm.cases import documents
 from tests.llm.test_decontaminate import brute as contaminated
-from tests.llm.test_simhash import brute as near
+from tests.llm.test_simhash import plain_kept
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -37,10 +37,11 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
         if name == "toxicity":
             assert sorted(map(str, out)) == sorted(str(r) for r in rows if one(r.text) < 0.7) and len(out) < len(rows)
         if name == "near_duplicates":
-            classes = near([(r.doc_id, r.text) for r in rows])
-            ids = {c for _, _, c in classes if c is not None}
-            assert {r.doc_id for r in out} - {None} == ids
-            assert len(out) == len(ids) + len({f for _, f, c in classes if c is None})
+            groups = plain_kept([(r.doc_id, r.text) for r in rows])
+            assert len(out) == len(groups)
+            for g in groups:
+                mine = [r for r in out if (r.doc_id, r.text) in g]
+                assert len(mine) == 1 and mine[0].doc_id == min((i for i, _ in g if i is not None), default=None)
             assert not ({str(r) for r in out} - {str(r) for r in rows})
         if name == "decontamination":
             items = [(1, "Bench words one two three four five six seven eight nine ten eleven twelve")]

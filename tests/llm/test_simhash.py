@@ -90,6 +90,49 @@ def test_links_against_all_pairs(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_pairs_of_a_dominant_tile_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "FAN", 2)
+    # all in one tile: every quarter has one bit set
+    fps = [sum(1 << (16 * q + b) for q, b in enumerate((i % 16, i // 16 % 16, i // 7 % 16, i // 3 % 16))) for i in range(0, 256, 2)]
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in set(fps)]
+    links = simhash.links(spark.createDataFrame(signed, "fp long"), 4)
+    got = {r.node % (1 << 64): r.root for r in components(links).collect()}
+    u = np.array(sorted(set(fps)), dtype=np.uint64)
+    own, root = simhash._forest(*np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 4), len(u))
+    mine = dict(zip(u[own].tolist(), u[root].tolist(), strict=True))
+    pairs = {(mine.get(f, f), got.get(f, f)) for f in u.tolist()}
+    assert len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+
+
+def plain_kept(rows, radius=3):
+    """One row of each component: least id, nulls last."""
+    fps = [plain(t) for _, t in rows]
+    comp = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= radius:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    return [[r for r, c in zip(rows, comp, strict=True) if c == k] for k in sorted(set(comp))]
+
+
+def test_deduplicated_where_ids_repeat(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in ("left", "other"))
+    rows = [(1, a), (2, a), (2, b), (None, a + " more"), (None, "x y z " * 9), (None, "x y z " * 9), (5, b + " tail"), (4, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "f", {"k": k}) for k, r in enumerate(rows)], "doc_id long, text string, fp string, row map<string,int>")
+    groups = plain_kept(rows)
+    for part in (docs, docs.repartition(5), docs.orderBy(F.desc("text"))):
+        got = simhash.deduplicated(part)
+        assert got.columns == docs.columns
+        out = [(r.doc_id, r.text) for r in got.collect()]
+        assert len(out) == len(groups)
+        for g in groups:
+            mine = [r for r in out if r in g]
+            assert len(mine) == 1 and mine[0][0] == min((i for i, _ in g if i is not None), default=None)
+    assert simhash.deduplicated(empty(spark)).count() == 0
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(path, "u long, v long")).collect()}
