@@ -14,37 +14,37 @@ from tagatlas.llm import decontaminate, mixing, simhash, sstable, toxicity
 from tagatlas.llm.common import new_folder, table
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """text beside the whole row, so that no column of docs meets one that an operator adds."""
+    return docs.select("text", F.struct(*docs.columns).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose score reaches the operator's threshold; the machine learns from the labelled rows of docs."""
+    """Drops documents whose score reaches the operator's threshold; the machine learns from the labelled rows of docs.
+
+    Null and empty texts are scored like any others; repeated rows go or stay together; an empty table stays empty."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.withColumn("_row", F.struct(*docs.columns)), machine).where("predicted = 0").select("_row.*")
+    return toxicity.score(_wrapped(docs), machine).where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one whose id names it, or any without an id if none has one."""
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id", "fingerprint").distinct()
-    # rows that share the kept id, or have none, may differ: one for each id, or for each fingerprint without an id
-    kept = kept.groupBy("doc_id").agg(F.min("fingerprint").alias("_fp")).where("doc_id is not null").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return named
-    # without ids, texts stand for themselves; they stay if nothing with an id is near
-    lonely = simhash.near_duplicates(docs).where("component_id is null").select("fingerprint").distinct()
-    again = simhash.fingerprints(nameless).withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
-    return named.unionByName(again.join(lonely, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(*docs.columns))
+    """Keeps one row of each component: that with the smallest id, one without an id only if none has one. Ids may repeat."""
+    return simhash.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = decontaminate.contamination(docs.withColumn("_row", F.struct(*docs.columns)), table(spark, sf_dir, "benchmark"))
-    return got.where("not contaminated").select("_row.*")
+    """Drops documents of which a twentieth or more lies in windows of the benchmark. Null and empty texts stay; repeated rows go or stay together."""
+    got = decontaminate.contamination(_wrapped(docs), table(spark, sf_dir, "benchmark"))
+    return got.where("not contaminated").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents by the mix of their sources; those without words stay once, the null source is a source."""
     return mixing.repeated(docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token shards and reads them back, a row for every row of docs; null texts are empty, null ids come first."""
     return sstable.round_trip(docs)
 
 
