@@ -22,9 +22,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagatlas.llm.common import LOWER, UPPER, cut, let
+from tagatlas.llm.common import LOWER, UPPER, cut, kept, let
 
-SURE, PAIRS, WHOLE, MOST_WEIGHTS, SCALE = 0.6, 0.5, 0.8, 20_000, 1000
+SURE, PAIRS, WHOLE, MOST_WEIGHTS, SCALE, SALTS = 0.6, 0.5, 0.8, 20_000, 1000, 16
 #: A paragraph without any of these has no licence notice, as the SQL takes it.
 WORDS = r"licen[sc]|copyright|copyleft|rights reserved|creative commons|public domain|spdx|redistribut|\bcc0?[ -]by|\bcc0\b|\bgpl|warranty|permission is hereby|mozilla public"
 
@@ -212,24 +212,31 @@ def classify(paragraphs: DataFrame, model: Model) -> DataFrame:
     return paragraphs.select("paragraph", key.alias("key")).join(best, "key").drop("key")
 
 
-def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
-    """docs with license_families (sorted, comma-joined; empty if none), n_notices and n_unknown (paragraphs).
+def scan(docs: DataFrame, model: Model | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs (without the text where keep_text is false) with license_families (sorted, comma-joined; empty if none), n_notices and n_unknown (paragraphs).
 
     Paragraphs are lines, and lines that run on (no sentence ends with them) joined. If joined lines give a family of which no
     line alone holds a notice, they are one notice of it and their lines count only where they hold another family's notice;
     else each line stands for itself, as all unknown ones do. Null and empty texts have none; repeated rows agree; existing
-    columns of these names are replaced.
+    columns of these names are replaced, all others pass through.
+
+    Texts are searched for licence words once: rows and the lines of those with such a word are kept as a table. Only those rows are
+    joined with what their lines say, each distinct text under SALTS numbers, so that copies of one text are no single task.
     """
     model = model or train()
-    texts = cut(docs.select(F.col(text).alias("text")).where(F.lower(F.col("text")).rlike(SIEVE)).distinct())
-    runs = texts.select(F.sha2("text", 256).alias("_key"), F.posexplode(F.split("text", ENDED)).alias("run", "lines")).where(F.lower("lines").rlike(SIEVE))
+    new, known = ("license_families", "n_notices", "n_unknown"), F.lower(F.col(text)).rlike(SIEVE)
+    columns = [c for c in docs.columns if keep_text or c != text] or docs.columns
+    seen = docs.select(F.struct(*columns).alias("row"), F.when(known, F.struct(F.sha2(text, 256).alias("key"), F.split(text, ENDED).alias("runs"))).alias("hit"), F.monotonically_increasing_id().alias("at"))
+    seen = kept(seen, "licenses")
+    texts = seen.where("hit is not null").groupBy("hit.key").agg(F.first("hit.runs").alias("runs"))
+    runs = texts.select("key", F.posexplode("runs").alias("run", "lines")).where(F.lower("lines").rlike(SIEVE))
     runs = runs.withColumn("lines", F.filter(F.split("lines", "\n"), lambda x: x.rlike("[A-Za-z0-9]")))
     joined = F.when(F.size("lines") > 1, F.array(F.struct(F.array_join("lines", "\n").alias("paragraph"), F.lit(True).alias("joined"))))
     parts = F.concat(F.transform("lines", lambda x: F.struct(x.alias("paragraph"), F.lit(False).alias("joined"))), F.coalesce(joined, F.array().cast("array<struct<paragraph:string,joined:boolean>>")))
-    each = runs.select("_key", "run", F.inline(parts)).where(F.lower("paragraph").rlike(SIEVE))
+    each = cut(runs.select("key", "run", F.inline(parts)).where(F.lower("paragraph").rlike(SIEVE)))
     labels = cut(classify(each.select("paragraph").distinct(), model)).where(~F.col("label").isin("none", "unknown") | ((F.col("label") == "unknown") & F.lower("paragraph").rlike(CLEAR)))
     family, alone = F.when(F.col("label") != "unknown", F.col("label")), ~F.col("joined")
-    of_run = each.join(labels.select("paragraph", "label", "whole"), "paragraph").groupBy("_key", "run").agg(
+    of_run = each.join(labels.select("paragraph", "label", "whole"), "paragraph").groupBy("key", "run").agg(
         F.max(F.when(F.col("joined"), family)).alias("one"),
         F.collect_set(F.when(alone, family)).alias("families"),
         F.collect_set(F.when(alone & F.col("whole"), family)).alias("held"),
@@ -239,21 +246,22 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> Dat
     )
     runs_on = F.coalesce(~F.array_contains("held", F.col("one")), F.lit(False))
     of_run = of_run.select(
-        "_key",
+        "key",
         F.when(runs_on, F.array_union("held", F.array("one"))).otherwise(F.col("families")).alias("families"),
         F.when(runs_on, F.col("n_held") + 1).otherwise(F.col("notices")).alias("notices"),
         F.when(runs_on, F.lit(0).cast("long")).otherwise(F.col("unknown")).alias("unknown"),
     )
-    found = of_run.groupBy("_key").agg(
+    found = of_run.groupBy("key").agg(
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))), ",").alias("families"),
         F.sum("notices").alias("notices"),
         F.sum("unknown").alias("unknown"),
     )
-    found = found.select("_key", F.struct("families", "notices", "unknown").alias("_found"))
-    got = docs.withColumn("_key", F.when(F.lower(F.col(text)).rlike(SIEVE), F.sha2(F.col(text), 256))).join(found, "_key", "left")
-    got = got.withColumn("license_families", F.coalesce("_found.families", F.lit("")))
-    got = got.withColumn("n_notices", F.coalesce("_found.notices", F.lit(0).cast("long"))).withColumn("n_unknown", F.coalesce("_found.unknown", F.lit(0).cast("long")))
-    return got.drop("_key", "_found")
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = seen.where("hit is not null").select("row", F.col("hit.key").alias("key"), F.pmod("at", F.lit(SALTS)).cast("int").alias("salt")).join(found, ["key", "salt"], "left")
+    none = F.lit(0).cast("long")
+    got = hit.select("row", F.coalesce("families", F.lit("")).alias(new[0]), F.coalesce("notices", none).alias(new[1]), F.coalesce("unknown", none).alias(new[2]))
+    got = got.unionByName(seen.where("hit is null").select("row", F.lit("").alias(new[0]), none.alias(new[1]), none.alias(new[2])))
+    return got.select(*[F.col("row").getField(c).alias(c) for c in columns if c not in new], *new)
 
 
 def _quoted(s: str) -> str:

@@ -37,7 +37,7 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license_families", "n_notices", "n_unknown")
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).select("doc_id", "license_families", "n_notices", "n_unknown")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    got = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
     return got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -60,14 +60,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH docs AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
 texts AS (SELECT row_number() OVER () AS t, text, w FROM (SELECT DISTINCT text, w FROM docs WHERE len(w) > 0)),
-items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
 sized AS (SELECT item, w, least(13, len(w)) AS m FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS gram FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
 sizes AS (SELECT DISTINCT m FROM windows),
 runs AS (SELECT t, i, m, array_to_string(w[i:i + m - 1], ' ') AS gram FROM (SELECT t, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM texts, sizes WHERE len(w) >= m)),
 met AS (SELECT t, i, m, item FROM runs JOIN windows USING (m, gram)),
 words AS (SELECT t, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT t, unnest(range(i, i + m)) AS pos FROM met) GROUP BY t),
-found AS (SELECT t, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM met GROUP BY t),
+found AS (SELECT t, count(DISTINCT item) AS n_items, coalesce(string_agg(DISTINCT item, ',' ORDER BY item), '') AS ids FROM met GROUP BY t),
 of_text AS (SELECT text, n_hit, n_items, sha256(ids) AS sha FROM texts JOIN words USING (t) JOIN found USING (t))
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated

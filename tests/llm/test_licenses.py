@@ -49,3 +49,13 @@ def test_names_alone_and_wrapped_notices(spark):
     ]
     got = L.scan(spark.createDataFrame(rows, "text string, families string, notices long, unknown long")).collect()
     assert [(r.text, r.license_families, r.n_notices, r.n_unknown) for r in got if (r.license_families, r.n_notices, r.n_unknown) != (r.families, r.notices, r.unknown)] == []
+
+
+def test_copies_are_spread_and_names_may_clash(spark):
+    names = "doc_id long, text string, key string, row string, hit string, at int, salt int, run int, runs string, n_unknown string, families string, m map<string,int>"
+    rows = [(k, "Released under the MIT License." if k % 3 == 0 else None if k % 3 == 1 else f"own {k}", "k", "r", "h", 1, 2, 3, "u", "old", "f", {"a": 1}) for k in range(90)]
+    docs = spark.createDataFrame(rows, names)
+    got = L.scan(docs).collect()
+    assert len(got) == 90 and all((r.license_families, r.n_notices, r.n_unknown) == (("mit", 1, 0) if r.doc_id % 3 == 0 else ("", 0, 0)) for r in got)
+    assert all((r.key, r.row, r.hit, r.at, r.salt, r.run, r.runs, r.families, r.m) == ("k", "r", "h", 1, 2, 3, "u", "f", {"a": 1}) for r in got)
+    assert "text" not in L.scan(docs, keep_text=False).columns
