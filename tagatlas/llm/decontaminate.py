@@ -102,8 +102,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, tex
     of_text = of_text.select("key", "hit", F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
     added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     columns = [c for c in docs.columns if keep_text or c != text] or docs.columns
-    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    got = _of_rows(docs, of_text, text, columns, n_words=n_words).withColumn("hit", F.coalesce("hit", F.lit(0).cast("long")))
+    # a split is faster than a count of matches
+    got = _of_rows(docs, of_text, text, columns, n_words=F.size(words(F.col(text))).cast("long")).withColumn("hit", F.coalesce("hit", F.lit(0).cast("long")))
     return got.select(
         *[F.col("row").getField(c).alias(c) for c in columns if c not in added], "n_words", F.col("hit").alias("n_hit"), F.coalesce("n", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((F.col("hit") > 0) & (share * F.col("hit") >= F.col("n_words"))).alias("contaminated"),
