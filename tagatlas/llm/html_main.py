@@ -4,12 +4,16 @@ Every page is parsed into a tree; each element's subtree (tag, attributes of sty
 Spark counts in how many different pages of its host a subtree occurs; those on at least MANY pages are
 templates and are deleted, however large the host is. Inside the article, prose (paragraphs, headings, list items,
 quotations, table cells) and whatever holds some (lists, tables, sections) is never a template: a passage that an author repeats
-stays. Other subtrees there are counted over different articles, so copies of one under different menus count once. What is left is cleaned by element and by the names
-that pages give to menus, adverts, notices, forms and comments, and the article's blocks are joined. That cleaning looks at
-one page alone, so it is done before pages travel to the join with their templates, as packed trees that keep their hashes.
+stays. Other subtrees there are counted over different articles, so copies of one under different menus count once.
 
-The counts are a partial aggregate over (host, hash), so a host with a third of all pages is many keys. A page gets its own
-templates by a join on a hash of its content, which Spark may split where many rows are copies of one page.
+What is left once templates are gone is the article, if an element says so, else the page. Elements that are never text of an
+article (scripts, menus, forms and the like) go by their tag. Names that pages give to adverts, notices or comments are only a
+fallback for what a site didn't repeat: a class or id counts if all words of it are such names or neutral ones, inside an
+article only for elements that are no prose and for the names of INSIDE.
+
+The counts are a partial aggregate over (host, hash), so a host with a third of all pages is many keys; pages meet the templates
+of their host under SALTS numbers, so that a menu on all pages of a large host is no single task, and get them back by a row number,
+so that copies of a page aren't either. A page is parsed once; rows and packed trees are kept as a table.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagatlas.llm.common import cut
+from tagatlas.llm.common import kept
 
-MANY = 8
+MANY, SALTS = 8, 16
 
 # Fixed values of HTML: elements without an end tag, with raw text, and those that are blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,30 +42,35 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr dd dt figcapti
 PASSAGES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
 DROPPED = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select input textarea dialog menu title noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words in a class or id that name what isn't the article.
+#: Names of what isn't the article, as a class or id or a word of one.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors banner promo promotion promotions cookie cookies consent gdpr notice notices notification alert popup popups modal overlay "
     "newsletter subscribe subscription signup sidebar sidebars aside widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation footer header masthead "
     "comment comments disqus respond reply replies pagination pager toolbar login search skip paywall".split()
 )
+#: Words that may stand beside a name in one class or id.
+NEUTRAL = frozenset("main site page left right top bottom container wrapper wrap box block section area list inner outer bar buttons button links link item items global primary secondary sub mini content form icon icons row col group text message policy".split())
+#: Names that count inside an article as well.
+INSIDE = NAMES - frozenset("header masthead banner notice notices notification alert overlay modal search menu menus navigation footer skip login widget widgets aside reply replies respond".split())
 _KEPT_OPEN = frozenset({"html", "body", "article", "main"})
 #: A start tag of these ends an open p; one of the second kind ends an open one of its own kind.
 _ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dialog"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = frozenset("ul ol dl table article section div main body html blockquote td th nav footer header aside form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element. hash: of its subtree; key: the same, signed, if the subtree may be a template, else None; passages: it holds prose."""
+    """An element. hash: of its subtree; key: the same, signed, if the subtree may be a template, else None; passages: it holds prose;
+    named: 1 if its names say that it isn't the article, 2 if they say so inside an article as well, else 0."""
 
-    __slots__ = ("tag", "attributes", "children", "hash", "key", "passages")
+    __slots__ = ("tag", "named", "children", "hash", "key", "passages")
 
-    def __init__(self, tag: str, attributes: str = "", key: int | None = None) -> None:
-        self.tag, self.attributes, self.children, self.hash, self.key, self.passages = tag, attributes, [], 0, key, False
+    def __init__(self, tag: str, named: int = 0, key: int | None = None) -> None:
+        self.tag, self.named, self.children, self.hash, self.key, self.passages = tag, named, [], 0, key, False
 
 
 def parse(source: str) -> Node:
@@ -85,7 +94,7 @@ def parse(source: str) -> Node:
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        if not m[2] or not m[4]:  # a comment or the like, or a tag that the page's end cuts off
             continue
         tag = m[2].lower()
         if m[1]:
@@ -102,7 +111,7 @@ def parse(source: str) -> Node:
             close({"p"}, _SCOPE)
         if tag in _SIBLINGS:
             close(_SIBLINGS[tag], _SCOPE - {"td", "th"} if tag == "tr" else _SCOPE - {tag})
-        node = Node(tag, m[3])
+        node = Node(tag, _named(tag, m[3]) if m[3] else 0)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
@@ -114,30 +123,40 @@ def parse(source: str) -> Node:
     return root
 
 
+def _named(tag: str, attributes: str) -> int:
+    out = 0
+    if tag in _KEPT_OPEN:
+        return out
+    for m in _ATTRIBUTE.finditer(attributes):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if m[1].lower() == "role":
+            out = max(out, int(value.strip() in ROLES))
+            continue
+        for name in value.split():
+            words = set(_WORD.findall(name)) - NEUTRAL
+            if words and words <= NAMES:
+                out = max(out, 2 if words <= INSIDE and tag not in PROSE else 1)
+    return out
+
+
 def _is_noise(node: Node, in_article: bool) -> bool:
     if node.tag in DROPPED or (node.tag == "header" and not in_article):
         return True
-    if not node.attributes or node.tag in _KEPT_OPEN:
-        return False
-    for m in _ATTRIBUTE.finditer(node.attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if value in ROLES if m[1].lower() == "role" else not NAMES.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+    return node.named == 2 or (node.named == 1 and not in_article)
 
 
 def prune(root: Node) -> Node:
-    """Takes out of a tree what is never the article, whatever a site repeats; headers stay, since those in an article belong to it."""
+    """Takes out of a hashed tree the elements that go by their tag in any case."""
     todo = [root]
     while todo:
         n = todo.pop()
-        n.children = [c for c in n.children if not (isinstance(c, Node) and _is_noise(c, True))]
+        n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag in DROPPED)]
         todo += [c for c in n.children if isinstance(c, Node)]
     return root
 
 
 def pack(root: Node) -> bytes:
-    """A pruned tree's tags and texts (white space in runs of one) in page order, compressed; attributes have done their part."""
+    """A tree's tags, keys, names and texts (white space in runs of one) in page order, compressed."""
     out, todo = [], [root]
     while todo:
         n = todo.pop()
@@ -146,7 +165,7 @@ def pack(root: Node) -> bytes:
         elif isinstance(n, str):
             out.append("t" + _SPACE.sub(" ", n))
         else:
-            out.append("<" + n.tag if n.key is None else f"<{n.tag} {n.key}")
+            out.append(f"<{n.tag} {'' if n.key is None else n.key} {n.named or ''}")
             todo.append(None)
             todo += reversed(n.children)
     return zstandard.ZstdCompressor(level=3).compress(json.dumps(out, ensure_ascii=False).encode("utf-8", "surrogatepass"))
@@ -161,8 +180,8 @@ def unpack(data: bytes) -> Node:
         elif x[0] == "t":
             stack[-1].children.append(x[1:])
         else:
-            tag, _, key = x[1:].partition(" ")
-            node = Node(tag, key=int(key) if key else None)
+            tag, key, named = x[1:].split(" ")
+            node = Node(tag, int(named or 0), int(key) if key else None)
             stack[-1].children.append(node)
             stack.append(node)
     return root.children[0]
@@ -199,36 +218,46 @@ def hashed(root: Node) -> Node:
     return root
 
 
-def subtree_hashes(source: str | None) -> tuple[list[int], list[int], int]:
-    """The distinct hashes (signed 64 bits) of a page's subtrees that may be templates: outside its articles, only inside, and a hash of all its articles."""
+def digest(source: str | None) -> tuple[list[int], list[int], int, bytes]:
+    """Of a page, parsed once: the distinct hashes (signed 64 bits) of its subtrees that may be templates, outside its articles and only
+    inside; a hash of all its articles; its packed tree."""
     outside, inside, articles = set(), set(), xxhash.xxh64()
-    for n, within in _walk(hashed(parse(source or ""))):
+    root = hashed(parse(source or ""))
+    for n, within in _walk(root):
         if n.key is not None:
             (inside if within else outside).add(n.key)
         elif not within and n.tag in ("article", "main"):
             articles.update(n.hash.to_bytes(8, "little"))
-    return sorted(outside), sorted(inside - outside), _signed(articles.intdigest())
+    return sorted(outside), sorted(inside - outside), _signed(articles.intdigest()), pack(prune(root))
 
 
-def main_text(source: str | None, templates=()) -> str:
+def main_text(source: str | None, templates=(), names: bool = True) -> str:
     """The article's blocks, joined by blank lines, without the subtrees whose hashes are in templates."""
-    return article_text(prune(hashed(parse(source or ""))), templates)
+    return article_text(hashed(parse(source or "")), templates, names)
 
 
-def article_text(root: Node, templates=()) -> str:
-    """The main text of a hashed and pruned tree."""
+def article_text(root: Node, templates=(), names: bool = True) -> str:
+    """The main text of a hashed tree: templates go first, then the article is chosen; names may be left unused."""
     gone = frozenset(templates)
-    articles, todo = [], [root]
-    while todo:  # outermost articles in page order
-        n = todo.pop()
+    if gone:
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            # where a template was, a block still ends
+            n.children = [c if not (isinstance(c, Node) and c.key in gone) else "\x00" if c.tag in BLOCKS else "" for c in n.children]
+            todo += [c for c in n.children if isinstance(c, Node)]
+    articles, lesser, todo = [], [], [(root, False)]
+    while todo:  # outermost articles in page order, and those that a name keeps apart
+        n, apart = todo.pop()
         if n.tag == "article" or (n.tag == "main" and not _holds(n, "article")):
-            articles.append(n)
-        else:
-            todo += [c for c in reversed(n.children) if isinstance(c, Node) and c.key not in gone and not _is_noise(c, False)]
+            (lesser if apart else articles).append(n)
+        elif n.tag not in DROPPED and n.tag != "header":
+            todo += [(c, apart or (names and c.named > 0)) for c in reversed(n.children) if isinstance(c, Node)]
+    articles = articles or lesser
     blocks, line = [], []
 
     def end() -> None:
-        if text := " ".join(entities.unescape("".join(line)).split()):
+        if text := " ".join("".join(line).split()):
             blocks.append(text)
         line.clear()
 
@@ -236,11 +265,11 @@ def article_text(root: Node, templates=()) -> str:
         todo2: list = [top]
         while todo2:
             n = todo2.pop()
-            if n is None:
+            if n is None or n == "\x00":
                 end()
             elif isinstance(n, str):
-                line.append(n)
-            elif n is not top and (n.key in gone or _is_noise(n, bool(articles))):
+                line.append(entities.unescape(n.replace("\x00", "\ufffd")))
+            elif n is not top and (_is_noise(n, bool(articles)) if names else n.tag in DROPPED or (n.tag == "header" and not articles)):
                 if n.tag in BLOCKS:
                     end()
             else:
@@ -269,38 +298,35 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int = MANY) -> DataFrame:
-    """pages with text (main text, empty if none) and n_chars (its code points).
+def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int = MANY, keep_html: bool = True) -> DataFrame:
+    """pages (without their html where keep_html is false) with text (main text, empty if none) and n_chars (its code points).
 
     A null page is an empty one; pages without a host are one site; copies of a page count once and get the same text;
-    an empty table gives no rows. Existing columns text and n_chars are replaced, others pass through.
+    an empty table gives no rows. Existing columns text and n_chars are replaced, others pass through, whatever their names.
     """
 
-    @F.pandas_udf("outside array<long>, inside array<long>, articles long")
-    def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([subtree_hashes(x) for x in part], columns=["outside", "inside", "articles"])
-
-    @F.pandas_udf("binary")
-    def trees(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("outside array<long>, inside array<long>, articles long, tree binary")
+    def digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.Series([pack(prune(hashed(parse(x or "")))) for x in part], dtype=object)
+            yield pd.DataFrame([digest(x) for x in part], columns=["outside", "inside", "articles", "tree"])
 
     @F.pandas_udf("string")
     def texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for tree, gone in parts:
             yield pd.Series([article_text(unpack(t), () if g is None else g.tolist()) for t, g in zip(tree, gone, strict=True)], dtype=object)
 
-    site, key = host(F.col(url)), F.unhex(F.sha2(F.concat_ws("\n", host(F.col(url)), F.coalesce(F.col(source), F.lit(""))), 256))
     # hosts are counted by a hash of their name, which keeps the many rows of subtrees small
-    seen = pages.select(F.xxhash64(site).alias("site"), key.alias("key"), hashes(F.col(source)).alias("hashes"))
-    seen = cut(seen.groupBy("key").agg(F.first("site").alias("site"), F.first("hashes").alias("hashes")))
-    each = seen.select("site", "key", F.explode(F.concat("hashes.outside", "hashes.inside")).alias("h"))
-    # a subtree outside articles counts once a page, one inside once for each different article
-    outside = seen.select("site", F.explode("hashes.outside").alias("h")).groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
-    inside = seen.select("site", F.col("hashes.articles").alias("articles"), F.explode("hashes.inside").alias("h")).distinct().groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
-    templates = outside.unionByName(inside).groupBy("site", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= many).select("site", "h")
-    own = each.join(templates, ["site", "h"]).groupBy("key").agg(F.collect_list("h").alias("_gone"))
-    # pages travel to their templates as packed, pruned trees; html itself is only moved if the caller keeps it
-    got = pages.withColumns({"_key": key, "_page": trees(F.col(source))}).join(own.withColumnRenamed("key", "_key"), "_key", "left")
-    return got.withColumn("text", texts(F.col("_page"), F.col("_gone"))).withColumn("n_chars", F.char_length("text").cast("long")).drop("_key", "_page", "_gone")
+    site, columns = F.xxhash64(host(F.col(url))), [c for c in pages.columns if (keep_html or c != source) and c not in ("text", "n_chars")] or pages.columns
+    page = F.struct(F.xxhash64(F.lit(1), F.col(source)), F.xxhash64(F.lit(2), F.col(source)))
+    seen = pages.select(F.struct(*columns).alias("row"), site.alias("site"), page.alias("page"), F.monotonically_increasing_id().alias("at"), digests(F.col(source)).alias("of"))
+    seen = kept(seen.select("row", "site", "page", "at", "of.*"), "pages")
+    # a subtree outside articles counts once a page, one inside once for each different article; counts are partial before they travel
+    different = seen.groupBy("site", "page").agg(F.first("outside").alias("outside"), F.first("inside").alias("inside"), F.first("articles").alias("articles"))
+    outside = different.select("site", F.explode("outside").alias("h")).groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
+    inside = different.select("site", "articles", F.explode("inside").alias("h")).distinct().groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
+    templates = outside.unionByName(inside).groupBy("site", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= many)
+    templates = templates.select("site", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    each = seen.select("site", "at", F.pmod("at", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.concat("outside", "inside")).alias("h"))
+    own = each.join(templates, ["site", "h", "salt"]).groupBy("at").agg(F.collect_list("h").alias("gone"))
+    got = seen.select("row", "at", "tree").join(own, "at", "left").select("row", texts(F.col("tree"), F.col("gone")).alias("text"))
+    return got.select(*[F.col("row").getField(c).alias(c) for c in columns if c not in ("text", "n_chars")], "text", F.char_length("text").cast("long").alias("n_chars"))

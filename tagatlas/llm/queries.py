@@ -41,7 +41,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_main.extract(table(spark, sf_dir, "pages"), keep_html=False).select("page_id", "url", "text", "n_chars")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

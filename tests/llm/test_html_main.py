@@ -45,3 +45,80 @@ def test_articles_keep_shared_lists_and_copies(spark):
     text = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(text[k] == f"Own {k}\n\nflour\n\nwater\n\ncell\n\npassage" for k in range(20))
     assert all(text[100 + k] == "The whole story" and text[200 + k] == "Bare words of a story" for k in range(20))
+
+
+def test_names_are_whole_and_references_stay_in_their_text():
+    inside = "<article><p id='share-price'>a</p><div class='search-engines'>b</div><section class='article-header'>c</section><div class='share buttons'>no</div><p>AT&<b>amp;</b>T &amp;amp;</p></article>"
+    assert H.main_text(inside) == "a\n\nb\n\nc\n\nAT&amp;T &amp;"
+    assert H.main_text('<p title="abc>one') == ""
+    assert H.main_text("<p title='a>b'>one</p><a href=x\"y>two</a>") == "one\n\ntwo"
+    assert H.main_text("<div class='related'><article>teaser</article></div><article>story</article>") == "story"
+    assert H.main_text("<div class='menu'><article>all there is</article></div>") == "all there is"
+
+
+def plain_templates(pages, many):
+    """For each host the subtrees, written out, that are on many different pages; a subtree in an article counts by article."""
+
+    def write(n):
+        return "<" + n.tag + ">" + "".join(write(c) if isinstance(c, H.Node) else "|" + " ".join(c.split()) for c in n.children) + "</>"
+
+    def holds_prose(n):
+        return n.tag in H.PASSAGES or any(isinstance(c, H.Node) and holds_prose(c) for c in n.children)
+
+    count = {}
+    for address, source in set(pages):
+        site, root = (address or "").split("/")[2] if "//" in (address or "") else "", H.parse(source or "")
+        articles, out, within = [], set(), set()
+
+        def visit(n, inside):
+            if n.tag in ("article", "main") and not inside:
+                articles.append(write(n))
+            if n.tag not in ("html", "body", "article", "main") and n.tag not in H.VOID and not (inside and (holds_prose(n) or n.tag in H.PROSE)):
+                (within if inside else out).add(write(n))
+            for c in n.children:
+                if isinstance(c, H.Node):
+                    visit(c, inside or n.tag in ("article", "main"))
+
+        visit(root, False)
+        for x in out:
+            count.setdefault((site, x), set()).add(("page", source))
+        for x in within - out:
+            count.setdefault((site, x), set()).add(("article", tuple(articles)))
+    return {k for k, v in count.items() if len(v) >= many}, write
+
+
+def test_against_a_plain_counter(spark):
+    import random
+
+    rnd, rows = random.Random(4), []
+    word = lambda: rnd.choice(["red", "green", "blue", "one", "two"])
+    parts = [f"<div><span>{w}</span></div>" for w in ("menu", "about us", "terms")] + ["<ul><li>list</li></ul>", "<section><p>shared</p></section>", "<div>bare</div>"]
+    for k in range(150):
+        site = rnd.choice(["a", "b", "c"])
+        body = "".join(rnd.choice(parts) if rnd.random() < 0.6 else f"<div><p>{word()} {word()}</p><em>{word()}</em></div>" for _ in range(rnd.randint(1, 6)))
+        cut = rnd.randint(0, 3)
+        rows.append((k, f"https://{site}.example/{k}", body if cut else f"<div>top {word()}</div><article>{body}</article>"))
+    rows += [(1000 + k, r[1], r[2]) for k, r in enumerate(rows[:20])] + [(2000, None, rows[0][2]), (2001, "https://a.example/long", "<div>" + "<p>long text here</p>" * 20000 + "</div>")]
+    templates, write = plain_templates([(u, h) for _, u, h in rows], 8)
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and len(got[2001].split("\n\n")) == 20000 and templates
+    for i, address, source in rows:
+        site, root = address.split("/")[2] if address else "", H.hashed(H.parse(source))
+        gone = {n.key for n, _ in H._walk(root) if n.key is not None and (site, write(n)) in templates}
+        assert got[i] == H.article_text(root, gone), i
+
+
+def test_only_counts_can_tell(spark):
+    """Pages without an article and without telling names or tags."""
+    rows = [(k, f"https://a.example/{k}", f"<body><div><a>Start</a> <a>About</a></div><div>Story {k}<br>goes on</div><div>Made by us</div></body>") for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in H.extract(pages).collect()} == {f"Story {k} goes on" for k in range(9)}
+    assert "Made by us" in H.extract(pages, many=10).first().text
+
+
+def test_clashing_names(spark):
+    names = ["row", "site", "page", "at", "outside", "inside", "articles", "tree", "gone", "h", "salt", "n", "of", "text", "n_chars"]
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", *range(len(names)))], ["page_id", "url", "html", *names])
+    r = H.extract(df).first()
+    assert (r.text, r.n_chars, r.html) == ("x", 1, "<p>x</p>") and all(r[c] == k for k, c in enumerate(names[:-2]))
+    assert "html" not in H.extract(df, keep_html=False).columns
