@@ -12,8 +12,9 @@ fallback for what a site didn't repeat: a class or id counts if all words of it
 article only for elements that are no prose and for the names of INSIDE.
 
 The counts are a partial aggregate over (host, hash), so a host with a third of all pages is many keys; pages meet the templates
-of their host under SALTS numbers, so that a menu on all pages of a large host is no single task, and get them back by a row number,
-so that copies of a page aren't either. A page is parsed once; rows and packed trees are kept as a table.
+of their host under SALTS numbers, so that a menu on all pages of a large host is no single task, and rows meet what their page loses
+under COPIES numbers, so that copies of one page aren't either. Pages are parsed twice, to count and to travel as packed trees:
+keeping the trees of the first pass took more disk than the second pass takes time.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tagatlas.llm.common import kept
 
-MANY, SALTS = 8, 16
+MANY, SALTS, COPIES = 8, 16, 4
 
 # Fixed values of HTML: elements without an end tag, with raw text, and those that are blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -218,9 +219,8 @@ def hashed(root: Node) -> Node:
     return root
 
 
-def digest(source: str | None) -> tuple[list[int], list[int], int, bytes]:
-    """Of a page, parsed once: the distinct hashes (signed 64 bits) of its subtrees that may be templates, outside its articles and only
-    inside; a hash of all its articles; its packed tree."""
+def subtree_hashes(source: str | None) -> tuple[list[int], list[int], int]:
+    """The distinct hashes (signed 64 bits) of a page's subtrees that may be templates: outside its articles, only inside, and a hash of all its articles."""
     outside, inside, articles = set(), set(), xxhash.xxh64()
     root = hashed(parse(source or ""))
     for n, within in _walk(root):
@@ -228,7 +228,7 @@ def digest(source: str | None) -> tuple[list[int], list[int], int, bytes]:
             (inside if within else outside).add(n.key)
         elif not within and n.tag in ("article", "main"):
             articles.update(n.hash.to_bytes(8, "little"))
-    return sorted(outside), sorted(inside - outside), _signed(articles.intdigest()), pack(prune(root))
+    return sorted(outside), sorted(inside - outside), _signed(articles.intdigest())
 
 
 def main_text(source: str | None, templates=(), names: bool = True) -> str:
@@ -305,10 +305,15 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int
     an empty table gives no rows. Existing columns text and n_chars are replaced, others pass through, whatever their names.
     """
 
-    @F.pandas_udf("outside array<long>, inside array<long>, articles long, tree binary")
-    def digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("outside array<long>, inside array<long>, articles long")
+    def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([digest(x) for x in part], columns=["outside", "inside", "articles", "tree"])
+            yield pd.DataFrame([subtree_hashes(x) for x in part], columns=["outside", "inside", "articles"])
+
+    @F.pandas_udf("binary")
+    def trees(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([pack(prune(hashed(parse(x or "")))) for x in part], dtype=object)
 
     @F.pandas_udf("string")
     def texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -317,16 +322,17 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", many: int
 
     # hosts are counted by a hash of their name, which keeps the many rows of subtrees small
     site, columns = F.xxhash64(host(F.col(url))), [c for c in pages.columns if (keep_html or c != source) and c not in ("text", "n_chars")] or pages.columns
-    page = F.struct(F.xxhash64(F.lit(1), F.col(source)), F.xxhash64(F.lit(2), F.col(source)))
-    seen = pages.select(F.struct(*columns).alias("row"), site.alias("site"), page.alias("page"), F.monotonically_increasing_id().alias("at"), digests(F.col(source)).alias("of"))
-    seen = kept(seen.select("row", "site", "page", "at", "of.*"), "pages")
+    page = F.struct(F.xxhash64(F.lit(1), F.col(source)), F.xxhash64(F.lit(2), F.col(source)), site)
+    seen = pages.select(site.alias("site"), page.alias("page"), hashes(F.col(source)).alias("of")).groupBy("page").agg(F.first("site").alias("site"), F.first("of").alias("of"))
+    seen = kept(seen.select("page", "site", "of.*"), "pages")
     # a subtree outside articles counts once a page, one inside once for each different article; counts are partial before they travel
-    different = seen.groupBy("site", "page").agg(F.first("outside").alias("outside"), F.first("inside").alias("inside"), F.first("articles").alias("articles"))
-    outside = different.select("site", F.explode("outside").alias("h")).groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
-    inside = different.select("site", "articles", F.explode("inside").alias("h")).distinct().groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
+    outside = seen.select("site", F.explode("outside").alias("h")).groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
+    inside = seen.select("site", "articles", F.explode("inside").alias("h")).distinct().groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
     templates = outside.unionByName(inside).groupBy("site", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= many)
-    templates = templates.select("site", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = seen.select("site", "at", F.pmod("at", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.concat("outside", "inside")).alias("h"))
-    own = each.join(templates, ["site", "h", "salt"]).groupBy("at").agg(F.collect_list("h").alias("gone"))
-    got = seen.select("row", "at", "tree").join(own, "at", "left").select("row", texts(F.col("tree"), F.col("gone")).alias("text"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
+    each = seen.select("page", "site", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.concat("outside", "inside")).alias("h"))
+    own = each.join(templates.select("site", "h", numbers(SALTS)), ["site", "h", "salt"]).groupBy("page").agg(F.collect_list("h").alias("gone"))
+    # rows travel to their templates with packed trees; html itself is only moved if the caller keeps it
+    rows = pages.select(F.struct(*columns).alias("row"), page.alias("page"), F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)).cast("int").alias("salt"), trees(F.col(source)).alias("tree"))
+    got = rows.join(own.select("page", "gone", numbers(COPIES)), ["page", "salt"], "left").select("row", texts(F.col("tree"), F.col("gone")).alias("text"))
     return got.select(*[F.col("row").getField(c).alias(c) for c in columns if c not in ("text", "n_chars")], "text", F.char_length("text").cast("long").alias("n_chars"))
