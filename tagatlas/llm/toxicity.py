@@ -6,7 +6,9 @@ its distinct lower-cased words, the words' beginnings (which inflected and joine
 words, named by a 31-bit hash.
 
 Training: a bounded sample of labelled documents (per_class rows of each label) is turned into hashed terms on the
-executors, which choose those that tell the classes apart best (at most max_terms); the driver fits w and v with AdaGrad.
+executors, which choose those that tell the classes apart best (per_row for each row of the sample, at most max_terms); the
+driver fits w and v with AdaGrad. Machines fitted without one fold of the sample each score that fold; the score that parts
+these best (by F1) is moved to the threshold. Terms, rates and this threshold depend on labels of the sample only.
 Scoring: one Python pass without a shuffle, the model (at most max_terms rows) goes along with the task.
 
 Nulls and empty texts have no terms and get sigmoid(w0 + the bias of no term); a row's score depends on its text only,
@@ -52,6 +54,17 @@ class FactorizationMachine:
     w: np.ndarray
     v: np.ndarray
 
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Of rows of sorted terms: what the sigmoid turns into scores."""
+        out = np.full(len(rows), self.bias)
+        for i, t in enumerate(rows):
+            at = np.searchsorted(self.ids, t)
+            at = at[at < len(self.ids)][self.ids[at[at < len(self.ids)]] == t[at < len(self.ids)]]
+            if len(at):
+                v = self.v[at]
+                out[i] += float(self.w[at].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum()))
+        return out
+
     def scorer(self):
         at = {int(t): i for i, t in enumerate(self.ids)}
         known = at.keys()
@@ -112,11 +125,33 @@ def fit(rows: list[np.ndarray], y: np.ndarray, max_terms: int = 4096, factors: i
     return FactorizationMachine(float(bias), ids, w.astype(np.float32), v.astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 5000, max_terms: int = 4096, least: int = 3, **options) -> FactorizationMachine:
+def shift(logits: np.ndarray, y: np.ndarray, threshold: float = 0.7, most: float = 1.5, least: int = 10) -> float:
+    """What to add to logits so that `threshold` parts the labels best (by F1); 0 with fewer than `least` rows of a label, never over `most`."""
+    if min(y.sum(), len(y) - y.sum()) < least:
+        return 0.0
+    order = np.argsort(-logits, kind="stable")
+    z, hits, n = logits[order], np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    k = int(np.argmax(2 * hits / (n + y.sum())))
+    edge = (z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k]
+    return float(np.clip(np.log(threshold / (1 - threshold)) - edge, -most, most))
+
+
+def fit_shifted(rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray, max_terms: int = 4096, per_row: float = 2, threshold: float = 0.7, **options) -> FactorizationMachine:
+    """fit() on all rows, its bias moved by shift() of logits that machines fitted without a row's fold give it."""
+    size = lambda n: min(max_terms, max(1, int(per_row * n)))
+    machine, out = fit(rows, y, max_terms=size(len(rows)), **options), np.zeros(len(rows))
+    for j in np.unique(fold):
+        own, rest = np.flatnonzero(fold == j), np.flatnonzero(fold != j)
+        out[own] = fit([rows[i] for i in rest], y[rest], max_terms=size(len(rest)), **options).logits([rows[i] for i in own])
+    machine.bias += shift(out, y, threshold)
+    return machine
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 5000, max_terms: int = 4096, per_row: float = 2, least: int = 3, folds: int = 5, **options) -> FactorizationMachine:
     """A machine from labelled rows whose crc32(doc_id as text) mod 3 is not 1; at most per_class of each label.
 
-    The terms that fit() would choose are counted and chosen on the executors. What comes to the driver: those terms, and for each
-    sampled document which of them it has.
+    The terms that fit() would choose, with all folds and without each one, are counted and chosen on the executors. What comes to the
+    driver: those terms (at most (folds + 1) * max_terms), and for each sampled document which of them it has.
     """
     sample = labelled_sample(docs, labels, label, remainder(F.col("doc_id"), 3) != 1, per_class)
 
@@ -125,20 +160,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         for part in texts:
             yield pd.Series([np.sort(np.fromiter(terms(x), np.int32)) for x in part], dtype=object)
 
-    rows = cut(sample.select("doc_id", "y", hashed("text").alias("t")))
-    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    p1, p0 = (F.col("pos") + 0.5) / (n1 + 1), (F.col("df") - F.col("pos") + 0.5) / (n - n1 + 1)
-    count = rows.select("y", F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("pos")).where(F.col("df") >= least)
-    best = count.withColumn("gain", F.abs(p1 - p0) / F.sqrt((F.col("df") + 1) / max(n, 1))).where("gain > 0").orderBy(F.desc("gain"), "term").limit(max_terms).select("term")
-    chosen = np.sort(best.toArrow()["term"].to_numpy())
+    fold = F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string")).cast("binary")) % folds
+    rows = cut(sample.select("doc_id", "y", fold.cast("int").alias("fold"), hashed("text").alias("t")))
+    sizes = {r.fold: (r.n, r.n1) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("n1")).collect()}
+    n, n1 = (sum(x) for x in zip(*sizes.values(), strict=True)) if sizes else (0, 0)
+    per_fold = [F.struct(F.sum((F.col("fold") == j).cast("long")).alias("df"), F.sum(F.when(F.col("fold") == j, F.col("y")).otherwise(0)).alias("pos")).alias(f"f{j}") for j in sizes]
+    count = rows.select("y", "fold", F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("pos"), *per_fold).where(F.col("df") >= least)
+    count, best = cut(count), None
+    for j in [None, *sizes]:
+        m, m1 = (n, n1) if j is None else (n - sizes[j][0], n1 - sizes[j][1])
+        df, pos = (F.col("df"), F.col("pos")) if j is None else (F.col("df") - F.col(f"f{j}.df"), F.col("pos") - F.col(f"f{j}.pos"))
+        gain = F.abs((pos + 0.5) / (m1 + 1) - (df - pos + 0.5) / (m - m1 + 1)) / F.sqrt((df + 1) / max(m, 1))
+        top = count.where(df >= least).select("term", gain.alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "term").limit(min(max_terms, max(1, int(per_row * m)))).select("term")
+        best = top if best is None else best.unionByName(top)
+    chosen = np.sort(best.distinct().toArrow()["term"].to_numpy())
 
     @F.pandas_udf("array<int>")
-    def kept(found: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def known(found: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in found:
             yield pd.Series([t[np.isin(t, chosen)] for t in part], dtype=object)
 
-    got = rows.select("doc_id", "y", kept("t").alias("t")).toArrow().sort_by("doc_id")
-    return fit([t.values.to_numpy() for t in got["t"]], got["y"].to_numpy().astype(float), max_terms=max_terms, least=least, **options)
+    got = rows.select("doc_id", "y", "fold", known("t").alias("t")).toArrow().sort_by("doc_id")
+    return fit_shifted([t.values.to_numpy() for t in got["t"]], got["y"].to_numpy().astype(float), got["fold"].to_numpy(), max_terms=max_terms, per_row=per_row, least=least, **options)
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text: str = "text", threshold: float = 0.7) -> DataFrame:

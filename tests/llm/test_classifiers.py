@@ -28,7 +28,7 @@ def corpus(spark, kind):
 
 def test_toxicity_learns_pairs(spark):
     docs, labels = corpus(spark, "toxic")
-    machine = toxicity.train(docs, labels, epochs=80)
+    machine = toxicity.train(docs, labels)
     got = toxicity.score(docs, machine).join(labels, "doc_id").where((remainder(F.col("doc_id"), 3) == 1) & F.col("toxic").isNotNull()).toPandas()
     assert ((got.predicted == 1) == (got.toxic == 1)).mean() > 0.97
     one = machine.scorer()
@@ -45,6 +45,73 @@ def test_machine_is_its_formula():
     assert abs(m.scorer()("bb AA zz") - 1 / (1 + np.exp(-(0.1 + 0.3 + 1.0)))) < 1e-6
 
 
+def plain_score(m, text):
+    """The machine's formula, pair by pair."""
+    at = {int(t): i for i, t in enumerate(m.ids)}
+    own = sorted(at[t] for t in toxicity.terms(text) if t in at)
+    z = float(m.bias) + sum(float(m.w[i]) for i in own)
+    z += sum(float(m.v[i].astype(float) @ m.v[j].astype(float)) for k, i in enumerate(own) for j in own[:k])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_against_brute_force(spark):
+    docs, labels = corpus(spark, "toxic")
+    machine = toxicity.train(docs, labels)
+    some = docs.where("doc_id % 20 = 0").select("doc_id", "text").unionByName(documents(spark).select("doc_id", "text"))
+    for r in toxicity.score(some, machine).collect():
+        assert abs(r.score - plain_score(machine, r.text)) < 1e-4 and r.predicted == int(r.score >= 0.7)
+
+
+def test_labels_held_out_change_nothing(spark):
+    docs, labels = corpus(spark, "toxic")
+    held = remainder(F.col("doc_id"), 3) == 1
+    other = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.train(docs, labels), toxicity.train(docs, other)
+    assert a.bias == b.bias and (a.ids == b.ids).all() and (a.v == b.v).all()
+
+
+def test_shift():
+    z, y = np.array([3.0, 2, 1, 0, -1, -2] * 10), np.array([1.0, 1, 0, 0, 0, 0] * 10)
+    moved = z + toxicity.shift(z, y)
+    assert ((1 / (1 + np.exp(-moved)) >= 0.7) == (y == 1)).all()
+    assert toxicity.shift(z, np.zeros(60)) == 0 and toxicity.shift(z - 50, y) == 1.5
+
+
+def plain_quality(m, text):
+    """Words and 2- to 4-grams of bytes, hashed one by one; average, output layer and sigmoid of the difference."""
+    data, mask = (text or "").encode().lower(), (1 << 64) - 1
+    power = lambda k: pow(int(quality._P), k, 1 << 64)
+    h = lambda piece: sum((b + 1) * power(k) for k, b in enumerate(piece)) & mask
+    bucket = lambda x, kind: ((x + kind) * 0xD6E8FEB86659FD93 & mask) >> 47
+    found = [bucket(h(data[k : k + n]), n) for n in quality.GRAMS for k in range(len(data) - n + 1)]
+    found += [bucket(h(w), 1) for w in bytes(b if b > 32 else 32 for b in data).split(b" ") if w]
+    z = m.bias + (sum(float(m.per_bucket[b]) for b in found) / len(found) if found else 0)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_against_a_plain_forward_pass(spark):
+    docs, labels = corpus(spark, "quality")
+    model = quality.train(docs, labels)
+    some = docs.where("doc_id % 50 = 0").select("doc_id", "text").unionByName(documents(spark).where("length(text) < 10000 or text is null").select("doc_id", "text"))
+    for r in quality.score(some, model).collect():
+        assert abs(r.score - plain_quality(model, r.text)) < 1e-6
+
+
+def test_per_bucket_is_the_whole_model():
+    """The vectors' average times the output layer, and the softmax of that, equal the numbers per bucket."""
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(200, 20, False)).astype(np.int32), np.full(20, 0.05, np.float32)) for _ in range(60)]
+    y = np.array([float(b[0] < 8) for b, _ in rows])
+    parts = []
+    model = quality.fit(rows, y, keep=parts)
+    vectors, out, bias = parts
+    for b, share in rows:
+        logits = (share @ vectors[b]) @ out + bias
+        p = np.exp(logits - logits.max())
+        mine = 1 / (1 + np.exp(-(model.bias + float(model.per_bucket[b].mean()))))
+        assert abs(p[1] / p.sum() - mine) < 1e-5
+
+
 def test_quality(spark):
     docs, labels = corpus(spark, "quality")
     model = quality.train(docs, labels)
