@@ -85,8 +85,8 @@ class SubwordClassifier:
         return float(1 / (1 + np.exp(-np.clip(self.bias + (total / n if n else 0), -30, 30))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int = 10, epochs: int = 12, rate: float = 0.6, seed: int = 5) -> SubwordClassifier:
-    """rows: for each document its buckets and their shares (which sum to 1). Plain SGD, one document at a step."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int = 10, epochs: int = 12, rate: float = 0.6, seed: int = 5, keep: list | None = None) -> SubwordClassifier:
+    """rows: for each document its buckets and their shares (which sum to 1). Plain SGD, one document at a step. keep gets vectors, output layer and bias."""
     rng = np.random.default_rng(seed)
     vectors, out, bias = rng.uniform(-1 / size, 1 / size, (BUCKETS, size)).astype(np.float32), np.zeros((size, 2), np.float32), np.zeros(2, np.float32)
     steps, step = max(1, epochs * len(rows)), 0
@@ -100,7 +100,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int = 10
             step += 1
             if not len(b):
                 continue
-            mean = share @ vectors[b]
+            own = vectors[b]
+            mean = share @ own
             logits = mean @ out + bias
             p = np.exp(logits - logits.max())
             p /= p.sum()
@@ -109,27 +110,32 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int = 10
             out -= lr * np.outer(mean, p)
             bias -= lr * 0.1 * p
             # the step of each vector follows its share of the document, relative to the mean share
-            vectors[b] -= np.outer((lr * len(b) ** 0.5) * share, back)
+            own -= ((lr * len(b) ** 0.5) * share)[:, None] * back
+            vectors[b] = own
     both = vectors @ out
+    if keep is not None:
+        keep += [vectors, out, bias]
     return SubwordClassifier((both[:, 1] - both[:, 0]).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2500, **options) -> SubwordClassifier:
-    """A classifier from labelled rows whose crc32(doc_id as text) mod 5 is not 0; at most per_class of each label."""
-    sample = labelled_sample(docs, labels, label, remainder(F.col("doc_id"), 5) != 0, per_class)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2500, most_buckets: int = 20_000_000, **options) -> SubwordClassifier:
+    """A classifier from labelled rows whose crc32(doc_id as text) mod 5 is not 0; at most per_class of each label.
 
-    @F.pandas_udf("struct<b: array<int>, n: array<int>>")
+    Documents with more different buckets than most_buckets / (2 * per_class) keep those of the largest counts (ties by bucket), so that at
+    most most_buckets numbers come to the driver; with the defaults that is 4,000 buckets a document. Scoring uses all buckets of a text.
+    """
+    sample, each = labelled_sample(docs, labels, label, remainder(F.col("doc_id"), 5) != 0, per_class), max(1, most_buckets // (2 * per_class))
+
+    @F.pandas_udf("struct<b: array<int>, n: array<float>>")
     def counted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             found = [np.unique(np.concatenate([np.zeros(0, np.int32), *buckets(x)]), return_counts=True) for x in part]
-            yield pd.DataFrame({"b": [f[0].astype("int32") for f in found], "n": [f[1].astype("int32") for f in found]})
+            best = [np.sort(np.argsort(-n, kind="stable")[:each]) for _, n in found]
+            yield pd.DataFrame({"b": [b[k].astype("int32") for (b, _), k in zip(found, best, strict=True)], "n": [(n[k] / max(1, n[k].sum())).astype("float32") for (_, n), k in zip(found, best, strict=True)]})
 
     got = sample.select("doc_id", "y", counted("text").alias("t")).select("doc_id", "y", "t.b", "t.n").toArrow().sort_by("doc_id")
-    rows, y = [], got["y"].to_numpy().astype(float)
-    for b, n in zip(got["b"], got["n"], strict=True):
-        b, n = b.values.to_numpy(), n.values.to_numpy().astype(np.float32)
-        rows.append((b, n / max(1.0, float(n.sum()))))
-    return fit(rows, y, **options)
+    rows = [(b.values.to_numpy(), n.values.to_numpy()) for b, n in zip(got["b"], got["n"], strict=True)]
+    return fit(rows, got["y"].to_numpy().astype(float), **options)
 
 
 def score(docs: DataFrame, model: SubwordClassifier, text: str = "text", threshold: float = 0.3) -> DataFrame:
