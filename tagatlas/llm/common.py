@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
@@ -50,6 +50,17 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with number, 0 for the first row in order: rows are sorted by ranges, only the ranges' counts meet in one place."""
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    ranges = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("part", before.alias("before"))
+    got = rows.withColumn("part", part).join(F.broadcast(ranges), "part")
+    return got.withColumn("number", F.col("before") + F.col("at") - F.shiftleft("part", 33)).drop("at", "part", "before")
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32(doc_id as text) mod parts; null for a null id."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)).cast("int")

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a min-cost flow over membership patterns.
 
-A document may belong to several sources. Documents are aggregated by pattern (their set of sources); the driver sees one
-row a pattern (at most max_patterns, else an error), never documents. Tokens flow from each pattern, through tiers that
-cost more with each repetition (convex), to the quotas of the sources it belongs to; the cheapest largest flow says how
-many tokens each pattern gives. Its documents then all repeat floor(flow / size) times, and a seeded part of them once
+A document may belong to several sources. Documents are aggregated by pattern (their set of sources). Tokens flow from each
+pattern, through tiers that cost more with each repetition (convex), to the quotas of the sources it belongs to; the
+cheapest largest flow says how many tokens each pattern gives. A source that shares no document with another is a flow of one
+arc, which is its quota: such sources, however many, stay in Spark. Only patterns of sources that overlap come to the driver, a
+row each (at most max_patterns, else an error), never documents. A pattern's documents then all repeat floor(flow / size) times, and a seeded part of them once
 more: those with the least hashes, up to the hash where the sum comes nearest to what is left. That hash is found by a
 histogram of the hashes (a partial aggregate) and one look into a single bucket of each pattern, so no source, however
 large, is sorted or gathered in one task.
@@ -12,12 +13,11 @@ large, is sorted or gathered in one task.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagatlas.llm.common import WORD, cut
+from tagatlas.llm.common import WORD, cut, kept, numbered
 
 #: Cost of a token at its first, second and third use.
 COSTS = (0, 1, 3)
@@ -98,17 +98,6 @@ def cheapest_flow(supply: list[int], members: list[list[int]], quota: list[int],
     return given
 
 
-@dataclass
-class Mix:
-    """rows: (pattern, source_size, target, repeats, last): last is the greatest hash that repeats once more, or None."""
-
-    rows: list[tuple[str, int, float, int, int | None]]
-    seed: int
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "pattern string, source_size long, target double, repeats long, last long")
-
-
 def words(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
@@ -123,72 +112,92 @@ def _hash(seed: int, doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.lit(seed), doc_id, text)
 
 
-def plan(slim: DataFrame, seed: int, weights=(1, 2, 3), most: int = 3, max_patterns: int = 4096) -> Mix:
-    """slim: sources (array of strings), pattern, size, hash."""
+def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """sources (source, n, ...) with target: targets() as columns, for any number of sources; only sums come to the driver."""
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("number") % len(weights) + 1).cast("int"))
+    table = cut(numbered(sources, F.col("source").asc_nulls_last()).withColumn("weight", weight))
+    total = float(table.agg(F.sum("n")).first()[0] or 0)
+    left, among = total, table.agg(F.sum("weight")).first()[0] or 0.0
+    cap = (F.col("n") * most).cast("double")
+    over = lambda: F.lit(left) * F.col("weight") / F.lit(among) > cap
+    while among:  # the rate only rises, so what is over once stays over
+        full, free = table.agg(F.sum(F.when(over(), F.col("n") * most)), F.sum(F.when(~over(), F.col("weight")))).first()
+        now, free = total - (full or 0), free or 0.0
+        if (now, free) == (left, among):
+            break
+        left, among = now, free
+    rate = F.when(over(), cap).otherwise(F.lit(left) * F.col("weight") / F.lit(among)) if among else cap
+    return table.withColumn("target", rate).drop("number", "weight")
+
+
+def plan(slim: DataFrame, seed: int, weights=(1, 2, 3), most: int = 3, max_patterns: int = 4096) -> DataFrame:
+    """(pattern, source_size, target, repeats, last): last is the greatest hash that repeats once more, or null.
+
+    slim: sources (array of strings), pattern, size, hash."""
     spark = slim.sparkSession
-    found = slim.groupBy("pattern", "sources").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"over {max_patterns} membership patterns; raise max_patterns or merge rare sources")
-    merged: dict[str, tuple[set, int]] = {}
-    for r in found:
-        names, n = merged.get(r.pattern, (set(), 0))
-        merged[r.pattern] = (names | set(r.sources), n + r.n)
-    keys = sorted(merged)
-    sizes: dict[str | None, int] = {}
-    for names, n in merged.values():
-        for s in names:
-            sizes[s] = sizes.get(s, 0) + n
-    goal, names = targets(sizes, weights, most), list(sizes)
-    total = sum(n for _, n in merged.values())
+    patterns = cut(slim.groupBy("pattern", "sources").agg(F.sum("size").alias("n")))
+    each = patterns.select("pattern", "n", F.explode("sources").alias("source"), (F.size("sources") > 1).alias("several"))
+    sources = cut(source_targets(each.groupBy("source").agg(F.sum("n").alias("n"), F.max("several").alias("several")), weights, most))
     # sources that overlap count a document once for each; their shares refer to what is there once
-    scale = total / max(1, sum(sizes.values()))
-    goal = {s: g * scale for s, g in goal.items()} if scale != 1 else goal
-    flow = cheapest_flow([merged[k][1] for k in keys], [[names.index(s) for s in merged[k][0]] for k in keys], [int(goal[s]) for s in names], COSTS[:most])
-    base = {k: divmod(f, merged[k][1]) if merged[k][1] else (0, 0) for k, f in zip(keys, flow, strict=True)}
-    rest = spark.createDataFrame([(k, r) for k, (_, r) in base.items() if r], "pattern string, rest long")
-    last: dict[str, int | None] = {}
-    if any(r for _, r in base.values()):
-        hist = slim.groupBy("pattern", F.shiftright("hash", _SHIFT).alias("bucket")).agg(F.sum("size").alias("n"))
-        upto = Window.partitionBy("pattern").orderBy("bucket")
-        hist = hist.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(rest), "pattern")
-        edge = hist.where("upto > rest").groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"), "rest"), "bucket").alias("e")).select("pattern", "e.*")
-        edges = {r.pattern: r for r in edge.collect()}
-        near = slim.withColumn("bucket", F.shiftright("hash", _SHIFT)).join(F.broadcast(spark.createDataFrame([tuple(r) for r in edges.values()], "pattern string, bucket long, below long, rest long")), ["pattern", "bucket"])
-        near = near.groupBy("pattern", "below", "rest", "hash").agg(F.sum("size").alias("n"))
-        near = near.withColumn("sum", F.col("below") + F.sum("n").over(Window.partitionBy("pattern").orderBy("hash")))
-        near = near.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("sum") - F.col("rest")).alias("gap"), "hash")).alias("m")).select("pattern", "m.*")
-        for r in near.collect():
-            e = edges[r.pattern]
-            before = (e.bucket << _SHIFT) - 1
-            last[r.pattern] = r.hash if r.gap < e.rest - e.below else before if before >= -(1 << 63) else None
-    return Mix([(k, sum(sizes[s] for s in merged[k][0]), float(sum(goal[s] for s in merged[k][0])), base[k][0], last.get(k)) for k in keys], seed)
+    total, apart = patterns.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], sources.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if apart and total != apart:
+        sources = sources.withColumn("target", F.col("target") * F.lit(total / apart))
+    same = F.col("source").eqNullSafe(F.col("name"))
+    joined = each.join(sources.select(F.col("source").alias("name"), F.col("n").alias("own"), F.col("target"), F.col("several").alias("tangled")), same)
+    of = joined.groupBy("pattern").agg(F.sum("own").alias("source_size"), F.sum("target").alias("target"), F.max("tangled").alias("tangled"), F.collect_list(F.struct("source", "target")).alias("quotas"))
+    of = cut(patterns.select("pattern", "n").join(of, "pattern", "left"))
+    free = of.where("not coalesce(tangled, false)").withColumn("flow", F.least(F.floor(F.coalesce("target", F.lit(0.0))), F.col("n") * most))
+    found = of.where("tangled").select("pattern", "n", "quotas").limit(max_patterns + 1).collect()
+    if len(found) > max_patterns:
+        raise ValueError(f"over {max_patterns} membership patterns of sources that overlap; raise max_patterns or merge rare sources")
+    found.sort(key=lambda r: r.pattern)
+    quota: dict[str | None, int] = {q.source: int(q.target) for r in found for q in r.quotas}
+    names = list(quota)
+    flow = cheapest_flow([r.n for r in found], [[names.index(q.source) for q in r.quotas] for r in found], list(quota.values()), COSTS[:most])
+    flows = spark.createDataFrame([(r.pattern, f) for r, f in zip(found, flow, strict=True)], "pattern string, flow long")
+    rows = free.unionByName(of.where("tangled").join(F.broadcast(flows), "pattern")) if found else free
+    rows = rows.withColumn("repeats", F.when(F.col("n") > 0, F.expr("flow div n")).otherwise(F.lit(0)).cast("long"))
+    rows = rows.select("pattern", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "repeats", F.when(F.col("n") > 0, F.col("flow") % F.col("n")).otherwise(F.lit(0)).cast("long").alias("rest"))
+    rows = kept(rows, "mix")
+    hist = slim.groupBy("pattern", F.shiftright("hash", _SHIFT).alias("bucket")).agg(F.sum("size").alias("n")).join(rows.where("rest > 0").select("pattern", "rest"), "pattern")
+    hist = hist.withColumn("upto", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")))
+    edge = hist.where("upto > rest").groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"), "rest"), "bucket").alias("e")).select("pattern", "e.*")
+    edge = kept(edge, "edges")
+    near = slim.withColumn("bucket", F.shiftright("hash", _SHIFT)).join(edge, ["pattern", "bucket"]).groupBy("pattern", "bucket", "below", "rest", "hash").agg(F.sum("size").alias("n"))
+    near = near.withColumn("sum", F.col("below") + F.sum("n").over(Window.partitionBy("pattern").orderBy("hash")))
+    near = near.groupBy("pattern", "bucket", "below", "rest").agg(F.min(F.struct(F.abs(F.col("sum") - F.col("rest")).alias("gap"), "hash")).alias("m"))
+    before = F.when(F.col("bucket") > -(1 << (63 - _SHIFT)), F.shiftleft("bucket", _SHIFT) - 1)
+    last = near.select("pattern", F.when(F.col("m.gap") < F.col("rest") - F.col("below"), F.col("m.hash")).otherwise(before).alias("last"))
+    return kept(rows.drop("rest").join(last, "pattern", "left"), "mix")
 
 
 def slim(docs: DataFrame, sources: Column, seed: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("size"), sources.alias("sources"), pattern(sources).alias("pattern"), _hash(seed, F.col(doc_id), F.col(text)).alias("hash"))
+    own = F.array_sort(F.array_distinct(sources))
+    return docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("size"), own.alias("sources"), pattern(sources).alias("pattern"), _hash(seed, F.col(doc_id), F.col(text)).alias("hash"))
 
 
 def mixed(docs: DataFrame, sources: Column | None = None, seed: int = 42, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken), a row for every row of docs.
 
     sources: the array of a document's sources; its column `source` by default. Where it belongs to several, source_size
-    and target are their sums. Null texts have size 0; the null source is a source, the last. Repeated rows (same id and
+    and target are their sums. Null and empty texts have size 0; the null source is a source, the last. Repeated rows (same id and
     text) share a hash, and so get the extra repetition together or not at all. An empty table gives no rows.
     """
     small = cut(slim(docs, F.array("source") if sources is None else sources, seed))
-    mix = plan(small, seed, **options)
-    got = small.join(F.broadcast(mix.frame(docs.sparkSession)), "pattern")
+    got = small.join(plan(small, seed, **options), "pattern")
     more = F.coalesce(F.col("hash") <= F.col("last"), F.lit(False)).cast("long")
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("repeats") + more)).alias("taken"))
 
 
 def repeated(docs: DataFrame, sources: Column | None = None, seed: int = 42, **options) -> DataFrame:
-    """docs, each row as many times as the mix takes it (documents without words stay once)."""
+    """docs, each row as many times as the mix takes it.
+
+    Documents without words (null and empty texts too) stay once; the null source is a source; repeated rows repeat alike; an empty
+    table gives no rows; columns of any name pass through.
+    """
     by = F.array("source") if sources is None else sources
-    mix = plan(cut(slim(docs, by, seed)), seed, **options)
-    rows = F.broadcast(mix.frame(docs.sparkSession).select(F.struct("pattern", "repeats", "last").alias("_mix")))
-    got = docs.withColumn("_pattern", pattern(by)).join(rows, F.col("_pattern") == F.col("_mix.pattern"))
-    times = F.col("_mix.repeats") + F.coalesce(_hash(seed, F.col("doc_id"), F.col("text")) <= F.col("_mix.last"), F.lit(False)).cast("long")
-    times = F.when(words(F.col("text")) == 0, F.lit(1)).otherwise(times).cast("int")
-    got = got.withColumn("_times", times).where("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return got.select(*docs.columns)
+    mix = plan(cut(slim(docs, by, seed)), seed, **options).select("pattern", "repeats", "last")
+    own = docs.select(F.struct(*docs.columns).alias("row"), pattern(by).alias("pattern"), _hash(seed, F.col("doc_id"), F.col("text")).alias("hash"), (words(F.col("text")) == 0).alias("bare"))
+    times = F.when(F.col("bare"), F.lit(1)).otherwise(F.col("repeats") + F.coalesce(F.col("hash") <= F.col("last"), F.lit(False)).cast("long"))
+    got = own.join(mix, "pattern").withColumn("times", times.cast("int")).where("times > 0")
+    return got.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -67,3 +67,48 @@ def test_overlapping_sources(spark):
     assert abs(got - 3000) <= 30
     with pytest.raises(ValueError):
         mixing.mixed(docs, F.col("own"), max_patterns=2)
+
+
+def test_more_sources_than_the_driver_takes(spark):
+    rows = [(k, "w " * (k % 7 + 1), f"s{k % 700:04d}" if k % 11 else None) for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    goal = mixing.targets(size)
+    got = {r.doc_id: r for r in mixing.mixed(docs, max_patterns=1).collect()}
+    assert all((got[i].source_size, got[i].target) == (size[s], pytest.approx(goal[s])) for i, _, s in rows)
+    taken = {}
+    for i, _, s in rows:
+        taken[s] = taken.get(s, 0) + got[i].taken
+    assert all(abs(taken[s] - goal[s]) <= 7 for s in size)
+
+
+def test_overlaps_beside_single_sources(spark):
+    rnd = random.Random(2)
+    sets = [["a"], ["b"], ["a", "b"], ["b", "a"], ["c"], ["d", None], [None], []]
+    docs = spark.createDataFrame([(k, "w " * rnd.randint(1, 20), rnd.choice(sets)) for k in range(3000)], "doc_id long, text string, own array<string>")
+    got = mixing.mixed(docs, F.col("own")).join(docs, "doc_id").groupBy(F.array_sort("own").alias("own")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("n"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
+    of = {tuple(r.own): r for r in got}
+    assert len(of) == 7 and of[()].taken == 0
+    both = of[("a",)].target + of[("b",)].target
+    assert abs(of["a",].taken + of["b",].taken + of["a", "b"].taken - both) <= 60
+    assert abs(of["c",].taken - of["c",].target) <= 20
+    assert of["a", "b"].target == pytest.approx(both) and all(r.taken <= 3 * r.n for r in got)
+
+
+def test_rows_pass_through_with_any_names(spark):
+    docs = spark.createDataFrame([(k, "a b c", "s", "p", 1, 2, 3, 4, {"a": 1}) for k in range(30)], "doc_id long, text string, source string, pattern string, row int, hash int, times int, last int, col map<string,int>")
+    got = mixing.repeated(docs)
+    assert got.columns == docs.columns and got.count() == 30
+    assert all((r.pattern, r.row, r.hash, r.times, r.last) == ("p", 1, 2, 3, 4) for r in got.collect())
+
+
+def test_numbered(spark):
+    from tagatlas.llm.common import numbered
+
+    names = [f"n{k:03d}" for k in range(500)]
+    random.Random(1).shuffle(names)
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "name string").repartition(7)
+    got = {r.name: r.number for r in numbered(df, F.col("name").asc_nulls_last()).collect()}
+    assert got == {n: k for k, n in enumerate([*sorted(names), None])}
