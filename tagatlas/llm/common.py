@@ -61,6 +61,14 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return got.withColumn("number", F.col("before") + F.col("at") - F.shiftleft("part", 33)).drop("at", "part", "before")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32(doc_id as text) mod parts; null for a null id."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)).cast("int")

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagatlas.llm.common import unused
+
 ROW = 192
 HIGHEST = 8191
 #: Lanes that are decoded together; bounds the memory.
@@ -374,5 +376,6 @@ def features(frame: DataFrame, media: str = "media", batch_bytes: int = 3 << 20)
             rows += _read(own) if own else []
             yield pd.DataFrame(rows, columns=names).astype({c.split()[0]: "Int64" for c in _SEEN.split(", ") if c.endswith("long")})
 
-    got = frame.withColumn("_seen", read(F.col(media)))
-    return got.withColumns({c.split()[0]: F.col(f"_seen.{c.split()[0]}") for c in _SEEN.split(", ")}).drop("_seen")
+    seen = unused(frame, "seen")
+    got = frame.withColumn(seen, read(F.col(media)))
+    return got.withColumns({c.split()[0]: F.col(seen).getField(c.split()[0]) for c in _SEEN.split(", ")}).drop(seen)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagatlas.llm.common import unused
 from tagatlas.llm.sstable import tokenizer_path
 
 #: Counts of words that a Python worker keeps; then it starts anew.
@@ -119,5 +120,6 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: st
             split = [(x or "").encode().split() for x in part]
             yield pd.DataFrame({"n_words": [len(w) for w in split], "n_tokens": [sum(map(of, w)) for w in split]}, dtype="int64")
 
-    got = docs.withColumn("_count", count(F.col(text)))
-    return got.withColumn("n_words", F.col("_count.n_words")).withColumn("n_tokens", F.col("_count.n_tokens")).drop("_count")
+    both = unused(docs, "count")
+    got = docs.withColumn(both, count(F.col(text)))
+    return got.withColumns({c: F.col(both).getField(c) for c in ("n_words", "n_tokens")}).drop(both)

@@ -92,3 +92,8 @@ def test_token_counts(spark):
         if not (r.text or "").startswith(LONG[:50]):
             assert r.n_tokens == sum(greedy(x, pieces) for x in w)
     assert wordpiece.token_counts(empty(spark)).count() == 0
+
+
+def test_counts_leave_other_columns_alone(spark):
+    r = wordpiece.token_counts(documents(spark)).first()
+    assert (r["count"], r.seen, r.row) == (8, 7, "r")
