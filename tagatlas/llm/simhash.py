@@ -112,10 +112,13 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     near = tiles.select(F.col("key").alias("key_a"), F.col("parts").alias("parts_a"), F.explode(half).alias("step"))
     near = near.select("key_a", "parts_a", (F.col("key_a") + F.col("step")).alias("key_b")).join(F.broadcast(tiles.select(F.col("key").alias("key_b"), F.col("parts").alias("parts_b"))), "key_b")
     salts = near.groupBy("key_b").agg(F.ceil(F.sum("parts_a") / FAN).cast("int").alias("salts"))
-    near = cut(near.join(F.broadcast(salts), "key_b").groupBy("key_a").agg(F.collect_list(F.struct("key_b", "parts_b", "salts")).alias("near")))
+    # three numbers in one keep the table that goes along with every task small: a tile has 17 bits, blocks and salts 22 each
+    packed = F.shiftleft(F.col("key_b").cast("long"), 44) + F.shiftleft(F.col("parts_b").cast("long"), 22) + F.col("salts")
+    of = lambda bits: F.shiftright("n", bits).bitwiseAND(F.lit((1 << 22) - 1)).cast("int")
+    near = cut(near.join(F.broadcast(salts), "key_b").groupBy("key_a").agg(F.collect_list(packed).alias("near")))
     left = blocks.join(F.broadcast(near), blocks["key"] == near["key_a"]).select("key_a", F.col("part").alias("part_a"), F.col("fps").alias("a"), F.explode("near").alias("n"))
-    salt = F.pmod(F.xxhash64("key_a", "part_a"), F.col("n.salts")).cast("int")
-    left = left.select("a", "part_a", (F.col("key_a") == F.col("n.key_b")).alias("own"), F.col("n.key_b").alias("key"), salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.col("n.parts_b") - 1)).alias("part"))
+    salt = F.pmod(F.xxhash64("key_a", "part_a"), of(0)).cast("int")
+    left = left.select("a", "part_a", (F.col("key_a") == of(44)).alias("own"), of(44).alias("key"), salt.alias("salt"), F.explode(F.sequence(F.lit(0), of(22) - 1)).alias("part"))
     right = blocks.join(F.broadcast(salts), blocks["key"] == salts["key_b"]).select("key", "part", F.col("fps").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     met = left.where("not own or part_a <= part").join(right, ["key", "part", "salt"])
     return met.select("a", "b", (F.col("own") & (F.col("part_a") == F.col("part"))).alias("same")).mapInArrow(_compare(radius), "u long, v long")

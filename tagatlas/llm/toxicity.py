@@ -105,15 +105,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray, max_terms: int = 4096, factors: i
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(n), max(1, n // 256)):
             c = np.concatenate([col[start[i] : start[i + 1]] for i in part])
-            d = np.repeat(np.arange(len(part)), start[part + 1] - start[part])
-            s = np.zeros((len(part), factors))
-            np.add.at(s, d, v[c])
-            q = np.bincount(d, weights=(v[c] ** 2).sum(1), minlength=len(part))
+            n_of = start[part + 1] - start[part]
+            d = np.repeat(np.arange(len(part)), n_of)
+            rows_v, s, q = v[c], np.zeros((len(part), factors)), np.zeros(len(part))
+            if len(c):
+                # a document's terms lie together: sums between their starts
+                some = np.flatnonzero(n_of)
+                first = np.concatenate([[0], np.cumsum(n_of[some])[:-1]])
+                s[some] = np.add.reduceat(rows_v, first)
+                q[some] = np.add.reduceat((rows_v * rows_v).sum(1), first)
             z = bias + np.bincount(d, weights=w[c], minlength=len(part)) + 0.5 * ((s * s).sum(1) - q)
             e = weight[part] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part])
             g = np.bincount(c, weights=e[d], minlength=len(ids)) / len(part)
-            h = np.zeros_like(v)
-            np.add.at(h, c, e[d, None] * (s[d] - v[c]))
+            step = e[d, None] * (s[d] - rows_v)
+            h = np.stack([np.bincount(c, weights=step[:, k], minlength=len(ids)) for k in range(factors)], 1)
             seen = np.unique(c)
             g, h = g[seen] + l2 * w[seen], h[seen] / len(part) + l2 * v[seen]
             gw[seen] += g * g
