@@ -105,5 +105,9 @@ def in_tiles(features: DataFrame, max_zoom: int, from_zoom: int = 0) -> DataFram
 
     legs = F.sequence(F.lit(0), F.greatest(F.size("geom") - 2, F.lit(0)))
     rows = rows.withColumn("_t", F.explode(F.array_distinct(F.flatten(F.transform(legs, met))))).withColumns({"x": F.col("_t.x"), "y": F.col("_t.y")}).drop("_t")
+    # of a long way only the legs from the first to the last that the tile may meet
+    inside = lambda a, b, at: (F.floor(F.least(a, b) * side - margin) <= F.col(at)) & (F.floor(F.greatest(a, b) * side + margin) >= F.col(at))
+    here = F.filter(legs, lambda i: inside(F.col("geom")[i].x, F.col("geom")[i + 1].x, "x") & inside(F.col("geom")[i].y, F.col("geom")[i + 1].y, "y"))
+    rows = rows.withColumn("_h", F.when(F.size("geom") > 2, here)).withColumn("geom", F.when(F.size("_h") > 0, F.slice("geom", F.col("_h")[0] + 1, F.element_at("_h", -1) - F.col("_h")[0] + 2)).otherwise(F.col("geom"))).drop("_h")
     pixel = lambda p: F.struct(((p.x * side - F.col("x")) * TILE_PX).alias("x"), ((p.y * side - F.col("y")) * TILE_PX).alias("y"))
     return rows.withColumn("geom", F.transform("geom", pixel))

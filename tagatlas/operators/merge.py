@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,6 @@ from tagatlas.operators.features import BUFFER_PX, TILE_PX
 #: Metres below which a merged line is left out, up to a zoom level.
 SHORTEST_M = {4: 1000.0, 5: 500.0, 6: 100.0, 7: 50.0}
 EQUATOR_M = 40_075_016.686
-LINES = "array<struct<n_lines: bigint, points: array<double>>>"
 TILE = ("z", "x", "y", "layer")
 
 
@@ -41,99 +40,222 @@ def merge_lines(tiles: DataFrame, attributes: list[str], tolerance_px: float = 0
     than the table of shortest lines says is left out; the rest are simplified to within tolerance_px and cut at the tile's edge plus
     a buffer, which may leave several pieces. Lines that are not on the tile, or of fewer than two points, are left out.
 
-    First the lines within each small cell of a tile are chained, then the chains of the tile: no task holds all raw lines of a dense
-    tile with one look, only its chains."""
+    First the lines within each small cell of a tile are chained. A line that leaves its cell waits in the cell of its start, and a
+    point stands for it in the cell of its end. Only what still meets a waiting line is gathered by tile; all other chains are
+    finished on their own, so that no task holds all lines of a dense tile."""
     keys = [*TILE, *attributes, "no_merge"]
     rows = (merge_keys(tiles) if "no_merge" not in tiles.columns else tiles).where("size(geom) > 1")
+    at = [F.floor(F.element_at("geom", i)[c] / cell_px) for i in (1, -1) for c in "xy"]
     flat = F.flatten(F.transform("geom", lambda p: F.array(p.x, p.y)))
-    cell = [F.floor(F.col("geom")[0][c] / cell_px).alias(f"_c{c}") for c in "xy"]
-    last = [F.floor(F.element_at("geom", -1)[c] / cell_px).alias(f"_l{c}") for c in "xy"]
-    rows = rows.select(*keys, *cell, *last, F.struct(F.lit(1).cast("bigint").alias("n_lines"), flat.alias("points")).alias("line"))
-    # a line that leaves its cell waits for the second step; in the cells of its ends a point stands for it, so that nothing is joined past it
-    whole = (F.col("_cx") == F.col("_lx")) & (F.col("_cy") == F.col("_ly"))
-    leaving = rows.where(~whole)
-    ends = [leaving.select(*keys, F.col(x).alias("_cx"), F.col(y).alias("_cy"), F.struct(F.lit(0).cast("bigint").alias("n_lines"), points.alias("points")).alias("line")) for x, y, points in (
-        ("_cx", "_cy", F.slice("line.points", 1, 2)), ("_lx", "_ly", F.slice("line.points", -2, 2)))]
-    inside = rows.where(whole).drop("_lx", "_ly").unionByName(ends[0]).unionByName(ends[1])
-    grouped = inside.groupBy(*keys, "_cx", "_cy").agg(F.collect_list("line").alias("lines"), F.sum(F.sign("line.n_lines")).alias("_n"))
-    near = grouped.where("_n > 1").withColumn("line", F.explode(_chained("lines"))).select(*keys, "line")
-    near = near.unionByName(grouped.where("_n = 1").select(*keys, F.filter("lines", lambda at: at.n_lines > 0)[0].alias("line"))).unionByName(leaving.select(*keys, "line"))
-    drawn = near.groupBy(*keys).agg(F.collect_list("line").alias("lines")).withColumn("line", F.explode(_finished("lines", "z", "y", tolerance_px, buffer_px)))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("line.points") - 2, F.lit(2)), lambda i: F.struct(F.col("line.points")[i].alias("x"), F.col("line.points")[i + 1].alias("y")))
-    return drawn.select(*[k for k in keys if k != "no_merge"], "line.n_lines", pairs.alias("geom"))
-
-
-def _lines(of: object) -> tuple[list[np.ndarray], list[int]]:
-    return [np.asarray(line["points"], dtype=float).reshape(-1, 2) for line in of], [line["n_lines"] for line in of]
-
-
-def _rows(chained: list[tuple[np.ndarray, int]]) -> list[dict]:
-    return [{"n_lines": n, "points": points.ravel()} for points, n in chained]
-
-
-def _chained(lines: str) -> Column:
-    @F.pandas_udf(LINES)
-    def run(groups: pd.Series) -> pd.Series:
-        return pd.Series([_rows(chain(*_lines(g))) for g in groups])
-
-    return run(lines)
-
-
-def _finished(lines: str, z: str, y: str, tolerance: float, buffer_px: float) -> Column:
-    def one(group: object, z: int, y: int) -> list[dict]:
-        least = SHORTEST_M.get(z, 0.0) / _metres_per_pixel(z, y)
-        got = chain(*_lines(group)) if len(group) > 1 else list(zip(*_lines(group)))
-        return _rows([(piece, n) for points, n in got if _length(points) >= least for piece in clip(simplify(points, tolerance), -buffer_px, TILE_PX + buffer_px)])
-
-    @F.pandas_udf(LINES)
-    def run(groups: pd.Series, zs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([one(g, int(z), int(y)) for g, z, y in zip(groups, zs, ys)])
-
-    return run(lines, z, y)
-
-
-def _metres_per_pixel(z: int, y: int) -> float:
-    north = np.pi * (1 - 2 * (y + 0.5) / 2**z)
-    return EQUATOR_M / (TILE_PX * 2**z * np.cosh(north))
+    rows = rows.select(*keys, *[c.alias(n) for c, n in zip(at, ("_cx", "_cy", "_lx", "_ly"))], flat.alias("points"))
+    leaves = (F.col("_cx") != F.col("_lx")) | (F.col("_cy") != F.col("_ly"))
+    entry = lambda x, y, n, waits, points: F.struct(F.col(x).alias("_cx"), F.col(y).alias("_cy"), F.struct(F.lit(n).cast("bigint").alias("n_lines"), waits.alias("waits"), points.alias("points")).alias("line"))
+    whole, stub = entry("_cx", "_cy", 1, leaves, F.col("points")), entry("_lx", "_ly", 0, F.lit(False), F.slice("points", -2, 2))
+    rows = rows.select(*keys, F.explode(F.when(leaves, F.array(whole, stub)).otherwise(F.array(whole))).alias("_e")).select(*keys, "_e.*")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    near = rows.groupBy(*keys, "_cx", "_cy").agg(F.collect_list("line").alias("lines")).drop("_cx", "_cy")
+    near = near.mapInArrow(_by_cell(keys), f"{fields}, own bigint, line struct<n_lines: bigint, waits: boolean, points: array<double>>")
+    drawn = near.groupBy(*keys, "own").agg(F.collect_list("line").alias("lines")).drop("own")
+    out = [k for k in keys if k != "no_merge"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*out).schema)
+    return drawn.mapInArrow(_by_tile(out, tolerance_px, buffer_px), f"{fields}, n_lines bigint, geom array<struct<x: double, y: double>>")
+
+
+@dataclass
+class Lines:
+    """Lines of many groups in flat arrays: line i has group[i], weight n[i], and points xy[at[i]:at[i + 1]]; a line of one point stands for an end elsewhere."""
+
+    group: np.ndarray
+    n: np.ndarray
+    waits: np.ndarray
+    at: np.ndarray
+    xy: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> Lines:
+        lists = batch["lines"]
+        own = lists.flatten()
+        n, waits, points = own.field("n_lines"), own.field("waits"), own.field("points")
+        at = np.asarray(points.offsets) // 2
+        xy = np.asarray(points.flatten()).reshape(-1, 2)
+        return Lines(np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), np.asarray(n), np.asarray(waits.to_numpy(zero_copy_only=False), bool), at - at[0], xy)
+
+    @property
+    def size(self) -> np.ndarray:
+        return np.diff(self.at)
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each end (two a line, one after the other) its vertex, -1 for a second end that a point hasn't; and how many ends each vertex has."""
+        place = self.xy[np.stack([self.at[:-1], self.at[1:] - 1], 1).ravel()]
+        group, real = np.repeat(self.group, 2), np.ones(2 * len(self.n), bool)
+        real[1::2] = self.size > 1
+        found = np.flatnonzero(real)
+        order = found[np.lexsort((place[found, 1], place[found, 0], group[found]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (group[order[1:]] != group[order[:-1]]) | (place[order[1:]] != place[order[:-1]]).any(1)
+        vertex = np.full(len(real), -1)
+        vertex[order] = np.cumsum(new) - 1
+        return vertex, np.bincount(vertex[order], minlength=0)
+
+    def chained(self, free: np.ndarray) -> Lines:
+        """The lines that are free, joined at vertices where exactly two ends of different free lines meet; others are left out.
+
+        A chain begins at the lesser of its ends, a ring with its least line, so the order of the input doesn't matter."""
+        vertex, degree = self.ends()
+        ready = np.repeat(free, 2) & (vertex >= 0)
+        ready[ready] = degree[vertex[ready]] == 2
+        met = np.flatnonzero(ready)
+        met = met[np.argsort(vertex[met], kind="stable")]
+        pair = np.flatnonzero((vertex[met[:-1]] == vertex[met[1:]]) & (met[:-1] // 2 != met[1:] // 2)) if len(met) > 1 else np.zeros(0, int)
+        mate = np.full(len(vertex), -1)
+        mate[met[pair]], mate[met[pair + 1]] = met[pair + 1], met[pair]
+        both = mate.reshape(-1, 2)
+        alone = np.flatnonzero(free & (both < 0).all(1))
+        line, back, first = [], [], []
+        place = self.xy[np.stack([self.at[:-1], self.at[1:] - 1], 1).ravel()]
+        some = np.flatnonzero(np.repeat((both >= 0).any(1), 2) & (mate < 0))
+        starts = some[np.lexsort((place[some, 1], place[some, 0], np.repeat(self.group, 2)[some]))].tolist()
+        ring = np.flatnonzero((both >= 0).all(1))
+        starts += (2 * ring[np.lexsort((place[2 * ring + 1, 1], place[2 * ring + 1, 0], place[2 * ring, 1], place[2 * ring, 0]))]).tolist()
+        seen, to = bytearray(len(self.n)), mate.tolist()
+        for e in starts:
+            if seen[e >> 1]:
+                continue
+            begins = True
+            while e >= 0 and not seen[e >> 1]:
+                seen[e >> 1] = 1
+                line.append(e >> 1)
+                back.append(e & 1)
+                first.append(begins)
+                begins, e = False, to[e ^ 1]
+        line = np.concatenate([alone, np.array(line, int)])
+        back = np.concatenate([np.zeros(len(alone), bool), np.array(back, bool)])
+        first = np.concatenate([np.ones(len(alone), bool), np.array(first, bool)])
+        chain, size = np.cumsum(first) - 1, self.size[line] - ~first
+        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        start = np.where(back, self.at[line + 1] - 1 - ~first, self.at[line] + ~first)
+        take = np.repeat(start, size) + np.where(np.repeat(back, size), -k, k)
+        many = int(first.sum())
+        at = np.concatenate([[0], np.cumsum(np.bincount(chain, weights=size, minlength=many).astype(int))])
+        return Lines(self.group[line[first]], np.bincount(chain, weights=self.n[line], minlength=many).astype(np.int64), np.zeros(many, bool), at, self.xy[take])
+
+    def subset(self, keep: np.ndarray) -> Lines:
+        own = np.flatnonzero(keep)
+        size = self.size[own]
+        take = np.repeat(self.at[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return Lines(self.group[own], self.n[own], self.waits[own], np.concatenate([[0], np.cumsum(size)]), self.xy[take])
+
+    def __add__(self, other: Lines) -> Lines:
+        pairs = [(getattr(self, c), getattr(other, c)) for c in ("group", "n", "waits")]
+        return Lines(*[np.concatenate(p) for p in pairs], np.concatenate([self.at, self.at[-1] + other.at[1:]]), np.concatenate([self.xy, other.xy]))
+
+
+def _by_cell(keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = Lines.of(batch)
+            vertex, degree = lines.ends()
+            stands = np.repeat(lines.waits | (lines.size == 1), 2) & (vertex >= 0)
+            # a waiting line's end lies in another cell, where a point stands for it
+            stands[1::2] &= ~lines.waits
+            waiting = np.bincount(vertex[stands], minlength=len(degree))
+            chains = lines.chained(~lines.waits & (lines.size > 1))
+            # which chains end where exactly one other end, of a waiting line, is
+            places = lines.xy[np.stack([lines.at[:-1], lines.at[1:] - 1], 1).ravel()]
+            meets = (degree == 2) & (waiting == 1)
+            # a vertex that nothing may be joined at stays one in the second step, where some of its chains may be missing
+            busy = np.zeros(len(batch), bool)
+            busy[lines.group[lines.waits | (lines.size == 1)]] = True
+            of_group = np.zeros(len(degree), int)
+            of_group[vertex[vertex >= 0]] = np.repeat(lines.group, 2)[vertex >= 0]
+            blocked = (degree > 2) & busy[of_group]
+            _, some = np.unique(vertex, return_index=True)
+            some = some[vertex[some] >= 0]
+
+            def stub(mask: np.ndarray) -> Lines:
+                at = some[mask[vertex[some]]]
+                return Lines(lines.group[at // 2], np.zeros(len(at), np.int64), np.zeros(len(at), bool), np.arange(len(at) + 1), places[at])
+
+            open_ends = chains + stub(meets)
+            v, _ = open_ends.ends()
+            touched = np.zeros(v.max() + 1 if len(v) else 0, bool)
+            touched[v[2 * len(chains.n) :: 2]] = True
+            pairs = v[: 2 * len(chains.n)].reshape(-1, 2)
+            done = ~touched[pairs].any(1) if len(pairs) else np.zeros(0, bool)
+            out = chains + lines.subset(lines.waits) + stub(blocked)
+            # what is done gets a number by its ends, so that it isn't gathered, and a mark, so that it stays as it is
+            own, ready = np.zeros(len(out.n), np.int64), np.zeros(len(out.n), bool)
+            ready[: len(done)] = done
+            bits = np.concatenate([out.xy[out.at[:-1]], out.xy[out.at[1:] - 1]], 1).view(np.int64)
+            own[ready] = ((bits * np.array([31, 1_000_003, 8191, 131])).sum(1) | 1)[ready]
+            points = pa.ListArray.from_arrays(pa.array(2 * out.at, pa.int32()), pa.array(out.xy.ravel()))
+            line = pa.StructArray.from_arrays([pa.array(out.n), pa.array(ready), points], ["n_lines", "waits", "points"])
+            taken = batch.select(keys).take(pa.array(out.group))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(own), line], [*keys, "own", "line"])
+
+    return run
+
+
+def _by_tile(keys: list[str], tolerance: float, buffer_px: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = Lines.of(batch)
+            chains = lines.chained(~lines.waits & (lines.size > 1)) + lines.subset(lines.waits)
+            z, y = batch["z"].to_numpy(), batch["y"].to_numpy()
+            of = np.repeat(np.arange(len(chains.n)), chains.size)
+            step = np.hypot(*np.diff(chains.xy, axis=0, prepend=chains.xy[:1]).T) if len(of) else np.zeros(0)
+            step[chains.at[:-1]] = 0
+            least = np.array([SHORTEST_M.get(int(k), 0.0) for k in z]) / _metres_per_pixel(z.astype(float), y.astype(float))
+            chains = chains.subset(np.bincount(of, weights=step, minlength=len(chains.n)) >= least[chains.group])
+            pieces = _cut(chains, tolerance, -buffer_px, TILE_PX + buffer_px)
+            points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(pieces.xy[:, c])) for c in (0, 1)], ["x", "y"])
+            taken = batch.select(keys).take(pa.array(pieces.group))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(pieces.n), pa.ListArray.from_arrays(pa.array(pieces.at, pa.int32()), points)], [*keys, "n_lines", "geom"])
+
+    return run
+
+
+def _cut(chains: Lines, tolerance: float, low: float, high: float) -> Lines:
+    """Chains simplified and clipped. Straight ones and those within the square, most of all, are dealt with at once."""
+    if not len(chains.n):
+        return chains
+    size, start = chains.size, chains.at[:-1]
+    of = np.repeat(np.arange(len(size)), size)
+    base, inner = (chains.xy[chains.at[1:] - 1] - chains.xy[start])[of], chains.xy - chains.xy[start][of]
+    long2 = (base * base).sum(1)
+    along = np.clip(np.divide((inner * base).sum(1), long2, out=np.zeros(len(of)), where=long2 > 0), 0, 1)
+    off = np.hypot(*(inner - along[:, None] * base).T)
+    straight = np.maximum.reduceat(off, start) <= tolerance
+    keep = ~straight[of]
+    keep[start] = keep[chains.at[1:] - 1] = True
+    within = np.logical_and.reduceat(((chains.xy >= low) & (chains.xy <= high)).all(1), start)
+    easy = straight & within
+    slim = Lines(chains.group, chains.n, chains.waits, np.concatenate([[0], np.cumsum(np.bincount(of, weights=keep).astype(int))]), chains.xy[keep])
+    rest, group, n = [], [], []
+    for i in np.flatnonzero(~easy).tolist():
+        for piece in clip(simplify(slim.xy[slim.at[i] : slim.at[i + 1]], tolerance), low, high):
+            rest.append(piece)
+            group.append(slim.group[i])
+            n.append(slim.n[i])
+    out = slim.subset(easy)
+    if rest:
+        out += Lines(np.array(group), np.array(n, np.int64), np.zeros(len(n), bool), np.concatenate([[0], np.cumsum([len(p) for p in rest])]), np.concatenate(rest))
+    return out
 
 
-def _length(points: np.ndarray) -> float:
-    return float(np.hypot(*np.diff(points, axis=0).T).sum())
+def _metres_per_pixel(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    north = np.pi * (1 - 2 * (y + 0.5) / 2.0**z)
+    return EQUATOR_M / (TILE_PX * 2.0**z * np.cosh(north))
 
 
 def chain(lines: list[np.ndarray], weights: list[int]) -> list[tuple[np.ndarray, int]]:
     """Lines joined at ends where exactly two ends meet, each with the summed weight; a closed line stays as it is.
 
     A line of one point only stands for an end of a line elsewhere. The order of the input doesn't matter."""
-    order = sorted(range(len(lines)), key=lambda i: (tuple(lines[i][0]), tuple(lines[i][-1]), len(lines[i]), lines[i].tobytes()))
-    lines, weights = [lines[i] for i in order], [weights[i] for i in order]
-    ends: dict[tuple, list[int]] = defaultdict(list)
-    for i, line in enumerate(lines):
-        ends[tuple(line[0])].append(i)
-        if len(line) > 1:
-            ends[tuple(line[-1])].append(i)
-    used = [len(line) == 1 for line in lines]
-
-    def onward(point: tuple, i: int) -> int | None:
-        met = ends[point]
-        return next((j for j in met if j != i and not used[j]), None) if len(met) == 2 else None
-
-    out = []
-    for i in range(len(lines)):
-        if used[i]:
-            continue
-        used[i] = True
-        parts, n = [lines[i]], weights[i]
-        if tuple(lines[i][0]) != tuple(lines[i][-1]):
-            for forward in (True, False):
-                at, j = (tuple(lines[i][-1]) if forward else tuple(lines[i][0])), i
-                while (k := onward(at, j)) is not None:
-                    used[k], j, n = True, k, n + weights[k]
-                    piece = lines[k] if (tuple(lines[k][0]) == at) == forward else lines[k][::-1]
-                    parts = [*parts, piece] if forward else [piece, *parts]
-                    at = tuple(piece[-1]) if forward else tuple(piece[0])
-        out.append((np.vstack([parts[0], *[p[1:] for p in parts[1:]]]), n))
-    return out
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(int)
+    flat = Lines(np.zeros(len(lines), int), np.array(weights, np.int64), np.zeros(len(lines), bool), at, np.concatenate(lines))
+    out = flat.chained(flat.size > 1)
+    return [(out.xy[out.at[i] : out.at[i + 1]], int(out.n[i])) for i in range(len(out.n))]
 
 
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:

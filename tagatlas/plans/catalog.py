@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagatlas.functions import tags, tiles, urls, zoom
 from tagatlas.operators import directory, elements, features, merge, routes, service, styles
 from tagatlas.operators.comfort import ATTRIBUTES
-from tagatlas.plans import oracle, views
+from tagatlas.plans import map_build, oracle, views
 
 MAX_ZOOM = 14
 OUTLINE = [c for c in ATTRIBUTES if c not in ("website", "opening_date")]
@@ -69,10 +69,10 @@ def min_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the tiles of levels 6 to 10, merged; no SQL: tests compare with merging in one go."""
-    rows = features.in_tiles(features.lines(views.placed_ways(spark, sf_dir)), 10)
-    out = merge.merge_lines(rows, ["comfort", "oneway", "class"])
-    return out.select("z", "x", "y", "comfort", "oneway", "class", "n_lines", F.size("geom").alias("n_points"))
+    """Lines of the tiles of all levels, merged by all that the map build keeps apart."""
+    ways = routes.with_routes(views.placed_ways(spark, sf_dir), views.relations(spark, sf_dir), views.members(spark, sf_dir))
+    out = merge.merge_lines(features.in_tiles(features.lines(ways), MAX_ZOOM), map_build.LOOK)
+    return out.select("z", "x", "y", *OUTLINE, *features.DETAILS, "n_lines", F.size("geom").alias("n_points"))
 
 
 def style_cycling_layers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,27 @@ def test_two_steps_give_what_one_gives(spark):
     assert all(r[6] == 1 for r in got[32] if r[4] == 1)
 
 
+def test_cells_change_nothing_on_a_random_net(spark):
+    rnd = np.random.default_rng(3)
+    rows = []
+    for k in range(500):
+        p = rnd.integers(0, 24, 2)
+        points = [p]
+        for _ in range(int(rnd.integers(1, 4))):
+            points.append(points[-1] + [(0, 1), (1, 0), (0, -1), (-1, 0)][int(rnd.integers(4))])
+        look = int(rnd.integers(3))
+        rows.append((9, 1, 1, "cycling", look, 1 if k % 11 == 0 else 0, k, [(float(x), float(y)) for x, y in points]))
+    tiles = spark.createDataFrame(rows, "z int, x long, y long, layer string, look int, oneway int, osm_id long, geom array<struct<x: double, y: double>>")
+    got = {}
+    for cell in (3, 7, 10**9):
+        out = merge.merge_lines(tiles, ["look"], tolerance_px=0, cell_px=cell).collect()
+        got[cell] = sorted((r.look, r.n_lines, min(tuple((p.x, p.y) for p in r.geom), tuple((p.x, p.y) for p in reversed(r.geom)))) for r in out)
+    # a ring may begin anywhere, so its points aren't compared
+    slim = lambda g: sorted(((look, n, () if p[0] == p[-1] else p) for look, n, p in g), key=str)
+    assert len(slim(got[3])) == len(got[10**9]) > 50
+    assert slim(got[3]) == slim(got[7]) == slim(got[10**9])
+
+
 def test_short_lines_go_only_at_low_levels(spark):
     geom = "array(named_struct('x', -123.0D, 'y', 49.0D), named_struct('x', -122.9999D, 'y', 49.0D))"
     ways = spark.sql(f"SELECT 1L AS way_id, map('highway', 'cycleway') AS tags, {geom} AS geom")
