@@ -104,10 +104,22 @@ def in_tiles(features: DataFrame, max_zoom: int, from_zoom: int = 0) -> DataFram
         return F.flatten(F.transform(span(a.x, b.x), lambda x: F.transform(span(a.y, b.y), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
     legs = F.sequence(F.lit(0), F.greatest(F.size("geom") - 2, F.lit(0)))
-    rows = rows.withColumn("_t", F.explode(F.array_distinct(F.flatten(F.transform(legs, met))))).withColumns({"x": F.col("_t.x"), "y": F.col("_t.y")}).drop("_t")
+    # most features are in one tile, or have one leg: then nothing is tried leg by leg
+    a, b = F.col("geom")[0], F.element_at("geom", -1)
+    ends = {}
+    for c in "xy":
+        low, high = F.least(a[c], b[c]) * side - margin, F.greatest(a[c], b[c]) * side + margin
+        ends |= {f"_{c}0": F.greatest(F.floor(low).cast("bigint"), F.lit(0).cast("bigint")), f"_{c}1": F.least(F.floor(high).cast("bigint"), side.cast("bigint") - 1)}
+    one = F.array(F.struct(F.col("_x0").alias("x"), F.col("_y0").alias("y")))
+    some = F.flatten(F.transform(F.sequence("_x0", "_x1"), lambda x: F.transform(F.sequence("_y0", "_y1"), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    short = F.when((F.col("_x0") > F.col("_x1")) | (F.col("_y0") > F.col("_y1")), F.filter(one, lambda t: F.lit(False))).when((F.col("_x0") == F.col("_x1")) & (F.col("_y0") == F.col("_y1")), one).otherwise(some)
+    tiles = F.when(F.size("geom") <= 2, short).otherwise(F.array_distinct(F.flatten(F.transform(legs, met))))
+    rows = rows.withColumns(ends).withColumn("_t", F.explode(tiles)).withColumns({"x": F.col("_t.x"), "y": F.col("_t.y")}).drop("_t", *ends)
     # of a long way only the legs from the first to the last that the tile may meet
     inside = lambda a, b, at: (F.floor(F.least(a, b) * side - margin) <= F.col(at)) & (F.floor(F.greatest(a, b) * side + margin) >= F.col(at))
     here = F.filter(legs, lambda i: inside(F.col("geom")[i].x, F.col("geom")[i + 1].x, "x") & inside(F.col("geom")[i].y, F.col("geom")[i + 1].y, "y"))
-    rows = rows.withColumn("_h", F.when(F.size("geom") > 2, here)).withColumn("geom", F.when(F.size("_h") > 0, F.slice("geom", F.col("_h")[0] + 1, F.element_at("_h", -1) - F.col("_h")[0] + 2)).otherwise(F.col("geom"))).drop("_h")
+    here = F.when(F.size("geom") > 2, here)
+    rows = rows.withColumn("_h", here).withColumn("geom", F.when(F.size("_h") > 0, F.slice("geom", F.col("_h")[0] + 1, F.element_at("_h", -1) - F.col("_h")[0] + 2)).otherwise(F.col("geom"))).drop("_h")
     pixel = lambda p: F.struct(((p.x * side - F.col("x")) * TILE_PX).alias("x"), ((p.y * side - F.col("y")) * TILE_PX).alias("y"))
-    return rows.withColumn("geom", F.transform("geom", pixel))
+    pixels = F.when(F.size("geom") == 2, F.array(pixel(F.col("geom")[0]), pixel(F.col("geom")[1]))).otherwise(F.transform("geom", pixel))
+    return rows.withColumn("geom", pixels)

@@ -53,9 +53,10 @@ def merge_lines(tiles: DataFrame, attributes: list[str], tolerance_px: float = 0
     whole, stub = entry("_cx", "_cy", 1, leaves, F.col("points")), entry("_lx", "_ly", 0, F.lit(False), F.slice("points", -2, 2))
     rows = rows.select(*keys, F.explode(F.when(leaves, F.array(whole, stub)).otherwise(F.array(whole))).alias("_e")).select(*keys, "_e.*")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    near = rows.groupBy(*keys, "_cx", "_cy").agg(F.collect_list("line").alias("lines")).drop("_cx", "_cy")
+    # groups are sorted by a hash first, which tells most of them apart at once
+    near = rows.groupBy(F.xxhash64(*keys, "_cx", "_cy").alias("_h"), *keys, "_cx", "_cy").agg(F.collect_list("line").alias("lines")).drop("_h", "_cx", "_cy")
     near = near.mapInArrow(_by_cell(keys), f"{fields}, own bigint, line struct<n_lines: bigint, waits: boolean, points: array<double>>")
-    drawn = near.groupBy(*keys, "own").agg(F.collect_list("line").alias("lines")).drop("own")
+    drawn = near.groupBy(F.xxhash64(*keys, "own").alias("_h"), *keys, "own").agg(F.collect_list("line").alias("lines")).drop("_h", "own")
     out = [k for k in keys if k != "no_merge"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*out).schema)
     return drawn.mapInArrow(_by_tile(out, tolerance_px, buffer_px), f"{fields}, n_lines bigint, geom array<struct<x: double, y: double>>")
