@@ -86,4 +86,6 @@ def tile_xy(lon: Column, lat: Column, z: Column) -> Column:
 def little_endian(data: Column, start: int | Column, length: int) -> Column:
     """Unsigned whole number of up to 7 bytes from binary data; start counts from 0."""
     part = F.substring(data, (F.lit(start) + 1).cast("int"), F.lit(length)) if isinstance(start, Column) else F.substring(data, start + 1, length)
-    return F.when(F.length(part) == length, F.conv(F.hex(F.reverse(part)), 16, 10).cast("bigint"))
+    # F.reverse takes bytes for characters, of which some are longer than a byte
+    digits = F.hex(part)
+    return F.when(F.length(part) == length, F.conv(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(length))]), 16, 10).cast("bigint"))

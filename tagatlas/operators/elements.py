@@ -60,3 +60,8 @@ def way_box(ways: DataFrame) -> DataFrame:
         F.when(on("shared_with_pedestrians"), "shared with pedestrians"), F.when(F.abs("oneway") == 1, "one way"), where,
     ))
     return ways.withColumns({"title": title, "badges": badges})
+
+
+def with_state(features: DataFrame, state: DataFrame) -> DataFrame:
+    """Features with the state (selected, hover) that state, one row an osm_id, has of them; NULL for those it doesn't know."""
+    return features.drop("selected", "hover").join(state.select("osm_id", "selected", "hover"), "osm_id", "left")

@@ -11,6 +11,8 @@ from tagatlas.functions import tags, tiles, urls, zoom
 from tagatlas.operators import directory, elements, features, merge, routes, service, styles
 from tagatlas.operators.comfort import ATTRIBUTES
 from tagatlas.plans import map_build, oracle, views
+from tagatlas.sources.files import shared_folder
+from tagatlas.sources.tile_archive import TileArchive, blob, legacy_directories, legacy_entries
 
 MAX_ZOOM = 14
 OUTLINE = [c for c in ATTRIBUTES if c not in ("website", "opening_date")]
@@ -222,10 +224,118 @@ def size_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "part").select("p_partkey", service.size_estimates(F.col("p_partkey") * 1000003).alias("e")).select("p_partkey", "e.*")
 
 
+def _archive(spark: SparkSession, sf_dir: str, **options: object) -> str:
+    """A folder with an archive of the tiles of level 6 that have events; four neighbouring ids share their data."""
+    spark.dataSource.register(TileArchive)
+    data = F.concat(F.lit("tile "), F.expr("CAST(tile_id div 4 AS STRING)")).cast("binary")
+    out = shared_folder(spark, "archive")
+    map_build.write_archive(views.tile_places(spark, sf_dir).select("tile_id", data.alias("data")), out, parts=1, metadata='{"name": "Events", "description": "Tiles with events", "attribution": "nobody", "version": "1"}', **options)
+    return out
+
+
+def _read_archive(spark: SparkSession, folder: str, what: str) -> DataFrame:
+    return spark.read.format("tile_archive").option("what", what).load(folder)
+
+
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles written as a compressed archive and read back."""
+    return _read_archive(spark, _archive(spark, sf_dir), "tiles").select("tile_id", F.decode("data", "UTF-8").alias("data"))
+
+
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_archive(spark, _archive(spark, sf_dir, tile_compression=1), "entries").select("tile_id", "run_length", "offset", "length")
+
+
+def archive_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read_archive(spark, _archive(spark, sf_dir, tile_compression=1, min_lon=-140, max_lat=60.5, center_zoom=6), "headers")
+    about = [F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("name", "description", "attribution")]
+    return rows.select("version", "addressed_tiles", "tile_entries", "tile_contents", "tile_type", "tile_compression", "min_zoom", "max_zoom", "min_lon", "max_lat", "center_zoom", "data_length", *about)
+
+
+def archive_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests answered from an archive: the entry by a range lookup, then its bytes."""
+    folder = _archive(spark, sf_dir)
+    entries = _read_archive(spark, folder, "entries").where("run_length > 0")
+    name = entries.select("archive").first()
+    asked = _asked(spark, sf_dir).withColumn("archive", F.lit(name[0] if name else None))
+    found = directory.range_lookup(asked, entries.select("archive", "tile_id", "run_length", "offset", "length"))
+    return found.select("event_id", "tile_id", F.decode(blob(folder, F.when(F.col("offset").isNotNull(), F.col("archive")), F.col("offset"), F.col("length")), "UTF-8").alias("data"))
+
+
+def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.event_tiles(spark, sf_dir).select("x14", "y14").distinct()
+    rows = rows.selectExpr("shiftright(x14, 7) * 128 + shiftright(y14, 7) AS directory", "14 AS z", "x14 AS x", "y14 AS y", "x14 % 5 = 0 AS is_dir", "281474976000000 + x14 AS offset", "CAST(y14 + 1 AS BIGINT) AS length")
+    return legacy_entries(legacy_directories(rows))
+
+
+def archive_legacy_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories of the old format, packed and read back."""
+    return _legacy(spark, sf_dir)
+
+
+def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'maps/{name}/v1/{name}.pmtiles' WHEN 1 THEN '' END")
+    return views.read(spark, sf_dir, "part").select("p_partkey", urls.archive_path(F.col("p_name"), template).alias("path"))
+
+
+def allowed_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last allowed origin that fits each request's host."""
+    origin = F.regexp_extract("url", "^(https?://[^/?#]*)", 1)
+    allowed = F.expr("CASE page_id % 4 WHEN 0 THEN 'https://a.example,*' WHEN 1 THEN '' WHEN 2 THEN concat('https://b.example,', regexp_extract(url, '^(https?://[^/?#]*)', 1)) END")
+    return views.read(spark, sf_dir, "pages").select("page_id", urls.allowed_origin(origin, allowed).alias("origin"))
+
+
+def view_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "events").selectExpr("event_id", "5 + (event_id % 60) * 0.25D AS zoom", "-140 + (user_id % 100) * 0.25D AS lng", "47 + (event_id % 52) * 0.25D AS lat")
+    return rows.select("event_id", urls.view_query(F.col("zoom"), F.col("lng"), F.col("lat")).alias("query"))
+
+
+def tile_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses that a map draws from, and whether one is an archive's."""
+    setting = F.expr("CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('https://t.example/', n_name) END")
+    base, other = urls.tile_source(setting, "pmtiles://base.pmtiles"), urls.tile_source(F.concat(F.lit("https://c.example/"), "n_name"), "none")
+    return views.read(spark, sf_dir, "nation").select("n_nationkey", base.alias("base"), urls.reads_archives(F.array(base, other)).alias("archives"))
+
+
+def split_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds such as "-123, 49.5,x,7" as numbers, and the whole number that a text begins with."""
+    text = F.expr("concat(CAST(-100 - event_id % 50 AS STRING), ', ', CAST(user_id % 90 AS STRING), '.5,', CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id AS STRING) END)")
+    n = urls.numbers(text)
+    return views.read(spark, sf_dir, "events").select("event_id", *[n[i].alias(f"n{i}") for i in range(3)], F.size(n).alias("size"), tags.leading_integer(text).alias("leading"))
+
+
+def little_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.unhex(F.lpad(F.hex(F.col("event_id") * 65537), 14, "0"))
+    return views.read(spark, sf_dir, "events").select("event_id", *[tiles.little_endian(data, at, n).alias(f"at{at}_{n}") for at, n in ((0, 3), (1, 6), (0, 7), (4, 3))])
+
+
+def present_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags without missing values: how many are left, and their keys."""
+    made = F.create_map(*[x for k, sql in views.EVENT_TAGS.items() for x in (F.lit(k), F.expr(sql))])
+    kept = tags.without_nulls(made)
+    return views.read(spark, sf_dir, "events").select("event_id", F.size(kept).alias("n_tags"), F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("keys"))
+
+
+def clicked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each click on a tile the feature drawn last there, at the levels where a click counts."""
+    hits = style_cycling_layers(spark, sf_dir).selectExpr("*", "osm_id % 97 AS click", "CASE WHEN kind = 'line' THEN 'way' ELSE kind END AS feature_type")
+    return styles.top_hit(hits, "click").select("click", "style_layer", "feature_type", "osm_id")
+
+
+def feature_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour under pointer or selection, the arrow's rotation and the name's label; the state comes by a left join."""
+    rows = _lines(spark, sf_dir)
+    state = views.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS osm_id", "CASE WHEN o_custkey % 50 = 0 THEN true END AS selected", "o_custkey % 70 = 1 AS hover").where("o_orderkey % 3 <> 0")
+    marked = elements.with_state(rows, state)
+    color = styles.marked_color(F.lit("green"), F.col("selected"), F.col("hover"))
+    return marked.select("osm_id", color.alias("color"), styles.arrow_rotation(F.col("oneway")).alias("rotation"), styles.label("{name} {surface}", marked, upper=True).alias("label"))
+
+
 QUERIES = [
     classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
     style_cycling_layers, style_walking_layers, style_basemap_layers, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
     directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
+    archive_round_trip, archive_entries, archive_headers, archive_blobs, archive_legacy_entries, archive_paths, allowed_origins, view_queries, tile_sources, split_numbers, little_endian, present_tags, clicked_features, feature_marks,
     url_view_state, tilejson_fields, area_slug, parking_coerce, other_tags_keys, parking_box, osm_point_lookup, way_badges, size_estimates,
 ]
 

@@ -65,7 +65,10 @@ def _unpacked(f: dict) -> tuple:
     return f["kind"], None if f["id"] is None or pd.isna(f["id"]) else int(f["id"]), json.loads(f["attributes"]), list(zip(flat[::2], flat[1::2]))
 
 
-def write_archive(built: DataFrame, folder: str, parts: int = 1, **options: object) -> None:
-    """Writes tiles as archives of ascending ranges of ids, one for each part; sources.tile_archive must be registered."""
-    ordered = built.select("tile_id", "data").repartitionByRange(parts, "tile_id").sortWithinPartitions("tile_id")
+def write_archive(built: DataFrame, folder: str, parts: int | None = None, **options: object) -> None:
+    """Writes tiles as archives of ascending ranges of ids, one for each part; sources.tile_archive must be registered.
+
+    Without a number, parts are as many as a shuffle has, less where Spark finds them small."""
+    rows = built.select("tile_id", "data")
+    ordered = (rows.repartitionByRange("tile_id") if parts is None else rows.repartitionByRange(parts, "tile_id")).sortWithinPartitions("tile_id")
     ordered.write.format("tile_archive").options(**options).mode("append").save(folder)

@@ -182,3 +182,25 @@ marked AS (SELECT *, CASE WHEN oneway = 1 THEN osm_id END AS apart, osm_id - row
 merged AS (SELECT z, x, y, {ATTRIBUTES}, name, surface, routes, count(*) AS n_lines, (max(x1) - min(x0)) * any_value(scale) * 256 AS pixels FROM marked GROUP BY z, x, y, {ATTRIBUTES}, name, surface, routes, apart, osm_id // 8, island)
 SELECT z, x, y, {ATTRIBUTES}, name, surface, routes, n_lines, 2 AS n_points FROM merged
 WHERE pixels * {EQUATOR_M} / (256 * power(2.0, z) * cosh(pi() * (1 - 2 * (y + 0.5) / power(2.0, z)))) >= CASE z WHEN 6 THEN 100 WHEN 7 THEN 50 ELSE 0 END"""
+_BLOBS = f"""WITH RECURSIVE {PLACES}, blobs AS (SELECT tile_id, concat('tile ', tile_id // 4) AS data FROM ids), firsts AS (SELECT data, min(tile_id) AS first, length(data) AS n FROM blobs GROUP BY data),
+placed AS (SELECT data, n, CAST(coalesce(sum(n) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM firsts),
+isles AS (SELECT tile_id, data, tile_id - row_number() OVER (PARTITION BY data ORDER BY tile_id) AS g FROM blobs)"""
+SQL["archive_round_trip"] = f"{_BLOBS} SELECT tile_id, data FROM blobs"
+SQL["archive_entries"] = f'{_BLOBS} SELECT min(tile_id) AS tile_id, count(*) AS run_length, place AS "offset", n AS length FROM isles JOIN placed USING (data) GROUP BY data, g, place, n'
+SQL["archive_headers"] = f"""{_BLOBS} SELECT 3 AS version, (SELECT count(*) FROM blobs) AS addressed_tiles, (SELECT count(*) FROM (SELECT DISTINCT data, g FROM isles)) AS tile_entries, (SELECT count(*) FROM firsts) AS tile_contents,
+ 1 AS tile_type, 1 AS tile_compression, 6 AS min_zoom, 6 AS max_zoom, CAST(-140 AS DOUBLE) AS min_lon, CAST(60.5 AS DOUBLE) AS max_lat, 6 AS center_zoom, (SELECT CAST(sum(n) AS BIGINT) FROM firsts) AS data_length, 'Events' AS name, 'Tiles with events' AS description, 'nobody' AS attribution"""
+SQL["archive_blobs"] = f"{_BLOBS}, asked AS (SELECT event_id, 1365 + (event_id * 7919 + user_id) % 4096 AS tile_id FROM events) SELECT event_id, a.tile_id, data FROM asked a LEFT JOIN blobs b ON a.tile_id = b.tile_id"
+SQL["archive_legacy_entries"] = f"""WITH {TILES}, d AS (SELECT DISTINCT x14, y14, (x14 // 128) * 128 + y14 // 128 AS directory FROM tiles)
+SELECT directory, CAST(row_number() OVER (PARTITION BY directory ORDER BY x14 % 5 = 0, x14, y14) - 1 AS INT) AS place, 14 AS z, x14 AS x, y14 AS y, x14 % 5 = 0 AS is_dir, 281474976000000 + x14 AS "offset", y14 + 1 AS length FROM d"""
+SQL["archive_paths"] = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('maps/', p_name, '/v1/', p_name, '.pmtiles') ELSE p_name || '.pmtiles' END AS path FROM part"
+SQL["allowed_origins"] = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '*' WHEN 2 THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) END AS origin FROM pages"
+SQL["view_queries"] = "SELECT event_id, printf('zoom=%.4f&lng=%.10f&lat=%.10f', CAST(5 + (event_id % 60) * 0.25 AS DOUBLE), CAST(-140 + (user_id % 100) * 0.25 AS DOUBLE), CAST(47 + (event_id % 52) * 0.25 AS DOUBLE)) AS query FROM events"
+SQL["tile_sources"] = "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 1 THEN 'https://t.example/' || n_name ELSE 'pmtiles://base.pmtiles' END AS base, n_nationkey % 3 <> 1 AS archives FROM nation"
+SQL["split_numbers"] = "SELECT event_id, CAST(-100 - event_id % 50 AS DOUBLE) AS n0, CAST(user_id % 90 + 0.5 AS DOUBLE) AS n1, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS DOUBLE) END AS n2, 3 AS size, -100 - event_id % 50 AS leading FROM events"
+_BYTE = "((event_id * 65537) >> (8 * (6 - {i}))) & 255"
+SQL["little_endian"] = "SELECT event_id, " + ", ".join("CAST(" + " + ".join(f"(({_BYTE.format(i=at + i)}) << {8 * i})" for i in range(n)) + f" AS BIGINT) AS at{at}_{n}" for at, n in ((0, 3), (1, 6), (0, 7), (4, 3))) + " FROM events"
+SQL["present_tags"] = f"WITH {ELEMENTS}, t AS (SELECT osm_id, list_sort(list_filter([" + ", ".join(f"""CASE WHEN "{k}" IS NOT NULL THEN '{k}' END""" for k in views.EVENT_TAGS) + "], lambda k: k IS NOT NULL)) AS k FROM elements) SELECT osm_id AS event_id, CAST(len(k) AS INT) AS n_tags, array_to_string(k, ',') AS keys FROM t"
+SQL["clicked_features"] = f"""WITH hits AS (SELECT *, osm_id % 97 AS click, CASE WHEN kind = 'line' THEN 'way' ELSE kind END AS feature_type FROM ({SQL["style_cycling_layers"]}) WHERE z >= 13 AND style_layer IN ({", ".join(f"'{c}'" for c in styles.CLICKABLE)}))
+SELECT click, style_layer, feature_type, osm_id FROM (SELECT *, row_number() OVER (PARTITION BY click ORDER BY layer_ord DESC, osm_id DESC, z) AS r FROM hits) WHERE r = 1"""
+SQL["feature_marks"] = f"""WITH {LINES} SELECT osm_id, CASE WHEN osm_id % 3 <> 0 AND (o_custkey % 50 = 0 OR o_custkey % 70 = 1) THEN '{styles.MARKED_COLOR}' ELSE 'green' END AS color, CASE WHEN oneway = 1 THEN 90 ELSE 270 END AS rotation,
+ upper(concat(coalesce(name, ''), ' ', coalesce(surface, ''))) AS label FROM lines JOIN orders ON o_orderkey = osm_id"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyarrow.fs
 
 
@@ -40,3 +43,13 @@ class Ranges:
 
     def __exit__(self, *_: object) -> None:
         self.file.close()
+
+
+def shared_folder(spark, what: str) -> str:
+    """A fresh path that driver and executors reach: under spark.checkpoint.dir; a local one only where it is unset and the master is local."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="tagatlas-")
+    return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
@@ -97,6 +97,30 @@ def blob(folder: str, archive: Column, offset: Column, length: Column) -> Column
     return read(archive, offset, length)
 
 
+def legacy_directories(entries: DataFrame) -> DataFrame:
+    """directory and data (binary) of the old format from rows directory, z, x, y, is_dir, offset, length: one record each, in the old order.
+
+    A directory is one blob, which readers hold whole, and so one row."""
+
+    @F.pandas_udf("binary")
+    def packed(groups: pd.Series) -> pd.Series:
+        return pd.Series([fmt.packed_legacy_directory([tuple(e[c] for c in ("z", "x", "y", "is_dir", "offset", "length")) for e in g]) for g in groups], dtype=object)
+
+    rows = entries.groupBy("directory").agg(F.collect_list(F.struct("z", "x", "y", "is_dir", "offset", "length")).alias("_e"))
+    return rows.select("directory", packed("_e").alias("data"))
+
+
+def legacy_entries(directories: DataFrame) -> DataFrame:
+    """Rows directory, place (from 0), z, x, y, is_dir, offset, length of directories (directory, data) of the old format."""
+
+    @F.pandas_udf("array<struct<z:int,x:bigint,y:bigint,is_dir:boolean,offset:bigint,length:bigint>>")
+    def read(blobs: pd.Series) -> pd.Series:
+        names = ("z", "x", "y", "is_dir", "offset", "length")
+        return pd.Series([[dict(zip(names, e)) for e in fmt.legacy_directory(bytes(b))] for b in blobs], dtype=object)
+
+    return directories.select("directory", F.posexplode(read("data")).alias("place", "_e")).select("directory", "place", "_e.*")
+
+
 def archive_name(path: str) -> str:
     return path.rsplit("/", 1)[-1].removesuffix(ENDING)
 
