@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
+from tagatlas.functions.zoom import interpolated, stepped
+
 #: The geometry type that a filter calls $type, by kind of feature.
 GEOMETRY = {"line": "LineString", "point": "Point", "centroid": "Point", "polygon": "Polygon"}
 
@@ -89,6 +91,19 @@ WIDTHS = {
     "cycling_path_3_inner": [(0, 2)], "cycling_path_2": [(10, 3), (16, 6)], "cycling_path_1": [(10, 2), (16, 4)],
 }
 ARROW_OPACITY = [(1, 0.0), (14, 0.0), (15, 0.9)]
+#: What the cycling layers are painted with. Numbers by zoom are stops (level, value); a marked colour gives way to a selected feature's.
+PAINT = {
+    "cycling_path_construction": {"color": "rgba(226, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_construction"], "dash": [(0, "0.4,1")], "cap": "butt"},
+    "cycling_path_4": {"color": "rgba(26, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_4"], "cap": "round"},
+    "cycling_path_3": {"color": "rgba(26, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_3"], "cap": "round"},
+    "cycling_path_3_inner": {"color": "rgba(255, 255, 255, 0.6)", "width": WIDTHS["cycling_path_3_inner"], "dash": [(0, "2,4")], "cap": "round"},
+    "cycling_path_2": {"color": "rgba(26, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_2"], "dash": [(0, "1"), (12, "0.4,1.4")], "cap": "round"},
+    "cycling_path_1": {"color": "rgba(26, 50, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_1"], "dash": [(0, "0.3,2")], "cap": "round"},
+    "cycling_path_oneway_arrows_white": {"icon": "chevron-white", "size": [(0, 0.6)], "opacity": ARROW_OPACITY, "rotate": 90},
+    "cycling_path_oneway_arrows_green": {"icon": "chevron-green", "size": [(0, 0.8)], "opacity": ARROW_OPACITY, "rotate": "oneway"},
+    "cycling_path_name": {"color": "rgba(24, 79, 19, 1)", "label": "{name}", "upper": True, "size": [(0, 10)], "halo": "rgba(231, 231, 131, 0.72)"},
+    "bike_parking_point": {"color": "rgba(231, 231, 131, 0.72)", "size": [(8, 1), (12, 1), (16, 3)], "stroke": "rgba(26, 109, 35, 1)", "width": [(8, 0.5), (12, 0.5), (16, 2)], "opacity": [(12, 0), (14, 0.5), (16, 0.8)]},
+}
 MARKED_COLOR = "rgba(200, 100, 100, 1)"
 
 
@@ -147,6 +162,61 @@ def drawn(features: DataFrame, layers: list[tuple]) -> DataFrame:
     return features.withColumn("_m", F.explode(F.array_compact(F.array(*marks)))).select(*[c for c in features.columns if c not in ("layer_ord", "style_layer")], "_m.*")
 
 
+def drawn_to(features: DataFrame, layers: list[tuple], max_zoom: int, details: tuple[str, ...] = (), detail_zoom: int = 0) -> DataFrame:
+    """What drawn() gives for features at each level from min_zoom to max_zoom, where details are hidden below detail_zoom.
+
+    Conditions don't depend on the level but for details, so each feature is tested once, or twice where a layer asks for a detail; what
+    is made for each level is only what is drawn there. Details stay as they are."""
+    bare = [c for c in details if c in features.columns]
+    marks = []
+    for i, (name, source, low, high, tests) in enumerate(layers):
+        if source is None:
+            continue
+        first, last = F.greatest("min_zoom", F.lit(low or 0)), F.lit(min(max_zoom, high - 1) if high is not None else max_zoom)
+        here = F.coalesce(F.col("layer") == source, F.lit(False))
+        entry = lambda test, a, b: F.when(here & test & (a <= b), F.struct(F.lit(i).alias("layer_ord"), F.lit(name).alias("style_layer"), a.alias("_from"), b.alias("_to")))  # noqa: B023, E731
+        own = condition(["all", *tests], features)
+        if any(c in repr(tests) for c in bare):
+            lines = F.col("kind") == "line"
+            marks.append(entry(F.when(lines, _without(tests, features, bare)).otherwise(own), first, F.least(last, F.lit(detail_zoom - 1))))
+            marks.append(entry(own, F.greatest(first, F.lit(detail_zoom)), last))
+        else:
+            marks.append(entry(own, first, last))
+    rows = features.withColumn("_m", F.explode(F.array_compact(F.array(*marks))))
+    rows = rows.select(*[c for c in features.columns if c not in ("layer_ord", "style_layer", "z")], "_m.*")
+    return rows.withColumn("z", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+
+
+def _without(tests: list, features: DataFrame, missing: list[str]) -> Column:
+    """The tests where some attributes are missing."""
+    return condition(["all", *tests], features.drop(*missing))
+
+
+def _by_layer(value, layers: dict[str, dict], kind: str) -> Column:
+    out = F.lit(None).cast(kind)
+    for name, paint in layers.items():
+        got = value(paint)
+        out = out if got is None else F.when(F.col("style_layer") == name, got.cast(kind)).otherwise(out)
+    return out
+
+
+def painted(rows: DataFrame, layers: dict[str, dict] = PAINT) -> DataFrame:
+    """Rows of drawn() with color, stroke, width, size, opacity, dash, cap, icon, rotation, halo and label; NULL where a layer has none.
+
+    selected and hover, where rows have them, mark a feature."""
+    z = F.col("z").cast("double")
+    state = [F.col(c) if c in rows.columns else F.lit(False) for c in ("selected", "hover")]
+    number = lambda key: _by_layer(lambda p: interpolated(z, p[key]) if key in p else None, layers, "double")
+    text = lambda key: _by_layer(lambda p: F.lit(p[key]) if key in p else None, layers, "string")
+    color = lambda key, marks: _by_layer(lambda p: None if key not in p else marked_color(F.lit(p[key]), *state) if marks(p) else F.lit(p[key]), layers, "string")
+    return rows.withColumns({
+        "color": color("color", lambda p: p.get("marked")), "stroke": color("stroke", lambda p: True), "width": number("width"), "size": number("size"), "opacity": number("opacity"),
+        "dash": _by_layer(lambda p: stepped(F.col("z"), p["dash"]) if "dash" in p else None, layers, "string"), "cap": text("cap"), "icon": text("icon"), "halo": text("halo"),
+        "rotation": _by_layer(lambda p: None if "rotate" not in p else arrow_rotation(F.col("oneway")) if p["rotate"] == "oneway" else F.lit(p["rotate"]), layers, "int"),
+        "label": _by_layer(lambda p: label(p["label"], rows, p.get("upper", False)) if "label" in p else None, layers, "string"),
+    })
+
+
 def top_hit(hits: DataFrame, click: str) -> DataFrame:
     """For each click the feature drawn last among those that can be met, at zoom 13 and above."""
     able = hits.where(F.col("style_layer").isin(*CLICKABLE) & (F.col("z") >= CLICK_ZOOM))

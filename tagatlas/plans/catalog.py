@@ -78,8 +78,19 @@ def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_cycling_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.at_zooms(features.all_features(_lines(spark, sf_dir), _parking(spark, sf_dir)), MAX_ZOOM)
-    return styles.drawn(rows, styles.CYCLING).select("kind", "osm_id", "z", "layer_ord", "style_layer")
+    return _cycling(spark, sf_dir).select("kind", "osm_id", "z", "layer_ord", "style_layer")
+
+
+def _cycling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.all_features(_lines(spark, sf_dir), _parking(spark, sf_dir))
+    return styles.drawn_to(rows, styles.CYCLING, MAX_ZOOM, features.DETAILS, features.DETAIL_ZOOM)
+
+
+def style_cycling_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every feature is painted with in every layer and level; each 50th is selected."""
+    got = styles.painted(_cycling(spark, sf_dir).withColumns({"selected": F.expr("osm_id % 50 = 0"), "hover": F.expr("CASE WHEN osm_id % 70 = 1 THEN true END")}))
+    numbers = [F.round(c, 6).alias(c) for c in ("width", "size", "opacity")]
+    return got.select("kind", "osm_id", "z", "style_layer", "color", "stroke", *numbers, "dash", "cap", "icon", "halo", "rotation", "label")
 
 
 def style_walking_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +344,7 @@ def feature_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
-    style_cycling_layers, style_walking_layers, style_basemap_layers, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
+    style_cycling_layers, style_cycling_paint, style_walking_layers, style_basemap_layers, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
     directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
     archive_round_trip, archive_entries, archive_headers, archive_blobs, archive_legacy_entries, archive_paths, allowed_origins, view_queries, tile_sources, split_numbers, little_endian, present_tags, clicked_features, feature_marks,
     url_view_state, tilejson_fields, area_slug, parking_coerce, other_tags_keys, parking_box, osm_point_lookup, way_badges, size_estimates,

@@ -204,3 +204,21 @@ SQL["clicked_features"] = f"""WITH hits AS (SELECT *, osm_id % 97 AS click, CASE
 SELECT click, style_layer, feature_type, osm_id FROM (SELECT *, row_number() OVER (PARTITION BY click ORDER BY layer_ord DESC, osm_id DESC, z) AS r FROM hits) WHERE r = 1"""
 SQL["feature_marks"] = f"""WITH {LINES} SELECT osm_id, CASE WHEN osm_id % 3 <> 0 AND (o_custkey % 50 = 0 OR o_custkey % 70 = 1) THEN '{styles.MARKED_COLOR}' ELSE 'green' END AS color, CASE WHEN oneway = 1 THEN 90 ELSE 270 END AS rotation,
  upper(concat(coalesce(name, ''), ' ', coalesce(surface, ''))) AS label FROM lines JOIN orders ON o_orderkey = osm_id"""
+
+
+def _paint(key: str, spell) -> str:
+    return "CASE " + " ".join(f"WHEN style_layer = '{name}' THEN {spell(p[key], p)}" for name, p in styles.PAINT.items() if key in p) + " END"
+
+
+def _mark(color: str, marks: bool) -> str:
+    return f"CASE WHEN osm_id % 50 = 0 OR osm_id % 70 = 1 THEN '{styles.MARKED_COLOR}' ELSE '{color}' END" if marks else f"'{color}'"
+
+
+def _dash(stops: list, _: dict) -> str:
+    return "CASE " + " ".join(f"WHEN z >= {at} THEN '{v}'" for at, v in reversed(stops)) + " END"
+
+
+_word, _number = lambda v, _: f"'{v}'", lambda v, _: f"CAST({_interpolate(v, 1)} AS DOUBLE)"
+SQL["style_cycling_paint"] = f"""SELECT kind, osm_id, z, style_layer, {_paint("color", lambda v, p: _mark(v, bool(p.get("marked"))))} AS color, {_paint("stroke", lambda v, p: _mark(v, True))} AS stroke,
+ {", ".join(f"round({_paint(k, _number)}, 6) AS {k}" for k in ("width", "size", "opacity"))}, {_paint("dash", _dash)} AS dash, {", ".join(f"{_paint(k, _word)} AS {k}" for k in ("cap", "icon", "halo"))},
+ {_paint("rotate", lambda v, _: "CASE WHEN oneway = 1 THEN 90 ELSE 270 END" if v == "oneway" else str(v))} AS rotation, {_paint("label", lambda v, p: "upper(coalesce(name, ''))")} AS label FROM ({SQL["style_cycling_layers"].replace("kind, osm_id, z,", "kind, osm_id, name, oneway, z,")})"""
