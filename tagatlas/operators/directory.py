@@ -113,12 +113,18 @@ def asof_lookup(requests: DataFrame, entries: DataFrame, block_bits: int = 12) -
 def numbered(rows: DataFrame, block: list[str], within: list[str]) -> DataFrame:
     """Adds place, the number of each row from 1 on by block and then by within, which together tell rows apart.
 
-    Rows are numbered within their block; what came before is summed over the blocks' counts, of which there is one row each."""
-    count = rows.groupBy(*block).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    count = count.select(*block, before.alias("_before"))
+    Rows are numbered within their block. What came before is summed over the blocks' counts level by level: within the blocks that
+    share all but the last column, then over those groups, so that only values of the first column meet in one window."""
+    counts = rows.groupBy(*block).agg(F.count("*").alias("_n"))
+    before = None
+    for k in range(len(block), 0, -1):
+        level = counts.groupBy(*block[:k]).agg(F.sum("_n").alias("_n"))
+        w = (Window.partitionBy(*block[: k - 1]) if k > 1 else Window.partitionBy(F.lit(0))).orderBy(block[k - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        level = level.select(*block[:k], F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_b{k}"))
+        before = level if before is None else before.join(level, block[:k])
     inside = F.row_number().over(Window.partitionBy(*block).orderBy(*within))
-    return rows.join(count, block).withColumn("place", F.col("_before") + inside).drop("_before")
+    parts = [f"_b{k}" for k in range(1, len(block) + 1)]
+    return rows.join(before, block).withColumn("place", sum((F.col(p) for p in parts), inside)).drop(*parts)
 
 
 def legacy_order(entries: DataFrame) -> DataFrame:

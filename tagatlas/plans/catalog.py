@@ -161,11 +161,16 @@ def tile_asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaf_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A root of pointers to middle directories, which point to leaves of 64 ids each."""
-    leaves = _directories(spark, sf_dir).select("archive", (F.col("directory") + 1_000_000).alias("directory"), "tile_id", "run_length", "offset", "length")
+    runs = shared_folder(spark, "runs")
+    _directories(spark, sf_dir).write.parquet(runs)
+    leaves = spark.read.parquet(runs).select("archive", (F.col("directory") + 1_000_000).alias("directory"), "tile_id", "run_length", "offset", "length")
     pointer = lambda of, to: of.groupBy("archive", "directory").agg(F.min("tile_id").alias("tile_id")).selectExpr("archive", f"{to} AS directory", "tile_id", "CAST(0 AS BIGINT) AS run_length", "directory AS offset", "CAST(1 AS BIGINT) AS length")
     middle = pointer(leaves, "CAST((directory - 1000000) div 16 AS BIGINT)")
     root = pointer(middle, "CAST(NULL AS BIGINT)")
-    return directory.flattened(root.unionByName(middle).unionByName(leaves))
+    # directories are data: written once, not derived anew for each level of the walk
+    out = shared_folder(spark, "directories")
+    root.unionByName(middle).unionByName(leaves).write.parquet(out)
+    return directory.flattened(spark.read.parquet(out))
 
 
 def legacy_directory_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ def classify_new(spark: SparkSession, ways_folder: str, out_folder: str, checkpo
     return rows.writeStream.format("parquet").option("path", out_folder).option("checkpointLocation", checkpoint_folder).partitionBy("class").trigger(availableNow=True).outputMode("append").start()
 
 
-def comfort_counts(spark: SparkSession, ways_folder: str, checkpoint_folder: str, name: str, schema: StructType | str = WAYS) -> StreamingQuery:
-    """Running counts by class and comfort in an in-memory table, for a look at a stream of ways."""
+def comfort_counts(spark: SparkSession, ways_folder: str, out_folder: str, checkpoint_folder: str, schema: StructType | str = WAYS) -> StreamingQuery:
+    """Counts by class and comfort of all ways so far, as a Parquet table that each run writes anew by its executors."""
     counts = features.lines(spark.readStream.schema(schema).parquet(ways_folder)).groupBy("class", "comfort").agg(F.count("*").alias("n_ways"))
-    return counts.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).outputMode("complete").start()
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(out_folder)
+    return counts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).outputMode("complete").start()

@@ -124,8 +124,8 @@ def test_incremental_run_takes_only_what_is_new(spark, tmp_path):
         rebuild.classify_new(spark, *folders).awaitTermination(60)
     got = spark.read.parquet(folders[1])
     assert sorted(r["osm_id"] for r in got.collect()) == [0, 2]
-    rebuild.comfort_counts(spark, folders[0], str(tmp_path / "counts"), "comfort_seen").awaitTermination(60)
-    assert [tuple(r) for r in spark.table("comfort_seen").collect()] == [("track", 4, 2)]
+    rebuild.comfort_counts(spark, folders[0], str(tmp_path / "seen"), str(tmp_path / "counts")).awaitTermination(60)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "seen")).collect()] == [("track", 4, 2)]
 
 
 def test_boxes(spark):
