@@ -34,8 +34,8 @@ CYCLING = [
     ("bike_parking_point", "cycling", None, None, [_POINT, ["==", "amenity", "bicycle_parking"]]),
 ]
 WALKING = [
-    ("walking_path", "transportation", None, None, [["==", "class", "path"], ["!=", "subclass", "cycleway"]]),
-    ("walking_path_name", "transportation_name", None, None, [["!=", "class", "motorway"], ["==", "subclass", "path"]]),
+    ("walking_path", "transportation", None, None, [_LINE, ["==", "class", "path"], ["!=", "subclass", "cycleway"]]),
+    ("walking_path_name", "transportation_name", None, None, [_LINE, ["!=", "class", "motorway"], ["==", "subclass", "path"]]),
 ]
 BASEMAP = [
     ("background", None, None, None, []),
