@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
-from tagatlas.functions.zoom import interpolated, stepped
+from tagatlas.functions.zoom import interpolated, interpolated_color, stepped
 
 #: The geometry type that a filter calls $type, by kind of feature.
 GEOMETRY = {"line": "LineString", "point": "Point", "centroid": "Point", "polygon": "Polygon"}
@@ -93,19 +93,85 @@ WIDTHS = {
 ARROW_OPACITY = [(1, 0.0), (14, 0.0), (15, 0.9)]
 #: What the cycling layers are painted with. Numbers by zoom are stops (level, value); a marked colour gives way to a selected feature's.
 PAINT = {
-    "cycling_path_construction": {"color": "rgba(226, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_construction"], "dash": [(0, "0.4,1")], "cap": "butt"},
-    "cycling_path_4": {"color": "rgba(26, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_4"], "cap": "round"},
-    "cycling_path_3": {"color": "rgba(26, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_3"], "cap": "round"},
-    "cycling_path_3_inner": {"color": "rgba(255, 255, 255, 0.6)", "width": WIDTHS["cycling_path_3_inner"], "dash": [(0, "2,4")], "cap": "round"},
-    "cycling_path_2": {"color": "rgba(26, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_2"], "dash": [(0, "1"), (12, "0.4,1.4")], "cap": "round"},
-    "cycling_path_1": {"color": "rgba(26, 50, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_1"], "dash": [(0, "0.3,2")], "cap": "round"},
-    "cycling_path_oneway_arrows_white": {"icon": "chevron-white", "size": [(0, 0.6)], "opacity": ARROW_OPACITY, "rotate": 90},
-    "cycling_path_oneway_arrows_green": {"icon": "chevron-green", "size": [(0, 0.8)], "opacity": ARROW_OPACITY, "rotate": "oneway"},
-    "cycling_path_name": {"color": "rgba(24, 79, 19, 1)", "label": "{name}", "upper": True, "size": [(0, 10)], "halo": "rgba(231, 231, 131, 0.72)"},
+    "cycling_path_construction": {"color": "rgba(226, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_construction"], "dash": [(0, "0.4,1")], "cap": "butt", "join": "bevel"},
+    "cycling_path_4": {"color": "rgba(26, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_4"], "cap": "round", "join": "round"},
+    "cycling_path_3": {"color": "rgba(26, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_3"], "cap": "round", "join": "round"},
+    "cycling_path_3_inner": {"color": "rgba(255, 255, 255, 0.6)", "width": WIDTHS["cycling_path_3_inner"], "dash": [(0, "2,4")], "cap": "round", "join": "round"},
+    "cycling_path_2": {"color": "rgba(26, 109, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_2"], "dash": [(0, "1"), (12, "0.4,1.4")], "cap": "round", "join": "round"},
+    "cycling_path_1": {"color": "rgba(26, 50, 35, 1)", "marked": True, "width": WIDTHS["cycling_path_1"], "dash": [(0, "0.3,2")], "cap": "round", "join": "round"},
+    "cycling_path_oneway_arrows_white": {"icon": "chevron-white", "placement": "line", "spacing": [(0, 40)], "size": [(0, 0.6)], "opacity": ARROW_OPACITY, "rotate": 90},
+    "cycling_path_oneway_arrows_green": {"icon": "chevron-green", "placement": "line", "spacing": [(0, 40)], "size": [(0, 0.8)], "opacity": ARROW_OPACITY, "rotate": "oneway"},
+    "cycling_path_name": {"color": "rgba(24, 79, 19, 1)", "label": "{name}", "upper": True, "size": [(0, 10)], "font": "Metropolis Regular", "placement": "line", "spacing": [(0, 350)], "max_angle": [(0, 30)], "pitch_alignment": "viewport", "rotation_alignment": "map", "offset": "0,1.1", "halo": "rgba(231, 231, 131, 0.72)", "halo_width": [(0, 2)], "blur": [(0, 1)]},
     "bike_parking_point": {"color": "rgba(231, 231, 131, 0.72)", "size": [(8, 1), (12, 1), (16, 3)], "stroke": "rgba(26, 109, 35, 1)", "width": [(8, 0.5), (12, 0.5), (16, 2)], "opacity": [(12, 0), (14, 0.5), (16, 0.8)]},
 }
 MARKED_COLOR = "rgba(200, 100, 100, 1)"
 
+_ROUND, _BUTT = {"cap": "round", "join": "round"}, {"cap": "butt", "join": "miter"}
+_TIES = {"join": "round", "color": "#fafafa", "dash": [(0, "3,3")]}
+_NAME = {"upper": True, "size": [(0, 10)], "font": "Metropolis Regular", "color": "rgb(117, 129, 145)", "halo": "rgb(242,243,240)", "halo_width": [(0, 1)], "blur": [(0, 1)]}
+_ALONG = {"placement": "line", "spacing": [(0, 350)], "pitch_alignment": "viewport"}
+_PLACE = _NAME | {"label": "{name:latin}\n{name:nonlatin}"}
+_CENTRED = _PLACE | {"anchor": "center", "justify": "center", "offset": "0.5,0"}
+_BESIDE = _PLACE | {"justify": "left", "offset": "0.5,0.2", "icon_size": [(0, 0.4)], "icon_opacity": [(0, 0.7)]}
+_DOTTED = _BESIDE | {"icon": [(0, "circle-11"), (8, "")], "anchor": [(0, "left"), (8, "center")]}
+_COUNTRY = _NAME | {"label": "{name:latin}", "color": [(3, (157, 169, 177, 1)), (4, (153, 153, 153, 1))], "halo": "rgba(236,236,234,0.7)", "halo_width": [(0, 1.4)], "blur": [(0, 0)]}
+_BORDER = _ROUND | {"color": "rgb(230, 204, 207)", "opacity": [(0, 1)]}
+_COUNTRY_BORDER = _BORDER | {"blur": [(0, 0.4), (22, 4)], "width": [(3, 1), (22, 20)], "base": 1.1}
+_MOTORWAY_CASING = _BUTT | {"color": "rgb(213, 213, 213)", "opacity": [(0, 1)], "width": [(5.8, 0), (6, 3), (20, 40)], "base": 1.4}
+_MOTORWAY_INNER = _ROUND | {"color": [(5.8, (216.75, 216.75, 216.75, 0.53)), (6, (255, 255, 255, 1))], "width": [(4, 2), (6, 1.3), (20, 30)], "base": 1.4}
+#: What the base map's and the walking layers are painted with, as PAINT. Widths grow by base where there is one; a colour by zoom is stops of (red, green, blue, opacity).
+BASEMAP_PAINT = {
+    "landcover_wood": {"color": "rgba(246, 248, 246, 1)", "opacity": [(10, 0), (12, 1)]},
+    "park": {"color": "rgba(214, 219, 214, 1)"},
+    "water": {"color": "rgba(203, 217, 243, 1)"},
+    "waterway": {"color": "hsl(195, 17%, 78%)"},
+    "water_name": {"label": "{name:latin}\n{name:nonlatin}", "placement": "line", "spacing": [(0, 500)], "font": "Metropolis Medium Italic", "rotation_alignment": "map", "size": [(0, 12)], "color": "rgb(157,169,177)", "halo": "rgb(242,243,240)", "halo_width": [(0, 1)], "blur": [(0, 1)]},
+    "tunnel_motorway_casing": _MOTORWAY_CASING,
+    "tunnel_motorway_inner": _MOTORWAY_INNER | {"color": "rgb(234,234,234)"},
+    "aeroway-taxiway": _ROUND | {"color": "hsl(0, 0%, 88%)", "opacity": [(0, 1)], "width": [(13, 1.8), (20, 20)], "base": 1.55},
+    "aeroway-runway-casing": _ROUND | {"color": "hsl(0, 0%, 88%)", "opacity": [(0, 1)], "width": [(11, 6), (17, 55)], "base": 1.5},
+    "aeroway-area": {"color": "rgba(255, 255, 255, 1)", "opacity": [(13, 0), (14, 1)]},
+    "aeroway-runway": _ROUND | {"color": "rgba(255, 255, 255, 1)", "opacity": [(0, 1)], "width": [(11, 4), (17, 50)], "base": 1.5},
+    "road_area_pier": {"color": "rgb(242,243,240)"},
+    "road_pier": _ROUND | {"color": "rgb(242,243,240)", "width": [(15, 1), (17, 4)], "base": 1.2},
+    "highway_path": _ROUND | {"color": "rgb(234, 234, 234)", "opacity": [(0, 0.9)], "width": [(13, 1), (20, 10)]},
+    "highway_minor": _ROUND | {"color": "hsl(0, 0%, 88%)", "opacity": [(0, 0.9)], "width": [(13, 1.8), (20, 20)], "base": 1.55},
+    "highway_major_casing": _BUTT | {"color": "rgb(213, 213, 213)", "dash": [(0, "12,0")], "width": [(10, 3), (20, 23)], "base": 1.3},
+    "highway_major_inner": _ROUND | {"color": "#fff", "width": [(10, 2), (20, 20)], "base": 1.3},
+    "highway_major_subtle": _ROUND | {"color": "hsla(0, 0%, 85%, 0.69)", "width": [(0, 2)]},
+    "highway_motorway_casing": _MOTORWAY_CASING | {"dash": [(0, "2,0")]},
+    "highway_motorway_inner": _MOTORWAY_INNER,
+    "highway_motorway_subtle": _ROUND | {"color": "hsla(0, 0%, 85%, 0.53)", "width": [(4, 2), (6, 1.3)], "base": 1.4},
+    "railway_transit": {"join": "round", "color": "#dddddd", "width": [(0, 3)]},
+    "railway_transit_dashline": _TIES | {"width": [(0, 2)]},
+    "railway_service": {"join": "round", "color": "#dddddd", "width": [(0, 3)]},
+    "railway_service_dashline": _TIES | {"width": [(0, 2)]},
+    "railway": {"join": "round", "color": "#dddddd", "width": [(16, 3), (20, 7)], "base": 1.3},
+    "railway_dashline": _TIES | {"width": [(16, 2), (20, 6)], "base": 1.3},
+    "highway_motorway_bridge_casing": _MOTORWAY_CASING | {"dash": [(0, "2,0")], "width": [(5.8, 0), (6, 5), (20, 45)]},
+    "highway_motorway_bridge_inner": _MOTORWAY_INNER,
+    "highway_name_other": _NAME | _ALONG | {"label": "{name:latin} {name:nonlatin}", "max_angle": [(0, 30)], "rotation_alignment": "map", "color": "rgba(116, 108, 108, 1)", "halo": "rgba(255, 255, 255, 0.46)", "translate": "0,-10"},
+    "highway_name_motorway": _NAME | _ALONG | {"label": "{ref}", "upper": False, "font": "Metropolis Light", "rotation_alignment": "viewport", "halo": "hsl(0, 0%, 100%)", "translate": "0,2"},
+    "boundary_state": _BORDER | {"blur": [(0, 0.4)], "dash": [(0, "2,2")], "width": [(3, 1), (22, 15)], "base": 1.3},
+    "boundary_country_z0-4": _COUNTRY_BORDER,
+    "boundary_country_z5-": _COUNTRY_BORDER,
+    "place_other": _CENTRED,
+    "place_suburb": _CENTRED,
+    "place_village": _BESIDE | {"anchor": "left"},
+    "place_town": _DOTTED,
+    "place_city": _DOTTED,
+    "place_capital": _DOTTED | {"icon": [(0, "star-11"), (8, "")], "icon_size": [(0, 1)], "size": [(0, 14)]},
+    "place_city_large": _DOTTED | {"size": [(0, 14)]},
+    "place_state": _PLACE | {"color": "rgb(113, 129, 144)"},
+    "place_country_other": _COUNTRY | {"font": "Metropolis Light Italic", "size": [(0, 9), (6, 11)]},
+    "place_country_minor": _COUNTRY | {"size": [(0, 10), (6, 12)]},
+    "walking_path": _ROUND | {"color": "rgb(238, 165, 80)", "width": [(13, 1), (20, 10)]},
+    "walking_path_name": _NAME | _ALONG | {"label": "{name:latin} {name:nonlatin}", "max_angle": [(0, 30)], "rotation_alignment": "map", "color": "rgb(50, 50, 50)", "halo": "rgba(238, 165, 80, 0.5)", "halo_width": [(0, 2)], "translate": "0,-10"},
+}
+#: What painted() gives of a layer: values by zoom, and words, some of which change at a zoom.
+PAINT_NUMBERS = ("width", "size", "opacity", "blur", "halo_width", "spacing", "max_angle", "icon_size", "icon_opacity")
+PAINT_WORDS = ("dash", "cap", "join", "icon", "halo", "font", "anchor", "justify", "offset", "translate", "placement", "pitch_alignment", "rotation_alignment")
+
 
 def condition(tree: list, features: DataFrame) -> Column:
     """A filter such as ["all", ["==", "class", "path"], ["!has", "service"]] as a column that is never NULL.
@@ -192,28 +258,33 @@ def _without(tests: list, features: DataFrame, missing: list[str]) -> Column:
     return condition(["all", *tests], features.drop(*missing))
 
 
-def _by_layer(value, layers: dict[str, dict], kind: str) -> Column:
-    out = F.lit(None).cast(kind)
+def _by_layer(keys: tuple[str, ...], make, layers: dict[str, dict], kind: str) -> Column:
+    """One CASE over the layers that have the first key; layers that agree in all keys share a branch."""
+    groups: dict[str, tuple[list[str], dict]] = {}
     for name, paint in layers.items():
-        got = value(paint)
-        out = out if got is None else F.when(F.col("style_layer") == name, got.cast(kind)).otherwise(out)
-    return out
+        if keys[0] in paint:
+            groups.setdefault(repr([paint.get(k) for k in keys]), ([], paint))[0].append(name)
+    branches = [(F.col("style_layer").isin(*names), make(paint).cast(kind)) for names, paint in groups.values()]
+    return reduce(lambda out, b: out.when(*b), branches[1:], F.when(*branches[0])) if branches else F.lit(None).cast(kind)
 
 
 def painted(rows: DataFrame, layers: dict[str, dict] = PAINT) -> DataFrame:
-    """Rows of drawn() with color, stroke, width, size, opacity, dash, cap, icon, rotation, halo and label; NULL where a layer has none.
+    """Rows of drawn() with color, stroke, rotation, label, PAINT_NUMBERS and PAINT_WORDS; NULL where a layer has none.
 
     selected and hover, where rows have them, mark a feature."""
     z = F.col("z").cast("double")
     state = [F.col(c) if c in rows.columns else F.lit(False) for c in ("selected", "hover")]
-    number = lambda key: _by_layer(lambda p: interpolated(z, p[key]) if key in p else None, layers, "double")
-    text = lambda key: _by_layer(lambda p: F.lit(p[key]) if key in p else None, layers, "string")
-    color = lambda key, marks: _by_layer(lambda p: None if key not in p else marked_color(F.lit(p[key]), *state) if marks(p) else F.lit(p[key]), layers, "string")
+
+    def color(key: str, marks: bool) -> Column:
+        plain = lambda v: F.lit(v) if isinstance(v, str) else interpolated_color(z, v)
+        return _by_layer((key, "marked"), lambda p: marked_color(plain(p[key]), *state) if marks or p.get("marked") else plain(p[key]), layers, "string")
+
+    number = lambda key: _by_layer((key, "base"), lambda p: interpolated(z, p[key], p.get("base", 1.0) if key == "width" else 1.0), layers, "double")
+    word = lambda key: _by_layer((key,), lambda p: F.lit(p[key]) if isinstance(p[key], str) else stepped(z, p[key]), layers, "string")
     return rows.withColumns({
-        "color": color("color", lambda p: p.get("marked")), "stroke": color("stroke", lambda p: True), "width": number("width"), "size": number("size"), "opacity": number("opacity"),
-        "dash": _by_layer(lambda p: stepped(F.col("z"), p["dash"]) if "dash" in p else None, layers, "string"), "cap": text("cap"), "icon": text("icon"), "halo": text("halo"),
-        "rotation": _by_layer(lambda p: None if "rotate" not in p else arrow_rotation(F.col("oneway")) if p["rotate"] == "oneway" else F.lit(p["rotate"]), layers, "int"),
-        "label": _by_layer(lambda p: label(p["label"], rows, p.get("upper", False)) if "label" in p else None, layers, "string"),
+        "color": color("color", False), "stroke": color("stroke", True), **{k: number(k) for k in PAINT_NUMBERS}, **{k: word(k) for k in PAINT_WORDS},
+        "rotation": _by_layer(("rotate",), lambda p: arrow_rotation(F.col("oneway")) if p["rotate"] == "oneway" else F.lit(p["rotate"]), layers, "int"),
+        "label": _by_layer(("label", "upper"), lambda p: label(p["label"], rows, p.get("upper", False)), layers, "string"),
     })
 
 

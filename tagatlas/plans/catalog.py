@@ -101,6 +101,13 @@ def style_basemap_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles.drawn(views.base_features(spark, sf_dir), styles.BASEMAP).select("k", "z", "layer_ord", "style_layer")
 
 
+def style_basemap_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What base map and walking layers paint each feature with, at each level from 0 to 17."""
+    rows = views.base_features(spark, sf_dir).withColumns({c: F.expr(sql) for c, sql in views.BASE_NAMES.items()}).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(17))))
+    got = styles.painted(styles.drawn(rows, styles.BASEMAP + styles.WALKING), styles.BASEMAP_PAINT)
+    return got.select("k", "z", "layer_ord", "style_layer", "color", *[F.round(c, 6).alias(c) for c in styles.PAINT_NUMBERS], *styles.PAINT_WORDS, "label")
+
+
 def _zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(22))).alias("z"))
 
@@ -349,7 +356,7 @@ def feature_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
-    style_cycling_layers, style_cycling_paint, style_walking_layers, style_basemap_layers, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
+    style_cycling_layers, style_cycling_paint, style_walking_layers, style_basemap_layers, style_basemap_paint, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
     directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
     archive_round_trip, archive_entries, archive_headers, archive_blobs, archive_legacy_entries, archive_paths, allowed_origins, view_queries, tile_sources, split_numbers, little_endian, present_tags, clicked_features, feature_marks,
     url_view_state, tilejson_fields, area_slug, parking_coerce, other_tags_keys, parking_box, osm_point_lookup, way_badges, size_estimates,

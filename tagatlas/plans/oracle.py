@@ -97,7 +97,7 @@ def style_sql(layers: list[tuple], source: str, key: str, columns: set[str], cte
 def _interpolate(stops: list[tuple[float, float]], base: float) -> str:
     out = f"CASE WHEN z <= {stops[0][0]} THEN CAST({stops[0][1]} AS DOUBLE)"
     for (z0, v0), (z1, v1) in zip(stops, stops[1:]):
-        part = f"((z - {z0}) / {z1 - z0}.0)" if base == 1 else f"((power({base}, z - {z0}) - 1) / (power({base}, {z1 - z0}) - 1))"
+        part = f"((z - {z0}) / CAST({z1 - z0} AS DOUBLE))" if base == 1 else f"((power({base}, z - {z0}) - 1) / (power({base}, {z1 - z0}) - 1))"
         out += f" WHEN z <= {z1} THEN {v0} + {part} * {v1 - v0}"
     return out + f" ELSE {stops[-1][1]} END"
 
@@ -222,3 +222,27 @@ _word, _number = lambda v, _: f"'{v}'", lambda v, _: f"CAST({_interpolate(v, 1)}
 SQL["style_cycling_paint"] = f"""SELECT kind, osm_id, z, style_layer, {_paint("color", lambda v, p: _mark(v, bool(p.get("marked"))))} AS color, {_paint("stroke", lambda v, p: _mark(v, True))} AS stroke,
  {", ".join(f"round({_paint(k, _number)}, 6) AS {k}" for k in ("width", "size", "opacity"))}, {_paint("dash", _dash)} AS dash, {", ".join(f"{_paint(k, _word)} AS {k}" for k in ("cap", "icon", "halo"))},
  {_paint("rotate", lambda v, _: "CASE WHEN oneway = 1 THEN 90 ELSE 270 END" if v == "oneway" else str(v))} AS rotation, {_paint("label", lambda v, p: "upper(coalesce(name, ''))")} AS label FROM ({SQL["style_cycling_layers"].replace("kind, osm_id, z,", "kind, osm_id, name, oneway, z,")})"""
+
+
+def _base_paint(key: str, spell) -> str:
+    return "CASE style_layer " + " ".join(f"WHEN '{name}' THEN {spell(p[key], p)}" for name, p in styles.BASEMAP_PAINT.items() if key in p) + " END"
+
+
+def _base_color(v: object, _: dict) -> str:
+    if isinstance(v, str):
+        return f"'{v}'"
+    part = [_interpolate([(z, c[i]) for z, c in v], 1) for i in range(4)]
+    return "concat('rgba(', " + ", ',', ".join(f"CAST(round({c}) AS INT)" for c in part[:3]) + f", ',', round(CAST({part[3]} AS DOUBLE), 4), ')')"
+
+
+def _base_label(template: str, p: dict) -> str:
+    pieces = [f"coalesce(\"{piece}\", '')" if i % 2 else "'" + piece.replace("\n", "' || chr(10) || '") + "'" for i, piece in enumerate(template.replace("}", "{").split("{"))]
+    joined = " || ".join(pieces)
+    return f"upper({joined})" if p.get("upper") else joined
+
+
+_BASE_ROWS = style_sql(styles.BASEMAP + styles.WALKING, "base", ", ".join(["k", *[f'"{c}"' for c in views.BASE_NAMES]]), set(views.BASE),
+    f"raw AS (SELECT p_partkey AS k, p_name AS name FROM part), base AS (SELECT k, {_columns({c: e for c, e in views.BASE.items() if c != 'z'})}, {_columns(views.BASE_NAMES)}, CAST(unnest(range(0, 18)) AS INT) AS z FROM raw)")
+SQL["style_basemap_paint"] = f"""SELECT k, z, layer_ord, style_layer, {_base_paint("color", _base_color)} AS color,
+ {", ".join(f"round({_base_paint(k, lambda v, p, k=k: f'CAST({_interpolate(v, p.get("base", 1) if k == "width" else 1)} AS DOUBLE)')}, 6) AS {k}" for k in styles.PAINT_NUMBERS)},
+ {", ".join(f"{_base_paint(k, lambda v, p: _word(v, p) if isinstance(v, str) else _dash(v, p))} AS {k}" for k in styles.PAINT_WORDS)}, {_base_paint("label", _base_label)} AS label FROM ({_BASE_ROWS})"""

@@ -65,6 +65,8 @@ BASE = {
     "capital": "CASE WHEN k % 5 < 2 THEN 2 END",
     "z": "CAST(k % 18 AS INT)",
 }
+#: Names of base-map features for labels, from k and a part's name.
+BASE_NAMES = {"name:latin": "CASE WHEN k % 9 <> 0 THEN name END", "name:nonlatin": "CASE WHEN k % 4 = 1 THEN concat('N', CAST(k AS STRING)) END", "ref": "CASE WHEN k % 2 = 0 THEN concat('H', CAST(k % 100 AS STRING)) END"}
 #: Requests made from pages: every tenth is malformed, others ask for tiles of several levels, kinds and archives.
 _Z = "page_id % 16"
 _SIDE = "CAST(power(2, page_id % 16) AS BIGINT)"

@@ -47,3 +47,26 @@ def test_drawing_order_and_hits(spark):
 def test_small_expressions(rows):
     got = rows.where("i = 0").select(styles.label("{class} {absent}", rows), styles.label("{class}", rows, upper=True), styles.marked_color(F.lit("c"), F.lit(None).cast("boolean"), F.lit(True)), styles.marked_color(F.lit("c"), F.lit(False), F.lit(None).cast("boolean")), styles.arrow_rotation(F.lit(1)), styles.arrow_rotation(F.lit(-1))).first()
     assert tuple(got) == ("track ", "TRACK", styles.MARKED_COLOR, "c", 90, 270)
+
+
+def test_paint_by_hand(spark):
+    rows = spark.createDataFrame(
+        [("highway_motorway_inner", 5, "A"), ("highway_motorway_inner", 6, "A"), ("highway_motorway_casing", 13, "A"), ("place_town", 7, "A"), ("place_town", 8, None), ("highway_name_motorway", 9, "A"), ("walking_path", 13, "A"), ("boundary_state", 2, "A"), ("background", 4, "A")],
+        "style_layer string, z int, `name:latin` string",
+    ).withColumns({"ref": F.lit("h1"), "name:nonlatin": F.lit("b")})
+    got = {(r["style_layer"], r["z"]): r for r in styles.painted(rows, styles.BASEMAP_PAINT).collect()}
+    assert [got["highway_motorway_inner", z]["color"] for z in (5, 6)] == ["rgba(217,217,217,0.53)", "rgba(255,255,255,1.0)"]
+    assert got["highway_motorway_inner", 5]["width"] == pytest.approx(2 - 0.7 * 0.4 / 0.96)
+    assert got["highway_motorway_casing", 13]["width"] == pytest.approx(3 + 37 * (1.4**7 - 1) / (1.4**14 - 1))
+    assert [(r["icon"], r["anchor"], r["label"], r["icon_size"]) for r in (got["place_town", 7], got["place_town", 8])] == [("circle-11", "left", "A\nB", 0.4), ("", "center", "\nB", 0.4)]
+    assert tuple(got["highway_name_motorway", 9][c] for c in ("label", "size", "spacing", "translate", "font")) == ("h1", 10, 350, "0,2", "Metropolis Light")
+    assert tuple(got["walking_path", 13][c] for c in ("color", "width", "cap", "join", "label")) == ("rgb(238, 165, 80)", 1, "round", "round", None)
+    assert tuple(got["boundary_state", 2][c] for c in ("dash", "blur", "width", "opacity")) == ("2,2", 0.4, 1, 1)
+    assert all(got["background", 4][c] is None for c in ("color", "width", "dash", "label"))
+
+
+def test_every_layer_with_features_is_painted():
+    for layers, paint in ((styles.CYCLING, styles.PAINT), (styles.BASEMAP + styles.WALKING, styles.BASEMAP_PAINT)):
+        assert {layer[0] for layer in layers if layer[1]} == set(paint)
+        known = {"color", "stroke", "marked", "base", "rotate", "label", "upper", *styles.PAINT_NUMBERS, *styles.PAINT_WORDS}
+        assert all(set(p) <= known for p in paint.values())
