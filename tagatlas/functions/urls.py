@@ -73,3 +73,8 @@ def tile_source(setting: Column, default: str) -> Column:
 def reads_archives(addresses: Column) -> Column:
     """Whether any of the addresses is that of a tile archive."""
     return F.coalesce(F.exists(addresses, lambda a: F.startswith(a, F.lit("pmtiles://"))), F.lit(False))
+
+
+def kept_query(target: Column, query: Column) -> Column:
+    """A link's address with the current page's query, so that the view stays; a bare ? where that has none. NULL if the link has a query of its own, which isn't supported."""
+    return F.when(~F.contains(target, F.lit("?")), F.concat(target, F.lit("?"), F.coalesce(query, F.lit(""))))

@@ -26,6 +26,13 @@ def exactly_one(found: DataFrame) -> DataFrame:
     return n.where("ok").join(found, F.lit(True), "left").drop("ok")
 
 
+def fits_base(details: DataFrame) -> Column:
+    """Whether a row holds to the schema all kinds of elements share: a text type (NULL stands for the default), a known element type, an id, and no tag aside without value."""
+    tags = F.col("other_tags") if "other_tags" in details.columns else F.lit(None).cast("map<string,string>")
+    whole = F.coalesce(~F.exists(F.map_values(tags), lambda v: v.isNull()), F.lit(True))
+    return F.coalesce(F.col("feature_type").isin("node", "way", "relation"), F.lit(False)) & F.col("osm_id").isNotNull() & whole
+
+
 def parking_details(elements: DataFrame, strict: bool = False) -> DataFrame:
     """Rows (feature_type, osm_id, tags) as bicycle parking: typed columns, and other_tags with the tags no column has taken.
 

@@ -313,6 +313,21 @@ def view_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", urls.view_query(F.col("zoom"), F.col("lng"), F.col("lat")).alias("query"))
 
 
+def link_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages with the query of the page they are on."""
+    rows = views.read(spark, sf_dir, "pages").selectExpr("page_id", "CASE WHEN page_id % 5 = 0 THEN '/map?a=1' ELSE concat('/map/', page_id) END AS target", "CASE WHEN page_id % 3 <> 0 THEN concat('zoom=', page_id % 20) END AS query")
+    return rows.select("page_id", urls.kept_query(F.col("target"), F.col("query")).alias("href"))
+
+
+def base_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which elements hold to the schema that all kinds share; some have a type, an id or a tag that doesn't."""
+    rows = views.elements(spark, sf_dir).select(
+        F.col("osm_id").alias("event_id"), F.expr("CASE WHEN osm_id % 5 = 0 THEN 'area' WHEN osm_id % 5 = 1 THEN 'relation' ELSE feature_type END").alias("feature_type"), F.expr("nullif(osm_id, osm_id - osm_id % 7)").alias("osm_id"),
+        F.when(F.col("osm_id") % 11 == 0, F.create_map(F.lit("fee"), F.lit(None).cast("string"))).when(F.col("osm_id") % 11 != 1, F.col("tags")).alias("other_tags"),
+    )
+    return rows.select("event_id", elements.fits_base(rows).alias("fits"))
+
+
 def tile_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The addresses that a map draws from, and whether one is an archive's."""
     setting = F.expr("CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('https://t.example/', n_name) END")
@@ -358,7 +373,7 @@ QUERIES = [
     classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
     style_cycling_layers, style_cycling_paint, style_walking_layers, style_basemap_layers, style_basemap_paint, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
     directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
-    archive_round_trip, archive_entries, archive_headers, archive_blobs, archive_legacy_entries, archive_paths, allowed_origins, view_queries, tile_sources, split_numbers, little_endian, present_tags, clicked_features, feature_marks,
+    archive_round_trip, archive_entries, archive_headers, archive_blobs, archive_legacy_entries, archive_paths, allowed_origins, view_queries, link_queries, base_schema, tile_sources, split_numbers, little_endian, present_tags, clicked_features, feature_marks,
     url_view_state, tilejson_fields, area_slug, parking_coerce, other_tags_keys, parking_box, osm_point_lookup, way_badges, size_estimates,
 ]
 

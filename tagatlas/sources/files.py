@@ -1,8 +1,10 @@
-"""Byte ranges of files in any store that pyarrow knows: local and mounted folders, and addresses with a scheme."""
+"""Byte ranges of files in any store that pyarrow knows (local and mounted folders, addresses with a scheme), and over http."""
 
 from __future__ import annotations
 
 import tempfile
+import urllib.error
+import urllib.request
 import uuid
 
 import pyarrow.fs
@@ -15,7 +17,9 @@ def store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def listed(path: str, ending: str) -> list[str]:
-    """The file itself, or the files of a folder with an ending, in order; hidden and unfinished ones (_ or . first) are left out."""
+    """An http address itself; The file itself, or the files of a folder with an ending, in order; hidden and unfinished ones (_ or . first) are left out."""
+    if _over_http(path):
+        return [path]
     fs, inner = store(path)
     info = fs.get_file_info(inner)
     if info.type == pyarrow.fs.FileType.File:
@@ -24,10 +28,77 @@ def listed(path: str, ending: str) -> list[str]:
     return [f"{path.rstrip('/')}/{p.rsplit('/', 1)[-1]}" for p in sorted(found)]
 
 
+def _over_http(path: str) -> bool:
+    return path.startswith(("http://", "https://"))
+
+
+def http_range(url: str, offset: int, length: int, timeout: float = 60) -> tuple[bytes, int | None]:
+    """Bytes of an address, and its whole size if the answer tells.
+
+    A server that refuses a first range as longer than the file (416) is asked again for all it has. Any other status from 300 on is an
+    error, and so is a whole file (200) longer than asked or of unknown length: such a server doesn't serve ranges."""
+
+    def asked(last: int):
+        request = urllib.request.Request(url, headers={"Range": f"bytes={offset}-{last}", "Accept-Encoding": "identity"})
+        try:
+            return urllib.request.urlopen(request, timeout=timeout)
+        except urllib.error.HTTPError as e:
+            return e
+
+    with asked(offset + length - 1) as first:
+        status, told = first.status, first.headers.get("Content-Range") or ""
+        if status != 416 or offset:
+            return _answered(first, length)
+    if not told.startswith("bytes */"):
+        raise OSError(f"{url}: refused a range without telling its length")
+    with asked(int(told[8:]) - 1) as second:
+        return _answered(second, length)
+
+
+def _answered(answer, length: int) -> tuple[bytes, int | None]:
+    if answer.status >= 300:
+        raise OSError(f"{answer.url}: status {answer.status}")
+    size = answer.headers.get("Content-Length")
+    if answer.status == 200 and (size is None or int(size) > length):
+        raise OSError(f"{answer.url}: serves no byte ranges")
+    told = (answer.headers.get("Content-Range") or "").rpartition("/")[2]
+    return answer.read(), int(told) if told.isdigit() else int(size) if answer.status == 200 else None
+
+
+class _HttpFile:
+    """The part of a file's interface that Ranges needs, over ranges of an address."""
+
+    def __init__(self, url: str) -> None:
+        self.url, self.at = url, 0
+        self.known = http_range(url, 0, 1)[1]
+
+    def size(self) -> int:
+        if self.known is None:
+            raise OSError(f"{self.url}: tells no length")
+        return self.known
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, length: int) -> bytes:
+        got = http_range(self.url, self.at, length)[0] if length else b""
+        if len(got) != length:
+            raise OSError(f"{self.url}: {len(got)} bytes of {length} at {self.at}")
+        self.at += length
+        return got
+
+    def close(self) -> None:
+        pass
+
+
 class Ranges:
-    """An open file to read ranges of; a range that reaches past the end is cut there."""
+    """An open file or http address to read ranges of; a range that reaches past the end is cut there."""
 
     def __init__(self, path: str) -> None:
+        if _over_http(path):
+            self.file = _HttpFile(path)
+            self.size = self.file.size()
+            return
         fs, inner = store(path)
         self.file = fs.open_input_file(inner)
         self.size = self.file.size()

@@ -14,11 +14,74 @@ from tagatlas.functions.tiles import tile_id
 from tagatlas.operators import directory
 from tagatlas.plans import map_build
 from tagatlas.sources import archive_format as fmt
+from tagatlas.sources.files import Ranges, http_range
 from tagatlas.sources.osm_pbf import OsmPbf
 from tagatlas.sources.tile_archive import TileArchive, _directories, _Narrowed
 from tagatlas.sources.tile_archive import blob as tile_at
 
 
+@pytest.fixture()
+def served():
+    """A server of ranges: content by path, and what it does wrong by the path's first letter."""
+    import http.server
+    import threading
+
+    files = {}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            data, kind = files[self.path], self.path[1]
+            first, last = (int(v) for v in self.headers["Range"][6:].split("-"))
+            status, told, body = 206, f"bytes {first}-{min(last, len(data) - 1)}/{len(data)}", data[first : last + 1]
+            if kind == "s" and last >= len(data) or first >= len(data):  # strict, or nothing there
+                status, told, body = 416, f"bytes */{len(data)}" if kind != "m" else "", b""
+            elif kind == "w":  # whole file, whatever was asked
+                status, told, body = 200, "", data
+            elif kind == "e":
+                status, told, body = 503, "", b""
+            self.send_response(status)
+            if told:
+                self.send_header("Content-Range", told)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield files, f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+    server.server_close()
+
+
+def test_http_ranges(served):
+    files, at = served
+    data = bytes(range(200))
+    files |= {f"/{k}": data for k in ("range", "strict", "whole", "error")} | {"/mute": b""}
+    assert http_range(f"{at}/range", 10, 5) == (data[10:15], 200)
+    assert http_range(f"{at}/strict", 0, 500)[0] == data  # refused, then asked for what is there
+    assert http_range(f"{at}/whole", 0, 300) == (data, 200)
+    for path, offset, length in (("strict", 100, 500), ("whole", 0, 100), ("error", 0, 5), ("mute", 0, 5)):
+        with pytest.raises(OSError):
+            http_range(f"{at}/{path}", offset, length)
+    with Ranges(f"{at}/range") as file:
+        assert (file.size, file.read(190, 50), file.read(0, 3), file.read(200, 4)) == (200, data[190:], data[:3], b"")
+        with pytest.raises(ValueError):
+            file.read(201, 1)
+
+
+def test_archive_over_http(spark_sources, served, tmp_path):
+    files, at = served
+    rows = spark_sources.range(50).select((F.col("id") + 100).alias("tile_id"), F.concat(F.lit("t"), F.col("id")).cast("binary").alias("data"))
+    map_build.write_archive(rows, str(tmp_path / "out"), 1)
+    (one,) = [f for f in (tmp_path / "out").iterdir() if not f.name.startswith("_")]
+    files[f"/range/{one.name}"] = one.read_bytes()
+    read = lambda where: sorted(map(tuple, spark_sources.read.format("tile_archive").option("what", "entries").load(where).collect()))
+    assert len(read(str(one))) == 50 and read(f"{at}/range/{one.name}") == read(str(one))
+
+
 @pytest.fixture(scope="module")
 def spark_sources(spark):
     spark.dataSource.register(TileArchive)
@@ -236,9 +299,9 @@ def test_run_build(spark_sources, tmp_path):
     from tagatlas.plans.run_build import build
 
     write_extract(tmp_path / "a.osm.pbf")
-    build(spark_sources, str(tmp_path / "a.osm.pbf"), str(tmp_path / "out"), max_zoom=12, name="n")
+    build(spark_sources, str(tmp_path / "a.osm.pbf"), str(tmp_path / "out"), max_zoom=12, name="n", version="2", attribution=None)
     head = spark_sources.read.format("tile_archive").option("what", "headers").load(str(tmp_path / "out")).first()
-    assert (head["min_zoom"], head["max_zoom"], json.loads(head["metadata"])) == (6, 12, {"name": "n"})
+    assert (head["min_zoom"], head["max_zoom"], json.loads(head["metadata"])) == (6, 12, {"name": "n", "version": "2"})
 
 
 def test_leaves_out_of_range_are_not_read(spark_sources, tmp_path):
