@@ -96,7 +96,7 @@ class Encoder:
         out = []
         for at in range(0, len(parts), 1 << 15):
             some = parts[at : at + (1 << 15)]
-            texts = ["".join(some[k : k + 2048]) for k in range(0, len(some), 2048)]
+            texts = ["".join(some[k : k + 256]) for k in range(0, len(some), 256)]
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 ids = np.array(e.ids)
                 first = np.flatnonzero(self.blank[ids]) * self.width
