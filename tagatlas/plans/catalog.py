@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagatlas.functions import tags, tiles, urls, zoom
-from tagatlas.operators import directory, elements, features, merge, routes, service, styles
+from tagatlas.operators import directory, elements, features, geometry, merge, routes, service, styles
 from tagatlas.operators.comfort import ATTRIBUTES
 from tagatlas.plans import map_build, oracle, views
 from tagatlas.sources.files import shared_folder
@@ -52,6 +52,13 @@ def parking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parking(spark, sf_dir).select("kind", "osm_id", "amenity", "name", "min_zoom", "osmNodeId", "osmWayId")
 
 
+def relation_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of relations that are areas, with their holes."""
+    found = geometry.relation_areas(*views.area_relations(spark, sf_dir))
+    c = features.centroid(F.col("geom"))
+    return found.select("osm_id", F.round(c.x, 6).alias("x"), F.round(c.y, 6).alias("y"))
+
+
 def zoom_gated_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.at_zooms(_lines(spark, sf_dir, True), MAX_ZOOM).select("osm_id", "z", "comfort", "name", "surface", "routes")
 
@@ -370,7 +377,7 @@ def feature_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
+    classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, relation_centers, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
     style_cycling_layers, style_cycling_paint, style_walking_layers, style_basemap_layers, style_basemap_paint, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
     directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
     archive_round_trip, archive_entries, archive_headers, archive_blobs, archive_legacy_entries, archive_paths, allowed_origins, view_queries, link_queries, base_schema, tile_sources, split_numbers, little_endian, present_tags, clicked_features, feature_marks,

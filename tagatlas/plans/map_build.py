@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagatlas.functions import vector_tile
+from tagatlas.functions.tags import equals, tag
 from tagatlas.functions.tiles import tile_id
 from tagatlas.operators import features, geometry, merge, routes
 from tagatlas.operators.comfort import ATTRIBUTES
@@ -24,12 +25,17 @@ def split_elements(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def map_features(nodes: DataFrame, ways: DataFrame, relations: DataFrame, layer: str = "cycling") -> DataFrame:
-    """Features of the layer: classified lines with their routes, and bicycle parking at points and areas."""
+    """Features of the layer: classified lines with their routes, and bicycle parking at points and areas (closed ways, and relations that are areas)."""
     shaped = geometry.capabilities(geometry.with_geometry(ways, nodes))
     lines = features.lines(routes.with_routes(shaped, relations), layer)
     point = F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))
     points = nodes.select(F.lit("node").alias("feature_type"), F.col("node_id").alias("osm_id"), "tags", point.alias("geom"), F.lit(True).alias("is_point"), F.lit(False).alias("can_be_line"), F.lit(False).alias("can_be_polygon"))
     areas = shaped.select(F.lit("way").alias("feature_type"), F.col("way_id").alias("osm_id"), "tags", "geom", "is_point", "can_be_line", "can_be_polygon")
+    # relations that are areas: only those that will be features, and only the ways that these have, are given shapes
+    wanted = relations.where(equals(tag("amenity"), features.PARKING))
+    outlines = wanted.select(F.explode("members").alias("m")).where("m.type = 'way'").select(F.col("m.ref").alias("way_id"))
+    wholes = geometry.relation_areas(wanted, geometry.with_geometry(ways.join(outlines, "way_id", "left_semi"), nodes))
+    areas = areas.unionByName(wholes.select(F.lit("relation").alias("feature_type"), "osm_id", "tags", "geom", F.lit(False).alias("is_point"), F.lit(False).alias("can_be_line"), F.lit(True).alias("can_be_polygon")))
     return features.all_features(lines, features.parking_points(points, layer), features.parking_centroids(areas, layer))
 
 

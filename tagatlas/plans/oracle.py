@@ -196,6 +196,9 @@ SQL["archive_paths"] = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN conca
 SQL["allowed_origins"] = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '*' WHEN 2 THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) END AS origin FROM pages"
 SQL["view_queries"] = "SELECT event_id, printf('zoom=%.4f&lng=%.10f&lat=%.10f', CAST(5 + (event_id % 60) * 0.25 AS DOUBLE), CAST(-140 + (user_id % 100) * 0.25 AS DOUBLE), CAST(47 + (event_id % 52) * 0.25 AS DOUBLE)) AS query FROM events"
 SQL["link_queries"] = "SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN concat('/map/', page_id, '?', CASE WHEN page_id % 3 <> 0 THEN concat('zoom=', page_id % 20) END) END AS href FROM pages"
+#: A square of side 4 less, in two of three, a hole of side s whose lower left corner lies at 1, 1.
+SQL["relation_centers"] = """WITH a AS (SELECT p_partkey AS k, CAST(p_partkey % 350 - 175 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, CAST(1 + p_partkey % 2 AS DOUBLE) AS s, CASE WHEN p_partkey % 3 <> 0 THEN (1 + p_partkey % 2) ** 2 ELSE 0 END AS hole FROM part WHERE p_size % 5 = 0 AND p_partkey % 7 <> 0)
+SELECT k AS osm_id, round(x + (32 - hole * (1 + s / 2)) / (16 - hole), 6) AS x, round(y + (32 - hole * (1 + s / 2)) / (16 - hole), 6) AS y FROM a"""
 SQL["base_schema"] = "SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AS fits FROM events"
 SQL["tile_sources"] = "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 1 THEN 'https://t.example/' || n_name ELSE 'pmtiles://base.pmtiles' END AS base, n_nationkey % 3 <> 1 AS archives FROM nation"
 SQL["split_numbers"] = "SELECT event_id, CAST(-100 - event_id % 50 AS DOUBLE) AS n0, CAST(user_id % 90 + 0.5 AS DOUBLE) AS n1, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS DOUBLE) END AS n2, 3 AS size, -100 - event_id % 50 AS leading FROM events"

@@ -136,6 +136,16 @@ def tile_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.selectExpr("archive", "tile_id", "CAST(floor(tile_id / 4) AS BIGINT) * 1000 AS offset", "100 + CAST(floor(tile_id / 4) AS BIGINT) % 50 AS length")
 
 
+def area_relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Relations and their ways: a square in two halves, the second drawn backwards, with a square hole in two of three. Every seventh lacks a half."""
+    rows = read(spark, sf_dir, "part").selectExpr("p_partkey AS k", "CAST(p_partkey % 350 - 175 AS DOUBLE) AS x", "CAST(p_size AS DOUBLE) AS y", "CAST(1 + p_partkey % 2 AS DOUBLE) AS s", *[f"{sql} AS {c}" for c, sql in RELATION_TAGS.items()])
+    member = lambda i, role: f"named_struct('type', 'way', 'ref', 3 * k + {i}, 'role', '{role}')"
+    relations = rows.select(F.col("k").alias("relation_id"), F.create_map(F.lit("type"), F.col("type"), F.lit("amenity"), F.lit("bicycle_parking")).alias("tags"), F.expr(f"concat(array({member(0, 'outer')}, {member(1, '')}), CASE WHEN k % 3 <> 0 THEN array({member(2, 'inner')}) ELSE array() END)").alias("members"))
+    ring = lambda i, nodes, xy: rows.where("k % 7 <> 0" if i == 1 else "true").selectExpr(f"3 * k + {i} AS way_id", f"transform(array({nodes}), n -> 8 * k + n) AS nodes", "array(" + ", ".join(f"named_struct('x', x + {a}, 'y', y + {b})" for a, b in xy) + ") AS geom")
+    hole = ring(2, "4, 5, 6, 7, 4", [(1, 1), ("1 + s", 1), ("1 + s", "1 + s"), (1, "1 + s"), (1, 1)])
+    return relations, ring(0, "0, 1, 2", [(0, 0), (4, 0), (4, 4)]).unionByName(ring(1, "0, 3, 2", [(0, 0), (0, 4), (4, 4)])).unionByName(hole)
+
+
 def archives(spark: SparkSession) -> DataFrame:
     rows = [("cycling", 1, 0, 14, -140.0, 47.0, -115.0, 60.0, -123.135, 49.272, 13, "Cycling", None, "OSM", "1"), ("base", 2, 2, 10, -180.0, -85.0, 180.0, 85.0, 0.0, 0.0, 4, None, "Base map", None, "2")]
     names = "archive string, tile_type int, min_zoom int, max_zoom int, min_lon double, min_lat double, max_lon double, max_lat double, center_lon double, center_lat double, center_zoom int, name string, description string, attribution string, version string"

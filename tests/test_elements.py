@@ -136,3 +136,66 @@ def test_boxes(spark):
         ("Cycling Track", ["Under Construction", "risk of dooring (adjacent parking)", "shared with pedestrians", "one way", "track (separated from roadway)"]),
         ("Cycling Lane", ["one way", "bike lane on roadway"]),
     ]
+
+
+def test_rings():
+    closed = [[1, 2, 3, 1]]
+    assert geometry.rings(closed) == closed and geometry.rings([]) == []
+    # halves that run either way, a dead end on the way, and a line that leads nowhere
+    assert [sorted(set(r)) for r in geometry.rings([[1, 2, 3], [3, 9], [1, 4, 3], [20, 21]])] == [[1, 2, 3, 4]]
+    # two rings that touch at a node stay two rings, wherever the walk begins
+    eight = [[2, 3, 1], [1, 4, 5], [5, 1], [1, 2]]
+    for k in range(4):
+        assert sorted(sorted(set(r)) for r in geometry.rings(eight[k:] + eight[:k])) == [[1, 2, 3], [1, 4, 5]]
+    assert geometry.rings([[1, 2], [2, 3], [3, 4]]) == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_rings_find_all_of_a_shuffled_cover(seed):
+    import random
+
+    r, lines, want = random.Random(seed), [], []
+    for k in range(5):
+        nodes = list(range(100 * k, 100 * k + r.randint(4, 12)))
+        cuts = sorted(r.sample(range(len(nodes)), r.randint(1, 4)))
+        ring = nodes[cuts[0] :] + nodes[: cuts[0]]
+        at = [c - cuts[0] for c in cuts] + [len(nodes)]
+        lines += [(ring + ring[:1])[a : b + 1] for a, b in zip(at, at[1:])]
+        want.append(nodes)
+    lines = [line[:: r.choice((1, -1))] for line in lines] + [[900, 901], [901, 902]]
+    r.shuffle(lines)
+    got = geometry.rings(lines)
+    assert sorted(sorted(x[1:]) for x in got) == want
+    assert all(x[0] == x[-1] and {frozenset(p) for p in zip(x, x[1:])} <= {frozenset(p) for line in lines for p in zip(line, line[1:])} for x in got)
+
+
+def test_relation_areas(spark):
+    of = lambda *refs: [("way", ref, role) for ref, role in refs]
+    tags = {"type": "multipolygon", "amenity": "bicycle_parking"}
+    relations = spark.createDataFrame([
+        (1, of((10, "outer"), (11, "outer"), (12, "inner")), tags), (2, of((10, "outer"), (99, "outer")), tags), (3, of((12, "inner")), tags), (4, [], tags), (5, None, None),
+        (6, of((12, None)), {"type": "boundary"}), (7, of((12, "outer")), {"type": "route"}), (8, [("node", 12, "outer")], tags), (9, of((12, ""), (13, "outer")), tags), (10, of((14, "outer")), tags),
+    ], "relation_id bigint, members array<struct<type:string,ref:bigint,role:string>>, tags map<string,string>")
+    p = lambda *xy: [(float(a), float(b)) for a, b in xy]
+    ways = spark.createDataFrame([
+        (10, [1, 2, 3], p((0, 0), (8, 0), (8, 8))), (11, [1, 4, 3], p((0, 0), (0, 8), (8, 8))), (12, [5, 6, 7, 8, 5], p((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))),
+        (13, [9, 10, 11, 9], p((10, 0), (12, 0), (12, 4), (10, 0))), (14, [1, 2, 3, 1], p((0, 0), (1, 1))), (15, None, None),
+    ], "way_id bigint, nodes array<bigint>, geom array<struct<x:double,y:double>>")
+    got = {r["osm_id"]: (r["c"]["x"], r["c"]["y"]) for r in geometry.relation_areas(relations, ways).select("osm_id", features.centroid(F.col("geom")).alias("c")).collect()}
+    assert set(got) == {1, 6, 9}
+    assert got[1] == pytest.approx(((64 * 4 - 16 * 2) / 48, (64 * 4 - 16 * 2) / 48)) and got[6] == (2.0, 2.0)
+    # two areas: a square of 16 and a triangle of 4
+    assert got[9] == pytest.approx(((16 * 2 + 4 * 34 / 3) / 20, (16 * 2 + 4 * 4 / 3) / 20))
+    assert geometry.relation_areas(relations.limit(0), ways).count() == 0 and geometry.relation_areas(relations, ways.limit(0)).count() == 0
+
+
+def test_parking_of_a_relation_is_a_feature(spark):
+    from tagatlas.plans import map_build
+
+    nodes = spark.createDataFrame([(k, float(x), float(y), None) for k, x, y in ((1, 0, 0), (2, 2, 0), (3, 2, 2), (4, 0, 2))], "node_id bigint, lon double, lat double, tags map<string,string>")
+    ways = spark.createDataFrame([(20, [1, 2, 3], None), (21, [3, 4, 1], {"foot": "yes"})], "way_id bigint, nodes array<bigint>, tags map<string,string>")
+    members = [("way", 20, "outer"), ("way", 21, "outer")]
+    relations = spark.createDataFrame([(30, members, {"type": "multipolygon", "amenity": "bicycle_parking", "name": "a"}), (31, members, {"type": "multipolygon"})], "relation_id bigint, members array<struct<type:string,ref:bigint,role:string>>, tags map<string,string>")
+    (r,) = map_build.map_features(nodes, ways, relations).collect()
+    assert (r["kind"], r["feature_type"], r["osm_id"], r["osmWayId"], r["name"]) == ("centroid", "relation", 30, 30, "a")
+    assert [tuple(p) for p in r["geom"]] == [(1.0, 1.0)]
