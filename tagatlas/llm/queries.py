@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagatlas.llm import centroids, decontaminate, html_main, jpeg, licenses, mixing, quality, simhash, sstable, toxicity, wordpiece
+from tagatlas.llm import bloom_lm, centroids, collocations, decontaminate, html_main, jpeg, licenses, mixing, quality, simhash, sstable, toxicity, wordpiece
 from tagatlas.llm.common import remainder, table
 
 
@@ -57,10 +57,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_tokens")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = remainder(F.col("doc_id"), 10)
+    model = bloom_lm.train(docs.where(fold != 0))
+    return bloom_lm.score(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), *bloom_lm.RESULT)
+
+
 OP8_SQL = r"""
 WITH docs AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
 texts AS (SELECT row_number() OVER () AS t, text, w FROM (SELECT DISTINCT text, w FROM docs WHERE len(w) > 0)),
@@ -79,8 +90,8 @@ FROM docs d LEFT JOIN of_text o ON d.text = o.text"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_quality, op4_mixing, op5_jpeg, op6_licenses, op7_html, op8_decontaminate, op9_sstable, op10_token_counts, op12_centroids)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_quality, op4_mixing, op5_jpeg, op6_licenses, op7_html, op8_decontaminate, op9_sstable, op10_token_counts, op11_collocations, op12_centroids, op13_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.scan_sql(), "op8_decontaminate": OP8_SQL, "op12_centroids": centroids.cluster_sql()}
+    return {"op6_licenses": licenses.scan_sql(), "op8_decontaminate": OP8_SQL, "op11_collocations": collocations.collocations_sql(), "op12_centroids": centroids.cluster_sql()}
