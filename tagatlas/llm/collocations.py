@@ -1,8 +1,8 @@
 """Phrase collocations by contiguous pattern growth, in the manner of PrefixSpan.
 
 Texts are split into pieces and pieces into words; everything is counted per language. A phrase can only be frequent if its words and
-its pairs of neighbours are, so an occurrence pointer (the place where a phrase begins) is only kept with the next words that such pairs
-join to it. Equal pointers are merged with their number. All pointers of a frequent prefix meet in one task, which grows it to
+its pairs of neighbours are, so an occurrence pointer (the place where a phrase of three words or more may begin) is only kept with the next
+words that such pairs join to it. Equal pointers are merged with their number. All pointers of a frequent prefix meet in one task, which grows it to
 the right, depth first: it projects the pointers onto each next word, keeps the words that are frequent enough and goes on from there.
 
 Words go by a 64-bit hash of language and word; the count of words proves that no two share one (else another seed is taken).
@@ -37,6 +37,8 @@ BLOCK, CHUNK = 1 << 20, 1 << 22
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _GAP = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 W = [f"w{k}" for k in range(1, LONGEST + 1)]
+_TIMES = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
+_BACK = np.uint64(pow(int(_TIMES), -1, 1 << 64))
 
 
 def chunks(text: str | None, seed: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -73,29 +75,35 @@ def blocks(langs: Iterable[str], texts: Iterable[str | None], salt: int) -> Iter
 
 
 def count_words(source: DataFrame, salt: int = 0) -> DataFrame:
-    """(key, lang, word, n, other): n occurrences of each word of each language; other is true where words share a key."""
+    """(key, lang, word, n): n occurrences of each word of each language."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, bytes], list[int]] = {}
-            for lang, text in zip(batch["lang"].to_pylist(), (x.as_py() for x in batch["text"]), strict=True):
-                for words, h, _ in chunks(text, _seed(lang, salt)):
-                    u, first, n = np.unique(h, return_index=True, return_counts=True)
-                    for key, at, m in zip(u.view(np.int64).tolist(), first.tolist(), n.tolist(), strict=True):
-                        own = counts.setdefault((lang, words[at]), [key, 0])
-                        own[1] += m
-                    if len(counts) > BLOCK:
-                        yield _rows(counts)
-                        counts = {}
-            yield _rows(counts)
-
-    def _rows(counts: dict) -> pa.RecordBatch:
-        keys = [k for k, _ in counts.values()]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x for x, _ in counts], pa.string()), pa.array([w.decode() for _, w in counts], pa.string()), pa.array([n for _, n in counts.values()], pa.int64())], ["key", "lang", "word", "n"])
-
-    one = F.struct("lang", "word")
-    got = source.mapInArrow(of, "key long, lang string, word string, n long").groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.sum("n").alias("n"))
-    return got.select("key", "a.lang", "a.word", "n", (F.col("a") != F.col("b")).alias("other"))
+            langs, order = batch["lang"].to_pylist(), {}
+            for k, lang in enumerate(langs):
+                order.setdefault(lang, []).append(k)
+            for lang, own in order.items():
+                words, hashes, seed = [], [], _seed(lang, salt)
+                for k in own:
+                    for part, h, _ in chunks(batch["text"][k].as_py(), seed):
+                        words += part
+                        hashes.append(h)
+                    if len(words) >= BLOCK:
+                        yield _rows(lang, words, hashes)
+                        words, hashes = [], []
+                if words:
+                    yield _rows(lang, words, hashes)
+
+    def _rows(lang: str, words: list[bytes], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        u, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+        own = pa.array([words[k] for k in first.tolist()], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array([lang] * len(u), pa.string()), own, pa.array(n)], ["key", "lang", "word", "n"])
+
+    return source.mapInArrow(of, "key long, lang string, word string, n long").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
+
+
+def words_share_a_key(words: DataFrame) -> bool:
+    return not words.groupBy("key").count().where("count > 1").isEmpty()
 
 
 def _keys(df: DataFrame, column: str) -> np.ndarray | None:
@@ -105,20 +113,59 @@ def _keys(df: DataFrame, column: str) -> np.ndarray | None:
     return np.sort(df.select(column).toArrow()[column].to_numpy().view(np.uint64))
 
 
+def _linked(h: np.ndarray, piece: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(places that a frequent word follows, itself frequent, in one piece; the keys of these pairs): ranks of both words, so that they can be told from the key, or a hash where there are no ranks."""
+    beside = piece[:-1] == piece[1:]
+    if known is None:
+        at = np.flatnonzero(beside)
+        return at, mixed(h[at], h[at + 1])
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    rank = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    ok = known[rank] == h
+    at = np.flatnonzero(ok[:-1] & ok[1:] & beside)
+    return at, _stirred((rank[at].astype(np.uint64) << np.uint64(32)) | rank[at + 1].astype(np.uint64))
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads ranks over all ranges."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * _TIMES
+        return x ^ (x >> np.uint64(32))
+
+
+def _unstirred(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * _BACK
+        return x ^ (x >> np.uint64(32))
+
+
 def frequent_pairs(source: DataFrame, words, salt: int, least: int, parts: int) -> DataFrame:
-    """(key) of the pairs of neighbours that occur at least `least` times; words is a broadcast set of frequent words, or of None."""
+    """(key, f) of the pairs of neighbours that occur at least `least` times; words is a broadcast set of frequent words, or of None."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, piece in blocks(batch["lang"].to_pylist(), (x.as_py() for x in batch["text"]), salt):
-                ok = np.ones(len(h), bool) if words.value is None else member(h, words.value)
-                yield from packed(0, mixed(h[:-1], h[1:])[ok[:-1] & ok[1:] & (piece[:-1] == piece[1:])], parts)
+                yield from packed(0, _linked(h, piece, words.value)[1], parts)
 
     def often(group: pa.Table) -> pa.Table:
         u, n = merged(group)
-        return pa.table({"key": u[n >= least].view(np.int64)})
+        return pa.table({"key": u[n >= least].view(np.int64), "f": n[n >= least]})
+
+    return source.mapInArrow(of, PACKED).groupBy("part").applyInArrow(often, "key long, f long")
+
+
+def named_pairs(pairs: DataFrame, words) -> DataFrame:
+    """(w, f) of pairs whose keys are ranks."""
 
-    return source.mapInArrow(of, PACKED).groupBy("part").applyInArrow(often, "key long")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks = _unstirred(batch["key"].to_numpy().view(np.uint64))
+            both = np.stack([words.value[(ranks >> np.uint64(32)).astype(np.int64)], words.value[(ranks & np.uint64((1 << 32) - 1)).astype(np.int64)]], 1) if len(ranks) else np.zeros((0, 2), np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ranks) + 1) * 2, pa.int32()), pa.array(both.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([lists, batch["f"]], ["w", "f"])
+
+    return pairs.mapInArrow(of, "w array<long>, f long")
 
 
 def _different(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -136,20 +183,22 @@ def _different(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]
 
 
 def pointers(source: DataFrame, words, pairs, salt: int) -> DataFrame:
-    """(w1 .. w5, n): where phrases begin, as the words that follow there up to the first pair that isn't frequent (0 from then on), and how often."""
+    """(w1 .. w5, n): where phrases begin, as the words that follow there up to the first pair that isn't frequent (0 from then on), and how often.
+
+    Phrases of two words are counted already where the keys of pairs name them; then only places count that a third word follows."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, piece in blocks(batch["lang"].to_pylist(), (x.as_py() for x in batch["text"]), salt):
-                ok = np.ones(len(h), bool) if words.value is None else member(h, words.value)
-                link = ok[:-1] & ok[1:] & (piece[:-1] == piece[1:])
+                at, key = _linked(h, piece, words.value)
                 if pairs.value is not None:
-                    at = np.flatnonzero(link)
-                    link[at] = member(mixed(h[at], h[at + 1]), pairs.value)
-                start = np.flatnonzero(link)
+                    at = at[member(key, pairs.value)]
+                link = np.zeros(len(h) + LONGEST, bool)
+                link[at] = True
+                start = at if words.value is None else at[link[at + 1]]
                 if not len(start):
                     continue
-                link, h = np.concatenate([link, np.zeros(LONGEST, bool)]), np.concatenate([h, np.zeros(LONGEST, np.uint64)])
+                h = np.concatenate([h, np.zeros(LONGEST, np.uint64)])
                 columns, on = [h[start]], np.ones(len(start), bool)
                 for k in range(1, LONGEST):
                     on = on & link[start + k - 1]
@@ -220,19 +269,23 @@ def phrases(docs: DataFrame, least: int = 100, lang: str = "lang", text: str = "
     parts = max(1, -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE))
     for salt in itertools.count():
         words = kept(count_words(source, salt), "words")
-        if words.where("other").isEmpty():
+        if not words_share_a_key(words):
             break
     often = words.where(F.col("n") >= least)
     send = spark.sparkContext.broadcast
     known = send(_keys(often, "key"))
-    pairs = send(_keys(kept(frequent_pairs(source, known, salt, least, parts), "pairs"), "key"))
-    todo = kept(pointers(source, known, pairs, salt), "pointers")
+    counted = kept(frequent_pairs(source, known, salt, least, parts), "pairs")
+    todo = kept(pointers(source, known, send(_keys(counted, "key")), salt), "pointers")
     tasks, found = [], [often.select(F.array("key").alias("w"), F.col("n").alias("f"))]
+    named = known.value is not None
+    if named:
+        found.append(named_pairs(counted, known))
     for depth in range(1, LONGEST):
         prefix = W[:depth]
         sizes = todo.where(F.col(prefix[-1]) != 0).groupBy(*prefix).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("f"))
         if depth > 1:
             sizes = kept(sizes.where(F.col("f") >= least), "prefixes")
+        if depth > 2 or (depth > 1 and not named):
             found.append(sizes.select(F.array(*prefix).alias("w"), "f"))
         hot = kept(sizes.where(F.col("m") > heavy).select(*prefix), "hot")
         if hot.isEmpty():
@@ -247,6 +300,8 @@ def phrases(docs: DataFrame, least: int = 100, lang: str = "lang", text: str = "
     for t in tasks[1:]:
         dealt = dealt.unionByName(t)
     out = grow_prefixes(dealt, least)
+    if named:
+        out = out.where(F.size("w") > 2)
     for f in found:
         out = out.unionByName(f)
     return kept(out, "phrases"), words

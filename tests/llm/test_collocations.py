@@ -79,10 +79,13 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
 
 
 def test_hashes_that_clash(spark, monkeypatch):
-    clash = collocations.count_words
-    monkeypatch.setattr(collocations, "count_words", lambda source, salt: clash(source, salt).withColumn("other", collocations.F.lit(salt == 0)))
+    """A seed under which two words share a key is not used."""
+    real, seeds = collocations.words_share_a_key, []
+    monkeypatch.setattr(collocations, "words_share_a_key", lambda words: seeds.append(real(words)) or len(seeds) == 1)
     rows = corpus(2, 60)
-    assert sorted(tuple(r) for r in collocations.collocations(frame(spark, rows), 10, 30).collect()) == plain(rows, 10, 30)
+    assert sorted(tuple(r) for r in collocations.collocations(frame(spark, rows), 10, 30).collect()) == plain(rows, 10, 30) and seeds == [False, False]
+    words = collocations.count_words(frame(spark, [r for r in rows if r[0]])).select("key", "lang", "word", "n")
+    assert not real(words) and real(words.unionByName(words.limit(1).withColumn("word", collocations.F.lit("other"))))
 
 
 def test_rows_that_share_a_hash(monkeypatch):
@@ -91,3 +94,8 @@ def test_rows_that_share_a_hash(monkeypatch):
     columns = [rng.integers(0, 3, 200).astype(np.uint64) for _ in range(3)]
     got, n = collocations._different(columns)
     assert dict(zip(zip(*(c.tolist() for c in got), strict=True), n.tolist(), strict=True)) == collections.Counter(zip(*(c.tolist() for c in columns), strict=True))
+
+
+def test_keys_of_pairs_can_be_told():
+    x = np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64)
+    assert (collocations._unstirred(collocations._stirred(x)) == x).all()
