@@ -4,7 +4,7 @@ Tokens are the words of a text (A-Z lower-cased, between ASCII white space) and
 The filter holds the counts of pairs of neighbours: a count is quantised to a level on a scale that is exact up to 8 and then
 grows by a quarter, and pair and level are inserted for every level up to its own. A pair's count is found by asking for level after
 level until the filter denies one. Nothing that was counted is missed, a level gives the least count that has it, and a pair
-that never occurred passes a level with probability 2^-PROBES. Single tokens have exact counts c, N in all, of V different ones.
+that never occurred passes the first level with probability 2^-FIRST, and one that did passes its next level with 2^-NEXT. Single tokens have exact counts c, N in all, of V different ones.
 
     base(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))          p(w | h) = (filter(h, w) + MU base(w)) / (c(h) + MU)
 
@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from tagatlas.llm.common import kept, unused
 from tagatlas.llm.hashes import PACKED, looked_up, merged, mixed, packed, segment
 
-#: Hash functions of the filter.
-PROBES = 8
+#: Hash functions of the filter: for the first level, which most pairs that are asked for don't have, and for each further one.
+FIRST, NEXT = 6, 5
 #: How many tokens the base distribution counts for after each context; chosen on training rows (crc32 mod 10 = 1, learned from the rest).
 MU = 300
 BROADCAST = 256 << 20
 #: Bytes of training text for each segment of the model.
 RANGE = 16 << 20
-#: Tokens that are counted or scored together, and bytes of a text that are split at a time.
-BLOCK, CHUNK = 1 << 20, 1 << 22
+#: Tokens that are counted together, those that are scored together, and bytes of a text that are split at a time.
+BLOCK, SCORED, CHUNK = 1 << 20, 1 << 17, 1 << 22
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 WORDS, PAIRS = 1, 2
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -75,17 +75,17 @@ def tokens(text: str | None) -> Iterator[np.ndarray]:
     yield np.array([END])
 
 
-def blocks(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, contexts, piece of each token, text of each piece): about BLOCK tokens at a time; a text is one piece, a long one several."""
+def blocks(texts: Iterable[str | None], size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, contexts, piece of each token, text of each piece): about `size` tokens at a time; a text is one piece, a long one several."""
     parts, before, own, n = [], [], [], 0
 
     def out():
-        size = [len(p) for p in parts]
+        each = [len(p) for p in parts]
         h = np.concatenate(parts)
         context = np.concatenate([END[None], h[:-1]])
-        some = np.flatnonzero(size)
-        context[(np.cumsum(size) - size)[some]] = np.array(before, np.uint64)[some]
-        return h, context, np.repeat(np.arange(len(parts)), size), np.array(own)
+        some = np.flatnonzero(each)
+        context[(np.cumsum(each) - each)[some]] = np.array(before, np.uint64)[some]
+        return h, context, np.repeat(np.arange(len(parts)), each), np.array(own)
 
     for k, text in enumerate(texts):
         last = END
@@ -94,7 +94,7 @@ def blocks(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
             before.append(last)
             own.append(k)
             last, n = h[-1] if len(h) else last, n + len(h)
-        if n >= BLOCK:
+        if n >= size:
             yield out()
             parts, before, own, n = [], [], [], 0
     if parts:
@@ -112,7 +112,7 @@ class Filter:
     @staticmethod
     def built(keys: np.ndarray, level: np.ndarray) -> bytes:
         """The bits of one segment with every level up to its own of each key."""
-        words = max(1, int(np.ceil(level.sum() * PROBES / np.log(2) / 64)))
+        words = max(1, int(np.ceil((len(level) * FIRST + (level.sum() - len(level)) * NEXT) / np.log(2) / 64)))
         bits, size = np.zeros(words * 64, bool), np.uint64(words * 64)
         for j in range(1, int(level.max(initial=0)) + 1):
             for at in Filter._places(keys[level >= j], j, size):
@@ -124,7 +124,7 @@ class Filter:
         h = mixed(keys, np.uint64(level))
         step = mixed(h, _SECOND) | np.uint64(1)
         with np.errstate(over="ignore"):
-            for k in range(PROBES):
+            for k in range(FIRST if level == 1 else NEXT):
                 yield (h + np.uint64(k) * step) % size
 
     def level(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -178,7 +178,7 @@ def train(docs: DataFrame, text: str = "text", range_bytes: int | None = None) -
 def _scores(texts: list, n: int, v: int, count, pair) -> pd.DataFrame:
     """The result of texts, given functions from different hashes to the counts of tokens and of pairs."""
     out = np.zeros((4, len(texts)))
-    for h, context, piece, own in blocks(texts):
+    for h, context, piece, own in blocks(texts, SCORED):
         u, back = np.unique(np.concatenate([h, context]), return_inverse=True)
         c = count(u)[back]
         c, before = c[: len(h)], c[len(h) :]
