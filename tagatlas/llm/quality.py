@@ -3,8 +3,8 @@
 A document is the average of the learned vectors of its hashed words and hashed character n-grams; a softmax layer over
 that average gives the probabilities of the labels; both are trained together by stochastic gradient descent in numpy.
 
-Training: a bounded sample of labelled documents (per_class of each label); executors turn each text into bucket counts,
-the driver runs the descent. Scoring: since the output layer is linear in the average, each bucket's vector is multiplied
+Training: a bounded sample of labelled documents (per_class of each label); executors turn each text into counts of all its
+buckets and write them to the shared folder, and the driver runs the descent over parts of that table of at most MOST counts. Scoring: since the output layer is linear in the average, each bucket's vector is multiplied
 with the output layer once, and a document's logits are the average of those numbers: exact, without a shuffle.
 
 A null or empty text has the zero vector and gets the softmax of the output bias. A score depends on the text only;
@@ -13,7 +13,7 @@ other columns pass through, existing columns named score or predicted are replac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagatlas.llm.common import labelled_sample, remainder
+from tagatlas.llm.common import kept, labelled_sample, remainder
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 17
+#: Counts of buckets that are in the driver's memory at a time.
+MOST = 20_000_000
 #: Bytes that are hashed at a time; n-grams reach over the joints.
 BLOCK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
@@ -85,57 +87,78 @@ class SubwordClassifier:
         return float(1 / (1 + np.exp(-np.clip(self.bias + (total / n if n else 0), -30, 30))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int = 10, epochs: int = 12, rate: float = 0.6, seed: int = 5, keep: list | None = None) -> SubwordClassifier:
-    """rows: for each document its buckets and their shares (which sum to 1). Plain SGD, one document at a step. keep gets vectors, output layer and bias."""
+Rows = list[tuple[np.ndarray, np.ndarray]]
+
+
+def fit(rows: Rows, y: np.ndarray, **options) -> SubwordClassifier:
+    """rows: for each document its buckets and their shares (which sum to 1)."""
+    return descend([lambda: (rows, y)], len(rows), int(y.sum()), **options)
+
+
+def descend(parts: list[Callable[[], tuple[Rows, np.ndarray]]], n: int, positive: int, size: int = 10, epochs: int = 12, rate: float = 0.6, seed: int = 5, keep: list | None = None) -> SubwordClassifier:
+    """Plain SGD over parts of n documents, one document at a step; parts and documents in a new order each epoch. keep gets vectors, output layer and bias."""
+    if positive in (0, n):
+        share = (positive + 1) / (n + 2)
+        return SubwordClassifier(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     vectors, out, bias = rng.uniform(-1 / size, 1 / size, (BUCKETS, size)).astype(np.float32), np.zeros((size, 2), np.float32), np.zeros(2, np.float32)
-    steps, step = max(1, epochs * len(rows)), 0
-    if len(rows) == 0 or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
-        return SubwordClassifier(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+    steps, step, part = epochs * n, 0, None
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            b, share = rows[i]
-            lr = rate * (1 - step / steps)
-            step += 1
-            if not len(b):
-                continue
-            own = vectors[b]
-            mean = share @ own
-            logits = mean @ out + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[int(y[i])] -= 1
-            back = out @ p
-            out -= lr * np.outer(mean, p)
-            bias -= lr * 0.1 * p
-            # the step of each vector follows its share of the document, relative to the mean share
-            own -= ((lr * len(b) ** 0.5) * share)[:, None] * back
-            vectors[b] = own
+        for k in rng.permutation(len(parts)) if len(parts) > 1 else [0]:
+            if part is None or len(parts) > 1:
+                part = None  # freed before the next one is read
+                part = parts[k]()
+            rows, y = part
+            for i in rng.permutation(len(rows)):
+                b, share = rows[i]
+                lr = rate * (1 - step / steps)
+                step += 1
+                if not len(b):
+                    continue
+                own = vectors[b]
+                mean = share @ own
+                logits = mean @ out + bias
+                p = np.exp(logits - logits.max())
+                p /= p.sum()
+                p[int(y[i])] -= 1
+                back = out @ p
+                out -= lr * np.outer(mean, p)
+                bias -= lr * 0.1 * p
+                # the step of each vector follows its share of the document, relative to the mean share
+                own -= ((lr * len(b) ** 0.5) * share)[:, None] * back
+                vectors[b] = own
     both = vectors @ out
     if keep is not None:
         keep += [vectors, out, bias]
     return SubwordClassifier((both[:, 1] - both[:, 0]).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2500, most_buckets: int = 20_000_000, **options) -> SubwordClassifier:
-    """A classifier from labelled rows whose crc32(doc_id as text) mod 5 is not 0; at most per_class of each label.
-
-    Documents with more different buckets than most_buckets / (2 * per_class) keep those of the largest counts (ties by bucket), so that at
-    most most_buckets numbers come to the driver; with the defaults that is 4,000 buckets a document. Scoring uses all buckets of a text.
-    """
-    sample, each = labelled_sample(docs, labels, label, remainder(F.col("doc_id"), 5) != 0, per_class), max(1, most_buckets // (2 * per_class))
+def sampled(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2500) -> DataFrame:
+    """(doc_id, y, b, n) of the sample: each document's different buckets and their shares, all of them."""
 
     @F.pandas_udf("struct<b: array<int>, n: array<float>>")
     def counted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             found = [np.unique(np.concatenate([np.zeros(0, np.int32), *buckets(x)]), return_counts=True) for x in part]
-            best = [np.sort(np.argsort(-n, kind="stable")[:each]) for _, n in found]
-            yield pd.DataFrame({"b": [b[k].astype("int32") for (b, _), k in zip(found, best, strict=True)], "n": [(n[k] / max(1, n[k].sum())).astype("float32") for (_, n), k in zip(found, best, strict=True)]})
+            yield pd.DataFrame({"b": [b.astype("int32") for b, _ in found], "n": [(n / max(1, n.sum())).astype("float32") for _, n in found]})
+
+    sample = labelled_sample(docs, labels, label, remainder(F.col("doc_id"), 5) != 0, per_class)
+    return kept(sample.select("doc_id", "y", counted("text").alias("t")).select("doc_id", "y", "t.b", "t.n"), "quality-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2500, most: int | None = None, **options) -> SubwordClassifier:
+    """A classifier from labelled rows whose crc32(doc_id as text) mod 5 is not 0; at most per_class of each label, with all buckets of their texts.
+
+    The table of counts is dealt into as many parts, by a hash of the id, as keep each at about `most` counts (MOST); a document has at most BUCKETS."""
+    table = sampled(docs, labels, label, per_class)
+    about = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("positive"), F.coalesce(F.sum(F.size("b")), F.lit(0)).alias("counts")).first()
+    many = max(1, -(-about.counts // (most or MOST)))
+
+    def part(k: int) -> tuple[Rows, np.ndarray]:
+        got = table.where(F.pmod(F.xxhash64("doc_id"), F.lit(many)) == k).toArrow().sort_by("doc_id")
+        return [(b.values.to_numpy(), n.values.to_numpy()) for b, n in zip(got["b"], got["n"], strict=True)], got["y"].to_numpy().astype(float)
 
-    got = sample.select("doc_id", "y", counted("text").alias("t")).select("doc_id", "y", "t.b", "t.n").toArrow().sort_by("doc_id")
-    rows = [(b.values.to_numpy(), n.values.to_numpy()) for b, n in zip(got["b"], got["n"], strict=True)]
-    return fit(rows, got["y"].to_numpy().astype(float), **options)
+    return descend([lambda k=k: part(k) for k in range(many)], about.n, about.positive, **options)
 
 
 def score(docs: DataFrame, model: SubwordClassifier, text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -137,3 +137,21 @@ def test_sample_is_bounded_and_the_same(spark):
     one = {(r.doc_id, r.y) for r in labelled_sample(docs, labels, "toxic", usable, 50).collect()}
     two = {(r.doc_id, r.y) for r in labelled_sample(docs.repartition(7).unionByName(docs), labels.repartition(2), "toxic", usable, 50).collect()}
     assert one == two and sum(y for _, y in one) == 50 and len(one) == 100
+
+
+def test_quality_learns_from_whole_texts(spark):
+    docs, labels = corpus(spark, "quality")
+    long = spark.createDataFrame([(10**6 + k, " ".join(f"{'#|' if k % 2 else ''}w{j * j + k}x{j}" for j in range(4000))) for k in range(10)], "doc_id long, text string")
+    labels = labels.select("doc_id", "quality").unionByName(long.selectExpr("doc_id", "CAST((doc_id + 1) % 2 AS INT) AS quality"))
+    docs = docs.select("doc_id", "text").unionByName(long)
+    rows = {r.doc_id: r for r in quality.sampled(docs, labels).collect()}
+    texts, most = {r.doc_id: r.text for r in docs.collect()}, 0
+    for i, r in rows.items():
+        b, n = np.unique(np.concatenate([np.zeros(0, np.int32), *quality.buckets(texts[i])]), return_counts=True)
+        assert r.b == b.tolist() and np.allclose(r.n, n / max(1, n.sum()))
+        most = max(most, len(b))
+    assert most > 4000
+    # the same sample read in parts: another order of steps, as good a model
+    model = quality.train(docs, labels, most=20_000)
+    got = quality.score(docs, model).join(labels, "doc_id").where((remainder(F.col("doc_id"), 5) == 0) & F.col("quality").isNotNull()).toPandas()
+    assert ((got.score >= 0.5) == (got.quality == 1)).mean() > 0.95
