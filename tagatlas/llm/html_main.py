@@ -43,30 +43,34 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr dd dt figcapti
 PASSAGES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
 DROPPED = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select input textarea dialog menu title noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Names of what isn't the article, as a class or id or a word of one.
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors banner promo promotion promotions cookie cookies consent gdpr notice notices notification alert popup popups modal overlay "
-    "newsletter subscribe subscription signup sidebar sidebars aside widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation footer header masthead "
-    "comment comments disqus respond reply replies pagination pager toolbar login search skip paywall".split()
+#: Names of what isn't the article, as a class or id or a word of one. FIRM ones say so of any element that bears them, also inside an article.
+FIRM = frozenset(
+    "ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors cookie cookies consent gdpr notice notices newsletter subscribe subscription signup comment comments disqus respond "
+    "sidebar sidebars breadcrumb breadcrumbs nav navbar pagination pager footer popup popups paywall".split()
 )
+#: Those that lead a name, whatever comes after; and those that say so of a paragraph or a few words as well.
+LEADING = frozenset("ad ads adv advert advertisement adsense cookie cookies consent gdpr comment comments disqus newsletter sponsored footer".split())
+ANYWHERE = frozenset("ad ads adv advert adverts advertisement advertisements adsense sponsored cookie cookies comment comments".split())
+#: What may also name a part of an article's text: they count there for an element without prose, or of more links than prose.
+SOFT = frozenset("promo promotion promotions related recommended recommendations share sharing social".split())
+NAMES = FIRM | SOFT | frozenset("banner notification alert modal overlay aside widget widgets menu menus navigation header masthead topbar reply replies toolbar login search skip".split())
 #: Words that may stand beside a name in one class or id.
-NEUTRAL = frozenset("main site page left right top bottom container wrapper wrap box block section area list inner outer bar buttons button links link item items global primary secondary sub mini content form icon icons row col group text message policy".split())
-#: Names that count inside an article as well.
-INSIDE = NAMES - frozenset("header masthead banner notice notices notification alert overlay modal search menu menus navigation footer skip login widget widgets aside reply replies respond".split())
+NEUTRAL = frozenset("main site page left right top bottom container wrapper wrap box block section area list inner outer bar buttons button links link items item global primary secondary sub mini content form icon icons row col group text message policy slot unit zone thread bubble".split())
 _KEPT_OPEN = frozenset({"html", "body", "article", "main"})
 #: A start tag of these ends an open p; one of the second kind ends an open one of its own kind.
 _ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dialog"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = frozenset("ul ol dl table article section div main body html blockquote td th nav footer header aside form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+#: The words of a name: split at signs, digits and changes to capitals.
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
     """An element. hash: of its subtree; key: the same, signed, if the subtree may be a template, else None; passages: it holds prose;
-    named: 1 if its names say that it isn't the article, 2 if they say so inside an article as well, else 0."""
+    named: 1 if its names say that it isn't the article, 2 if they say so inside an article as well, 3 if there only of what is no prose, else 0."""
 
     __slots__ = ("tag", "named", "children", "hash", "key", "passages")
 
@@ -126,24 +130,48 @@ def parse(source: str) -> Node:
 
 def _named(tag: str, attributes: str) -> int:
     out = 0
-    if tag in _KEPT_OPEN:
+    if tag in ("html", "body", "main"):
         return out
     for m in _ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
+        value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
-            out = max(out, int(value.strip() in ROLES))
+            role = value.strip().lower()
+            out = max(out, (2 if role in ("search", "navigation", "form", "complementary", "contentinfo") else 1) * (role in ROLES and tag not in PROSE))
             continue
         for name in value.split():
-            words = set(_WORD.findall(name)) - NEUTRAL
-            if words and words <= NAMES:
-                out = max(out, 2 if words <= INSIDE and tag not in PROSE else 1)
+            words = [w for w in (x.lower() for x in _WORD.findall(name)) if w not in NEUTRAL]
+            # a name is told by all of its words, or by the word that leads it or that it ends with
+            if not words or not (NAMES.issuperset(words) or words[0] in LEADING or words[-1] in FIRM):
+                continue
+            telling = [w for w in words if w in FIRM]
+            if tag in PROSE:
+                out = max(out, 2 if ANYWHERE.intersection(words) else 1) if tag != "article" else out
+            else:
+                out = max(out, 2 if telling else 3 if SOFT.intersection(words) else 1, key=(0, 1, 3, 2).index)
     return out
 
 
 def _is_noise(node: Node, in_article: bool) -> bool:
     if node.tag in DROPPED or (node.tag == "header" and not in_article):
         return True
-    return node.named == 2 or (node.named == 1 and not in_article)
+    if node.named == 3 and (in_article or node.tag == "article"):
+        return not _is_prose(node)
+    return node.named == 2 or (node.named in (1, 3) and not in_article)
+
+
+def _is_prose(node: Node) -> bool:
+    """It holds a paragraph or the like, and less than half of its letters are links."""
+    passage, letters, linked, todo = False, 0, 0, [(node, False)]
+    while todo:
+        n, link = todo.pop()
+        passage, link = passage or n.tag in PASSAGES, link or n.tag in ("a", "button")
+        for c in n.children:
+            if isinstance(c, Node):
+                todo.append((c, link))
+            else:
+                size = len("".join(c.split()))
+                letters, linked = letters + size, linked + size * link
+    return passage and 2 * linked < letters
 
 
 def prune(root: Node) -> Node:
@@ -247,13 +275,20 @@ def article_text(root: Node, templates=(), names: bool = True) -> str:
             n.children = [c if not (isinstance(c, Node) and c.key in gone) else "\x00" if c.tag in BLOCKS else "" for c in n.children]
             todo += [c for c in n.children if isinstance(c, Node)]
     articles, lesser, todo = [], [], [(root, False)]
-    while todo:  # outermost articles in page order, and those that a name keeps apart
+    while todo:  # outermost articles in page order, and those that a name keeps apart; an article that is named as a comment or the like is none
         n, apart = todo.pop()
         if n.tag == "article" or (n.tag == "main" and not _holds(n, "article")):
-            (lesser if apart else articles).append(n)
+            if not (names and n.named == 2):
+                (lesser if apart or (names and n.named) else articles).append(n)
         elif n.tag not in DROPPED and n.tag != "header":
             todo += [(c, apart or (names and c.named > 0)) for c in reversed(n.children) if isinstance(c, Node)]
-    articles = articles or lesser
+    if articles or not lesser:
+        return _rendered(articles, root, names)
+    # the page without what names keep apart, unless more text is there
+    return max(_rendered([], root, names), _rendered(lesser, root, names), key=len)
+
+
+def _rendered(articles: list[Node], root: Node, names: bool) -> str:
     blocks, line = [], []
 
     def end() -> None:

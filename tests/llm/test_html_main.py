@@ -122,3 +122,30 @@ def test_clashing_names(spark):
     r = H.extract(df).first()
     assert (r.text, r.n_chars, r.html) == ("x", 1, "<p>x</p>") and all(r[c] == k for k, c in enumerate(names[:-2]))
     assert "html" not in H.extract(df, keep_html=False).columns
+
+
+def test_names_of_what_goes():
+    inside = lambda x: H.main_text(f"<article><p>story</p>{x}<p>end</p></article>")
+    for name in ("class='reader-comments'", "id='comments-2'", "class='article-comments'", "class='ad-slot'", "class='ad-1'", "class='google_ads'", "class=notice", "class='cookie-notice'", "class='cookieBanner'", "id=footer", "role=search", "class='adUnit2'", "id='ReaderComments'"):
+        assert inside(f"<div {name}><p>not of it</p></div>") == "story\n\nend", name
+    for x in ("<p class='ad'>buy</p>", "<p>a <span class='ad'>buy</span></p>", "<article class='comment'><p>First!</p></article>"):
+        assert "buy" not in inside(x) and "First" not in inside(x)
+    assert inside("<section class='share'><p>Share prices.</p></section>") == "story\n\nShare prices.\n\nend"
+    assert inside("<div class='share'><ul><li><a>Tweet this</a></li></ul></div>") == inside("<div class='share'>Tweet</div>") == "story\n\nend"
+    for name in ("class='article-header'", "id='share-price'", "class='search-engines'", "class='adventure'", "class='commentary'", "class='header-2'"):
+        assert inside(f"<div {name}>of it</div>") == "story\n\nof it\n\nend", name
+    outside = lambda name: H.main_text(f"<body><div><p>story</p></div><div {name}><p>not of it</p></div></body>")
+    for name in ("class='reader-comments'", "class='page-header2'", "class=topbar", "class='site_footer'", "id='mainNav'"):
+        assert outside(name) == "story", name
+
+
+def test_comments_end_as_they_do_in_browsers():
+    assert H.main_text("<p>a<!-- c --!>b</p>") == "ab"
+    assert H.main_text("<p>a<!-->b</p><!--->c<!-- > -- -->d") == "ab\n\ncd"
+    assert H.main_text("<p>a<!-- never ends <p>b") == "a"
+
+
+def test_a_post_beside_articles_of_comments():
+    page = "<body><div class='post'><p>The post.</p></div><article class='comment'><p>A long comment that says much more than the post.</p></article></body>"
+    assert H.main_text(page) == "The post."
+    assert H.main_text("<div class='menu'><article>all there is</article></div><footer>f</footer>") == "all there is"
