@@ -102,12 +102,10 @@ def blocks(texts: Iterable[str | None], size: int = BLOCK) -> Iterator[tuple[np.
 
 
 class Filter:
-    """Segments of bits; each has its own length, in 64-bit words."""
+    """Segments of bits, each of its own range of keys and its own length."""
 
-    def __init__(self, segments: list[bytes]):
-        self.bits = np.frombuffer(b"".join(segments), np.uint8)
-        self.size = np.array([len(s) * 8 for s in segments], np.uint64)
-        self.start = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.size)[:-1]]).astype(np.uint64) if segments else self.size
+    def __init__(self, segments: list[bytes]) -> None:
+        self.segments = [np.frombuffer(s, np.uint8) for s in segments]
 
     @staticmethod
     def built(keys: np.ndarray, level: np.ndarray) -> bytes:
@@ -128,19 +126,36 @@ class Filter:
                 yield (h + np.uint64(k) * step) % size
 
     def level(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The level of each key, in the segments that own says: 0 where the filter denies the first."""
-        out, left, j = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-        while len(left):
-            j += 1
-            key, seg, still = keys[left], own[left], np.ones(len(left), bool)
-            for at in Filter._places(key, j, self.size[seg]):
-                at += self.start[seg]
-                still &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            left = left[still]
-            out[left] = j
+        """The level of each key, in the segments that own says, which ascend: 0 where the filter denies the first."""
+        out, bounds = np.zeros(len(keys), np.int64), np.searchsorted(own, np.arange(len(self.segments) + 1))
+        for bits, a, b in zip(self.segments, bounds[:-1], bounds[1:], strict=True):
+            left, size, j = np.arange(a, b), np.uint64(8 * len(bits)), 0
+            while len(left):
+                j += 1
+                key, still = keys[left], np.ones(len(left), bool)
+                for at in Filter._places(key, j, size):
+                    still &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                left = left[still]
+                out[left] = j
         return out
 
 
+class Counts:
+    """Exact counts of keys, in ranges of keys."""
+
+    def __init__(self, segments: list[tuple[bytes, bytes]]) -> None:
+        self.segments = [(np.frombuffer(k, np.uint64), np.frombuffer(n, np.uint32 if len(n) < len(k) else np.int64)) for k, n in segments]
+
+    @staticmethod
+    def packed(n: np.ndarray) -> bytes:
+        return n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64).tobytes()
+
+    def of(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The count of each key, in the segments that own says, which ascend."""
+        bounds = np.searchsorted(own, np.arange(len(self.segments) + 1))
+        return np.concatenate([np.zeros(0, np.int64), *(looked_up(keys[a:b], *s).astype(np.int64) for s, a, b in zip(self.segments, bounds[:-1], bounds[1:], strict=True) if b > a)])
+
+
 @dataclass
 class Model:
     """table: (kind, part, n, total, keys, data), one row a segment: exact counts of tokens or bits of pairs; kept in the shared folder."""
@@ -166,7 +181,7 @@ def train(docs: DataFrame, text: str = "text", range_bytes: int | None = None) -
 
     def built(group: pa.Table) -> pa.Table:
         kind, (u, n) = group["kind"][0].as_py(), merged(group)
-        whole = (u.tobytes(), n.tobytes()) if kind == WORDS else (b"", Filter.built(u, levels(n)))
+        whole = (u.tobytes(), Counts.packed(n)) if kind == WORDS else (b"", Filter.built(u, levels(n)))
         return pa.table({"kind": pa.array([kind], pa.int32()), "part": [group["part"][0].as_py()], "n": [len(u)], "total": [int(n.sum())], "keys": pa.array([whole[0]], pa.binary()), "data": pa.array([whole[1]], pa.binary())})
 
     partial = source.mapInArrow(counted, PACKED)
@@ -204,22 +219,22 @@ def score(docs: DataFrame, model: Model, text: str = "text", broadcast: int | No
 
 
 def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
-    got = model.table.select("kind", "part", "keys", "data").toArrow().sort_by([("kind", "ascending"), ("part", "ascending")]).to_pydict()
-    words = [k for k, kind in enumerate(got["kind"]) if kind == WORDS]
-    known = np.frombuffer(b"".join(got["keys"][k] for k in words), np.uint64)
-    counts = np.frombuffer(b"".join(got["data"][k] for k in words), np.int64)
-    counts = counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
-    bits = {p: d for kind, p, d in zip(got["kind"], got["part"], got["data"], strict=True) if kind == PAIRS}
     n, v, parts = model.n, model.v, model.parts
-    sent = rows.sparkSession.sparkContext.broadcast((known, counts, Filter([bits.get(p, bytes(8)) for p in range(parts)])))
-    del got, words, bits, known, counts
+    counts, bits = [(b"", b"")] * parts, [bytes(8)] * parts
+    for r in model.table.select("kind", "part", "keys", "data").toLocalIterator():  # a file of the table at a time
+        if r.kind == WORDS:
+            counts[r.part] = (bytes(r.keys), bytes(r.data))
+        else:
+            bits[r.part] = bytes(r.data)
+    sent = rows.sparkSession.sparkContext.broadcast((counts, bits))
+    del counts, bits
 
     @F.pandas_udf(STRUCT)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, counts, pairs = sent.value
-        pair = lambda u: np.concatenate([[0], SCALE])[pairs.level(u, segment(u, parts).astype(np.int64))]
+        words, pairs, value = Counts(sent.value[0]), Filter(sent.value[1]), np.concatenate([[0], SCALE])
+        own = lambda u: segment(u, parts).astype(np.int64)
         for part in texts:
-            yield _scores(list(part), n, v, lambda u: looked_up(u, known, counts).astype(np.int64), pair)
+            yield _scores(list(part), n, v, lambda u: words.of(u, own(u)), lambda u: value[pairs.level(u, own(u))])
 
     return rows.withColumn("s", of("text"))
 
@@ -248,7 +263,7 @@ def _by_join(rows: DataFrame, model: Model) -> DataFrame:
         key, kind = asked["key"].to_numpy().view(np.uint64), held["kind"][0].as_py()
         data = held["data"][0].as_py()
         if kind == WORDS:
-            found = looked_up(key, np.frombuffer(held["keys"][0].as_py(), np.uint64), np.frombuffer(data, np.int64))
+            found = Counts([(held["keys"][0].as_py(), data)]).of(key, np.zeros(len(key), np.int64))
         else:
             found = np.concatenate([[0], SCALE])[Filter([data]).level(key, np.zeros(len(key), np.int64))]
         some = found > 0
