@@ -12,7 +12,9 @@ from tagatlas.operators import directory, elements, features, geometry, merge, r
 from tagatlas.operators.comfort import ATTRIBUTES
 from tagatlas.plans import map_build, oracle, views
 from tagatlas.sources.files import shared_folder
+from tagatlas.sources.single_archive import write_one
 from tagatlas.sources.tile_archive import TileArchive, blob, legacy_directories, legacy_entries
+from tagatlas.streaming.map_folder import MapFolder
 
 MAX_ZOOM = 14
 OUTLINE = [c for c in ATTRIBUTES if c not in ("website", "opening_date")]
@@ -292,6 +294,38 @@ def archive_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "tile_id", F.decode(blob(folder, F.when(F.col("offset").isNotNull(), F.col("archive")), F.col("offset"), F.col("length")), "UTF-8").alias("data"))
 
 
+def _one_file(spark: SparkSession, sf_dir: str) -> str:
+    """One archive file of the tiles of level 14, written by sixteen tasks."""
+    spark.dataSource.register(TileArchive)
+    folder = shared_folder(spark, "single")
+    rows = views.deep_tiles(spark, sf_dir).select(tiles.tile_id(F.lit(14), F.col("x"), F.col("y")).alias("tile_id"), F.col("data").cast("binary").alias("data"))
+    write_one(rows, f"{folder}/events.pmtiles", parts=16, tile_compression=1, metadata='{"name": "Events"}')
+    return f"{folder}/events.pmtiles"
+
+
+def single_archive_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of an archive that many tasks have written as one file, read back."""
+    return _read_archive(spark, _one_file(spark, sf_dir), "tiles").select("archive", "tile_id", F.decode("data", "UTF-8").alias("data"))
+
+
+def single_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its entries, from all leaf directories: equal contents have one place, whichever task wrote them."""
+    return _read_archive(spark, _one_file(spark, sf_dir), "entries").where("run_length > 0").select("tile_id", "run_length", "offset", "length")
+
+
+def single_archive_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_archive(spark, _one_file(spark, sf_dir), "headers").select("archive", "version", "addressed_tiles", "tile_entries", "tile_contents", "min_zoom", "max_zoom", "data_length", F.get_json_object("metadata", "$.name").alias("name"))
+
+
+def incremental_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of a map that was built from all elements and then brought up to date with changes of nodes, ways and relations."""
+    folder = MapFolder(spark, shared_folder(spark, "map"), MAX_ZOOM)
+    folder.build(*views.street_elements(spark, sf_dir))
+    folder.update(views.street_changes(spark, sf_dir))
+    at = lambda i, c: F.round(F.element_at("geom", i)[c], 2)
+    return folder.lines().select("z", "x", "y", *OUTLINE, *features.DETAILS, "n_lines", at(1, "x").alias("x0"), at(-1, "x").alias("x1"), at(1, "y").alias("y0"), at(-1, "y").alias("y1"), F.size("geom").alias("n_points"))
+
+
 def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.event_tiles(spark, sf_dir).select("x14", "y14").distinct()
     rows = rows.selectExpr("shiftright(x14, 7) * 128 + shiftright(y14, 7) AS directory", "14 AS z", "x14 AS x", "y14 AS y", "x14 % 5 = 0 AS is_dir", "281474976000000 + x14 AS offset", "CAST(y14 + 1 AS BIGINT) AS length")
@@ -380,7 +414,7 @@ QUERIES = [
     classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, relation_centers, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
     style_cycling_layers, style_cycling_paint, style_walking_layers, style_basemap_layers, style_basemap_paint, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
     directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
-    archive_round_trip, archive_entries, archive_headers, archive_blobs, archive_legacy_entries, archive_paths, allowed_origins, view_queries, link_queries, base_schema, tile_sources, split_numbers, little_endian, present_tags, clicked_features, feature_marks,
+    archive_round_trip, archive_entries, archive_headers, archive_blobs, single_archive_tiles, single_archive_entries, single_archive_header, incremental_lines, archive_legacy_entries, archive_paths, allowed_origins, view_queries, link_queries, base_schema, tile_sources, split_numbers, little_endian, present_tags, clicked_features, feature_marks,
     url_view_state, tilejson_fields, area_slug, parking_coerce, other_tags_keys, parking_box, osm_point_lookup, way_badges, size_estimates,
 ]
 

@@ -13,7 +13,11 @@ def _columns(columns: dict[str, str]) -> str:
     return ", ".join(f'{sql} AS "{name}"' for name, sql in columns.items())
 
 
-WAYS = f"""ways AS (SELECT k AS way_id, {_columns(views.WAY_TAGS)} FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 16 AS a, CAST(floor(o_orderkey / 16) AS BIGINT) AS m FROM orders))"""
+def _ways(source: str) -> str:
+    return f"""ways AS (SELECT k AS way_id, {_columns(views.WAY_TAGS)} FROM (SELECT *, k % 16 AS a, CAST(floor(k / 16) AS BIGINT) AS m FROM ({source})))"""
+
+
+WAYS = _ways("SELECT o_orderkey AS k, o_custkey AS c FROM orders")
 RULES = """speeds AS (SELECT *, CASE WHEN maxspeed IS NULL THEN NULL WHEN regexp_full_match(maxspeed, '[+-]?[0-9]+') THEN TRY_CAST(maxspeed AS BIGINT) ELSE 0 END <= 30 AS slow,
   coalesce(oneway = 'yes', false) AS ow, coalesce("cycleway:left" = 'lane', false) AS ll, coalesce("cycleway:right" = 'lane', false) AS rl, coalesce(foot = 'designated', false) AS fd FROM ways),
 branches AS (SELECT *, CASE
@@ -192,6 +196,36 @@ SQL["archive_headers"] = f"""{_BLOBS} SELECT 3 AS version, (SELECT count(*) FROM
 SQL["archive_blobs"] = f"{_BLOBS}, asked AS (SELECT event_id, 1365 + (event_id * 7919 + user_id) % 4096 AS tile_id FROM events) SELECT event_id, a.tile_id, data FROM asked a LEFT JOIN blobs b ON a.tile_id = b.tile_id"
 SQL["archive_legacy_entries"] = f"""WITH {TILES}, d AS (SELECT DISTINCT x14, y14, (x14 // 128) * 128 + y14 // 128 AS directory FROM tiles)
 SELECT directory, CAST(row_number() OVER (PARTITION BY directory ORDER BY x14 % 5 = 0, x14, y14) - 1 AS INT) AS place, 14 AS z, x14 AS x, y14 AS y, x14 % 5 = 0 AS is_dir, 281474976000000 + x14 AS "offset", y14 + 1 AS length FROM d"""
+_DEEP = f"""WITH RECURSIVE {TILES}, up AS (SELECT DISTINCT x14 // 2 AS x13, y14 // 2 AS y13 FROM tiles),
+deep AS (SELECT 2 * x13 + dx AS x, 2 * y13 + dy AS y, {views.DEEP_DATA} AS data FROM up, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy)), {hilbert('14', 'x', 'y', 'deep', 'x * 16384 + y')},
+blobs AS (SELECT tile_id, data FROM ids JOIN deep ON key = x * 16384 + y), firsts AS (SELECT data, min(tile_id) AS first, length(data) AS n FROM blobs GROUP BY data),
+placed AS (SELECT data, n, CAST(coalesce(sum(n) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM firsts),
+isles AS (SELECT tile_id, data, tile_id - row_number() OVER (PARTITION BY data ORDER BY tile_id) AS g FROM blobs)"""
+SQL["single_archive_tiles"] = f"{_DEEP} SELECT 'events' AS archive, tile_id, data FROM blobs"
+SQL["single_archive_entries"] = f'{_DEEP} SELECT min(tile_id) AS tile_id, count(*) AS run_length, place AS "offset", n AS length FROM isles JOIN placed USING (data) GROUP BY data, g, place, n'
+SQL["single_archive_header"] = f"""{_DEEP} SELECT 'events' AS archive, 3 AS version, (SELECT count(*) FROM blobs) AS addressed_tiles, (SELECT count(*) FROM (SELECT DISTINCT data, g FROM isles)) AS tile_entries, (SELECT count(*) FROM firsts) AS tile_contents,
+ 14 AS min_zoom, 14 AS max_zoom, (SELECT CAST(sum(n) AS BIGINT) FROM firsts) AS data_length, 'Events' AS name"""
+#: The map as if built anew from the changed elements. Legs still run east, and what merges are neighbours in a street.
+_CHANGED = f"""SELECT o_orderkey AS k, o_custkey + CASE WHEN {views.RETAGGED.replace("k", "o_orderkey")} THEN 7 ELSE 0 END AS c FROM orders WHERE NOT ({views.GONE.replace("k", "o_orderkey")})
+  UNION ALL SELECT o_orderkey + {views.TWIN_STEP}, o_custkey FROM orders WHERE {views.TWIN.replace("k", "o_orderkey")}"""
+
+
+def _leg(n: str) -> str:
+    lon = views.NODE_LON.replace("(n ", f"({n} ")
+    return lon + f" + CASE WHEN {views.MOVED.replace('n ', n + ' ')} THEN {views.MOVE} ELSE 0 END"
+
+
+SQL["incremental_lines"] = f"""WITH {_ways(_CHANGED)}, {RULES}, {ON_ROUTES.replace("route = 'bicycle')", f"route = 'bicycle' AND NOT ({views.ROUTE_GONE}))")}, {GATED},
+ends AS (SELECT *, 9 * CAST(floor(osm_id / 8) AS BIGINT) + osm_id % 8 AS n FROM gated),
+legs AS (SELECT *, power(2.0, z) AS scale, ({_leg('n')} + 180) / 360 AS wx0, ({_leg('(n + 1)')} + 180) / 360 AS wx1, radians({views.NODE_LAT}) AS phi FROM ends),
+met0 AS (SELECT *, (1 - ln(tan(phi) + 1 / cos(phi)) / pi()) / 2 AS wy FROM legs),
+wide AS (SELECT *, unnest(range(CAST(floor(wx0 * scale - 4 / 256.0) AS BIGINT), CAST(floor(wx1 * scale + 4 / 256.0) AS BIGINT) + 1)) AS x FROM met0),
+met AS (SELECT *, unnest(range(CAST(floor(wy * scale - 4 / 256.0) AS BIGINT), CAST(floor(wy * scale + 4 / 256.0) AS BIGINT) + 1)) AS y FROM wide),
+marked AS (SELECT *, CASE WHEN oneway = 1 THEN osm_id END AS apart, osm_id - row_number() OVER (PARTITION BY z, x, y, {ATTRIBUTES}, name, surface, routes, CASE WHEN oneway = 1 THEN osm_id END, osm_id // 8 ORDER BY osm_id) AS island FROM met),
+merged AS (SELECT z, x, y, {ATTRIBUTES}, name, surface, routes, count(*) AS n_lines, sum((wx1 - wx0) * scale * 256) AS pixels, min(wx0) AS w0, max(wx1) AS w1, any_value(wy) AS wy, any_value(scale) AS scale
+  FROM marked GROUP BY z, x, y, {ATTRIBUTES}, name, surface, routes, apart, osm_id // 8, island)
+SELECT z, x, y, {ATTRIBUTES}, name, surface, routes, n_lines, round(greatest((w0 * scale - x) * 256, -4), 2) AS x0, round(least((w1 * scale - x) * 256, 260), 2) AS x1, round((wy * scale - y) * 256, 2) AS y0, round((wy * scale - y) * 256, 2) AS y1, 2 AS n_points FROM merged
+WHERE pixels * {EQUATOR_M} / (256 * power(2.0, z) * cosh(pi() * (1 - 2 * (y + 0.5) / power(2.0, z)))) >= CASE z WHEN 6 THEN 100 WHEN 7 THEN 50 ELSE 0 END"""
 SQL["archive_paths"] = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('maps/', p_name, '/v1/', p_name, '.pmtiles') ELSE p_name || '.pmtiles' END AS path FROM part"
 SQL["allowed_origins"] = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '*' WHEN 2 THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) END AS origin FROM pages"
 SQL["view_queries"] = "SELECT event_id, printf('zoom=%.4f&lng=%.10f&lat=%.10f', CAST(5 + (event_id % 60) * 0.25 AS DOUBLE), CAST(-140 + (user_id % 100) * 0.25 AS DOUBLE), CAST(47 + (event_id % 52) * 0.25 AS DOUBLE)) AS query FROM events"

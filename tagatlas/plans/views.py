@@ -146,6 +146,56 @@ def area_relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return relations, ring(0, "0, 1, 2", [(0, 0), (4, 0), (4, 4)]).unionByName(ring(1, "0, 3, 2", [(0, 0), (0, 4), (4, 4)])).unionByName(hole)
 
 
+#: Streets as nodes and ways: eight ways and nine nodes each. A node's place by its number n; a way's first node by its number k.
+NODE_LON, NODE_LAT = "CAST(-123.3 AS DOUBLE) + (n % 9) * CAST(0.002 AS DOUBLE) + (CAST(floor(n / 9) AS BIGINT) % 40) * CAST(0.02 AS DOUBLE)", "CAST(49.0 AS DOUBLE) + floor(n / 360) * CAST(0.003 AS DOUBLE)"
+FIRST_NODE = "9 * CAST(floor(k / 8) AS BIGINT) + k % 8"
+#: Planted changes: orders of a remainder by 50 are deleted (1), get the tags of another customer (2) or a twin far off (4); nodes move along their street; routes go.
+GONE, RETAGGED, TWIN, TWIN_STEP = "k % 50 = 1", "k % 50 = 2", "k % 50 = 4", 3_200_000
+MOVED, MOVE, ROUTE_GONE = "n % 200 = 5", "CAST(0.0003 AS DOUBLE)", "relation_id % 60 = 3"
+
+
+def _keyed(spark: SparkSession, sf_dir: str, key: str = "o_orderkey", customer: str = "o_custkey", where: str = "true") -> DataFrame:
+    """Ways with tags and nodes, numbered by an expression."""
+    rows = read(spark, sf_dir, "orders").where(where.replace("k %", "o_orderkey %")).selectExpr(f"{key} AS k", f"{customer} AS c").selectExpr("k", "c", "k % 16 AS a", "CAST(floor(k / 16) AS BIGINT) AS m")
+    return rows.select(F.col("k").alias("way_id"), F.expr(f"array({FIRST_NODE}, {FIRST_NODE} + 1)").alias("nodes"), _tags(WAY_TAGS).alias("tags"))
+
+
+def _nodes(ways: DataFrame) -> DataFrame:
+    rows = ways.select(F.explode("nodes").alias("n")).distinct()
+    return rows.selectExpr("n AS node_id", f"{NODE_LON} AS lon", f"{NODE_LAT} AS lat", "CAST(NULL AS MAP<STRING, STRING>) AS tags")
+
+
+def street_elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, ways and relations with their members, as an extract has them."""
+    ways = _keyed(spark, sf_dir)
+    groups = members(spark, sf_dir).groupBy("relation_id").agg(F.collect_list(F.struct("type", "ref", F.lit("").alias("role"))).alias("members"))
+    return _nodes(ways), ways, relations(spark, sf_dir).join(groups, "relation_id", "left").select("relation_id", "members", "tags")
+
+
+def street_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted changes, as streaming.map_folder takes them."""
+    nodes, ways, groups = street_elements(spark, sf_dir)
+    twins = _keyed(spark, sf_dir, f"o_orderkey + {TWIN_STEP}", where=TWIN)
+    of = lambda df, kind, op, key: df.select(F.lit(kind).alias("kind"), F.lit(op).alias("op"), F.lit(1).cast("long").alias("seq"), F.col(key).alias("id"), "*").drop(key)
+    parts = [
+        of(ways.where(GONE.replace("k", "way_id")), "way", "delete", "way_id"), of(_keyed(spark, sf_dir, customer="o_custkey + 7", where=RETAGGED), "way", "modify", "way_id"), of(twins, "way", "create", "way_id"), of(_nodes(twins).withColumn("lon", F.when(F.expr(MOVED.replace("n", "node_id")), F.col("lon") + F.expr(MOVE)).otherwise(F.col("lon"))), "node", "create", "node_id"),
+        of(nodes.where(MOVED.replace("n", "node_id")).withColumn("lon", F.col("lon") + F.expr(MOVE)), "node", "modify", "node_id"), of(groups.where(ROUTE_GONE), "relation", "delete", "relation_id"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def deep_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of level 14 (x, y, data): the four under each tile of level 13 that has events. A third of them are alike, most others share their data with some far off."""
+    up = event_tiles(spark, sf_dir).selectExpr("shiftright(x14, 1) AS x13", "shiftright(y14, 1) AS y13").distinct()
+    return up.selectExpr("*", "explode(array(0, 1)) AS dx").selectExpr("*", "explode(array(0, 1)) AS dy").selectExpr("2 * x13 + dx AS x", "2 * y13 + dy AS y", f"{DEEP_DATA} AS data")
+
+
+DEEP_DATA = "CASE WHEN x13 % 3 = 0 THEN 'sea' ELSE concat('tile ', CAST(x13 % 1000 AS STRING), ' ', CAST(dx AS STRING)) END"
+
+
 def archives(spark: SparkSession) -> DataFrame:
     rows = [("cycling", 1, 0, 14, -140.0, 47.0, -115.0, 60.0, -123.135, 49.272, 13, "Cycling", None, "OSM", "1"), ("base", 2, 2, 10, -180.0, -85.0, 180.0, 85.0, 0.0, 0.0, 4, None, "Base map", None, "2")]
     names = "archive string, tile_type int, min_zoom int, max_zoom int, min_lon double, min_lat double, max_lon double, max_lat double, center_lon double, center_lat double, center_zoom int, name string, description string, attribution string, version string"

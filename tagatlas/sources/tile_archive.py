@@ -8,6 +8,8 @@
     tiles.repartitionByRange("tile_id").sortWithinPartitions("tile_id").write.format("tile_archive").mode("append").save(folder)
 
 With option("pushdown", "true"), and spark.sql.python.filterPushdown.enabled set, filters on tile_id leave out leaves without such ids.
+Reads are of one snapshot: the planner pins what each file is known by, and a task that meets another file fails (files.steady reads anew). With
+option("pins", json.dumps(pins(path))), a read is held to a snapshot taken earlier. mode("overwrite") replaces all archives of a folder in one step.
 A path is an archive or a folder of them. The planner reads each archive's first bytes; tasks read one leaf directory each and the
 ranges of bytes that it lists. A task writes one archive, of its range of ids, so no blob passes the driver and a lost task is written again.
 """
@@ -18,6 +20,7 @@ import gzip
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import pandas as pd
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from tagatlas.sources import archive_format as fmt
-from tagatlas.sources.files import Ranges, listed, store
+from tagatlas.sources.files import Changed, Ranges, current, listed, make_current, snapshot, store
 
 SCHEMAS = {
     "tiles": "archive string, tile_id bigint, data binary",
@@ -55,12 +58,10 @@ class TileArchive(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         kind = _Narrowed if self.options.get("pushdown", "false").lower() == "true" else _Reader
-        return kind(self._what(), self.options["path"])
+        return kind(self._what(), self.options["path"], json.loads(self.options.get("pins", "{}")))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        if overwrite:
-            raise ValueError("tile_archive only appends; write to a new folder")
-        return _Writer(self.options["path"], {k: v for k, v in self.options.items() if k != "path"}, [f.name for f in schema.fields])
+        return _Writer(self.options["path"], {k: v for k, v in self.options.items() if k != "path"}, [f.name for f in schema.fields], overwrite)
 
 
 @dataclass
@@ -71,28 +72,36 @@ class Part(InputPartition):
     at: int | None
     length: int
     directory: int | None
+    snapshot: str
 
 
-def blob(folder: str, archive: Column, offset: Column, length: Column) -> Column:
+def pins(path: str) -> dict[str, str]:
+    """What each archive of a path is known by now."""
+    return {archive_name(p): snapshot(p) for p in listed(path, ENDING)}
+
+
+def blob(folder: str, archive: Column, offset: Column, length: Column, pinned: dict[str, str] | None = None) -> Column:
     """The unpacked tile at a place that a lookup has found in an archive of the folder; NULL where it has found none.
 
-    Only those bytes are read, by the executors; rows sorted by archive and offset are read in one sweep."""
+    Only those bytes are read, by the executors; rows sorted by archive and offset are read in one sweep. With pins, an archive that is no longer
+    the one in which the place was found is an error."""
 
     @F.pandas_udf("binary")
     def read(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         files: dict[str, tuple[Ranges, dict]] = {}
-        for names, offsets, lengths in parts:
-            out = []
-            for name, at, n in zip(names, offsets, lengths):
-                if name is None or pd.isna(at) or pd.isna(n):
-                    out.append(None)
-                    continue
-                if name not in files:
-                    file = Ranges(f"{folder.rstrip('/')}/{name}{ENDING}")
-                    files[name] = (file, fmt.header(file.read(0, fmt.FIRST_READ)))
-                file, head = files[name]
-                out.append(fmt.unpacked(file.read(head["data_offset"] + int(at), int(n)), head["tile_compression"]))
-            yield pd.Series(out, dtype=object)
+        with ExitStack() as opened:
+            for names, offsets, lengths in parts:
+                out = []
+                for name, at, n in zip(names, offsets, lengths):
+                    if name is None or pd.isna(at) or pd.isna(n):
+                        out.append(None)
+                        continue
+                    if name not in files:
+                        file = opened.enter_context(Ranges(f"{folder.rstrip('/')}/{name}{ENDING}", (pinned or {}).get(name)))
+                        files[name] = (file, fmt.header(file.read(0, fmt.FIRST_READ)))
+                    file, head = files[name]
+                    out.append(fmt.unpacked(file.read(head["data_offset"] + int(at), int(n)), head["tile_compression"]))
+                yield pd.Series(out, dtype=object)
 
     return read(archive, offset, length)
 
@@ -126,27 +135,30 @@ def archive_name(path: str) -> str:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, what: str, path: str) -> None:
-        self.what, self.path = what, path
+    def __init__(self, what: str, path: str, pinned: dict[str, str] | None = None) -> None:
+        self.what, self.path, self.pinned = what, path, pinned or {}
         self.low, self.high = 0, 1 << 62
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path in listed(self.path, ENDING):
-            out.append(Part(path, None, 0, None))
+            known = snapshot(path)
+            if self.pinned.get(archive_name(path), known) != known:
+                raise Changed(path)
+            out.append(Part(path, None, 0, None, known))
             if self.what in ("tiles", "entries"):
-                with Ranges(path) as file:
+                with Ranges(path, known) as file:
                     head, root = _root(file)
                     # a leaf holds ids from its own first up to the next entry's
                     ends = [e[0] for e in root[1:]] + [1 << 62]
-                    out += [Part(path, head["leaf_offset"] + offset, length, offset) for (first, run, offset, length), end in zip(root, ends) if run == 0 and first <= self.high and end > self.low]
-        return out or [Part("", None, 0, None)]
+                    out += [Part(path, head["leaf_offset"] + offset, length, offset, known) for (first, run, offset, length), end in zip(root, ends) if run == 0 and first <= self.high and end > self.low]
+        return out or [Part("", None, 0, None, "")]
 
     def read(self, part: Part) -> Iterator[tuple]:
         if not part.path:
             return
         name = archive_name(part.path)
-        with Ranges(part.path) as file:
+        with Ranges(part.path, part.snapshot) as file:
             if self.what == "headers":
                 yield _header_row(name, file)
             elif self.what == "legacy":
@@ -252,8 +264,8 @@ class Written(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     """Options: metadata (JSON), tile_type and tile_compression (numbers), min_lon .. max_lat, center_lon, center_lat, center_zoom."""
 
-    def __init__(self, folder: str, options: dict, columns: list[str]) -> None:
-        self.folder, self.options, self.columns, self.run = folder.rstrip("/"), options, columns, uuid.uuid4().hex[:12]
+    def __init__(self, folder: str, options: dict, columns: list[str], overwrite: bool = False) -> None:
+        self.folder, self.options, self.columns, self.run, self.overwrite = folder.rstrip("/"), options, columns, uuid.uuid4().hex[:12], overwrite
 
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
@@ -301,7 +313,7 @@ class _Writer(DataSourceWriter):
         head["metadata_offset"] = head["root_offset"] + len(root)
         head["leaf_offset"] = head["metadata_offset"] + len(about)
         head["data_offset"] = head["leaf_offset"] + len(leaves)
-        head |= {"clustered": 1, "internal_compression": fmt.GZIP, "tile_compression": int(self.options.get("tile_compression", fmt.GZIP)), "tile_type": int(self.options.get("tile_type", 1)), "min_zoom": _level(entries[0][0]), "max_zoom": _level(entries[-1][0] + entries[-1][1] - 1)}
+        head |= {"clustered": 1, "internal_compression": fmt.GZIP, "tile_compression": int(self.options.get("tile_compression", fmt.GZIP)), "tile_type": int(self.options.get("tile_type", 1)), "min_zoom": level(entries[0][0]), "max_zoom": level(entries[-1][0] + entries[-1][1] - 1)}
         head |= {"min_lon": o("min_lon", -180), "min_lat": o("min_lat", -85), "max_lon": o("max_lon", 180), "max_lat": o("max_lat", 85), "center_zoom": int(o("center_zoom", 0)), "center_lon": o("center_lon", 0), "center_lat": o("center_lat", 0)}
         with fs.open_output_stream(own) as out, fs.open_input_stream(own + ".data") as data:
             out.write(fmt.packed_header(head) + root + about + leaves)
@@ -314,6 +326,11 @@ class _Writer(DataSourceWriter):
         for m in messages:
             if m is not None and m.unfinished:
                 fs.move(m.unfinished, m.finished)
+        before = current(self.folder)
+        if self.overwrite or before is not None:  # files of this run count from here on, all at once
+            fs.create_dir(store(self.folder)[1], recursive=True)
+            own = [m.finished.rsplit("/", 1)[-1] for m in messages if m is not None and m.finished]
+            make_current(self.folder, own if self.overwrite else [*before, *own])
 
     def abort(self, messages: list[Written]) -> None:
         fs, _ = store(self.folder)
@@ -322,7 +339,7 @@ class _Writer(DataSourceWriter):
                 fs.delete_file(m.unfinished)
 
 
-def _level(tile_id: int) -> int:
+def level(tile_id: int) -> int:
     return ((3 * tile_id + 1).bit_length() - 1) // 2
 
 
