@@ -285,3 +285,13 @@ _BASE_ROWS = style_sql(styles.BASEMAP + styles.WALKING, "base", ", ".join(["k",
 SQL["style_basemap_paint"] = f"""SELECT k, z, layer_ord, style_layer, {_base_paint("color", _base_color)} AS color,
  {", ".join(f"round({_base_paint(k, lambda v, p, k=k: f'CAST({_interpolate(v, p.get("base", 1) if k == "width" else 1)} AS DOUBLE)')}, 6) AS {k}" for k in styles.PAINT_NUMBERS)},
  {", ".join(f"{_base_paint(k, lambda v, p: _word(v, p) if isinstance(v, str) else _dash(v, p))} AS {k}" for k in styles.PAINT_WORDS)}, {_base_paint("label", _base_label)} AS label FROM ({_BASE_ROWS})"""
+
+_ORDER = ", ".join(f"('{layer[0]}', {i})" for i, layer in enumerate(styles.CYCLING))
+SQL["clicked_places"] = f"""WITH clicks AS (SELECT event_id, {_columns(views.CLICKS)} FROM events),
+points AS (SELECT event_id, z, (lon + 180) / 360 * power(2.0, z) * 256 AS px, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * power(2.0, z) * 256 AS py FROM clicks),
+painted AS (SELECT * FROM ({SQL["style_cycling_paint"]}) WHERE kind = 'line' AND width IS NOT NULL AND z >= {styles.CLICK_ZOOM} AND style_layer IN ({", ".join(f"'{c}'" for c in styles.CLICKABLE)})),
+legs AS (SELECT osm_id, z, style_layer, ord, width / 2 AS reach, (-123.3 + (osm_id % 8) * CAST(0.002 AS DOUBLE) + (floor(osm_id / 8) % 40) * CAST(0.02 AS DOUBLE) + 180) / 360 * power(2.0, z) * 256 AS x0,
+  (-123.3 + (osm_id % 8 + 1) * CAST(0.002 AS DOUBLE) + (floor(osm_id / 8) % 40) * CAST(0.02 AS DOUBLE) + 180) / 360 * power(2.0, z) * 256 AS x1,
+  (1 - ln(tan(radians(49.0 + floor(osm_id / 320) * 0.003)) + 1 / cos(radians(49.0 + floor(osm_id / 320) * 0.003))) / pi()) / 2 * power(2.0, z) * 256 AS ly FROM painted JOIN (VALUES {_ORDER}) AS o(style_layer, ord) USING (style_layer)),
+near AS (SELECT event_id, style_layer, ord, osm_id, sqrt((py - ly) ** 2 + greatest(x0 - px, px - x1, 0) ** 2) AS distance, reach FROM points p JOIN legs l ON p.z = l.z AND abs(p.py - l.ly) <= reach AND p.px BETWEEN l.x0 - reach AND l.x1 + reach)
+SELECT event_id, style_layer, 'way' AS feature_type, osm_id, round(distance, 3) AS distance FROM near WHERE distance <= reach QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ord DESC, osm_id DESC) = 1"""

@@ -67,6 +67,12 @@ BASE = {
 }
 #: Names of base-map features for labels, from k and a part's name.
 BASE_NAMES = {"name:latin": "CASE WHEN k % 9 <> 0 THEN name END", "name:nonlatin": "CASE WHEN k % 4 = 1 THEN concat('N', CAST(k AS STRING)) END", "ref": "CASE WHEN k % 2 = 0 THEN concat('H', CAST(k % 100 AS STRING)) END"}
+#: Clicks on the map of placed ways, near the streets and up to 22 m beside them.
+CLICKS = {
+    "z": "CAST(13 + event_id % 2 AS INT)",
+    "lon": "CAST(-123.3 AS DOUBLE) + (event_id * 37 % 1600) * CAST(0.0005 AS DOUBLE) + (event_id % 7) * CAST(0.00003 AS DOUBLE)",
+    "lat": "CAST(49.0 AS DOUBLE) + (user_id % 40) * CAST(0.003 AS DOUBLE) + (event_id % 9 - 4) * CAST(0.00005 AS DOUBLE)",
+}
 #: Requests made from pages: every tenth is malformed, others ask for tiles of several levels, kinds and archives.
 _Z = "page_id % 16"
 _SIDE = "CAST(power(2, page_id % 16) AS BIGINT)"
