@@ -9,8 +9,8 @@ from tagatlas.sources.archive_format import varint
 
 # Fixed values of the format: the extent of a tile, numbers of geometry types, and drawing commands.
 EXTENT, TILE_PX = 4096, 256
-POINT, LINE = 1, 2
-MOVE, DRAW = 1, 2
+POINT, LINE, POLYGON = 1, 2, 3
+MOVE, DRAW, CLOSE = 1, 2, 7
 
 
 def _zigzag(n: int) -> int:
@@ -42,13 +42,30 @@ def _geometry(kind: int, pixels: list[tuple[float, float]]) -> list[int]:
     return [MOVE | 1 << 3, _zigzag(grid[0][0]), _zigzag(grid[0][1]), DRAW | (len(grid) - 1) << 3, *steps]
 
 
+def _polygon(rings: list[list[tuple[float, float]]]) -> list[int]:
+    """Rings on the grid, each closed by a command; outer ones come first and turn clockwise to the eye, as they are given. A ring that has no area on the grid is left out, and with an outer one all that follow it."""
+    out, at, drawn = [], (0, 0), False
+    for ring in rings:
+        grid = [(round(x * EXTENT / TILE_PX), round(y * EXTENT / TILE_PX)) for x, y in ring]
+        grid = [p for i, p in enumerate(grid) if p != grid[i - 1]]
+        turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(grid, grid[1:] + grid[:1]))
+        if len(grid) < 3 or turn == 0 or (turn < 0 and not drawn):
+            drawn = drawn and turn <= 0
+            continue
+        drawn = drawn or turn > 0
+        steps = [c for a, b in zip([at, *grid], grid) for c in (_zigzag(b[0] - a[0]), _zigzag(b[1] - a[1]))]
+        out += [MOVE | 1 << 3, *steps[:2], DRAW | (len(grid) - 1) << 3, *steps[2:], CLOSE | 1 << 3]
+        at = grid[-1]
+    return out
+
+
 def layer(name: str, features: Iterable[tuple[int, int | None, dict, list[tuple[float, float]]]]) -> bytes:
-    """A layer of features (geometry type, id, attributes, places in pixels). Attributes without a value and lines without length are left out."""
+    """A layer of features (geometry type, id, attributes, places in pixels). Places of a polygon are its rings. Attributes without a value, lines without length and polygons without area are left out."""
     keys: dict[str, int] = {}
     values: dict[bytes, int] = {}
     body = b""
     for kind, osm_id, attributes, pixels in features:
-        shape = _geometry(kind, pixels) if pixels else []
+        shape = (_polygon(pixels) if kind == POLYGON else _geometry(kind, pixels)) if pixels else []
         if not shape:
             continue
         tags = [t for k, v in attributes.items() if v is not None for t in (keys.setdefault(k, len(keys)), values.setdefault(_value(v), len(values)))]

@@ -45,11 +45,7 @@ def relation_areas(relations: DataFrame, ways: DataFrame) -> DataFrame:
     ways, so sums over the path (area, centre) are those of the area without its holes. Lines are joined where they share end nodes.
     Ways that are unknown or lack nodes, and lines that close no ring, are left out; without an outer ring a relation is no area.
     A relation's members meet in one row, as a relation is one feature."""
-    wanted = relations.where(F.coalesce(tag("type").isin(*AREA_TYPES), F.lit(False))).select("relation_id", "tags", "members")
-    parts = wanted.select("relation_id", F.posexplode("members").alias("_i", "m")).where("m.type = 'way'").select("relation_id", "_i", F.col("m.ref").alias("way_id"), F.coalesce(F.col("m.role") == "inner", F.lit(False)).alias("inner"))
-    flat = F.flatten(F.transform("geom", lambda p: F.array(p.x, p.y)))
-    known = ways.where((F.size("nodes") >= 2) & (F.size("nodes") == F.size("geom"))).select("way_id", "nodes", flat.alias("points"))
-    lines = parts.join(known, "way_id").groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("_i", "inner", "nodes", "points"))).alias("_l"))
+    lines = relation_lines(relations, ways)
 
     @F.pandas_udf("array<double>")
     def path(lists: pd.Series) -> pd.Series:
@@ -57,24 +53,41 @@ def relation_areas(relations: DataFrame, ways: DataFrame) -> DataFrame:
 
     shapes = lines.select("relation_id", path("_l").alias("_p")).where(F.size("_p") > 0)
     geom = F.transform(F.sequence(F.lit(0), F.size("_p") - 2, F.lit(2)), lambda i: F.struct(F.col("_p")[i].alias("x"), F.col("_p")[i + 1].alias("y")))
-    return wanted.join(shapes.select("relation_id", geom.alias("geom")), "relation_id").select(F.col("relation_id").alias("osm_id"), "tags", "geom")
+    return relations.join(shapes.select("relation_id", geom.alias("geom")), "relation_id").select(F.col("relation_id").alias("osm_id"), "tags", "geom")
+
+
+def relation_lines(relations: DataFrame, ways: DataFrame) -> DataFrame:
+    """(relation_id, _l) of relations that are areas: their member lines in order, with nodes, points and whether they are inner."""
+    wanted = relations.where(F.coalesce(tag("type").isin(*AREA_TYPES), F.lit(False))).select("relation_id", "tags", "members")
+    parts = wanted.select("relation_id", F.posexplode("members").alias("_i", "m")).where("m.type = 'way'").select("relation_id", "_i", F.col("m.ref").alias("way_id"), F.coalesce(F.col("m.role") == "inner", F.lit(False)).alias("inner"))
+    flat = F.flatten(F.transform("geom", lambda p: F.array(p.x, p.y)))
+    known = ways.where((F.size("nodes") >= 2) & (F.size("nodes") == F.size("geom"))).select("way_id", "nodes", flat.alias("points"))
+    return parts.join(known, "way_id").groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("_i", "inner", "nodes", "points"))).alias("_l"))
 
 
 def _path(lines: list[dict]) -> list[float]:
     """Coordinates x, y, x, y ... of the path through the rings of an area; empty if it has no outer ring."""
-    places = {n: (x, y) for line in lines for n, x, y in zip(line["nodes"], line["points"][::2], line["points"][1::2])}
     out: list[tuple[float, float]] = []
+    for ring in turned_rings(lines):
+        out += ring
+        out.append(out[0])
+    return [float(v) for p in out for v in p]
+
+
+def turned_rings(lines: list[dict]) -> list[list[tuple[float, float]]]:
+    """The rings of an area, outer ones first and counterclockwise, inner ones clockwise; none if it has no outer ring."""
+    places = {n: (x, y) for line in lines for n, x, y in zip(line["nodes"], line["points"][::2], line["points"][1::2])}
+    out: list[list[tuple[float, float]]] = []
     for inner in (False, True):
         for ring in rings([list(line["nodes"]) for line in lines if bool(line["inner"]) == inner]):
             points = [places[n] for n in ring]
             (x0, y0), turn = points[0], 0.0
             for (ax, ay), (bx, by) in zip(points, points[1:]):
                 turn += (ax - x0) * (by - y0) - (bx - x0) * (ay - y0)
-            out += points if (turn < 0) == inner else points[::-1]
-            out.append(out[0])
+            out.append(points if (turn < 0) == inner else points[::-1])
         if not out:
             break
-    return [float(v) for p in out for v in p]
+    return out
 
 
 def rings(lines: list[list[int]]) -> list[list[int]]:

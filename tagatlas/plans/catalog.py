@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagatlas.functions import tags, tiles, urls, zoom
-from tagatlas.operators import directory, elements, features, geometry, hits, merge, routes, service, styles
+from tagatlas.operators import areas, directory, elements, features, geometry, hits, merge, routes, service, styles
 from tagatlas.operators.comfort import ATTRIBUTES
 from tagatlas.plans import map_build, oracle, views
 from tagatlas.sources.files import shared_folder
@@ -410,6 +410,12 @@ def clicked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.drawn_last(hits.hits(clicks, drawn, "event_id"), "event_id").withColumn("distance", F.round("distance", 3))
 
 
+def clipped_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas with holes in the tiles of levels 3 to 6: how many rings, and square pixels, each tile has of them."""
+    rows = areas.in_tiles(areas.relation_rings(*views.area_relations(spark, sf_dir)).select("osm_id", "rings"), 6, 3, 0.0)
+    return rows.select("osm_id", "z", "x", "y", F.size("rings").alias("n_rings"), F.round(areas.pixel_area(F.col("rings")), 2).alias("pixels"))
+
+
 def feature_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour under pointer or selection, the arrow's rotation and the name's label; the state comes by a left join."""
     rows = _lines(spark, sf_dir)
@@ -423,7 +429,7 @@ QUERIES = [
     classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, relation_centers, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
     style_cycling_layers, style_cycling_paint, style_walking_layers, style_basemap_layers, style_basemap_paint, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
     directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
-    archive_round_trip, archive_entries, archive_headers, archive_blobs, single_archive_tiles, single_archive_entries, single_archive_header, incremental_lines, archive_legacy_entries, archive_paths, allowed_origins, view_queries, link_queries, base_schema, tile_sources, split_numbers, little_endian, present_tags, clicked_features, clicked_places, feature_marks,
+    archive_round_trip, archive_entries, archive_headers, archive_blobs, single_archive_tiles, single_archive_entries, single_archive_header, incremental_lines, archive_legacy_entries, archive_paths, allowed_origins, view_queries, link_queries, base_schema, tile_sources, split_numbers, little_endian, present_tags, clicked_features, clicked_places, clipped_areas, feature_marks,
     url_view_state, tilejson_fields, area_slug, parking_coerce, other_tags_keys, parking_box, osm_point_lookup, way_badges, size_estimates,
 ]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tagatlas.functions import vector_tile
 from tagatlas.functions.tags import equals, tag
 from tagatlas.functions.tiles import tile_id
-from tagatlas.operators import features, geometry, merge, routes
+from tagatlas.operators import areas, features, geometry, merge, routes
 from tagatlas.operators.comfort import ATTRIBUTES
 
 #: What lines of a tile must share to be drawn as one.
@@ -39,14 +41,20 @@ def map_features(nodes: DataFrame, ways: DataFrame, relations: DataFrame, layer:
     return features.all_features(lines, features.parking_points(points, layer), features.parking_centroids(areas, layer))
 
 
-def tiles(mapped: DataFrame, max_zoom: int = 14) -> DataFrame:
+def tiles(mapped: DataFrame, max_zoom: int = 14, fills: DataFrame | None = None) -> DataFrame:
     """Rows tile_id, z, x, y, data: vector tiles of map features, ordered by nothing yet.
 
+    fills are areas that are drawn as such: layer, osm_id, min_zoom, rings (lon and lat, as operators.areas makes them) and attributes.
+
     The rows of one tile meet in one task, since a tile is one blob; lines have been merged and simplified before."""
     placed = features.in_tiles(mapped, max_zoom)
     lines = merge.merge_lines(placed.where("kind = 'line'"), LOOK).withColumn("feature", _feature(vector_tile.LINE, LOOK, None))
-    points = placed.where("kind <> 'line'").withColumn("feature", _feature(vector_tile.POINT, POINT_ATTRIBUTES, "osm_id"))
+    points = placed.where("kind not in ('line', 'polygon')").withColumn("feature", _feature(vector_tile.POINT, POINT_ATTRIBUTES, "osm_id"))
     rows = lines.select(*merge.TILE, "feature").unionByName(points.select(*merge.TILE, "feature"))
+    if fills is not None:
+        shapes = areas.in_tiles(fills, max_zoom).where(F.col("z") >= F.col("min_zoom"))
+        given = [c for c in fills.columns if c not in ("layer", "osm_id", "min_zoom", "rings")]
+        rows = rows.unionByName(shapes.withColumn("feature", _fill(given)).select(*merge.TILE, "feature"))
 
     @F.pandas_udf("binary")
     def encoded(layers: pd.Series, groups: pd.Series) -> pd.Series:
@@ -61,14 +69,24 @@ def tiles(mapped: DataFrame, max_zoom: int = 14) -> DataFrame:
 def _feature(kind: int, attributes: list[str], osm_id: str | None):
     given = F.to_json(F.struct(*attributes))
     flat = F.flatten(F.transform("geom", lambda p: F.array(p.x, p.y)))
-    return F.struct(F.lit(kind).alias("kind"), (F.col(osm_id) if osm_id else F.lit(None)).cast("bigint").alias("id"), given.alias("attributes"), flat.alias("points"))
+    return F.struct(F.lit(kind).alias("kind"), (F.col(osm_id) if osm_id else F.lit(None)).cast("bigint").alias("id"), given.alias("attributes"), flat.alias("points"), F.lit(None).cast("array<int>").alias("sizes"))
+
+
+def _fill(attributes: list[str]):
+    """A polygon as a feature: its rings' points one after the other, and how many points each has."""
+    sizes = F.transform("rings", lambda r: (F.size(r) / 2).cast("int"))
+    return F.struct(F.lit(vector_tile.POLYGON).alias("kind"), F.col("osm_id").cast("bigint").alias("id"), F.to_json(F.struct(*attributes)).alias("attributes"), F.flatten("rings").alias("points"), sizes.alias("sizes"))
 
 
 def _unpacked(f: dict) -> tuple:
     import json
 
     flat = list(f["points"])
-    return f["kind"], None if f["id"] is None or pd.isna(f["id"]) else int(f["id"]), json.loads(f["attributes"]), list(zip(flat[::2], flat[1::2]))
+    places: list = list(zip(flat[::2], flat[1::2]))
+    if f["sizes"] is not None:
+        ends = list(itertools.accumulate(int(n) for n in f["sizes"]))
+        places = [places[a:b] for a, b in zip([0, *ends], ends)]
+    return f["kind"], None if f["id"] is None or pd.isna(f["id"]) else int(f["id"]), json.loads(f["attributes"]), places
 
 
 def write_archive(built: DataFrame, folder: str, parts: int | None = None, **options: object) -> None:

@@ -295,3 +295,12 @@ legs AS (SELECT osm_id, z, style_layer, ord, width / 2 AS reach, (-123.3 + (osm_
   (1 - ln(tan(radians(49.0 + floor(osm_id / 320) * 0.003)) + 1 / cos(radians(49.0 + floor(osm_id / 320) * 0.003))) / pi()) / 2 * power(2.0, z) * 256 AS ly FROM painted JOIN (VALUES {_ORDER}) AS o(style_layer, ord) USING (style_layer)),
 near AS (SELECT event_id, style_layer, ord, osm_id, sqrt((py - ly) ** 2 + greatest(x0 - px, px - x1, 0) ** 2) AS distance, reach FROM points p JOIN legs l ON p.z = l.z AND abs(p.py - l.ly) <= reach AND p.px BETWEEN l.x0 - reach AND l.x1 + reach)
 SELECT event_id, style_layer, 'way' AS feature_type, osm_id, round(distance, 3) AS distance FROM near WHERE distance <= reach QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ord DESC, osm_id DESC) = 1"""
+_Y = "(1 - ln(tan(radians({0})) + 1 / cos(radians({0}))) / pi()) / 2 * side"
+#: A square, or its hole, and a tile share a rectangle.
+SQL["clipped_areas"] = f"""WITH a AS (SELECT p_partkey AS k, CAST(p_partkey % 350 - 175 AS DOUBLE) AS lon, CAST(p_size AS DOUBLE) AS lat, CASE WHEN p_partkey % 3 <> 0 THEN 1 + p_partkey % 2 ELSE 0 END AS s FROM part WHERE p_size % 5 = 0 AND p_partkey % 7 <> 0),
+levels AS (SELECT *, power(2.0, z) * 256 AS side FROM a, (SELECT CAST(unnest(range(3, 7)) AS INT) AS z)),
+boxes AS (SELECT *, (lon + 180) / 360 * side AS x0, (lon + 184) / 360 * side AS x1, {_Y.format("(lat + 4)")} AS y0, {_Y.format("lat")} AS y1, (lon + 181) / 360 * side AS hx0, (lon + 181 + s) / 360 * side AS hx1, {_Y.format("(lat + 1 + s)")} AS hy0, {_Y.format("(lat + 1)")} AS hy1 FROM levels),
+cols AS (SELECT *, unnest(range(CAST(floor(x0 / 256) AS BIGINT), CAST(floor(x1 / 256) AS BIGINT) + 1)) AS x FROM boxes), tiles AS (SELECT *, unnest(range(CAST(floor(y0 / 256) AS BIGINT), CAST(floor(y1 / 256) AS BIGINT) + 1)) AS y FROM cols),
+cut AS (SELECT *, greatest(least(x1, 256 * x + 256) - greatest(x0, 256 * x), 0) * greatest(least(y1, 256 * y + 256) - greatest(y0, 256 * y), 0) AS own,
+  greatest(least(hx1, 256 * x + 256) - greatest(hx0, 256 * x), 0) * greatest(least(hy1, 256 * y + 256) - greatest(hy0, 256 * y), 0) AS hole FROM tiles)
+SELECT k AS osm_id, z, x, y, CAST(CASE WHEN hole > 1e-9 THEN 2 ELSE 1 END AS INT) AS n_rings, round(own - hole, 2) AS pixels FROM cut WHERE own > 1e-9"""
