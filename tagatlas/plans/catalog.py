@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagatlas.functions import tags, tiles, urls, zoom
-from tagatlas.operators import areas, directory, elements, features, geometry, hits, merge, routes, service, styles
+from tagatlas.operators import areas, directory, elements, features, geometry, hits, merge, routes, schema, service, styles
 from tagatlas.operators.comfort import ATTRIBUTES
 from tagatlas.plans import map_build, oracle, views
 from tagatlas.sources.files import shared_folder
@@ -369,6 +369,13 @@ def base_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", elements.fits_base(rows).alias("fits"))
 
 
+def schema_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each element under two declared schemas: its capacity as read, and why it doesn't hold to the schema."""
+    rows = views.elements(spark, sf_dir)
+    said = lambda s: schema.parsed(rows, s).select(F.lit(s.name).alias("schema"), "feature_type", "osm_id", "capacity", F.array_join("reasons", "; ").alias("reasons"))
+    return said(schema.PARKING).unionByName(said(schema.BENCH))
+
+
 def tile_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The addresses that a map draws from, and whether one is an archive's."""
     setting = F.expr("CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('https://t.example/', n_name) END")
@@ -429,7 +436,7 @@ QUERIES = [
     classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, relation_centers, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
     style_cycling_layers, style_cycling_paint, style_walking_layers, style_basemap_layers, style_basemap_paint, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
     directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
-    archive_round_trip, archive_entries, archive_headers, archive_blobs, single_archive_tiles, single_archive_entries, single_archive_header, incremental_lines, archive_legacy_entries, archive_paths, allowed_origins, view_queries, link_queries, base_schema, tile_sources, split_numbers, little_endian, present_tags, clicked_features, clicked_places, clipped_areas, feature_marks,
+    archive_round_trip, archive_entries, archive_headers, archive_blobs, single_archive_tiles, single_archive_entries, single_archive_header, incremental_lines, archive_legacy_entries, archive_paths, allowed_origins, view_queries, link_queries, base_schema, schema_reasons, tile_sources, split_numbers, little_endian, present_tags, clicked_features, clicked_places, clipped_areas, feature_marks,
     url_view_state, tilejson_fields, area_slug, parking_coerce, other_tags_keys, parking_box, osm_point_lookup, way_badges, size_estimates,
 ]
 

@@ -304,3 +304,7 @@ cols AS (SELECT *, unnest(range(CAST(floor(x0 / 256) AS BIGINT), CAST(floor(x1 /
 cut AS (SELECT *, greatest(least(x1, 256 * x + 256) - greatest(x0, 256 * x), 0) * greatest(least(y1, 256 * y + 256) - greatest(y0, 256 * y), 0) AS own,
   greatest(least(hx1, 256 * x + 256) - greatest(hx0, 256 * x), 0) * greatest(least(hy1, 256 * y + 256) - greatest(hy0, 256 * y), 0) AS hole FROM tiles)
 SELECT k AS osm_id, z, x, y, CAST(CASE WHEN hole > 1e-9 THEN 2 ELSE 1 END AS INT) AS n_rings, round(own - hole, 2) AS pixels FROM cut WHERE own > 1e-9"""
+SQL["schema_reasons"] = f"""WITH {ELEMENTS}, e AS (SELECT *, CASE WHEN area THEN 'way' ELSE 'node' END AS feature_type, {CAPACITY} AS n FROM elements)
+SELECT 'bike_parking' AS schema, feature_type, osm_id, n AS capacity, concat_ws('; ', CASE WHEN "type" <> 'bike_parking' THEN 'type: not bike_parking' END, CASE WHEN amenity IS NULL THEN 'amenity: missing' WHEN amenity <> 'bicycle_parking' THEN 'amenity: not bicycle_parking' END) AS reasons FROM e
+UNION ALL SELECT 'bench', feature_type, osm_id, n, concat_ws('; ', CASE WHEN amenity IS NULL THEN 'amenity: missing' WHEN amenity <> 'bench' THEN 'amenity: not bench' END,
+  CASE WHEN capacity IS NULL THEN 'capacity: missing' WHEN n IS NULL THEN 'capacity: not a number' END, CASE WHEN covered NOT IN ('yes', 'no') THEN 'covered: not one of yes, no' END) FROM e"""
