@@ -2,12 +2,12 @@
 
 A document may belong to several sources. Documents are aggregated by pattern (their set of sources). Tokens flow from each
 pattern, through tiers that cost more with each repetition (convex), to the quotas of the sources it belongs to; the
-cheapest largest flow says how many tokens each pattern gives. A source that shares no document with another is a flow of one
-arc, which is its quota: such sources, however many, stay in Spark. Only patterns of sources that overlap come to the driver, a
-row each (at most max_patterns, else an error), never documents. A pattern's documents then all repeat floor(flow / size) times, and a seeded part of them once
-more: those with the least hashes, up to the hash where the sum comes nearest to what is left. That hash is found by a
-histogram of the hashes (a partial aggregate) and one look into a single bucket of each pattern, so no source, however
-large, is sorted or gathered in one task.
+cheapest largest flow says how many tokens each pattern gives. Patterns come to the driver's flow, a row each, never documents. Beyond
+max_patterns only those of sources that overlap do (more of these are an error); a source that shares no document with another is a flow of one
+arc, which is its quota, and stays in Spark. A pattern's documents then all repeat floor(flow / size) times, and a seeded part of them once
+more: in the order of their hashes as long as they fit into what is left; after the first that doesn't fit, those that are small enough for
+the rest, and so on for some rounds. Where a round ends is found by a histogram of the hashes (a partial aggregate) and one look into a single
+bucket of each pattern, so no source, however large, is sorted or gathered in one task.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), m
 
 
 def plan(slim: DataFrame, seed: int, weights=(1, 2, 3), most: int = 3, max_patterns: int = 4096) -> DataFrame:
-    """(pattern, source_size, target, repeats, last): last is the greatest hash that repeats once more, or null.
+    """(pattern, source_size, target, repeats, picks): picks say which documents repeat once more (again()).
 
     slim: sources (array of strings), pattern, size, hash."""
     spark = slim.sparkSession
@@ -146,8 +146,10 @@ def plan(slim: DataFrame, seed: int, weights=(1, 2, 3), most: int = 3, max_patte
     joined = each.join(sources.select(F.col("source").alias("name"), F.col("n").alias("own"), F.col("target"), F.col("several").alias("tangled")), same)
     of = joined.groupBy("pattern").agg(F.sum("own").alias("source_size"), F.sum("target").alias("target"), F.max("tangled").alias("tangled"), F.collect_list(F.struct("source", "target")).alias("quotas"))
     of = cut(patterns.select("pattern", "n").join(of, "pattern", "left"))
-    free = of.where("not coalesce(tangled, false)").withColumn("flow", F.least(F.floor(F.coalesce("target", F.lit(0.0))), F.col("n") * most))
-    found = of.where("tangled").select("pattern", "n", "quotas").limit(max_patterns + 1).collect()
+    few = of.limit(max_patterns + 1).count() <= max_patterns
+    through = F.col("quotas").isNotNull() if few else F.coalesce("tangled", F.lit(False))
+    free = of.where(~through).withColumn("flow", F.least(F.floor(F.coalesce("target", F.lit(0.0))), F.col("n") * most))
+    found = of.where(through).select("pattern", "n", "quotas").limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"over {max_patterns} membership patterns of sources that overlap; raise max_patterns or merge rare sources")
     found.sort(key=lambda r: r.pattern)
@@ -155,20 +157,47 @@ def plan(slim: DataFrame, seed: int, weights=(1, 2, 3), most: int = 3, max_patte
     names = list(quota)
     flow = cheapest_flow([r.n for r in found], [[names.index(q.source) for q in r.quotas] for r in found], list(quota.values()), COSTS[:most])
     flows = spark.createDataFrame([(r.pattern, f) for r, f in zip(found, flow, strict=True)], "pattern string, flow long")
-    rows = free.unionByName(of.where("tangled").join(F.broadcast(flows), "pattern")) if found else free
+    rows = free.unionByName(of.where(through).join(F.broadcast(flows), "pattern")) if found else free
     rows = rows.withColumn("repeats", F.when(F.col("n") > 0, F.expr("flow div n")).otherwise(F.lit(0)).cast("long"))
     rows = rows.select("pattern", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "repeats", F.when(F.col("n") > 0, F.col("flow") % F.col("n")).otherwise(F.lit(0)).cast("long").alias("rest"))
     rows = kept(rows, "mix")
-    hist = slim.groupBy("pattern", F.shiftright("hash", _SHIFT).alias("bucket")).agg(F.sum("size").alias("n")).join(rows.where("rest > 0").select("pattern", "rest"), "pattern")
-    hist = hist.withColumn("upto", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")))
-    edge = hist.where("upto > rest").groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"), "rest"), "bucket").alias("e")).select("pattern", "e.*")
-    edge = kept(edge, "edges")
-    near = slim.withColumn("bucket", F.shiftright("hash", _SHIFT)).join(edge, ["pattern", "bucket"]).groupBy("pattern", "bucket", "below", "rest", "hash").agg(F.sum("size").alias("n"))
-    near = near.withColumn("sum", F.col("below") + F.sum("n").over(Window.partitionBy("pattern").orderBy("hash")))
-    near = near.groupBy("pattern", "bucket", "below", "rest").agg(F.min(F.struct(F.abs(F.col("sum") - F.col("rest")).alias("gap"), "hash")).alias("m"))
-    before = F.when(F.col("bucket") > -(1 << (63 - _SHIFT)), F.shiftleft("bucket", _SHIFT) - 1)
-    last = near.select("pattern", F.when(F.col("m.gap") < F.col("rest") - F.col("below"), F.col("m.hash")).otherwise(before).alias("last"))
-    return kept(rows.drop("rest").join(last, "pattern", "left"), "mix")
+    return kept(rows.join(picked(slim, rows.where("rest > 0").select("pattern", "rest")), "pattern", "left").drop("rest"), "mix")
+
+
+def picked(slim: DataFrame, rows: DataFrame, rounds: int = 8, near: float = 0.002) -> DataFrame:
+    """(pattern, picks) for rows (pattern, rest): documents of sizes that sum up to rest at most, and to within `near` of it unless the rounds end or nothing is small enough.
+
+    A pick says that documents up to a size, with hashes above one number and up to another, are taken. Documents of one hash go together or not at all."""
+    state = rows.select("pattern", "rest", F.col("rest").alias("goal"), F.lit(None).cast("long").alias("above"), F.expr("cast(array() as array<struct<most: bigint, above: bigint, upto: bigint>>)").alias("picks"))
+    settled, sized = None, slim.where("size > 0").select("pattern", "size", "hash")
+    for _ in range(rounds):
+        own = sized.join(state.select("pattern", "rest", "above"), "pattern").where("size <= rest and (above is null or hash > above)").withColumn("bucket", F.shiftright("hash", _SHIFT))
+        hist = own.groupBy("pattern", "rest", "bucket").agg(F.sum("size").alias("n"))
+        hist = cut(hist.withColumn("sum", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket"))))
+        edge = hist.where("sum > rest").groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("sum") - F.col("n")).alias("below")), "bucket").alias("e")).select("pattern", "e.*")
+        inside = own.join(edge, ["pattern", "bucket"]).groupBy("pattern", "bucket", "below", "rest", "hash").agg(F.sum("size").alias("n"))
+        inside = inside.withColumn("sum", F.col("below") + F.sum("n").over(Window.partitionBy("pattern").orderBy("hash")))
+        fits = F.col("sum") <= F.col("rest")
+        ends = inside.groupBy("pattern", "bucket", "below").agg(F.max(F.when(fits, F.col("hash"))).alias("last"), F.max(F.when(fits, F.col("sum"))).alias("taken"), F.min(F.when(~fits, F.col("hash"))).alias("blocked"))
+        before = F.when(F.col("bucket") > -(1 << (63 - _SHIFT)), F.shiftleft("bucket", _SHIFT) - 1)
+        ends = ends.select("pattern", "blocked", F.coalesce("last", before).alias("upto"), F.coalesce("taken", "below").alias("taken"))
+        whole = hist.groupBy("pattern").agg(F.max("sum").alias("all"))
+        now = state.join(whole, "pattern", "left").join(ends, "pattern", "left")
+        # without an edge all that was small enough fits
+        upto, taken = F.when(F.col("blocked").isNull(), F.lit((1 << 63) - 1)).otherwise(F.col("upto")), F.when(F.col("blocked").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.col("taken"))
+        pick = F.struct(F.col("rest").alias("most"), F.col("above").alias("above"), upto.alias("upto"))
+        now = kept(now.select("pattern", (F.col("rest") - taken).alias("rest"), "goal", F.col("blocked").alias("above"), F.when(taken > 0, F.concat("picks", F.array(pick))).otherwise(F.col("picks")).alias("picks")), "picks")
+        open_ = F.col("above").isNotNull() & (F.col("rest") > F.col("goal") * near)
+        settled = now.where(~open_) if settled is None else settled.unionByName(now.where(~open_))
+        state = now.where(open_)
+        if state.isEmpty():
+            break
+    return settled.unionByName(state).select("pattern", "picks")
+
+
+def again(size: Column, hash_: Column, picks: Column) -> Column:
+    """1 for documents that picks take, else 0."""
+    return F.coalesce(F.exists(picks, lambda p: (size <= p.most) & (p.above.isNull() | (hash_ > p.above)) & (hash_ <= p.upto)), F.lit(False)).cast("long")
 
 
 def slim(docs: DataFrame, sources: Column, seed: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,7 +214,7 @@ def mixed(docs: DataFrame, sources: Column | None = None, seed: int = 42, **opti
     """
     small = cut(slim(docs, F.array("source") if sources is None else sources, seed))
     got = small.join(plan(small, seed, **options), "pattern")
-    more = F.coalesce(F.col("hash") <= F.col("last"), F.lit(False)).cast("long")
+    more = again(F.col("size"), F.col("hash"), F.col("picks"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("repeats") + more)).alias("taken"))
 
 
@@ -196,8 +225,8 @@ def repeated(docs: DataFrame, sources: Column | None = None, seed: int = 42, **o
     table gives no rows; columns of any name pass through.
     """
     by = F.array("source") if sources is None else sources
-    mix = plan(cut(slim(docs, by, seed)), seed, **options).select("pattern", "repeats", "last")
-    own = docs.select(F.struct(*docs.columns).alias("row"), pattern(by).alias("pattern"), _hash(seed, F.col("doc_id"), F.col("text")).alias("hash"), (words(F.col("text")) == 0).alias("bare"))
-    times = F.when(F.col("bare"), F.lit(1)).otherwise(F.col("repeats") + F.coalesce(F.col("hash") <= F.col("last"), F.lit(False)).cast("long"))
+    mix = plan(cut(slim(docs, by, seed)), seed, **options).select("pattern", "repeats", "picks")
+    own = docs.select(F.struct(*docs.columns).alias("row"), pattern(by).alias("pattern"), _hash(seed, F.col("doc_id"), F.col("text")).alias("hash"), words(F.col("text")).alias("size"))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("repeats") + again(F.col("size"), F.col("hash"), F.col("picks")))
     got = own.join(mix, "pattern").withColumn("times", times.cast("int")).where("times > 0")
     return got.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -112,3 +112,29 @@ def test_numbered(spark):
     df = spark.createDataFrame([(n,) for n in [*names, None]], "name string").repartition(7)
     got = {r.name: r.number for r in numbered(df, F.col("name").asc_nulls_last()).collect()}
     assert got == {n: k for k, n in enumerate([*sorted(names), None])}
+
+
+def test_picks_fill_what_is_left(spark):
+    rnd = random.Random(8)
+    rows = [(f"p{k % 5}", rnd.choice([1, 2, 5, 40, 900]) if k % 5 else 7, rnd.randrange(-(1 << 63), 1 << 63)) for k in range(600)]
+    rows += [("p1", 3, rows[1][2]), ("p2", 0, 5), ("p6", 50, 1), ("p7", 3, 9)]
+    rest = {"p0": 200, "p1": 3000, "p2": 777, "p3": 20000, "p4": 1, "p6": 49, "p7": 3}
+    slim = spark.createDataFrame(rows, "pattern string, size long, hash long")
+    picks = mixing.picked(slim, spark.createDataFrame(list(rest.items()), "pattern string, rest long"))
+    got = slim.join(picks, "pattern").withColumn("more", mixing.again(F.col("size"), F.col("hash"), F.col("picks"))).collect()
+    for p, want in rest.items():
+        taken = sum(r["size"] for r in got if r.pattern == p and r.more)
+        small = [r["size"] for r in got if r.pattern == p and not r.more and 0 < r["size"]]
+        assert taken <= want and (want - taken <= 0.002 * want or all(n > want - taken for n in small)), p
+    of = {}
+    for r in got:
+        of.setdefault((r.pattern, r.hash), set()).add(r.more)
+    assert all(len(v) == 1 for v in of.values())
+
+
+def test_the_flow_makes_the_query(spark, monkeypatch):
+    seen, real = [], mixing.cheapest_flow
+    monkeypatch.setattr(mixing, "cheapest_flow", lambda supply, *a: seen.append(len(supply)) or real(supply, *a))
+    docs = documents(spark)
+    mixing.mixed(docs).collect()
+    assert seen == [docs.select("source").distinct().count()]
