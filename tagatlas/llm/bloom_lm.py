@@ -40,7 +40,7 @@ BROADCAST = 256 << 20
 #: Bytes of training text for each segment of the model.
 RANGE = 16 << 20
 #: Tokens that are counted together, those that are scored together, and bytes of a text that are split at a time.
-BLOCK, SCORED, CHUNK = 1 << 20, 1 << 17, 1 << 22
+BLOCK, SCORED, CHUNK = 1 << 20, 1 << 18, 1 << 22
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 WORDS, PAIRS = 1, 2
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -102,10 +102,12 @@ def blocks(texts: Iterable[str | None], size: int = BLOCK) -> Iterator[tuple[np.
 
 
 class Filter:
-    """Segments of bits, each of its own range of keys and its own length."""
+    """Segments of bits, each of its own range of keys and its own length, one behind the other."""
 
-    def __init__(self, segments: list[bytes]) -> None:
-        self.segments = [np.frombuffer(s, np.uint8) for s in segments]
+    def __init__(self, bits: np.ndarray, sizes: list[int]) -> None:
+        """sizes: bytes of each segment."""
+        self.bits, self.size = bits, np.array(sizes, np.uint64) * np.uint64(8)
+        self.start = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.size, dtype=np.uint64)])
 
     @staticmethod
     def built(keys: np.ndarray, level: np.ndarray) -> bytes:
@@ -126,36 +128,19 @@ class Filter:
                 yield (h + np.uint64(k) * step) % size
 
     def level(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The level of each key, in the segments that own says, which ascend: 0 where the filter denies the first."""
-        out, bounds = np.zeros(len(keys), np.int64), np.searchsorted(own, np.arange(len(self.segments) + 1))
-        for bits, a, b in zip(self.segments, bounds[:-1], bounds[1:], strict=True):
-            left, size, j = np.arange(a, b), np.uint64(8 * len(bits)), 0
-            while len(left):
-                j += 1
-                key, still = keys[left], np.ones(len(left), bool)
-                for at in Filter._places(key, j, size):
-                    still &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                left = left[still]
-                out[left] = j
+        """The level of each key, in the segments that own says: 0 where the filter denies the first."""
+        out, left, j = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+        while len(left):
+            j += 1
+            key, seg, still = keys[left], own[left], np.ones(len(left), bool)
+            for at in Filter._places(key, j, self.size[seg]):
+                at += self.start[seg]
+                still &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            left = left[still]
+            out[left] = j
         return out
 
 
-class Counts:
-    """Exact counts of keys, in ranges of keys."""
-
-    def __init__(self, segments: list[tuple[bytes, bytes]]) -> None:
-        self.segments = [(np.frombuffer(k, np.uint64), np.frombuffer(n, np.uint32 if len(n) < len(k) else np.int64)) for k, n in segments]
-
-    @staticmethod
-    def packed(n: np.ndarray) -> bytes:
-        return n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64).tobytes()
-
-    def of(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The count of each key, in the segments that own says, which ascend."""
-        bounds = np.searchsorted(own, np.arange(len(self.segments) + 1))
-        return np.concatenate([np.zeros(0, np.int64), *(looked_up(keys[a:b], *s).astype(np.int64) for s, a, b in zip(self.segments, bounds[:-1], bounds[1:], strict=True) if b > a)])
-
-
 @dataclass
 class Model:
     """table: (kind, part, n, total, keys, data), one row a segment: exact counts of tokens or bits of pairs; kept in the shared folder."""
@@ -181,7 +166,7 @@ def train(docs: DataFrame, text: str = "text", range_bytes: int | None = None) -
 
     def built(group: pa.Table) -> pa.Table:
         kind, (u, n) = group["kind"][0].as_py(), merged(group)
-        whole = (u.tobytes(), Counts.packed(n)) if kind == WORDS else (b"", Filter.built(u, levels(n)))
+        whole = (u.tobytes(), n.tobytes()) if kind == WORDS else (b"", Filter.built(u, levels(n)))
         return pa.table({"kind": pa.array([kind], pa.int32()), "part": [group["part"][0].as_py()], "n": [len(u)], "total": [int(n.sum())], "keys": pa.array([whole[0]], pa.binary()), "data": pa.array([whole[1]], pa.binary())})
 
     partial = source.mapInArrow(counted, PACKED)
@@ -220,21 +205,31 @@ def score(docs: DataFrame, model: Model, text: str = "text", broadcast: int | No
 
 def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
     n, v, parts = model.n, model.v, model.parts
-    counts, bits = [(b"", b"")] * parts, [bytes(8)] * parts
-    for r in model.table.select("kind", "part", "keys", "data").toLocalIterator():  # a file of the table at a time
+    # what is sent is laid out first and then filled, a file of the table at a time, so that the driver holds it once
+    about = model.table.select("kind", "part", "n", F.octet_length("data").alias("size")).collect()
+    words, sizes = [0] * (parts + 1), [8] * parts
+    for r in about:
+        if r.kind == WORDS:
+            words[r.part + 1] = r.n
+        else:
+            sizes[r.part] = r.size
+    first, start = np.cumsum(words), np.concatenate([[0], np.cumsum(sizes)])
+    known, counts, bits = np.zeros(first[-1], np.uint64), np.zeros(first[-1], np.uint32 if n < 1 << 32 else np.int64), np.zeros(start[-1], np.uint8)
+    for r in model.table.select("kind", "part", "keys", "data").toLocalIterator():
         if r.kind == WORDS:
-            counts[r.part] = (bytes(r.keys), bytes(r.data))
+            known[first[r.part] : first[r.part + 1]] = np.frombuffer(r.keys, np.uint64)
+            counts[first[r.part] : first[r.part + 1]] = np.frombuffer(r.data, np.int64)
         else:
-            bits[r.part] = bytes(r.data)
-    sent = rows.sparkSession.sparkContext.broadcast((counts, bits))
-    del counts, bits
+            bits[start[r.part] : start[r.part + 1]] = np.frombuffer(r.data, np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast((known, counts, bits, sizes))
+    del known, counts, bits
 
     @F.pandas_udf(STRUCT)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, pairs, value = Counts(sent.value[0]), Filter(sent.value[1]), np.concatenate([[0], SCALE])
-        own = lambda u: segment(u, parts).astype(np.int64)
+        known, counts, bits, sizes = sent.value
+        pairs, value = Filter(bits, sizes), np.concatenate([[0], SCALE])
         for part in texts:
-            yield _scores(list(part), n, v, lambda u: words.of(u, own(u)), lambda u: value[pairs.level(u, own(u))])
+            yield _scores(list(part), n, v, lambda u: looked_up(u, known, counts).astype(np.int64), lambda u: value[pairs.level(u, segment(u, parts).astype(np.int64))])
 
     return rows.withColumn("s", of("text"))
 
@@ -263,9 +258,9 @@ def _by_join(rows: DataFrame, model: Model) -> DataFrame:
         key, kind = asked["key"].to_numpy().view(np.uint64), held["kind"][0].as_py()
         data = held["data"][0].as_py()
         if kind == WORDS:
-            found = Counts([(held["keys"][0].as_py(), data)]).of(key, np.zeros(len(key), np.int64))
+            found = looked_up(key, np.frombuffer(held["keys"][0].as_py(), np.uint64), np.frombuffer(data, np.int64))
         else:
-            found = np.concatenate([[0], SCALE])[Filter([data]).level(key, np.zeros(len(key), np.int64))]
+            found = np.concatenate([[0], SCALE])[Filter(np.frombuffer(data, np.uint8), [len(data)]).level(key, np.zeros(len(key), np.int64))]
         some = found > 0
         return pa.table({"kind": pa.array(np.full(some.sum(), kind, np.int32)), "key": key[some].view(np.int64), "n": found[some]})
 
