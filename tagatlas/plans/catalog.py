@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from tagatlas.functions import tags, tiles, urls, zoom
 from tagatlas.operators import areas, directory, elements, features, geometry, hits, merge, routes, schema, service, styles
 from tagatlas.operators.comfort import ATTRIBUTES
 from tagatlas.plans import map_build, oracle, views
-from tagatlas.sources.files import shared_folder
+from tagatlas.sources.archive_format import packed_legacy_archive
+from tagatlas.sources.files import shared_folder, store
 from tagatlas.sources.single_archive import write_one
 from tagatlas.sources.tile_archive import TileArchive, blob, legacy_directories, legacy_entries
 from tagatlas.streaming.map_folder import MapFolder
@@ -337,6 +339,42 @@ def archive_legacy_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _legacy(spark, sf_dir)
 
 
+def legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers, of versions 1 and 2, and entries of archives of the old format: files that tasks have written, read back."""
+    spark.dataSource.register(TileArchive)
+    folder = shared_folder(spark, "old")
+    entries = views.read(spark, sf_dir, "supplier").selectExpr("s_nationkey AS k", "s_suppkey AS s").selectExpr("k", *[f"{sql} AS {c}" for c, sql in views.OLD_ENTRIES.items()])
+    rows = entries.groupBy("k").agg(F.collect_list(F.struct(*views.OLD_ENTRIES)).alias("entries")).selectExpr("*", *[f"{sql} AS {c}" for c, sql in views.OLD.items()])
+    if rows.mapInArrow(_old_archives(folder), "k int").count() == 0:
+        return spark.createDataFrame([], "archive string, version int, min_zoom int, max_zoom int, min_lon double, max_lat double, tile_type int, z int, x long, y long, offset long, length long")
+    entries = _read_archive(spark, folder, "legacy").where("directory is null").select("archive", "z", "x", "y", "offset", "length")
+    heads = _read_archive(spark, folder, "headers").select("archive", "version", "min_zoom", "max_zoom", "min_lon", "max_lat", "tile_type")
+    return heads.join(entries, "archive")
+
+
+def _old_archives(folder: str):
+    def write(batches):
+        fs, inner = store(folder)
+        fs.create_dir(inner, recursive=True)
+        for batch in batches:
+            for r in batch.to_pylist():
+                about = {"bounds": f"{r['min_lon']},-20,30,{r['max_lat']}", "minzoom": "0", "maxzoom": str(r["max_zoom"]), "format": r["format"]}
+                own = f"{inner}/_{uuid.uuid4().hex}"  # a repeated task writes its own and swaps it in whole
+                with fs.open_output_stream(own) as out:
+                    out.write(packed_legacy_archive(r["version"], about, [(e["z"], e["x"], e["y"], False, e["offset"], e["length"]) for e in r["entries"]]))
+                fs.move(own, f"{inner}/n{r['k']}.pmtiles")
+            yield batch.select(["k"])
+
+    return write
+
+
+def works_on_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes that only ways under construction have, and only where they have the tag."""
+    extra = F.create_map(*[x for k, sql in views.WORKS_TAGS.items() for x in (F.lit(k), F.expr(sql.replace("k ", "way_id ").replace("(k", "(way_id")))])
+    ways = views.ways(spark, sf_dir).withColumn("tags", F.map_concat("tags", F.map_filter(extra, lambda k, v: v.isNotNull())))
+    return features.lines(ways).select("osm_id", "branch", "construction", "website", "opening_date")
+
+
 def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'maps/{name}/v1/{name}.pmtiles' WHEN 1 THEN '' END")
     return views.read(spark, sf_dir, "part").select("p_partkey", urls.archive_path(F.col("p_name"), template).alias("path"))
@@ -436,7 +474,7 @@ QUERIES = [
     classify_ways, comfort_histogram, dooring_risk_ways, bike_route_filter, way_routes, parking_features, relation_centers, zoom_gated_attributes, oneway_merge_keys, merge_group_sizes, min_length_filter, merged_lines,
     style_cycling_layers, style_cycling_paint, style_walking_layers, style_basemap_layers, style_basemap_paint, zoom_interpolate_linear, zoom_interpolate_exponential, zoom_step, tile_hilbert_id, tile_zxy, lonlat_to_tile,
     directory_run_encode, directory_encode, directory_decode, tile_range_lookup, tile_asof_lookup, leaf_walk, legacy_directory_sort, legacy_leaf_lookup, tile_path_parse, service_status,
-    archive_round_trip, archive_entries, archive_headers, archive_blobs, single_archive_tiles, single_archive_entries, single_archive_header, incremental_lines, archive_legacy_entries, archive_paths, allowed_origins, view_queries, link_queries, base_schema, schema_reasons, tile_sources, split_numbers, little_endian, present_tags, clicked_features, clicked_places, clipped_areas, feature_marks,
+    archive_round_trip, archive_entries, archive_headers, archive_blobs, single_archive_tiles, single_archive_entries, single_archive_header, incremental_lines, archive_legacy_entries, legacy_archives, works_on_ways, archive_paths, allowed_origins, view_queries, link_queries, base_schema, schema_reasons, tile_sources, split_numbers, little_endian, present_tags, clicked_features, clicked_places, clipped_areas, feature_marks,
     url_view_state, tilejson_fields, area_slug, parking_coerce, other_tags_keys, parking_box, osm_point_lookup, way_badges, size_estimates,
 ]
 

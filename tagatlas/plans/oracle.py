@@ -308,3 +308,7 @@ SQL["schema_reasons"] = f"""WITH {ELEMENTS}, e AS (SELECT *, CASE WHEN area THEN
 SELECT 'bike_parking' AS schema, feature_type, osm_id, n AS capacity, concat_ws('; ', CASE WHEN "type" <> 'bike_parking' THEN 'type: not bike_parking' END, CASE WHEN amenity IS NULL THEN 'amenity: missing' WHEN amenity <> 'bicycle_parking' THEN 'amenity: not bicycle_parking' END) AS reasons FROM e
 UNION ALL SELECT 'bench', feature_type, osm_id, n, concat_ws('; ', CASE WHEN amenity IS NULL THEN 'amenity: missing' WHEN amenity <> 'bench' THEN 'amenity: not bench' END,
   CASE WHEN capacity IS NULL THEN 'capacity: missing' WHEN n IS NULL THEN 'capacity: not a number' END, CASE WHEN covered NOT IN ('yes', 'no') THEN 'covered: not one of yes, no' END) FROM e"""
+SQL["legacy_archives"] = f"""WITH s AS (SELECT s_nationkey AS k, s_suppkey AS s FROM supplier), old AS (SELECT k, {_columns(views.OLD)}, {_columns(views.OLD_ENTRIES)} FROM s)
+SELECT 'n' || k AS archive, version, 0 AS min_zoom, max_zoom, min_lon, max_lat, CASE format WHEN 'pbf' THEN 1 WHEN 'png' THEN 2 WHEN 'jpg' THEN 3 ELSE 4 END AS tile_type, z, x, y, "offset", length FROM old"""
+SQL["works_on_ways"] = f"""WITH {LINES}, works AS (SELECT k, {_columns(views.WORKS_TAGS)} FROM (SELECT o_orderkey AS k FROM orders))
+SELECT osm_id, branch, construction, CASE WHEN construction THEN website END AS website, CASE WHEN construction THEN opening_date END AS opening_date FROM lines JOIN works ON k = osm_id"""

@@ -67,6 +67,11 @@ BASE = {
 }
 #: Names of base-map features for labels, from k and a part's name.
 BASE_NAMES = {"name:latin": "CASE WHEN k % 9 <> 0 THEN name END", "name:nonlatin": "CASE WHEN k % 4 = 1 THEN concat('N', CAST(k AS STRING)) END", "ref": "CASE WHEN k % 2 = 0 THEN concat('H', CAST(k % 100 AS STRING)) END"}
+#: What ways under construction say of the works.
+WORKS_TAGS = {"website": "CASE WHEN k % 3 <> 0 THEN concat('https://works.example/', CAST(k AS STRING)) END", "opening_date": "CASE WHEN k % 4 < 3 THEN concat('2030-0', CAST(1 + k % 9 AS STRING)) END"}
+#: Archives of the old format, one for each nation k; and what each has of its suppliers s.
+OLD = {"version": "CAST(1 + k % 2 AS INT)", "max_zoom": "CAST(k % 12 AS INT)", "min_lon": "CAST(-10 - k AS DOUBLE)", "max_lat": "CAST(10 + k AS DOUBLE)", "format": _case("k % 4", {"png": "0", "pbf": "1", "jpg": "2", "webp": "3"})}
+OLD_ENTRIES = {"z": "CAST(20 AS INT)", "x": "s % 1000", "y": "CAST(floor(s / 1000) AS BIGINT)", "offset": "600000 + s * 200", "length": "100 + s % 50"}
 #: Clicks on the map of placed ways, near the streets and up to 22 m beside them.
 CLICKS = {
     "z": "CAST(13 + event_id % 2 AS INT)",

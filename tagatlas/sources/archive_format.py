@@ -131,3 +131,9 @@ def packed_legacy_directory(entries: list[tuple[int, int, int, bool, int, int]])
     """Records in the order of version 1, with offsets of the full 48 bits."""
     order = sorted(entries, key=lambda e: (e[3], e[0], e[1], e[2]))
     return b"".join(bytes([z | is_dir << 7]) + x.to_bytes(3, "little") + y.to_bytes(3, "little") + offset.to_bytes(6, "little") + length.to_bytes(4, "little") for z, x, y, is_dir, offset, length in order)
+
+
+def packed_legacy_archive(version: int, about: dict, entries: list[tuple[int, int, int, bool, int, int]]) -> bytes:
+    """The start of an archive of version 1 or 2: header, metadata and root directory."""
+    text = json.dumps(about).encode("utf-8")
+    return LEGACY_MAGIC + struct.pack("<HIH", version, len(text), len(entries)) + text + packed_legacy_directory(entries)
