@@ -55,13 +55,13 @@ def rows(df):
 def test_updates_equal_a_full_build(spark, tmp_path):
     rnd = random.Random(4)
     state = town(rnd)
-    folder = MapFolder(spark, str(tmp_path / "map"), 8)
+    folder = MapFolder(spark, str(tmp_path / "map"), 12)
     with pytest.raises(ValueError):
         folder.update(spark.createDataFrame([], CHANGES))
     folder.build(*frames(spark, state))
     for step in (1, 2):
         assert folder.update(spark.createDataFrame(changed(rnd, state, 10 * step), CHANGES)) == step
-    full = MapFolder(spark, str(tmp_path / "full"), 8)
+    full = MapFolder(spark, str(tmp_path / "full"), 12)
     full.build(*frames(spark, state))
     assert rows(folder.lines()) == rows(full.lines())
     # only tiles that were reached were written
