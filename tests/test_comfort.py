@@ -1,58 +1,58 @@
-"""The comfort table: fixed counts of the derived ways, single cases for every trap, and a plain if-chain on random tags."""
+"""The comfort table: fixed counts of the derived ways, rows that are expected, single cases for every trap, and random tags held against the SQL."""
 
 import random
 
+import duckdb
 import pytest
 
 from tagatlas.operators.comfort import ATTRIBUTES, classify
-from tagatlas.plans import views
+from tagatlas.plans import oracle, views
 
 SF = "/root/testdata/sf0.001"
 
 
-def plain(t: dict, junk_is_zero: bool = True) -> dict | None:
-    """The same table for one dictionary of tags, as a chain of ifs."""
-    g = t.get
-    hw, one = "highway" in t, g("oneway") == "yes"
-    left, right = g("cycleway:left") == "lane", g("cycleway:right") == "lane"
-    speed = None
-    if "maxspeed" in t:
-        v = t["maxspeed"]
-        speed = int(v) if v.lstrip("+-").isdigit() and v.isascii() else (0 if junk_is_zero else None)
-    slow = speed is not None and speed <= 30
-    doors = {"lane", "street_side", "separate"}
-    forward = 1 if one else 0
-    opposite = 0 if g("oneway:bicycle") == "no" else forward
-
-    def track(shared, sub, **more):
-        return dict(shared_with_pedestrians=shared, shared_with_vehicles=False, comfort=3 if shared else 4, oneway=forward, **{"class": "track"}, subclass=sub, **more)
-
-    def lane(risk, oneway, side):
-        return dict(shared_with_pedestrians=False, shared_with_vehicles=False, comfort=1 if risk else 2, oneway=oneway, **{"class": "lane"}, side=side, **({"dooring_risk": True} if risk else {}))
-
-    if g("highway") == "cycleway":
-        return track(g("foot") == "designated" and g("segregated") == "no", "cycleway", branch=1)
-    if g("highway") in ("path", "pedestrian") and g("bicycle") == "designated":
-        return track((g("foot") == "designated" or g("highway") == "pedestrian") and g("segregated") != "yes", "path", branch=2)
-    shared = g("foot") == "designated" and g("segregated") != "yes"
-    if hw and g("cycleway") == "track":
-        return track(shared, "combined-" + t["highway"], branch=3)
-    if g("highway") == "construction" and g("construction") == "cycleway":
-        return track(shared, "cycleway", branch=4, construction=True, **{k: t[k] for k in ("website", "opening_date") if k in t})
-    if hw and not one and (g("cycleway") == "lane" or g("cycleway:both") == "lane" or (left and right)):
-        return dict(branch=5, **lane(g("parking") in ("lane", "street_side") or g("parking:both") in doors or g("parking:right") in doors or g("parking:left") in doors, 0, "both"))
-    if hw and not one and ((right and g("cycleway:right:oneway") == "no") or (left and g("cycleway:left:oneway") == "no")):
-        return dict(branch=6, **lane(False, 0, "right" if right else "left"))
-    side = "left" if left else "right"
-    if hw and one and (g("cycleway") == "lane" or right or left):
-        return dict(branch=7, **lane(g("parking:" + side) in doors, 0 if left and right else 1, side))
-    if (hw and g("cycleway") in ("shared_lane", "shared")) or g("cycleway:both") in ("shared_lane", "shared"):
-        return dict(branch=8, shared_with_pedestrians=False, shared_with_vehicles=True, comfort=3 if g("motor_vehicle") == "private" or slow else 1, oneway=opposite, **{"class": "lane"})
-    if g("highway") == "residential" and g("bicycle") in ("yes", "designated") and slow:
-        return dict(branch=9, shared_with_pedestrians=g("foot") == "yes", shared_with_vehicles=True, comfort=3, oneway=opposite, **{"class": "lane"})
-    if hw and ((right and g("cycleway:left") == "no") or (left and g("cycleway:right") == "no")):
-        return dict(branch=10, **lane(g("parking:both") in doors or g("parking:" + side) in doors, -1 if left else 1, side))
-    return None
+def way(branch: int, comfort: int, kind: str, oneway: int = 0, **more) -> dict:
+    """What classify says of a way, by attribute; those it leaves out are absent."""
+    return {"branch": branch, "comfort": comfort, "class": kind, "oneway": oneway, "shared_with_pedestrians": False, "shared_with_vehicles": False} | more
+
+
+SHARED, WITH_CARS, RISK = {"shared_with_pedestrians": True}, {"shared_with_vehicles": True}, {"dooring_risk": True}
+#: Tags, and what is to be said of them.
+EXPECTED = [
+    ("highway=cycleway", way(1, 4, "track", subclass="cycleway")),
+    ("highway=cycleway foot=designated segregated=yes oneway=yes", way(1, 4, "track", 1, subclass="cycleway")),
+    ("highway=cycleway foot=designated segregated=no", way(1, 3, "track", subclass="cycleway", **SHARED)),
+    ("highway=path bicycle=designated", way(2, 4, "track", subclass="path")),
+    ("highway=path bicycle=designated foot=designated oneway=-1", way(2, 3, "track", subclass="path", **SHARED)),
+    ("highway=pedestrian bicycle=designated", way(2, 3, "track", subclass="path", **SHARED)),
+    ("highway=pedestrian bicycle=designated segregated=yes", way(2, 4, "track", subclass="path")),
+    ("highway=path bicycle=yes", None),
+    ("highway=primary cycleway=track foot=designated", way(3, 3, "track", subclass="combined-primary", **SHARED)),
+    ("highway=construction construction=cycleway cycleway=track", way(3, 4, "track", subclass="combined-construction")),
+    ("cycleway=track", None),
+    ("highway=construction construction=cycleway website=w opening_date=2030", way(4, 4, "track", subclass="cycleway", construction=True, website="w", opening_date="2030")),
+    ("highway=construction construction=road", None),
+    ("highway=primary cycleway=lane parking=separate", way(5, 2, "lane", side="both")),
+    ("highway=primary cycleway:both=lane parking=lane", way(5, 1, "lane", side="both", **RISK)),
+    ("highway=primary cycleway:left=lane cycleway:right=lane parking:right=separate", way(5, 1, "lane", side="both", **RISK)),
+    ("highway=primary cycleway:both=lane oneway=yes", None),
+    ("highway=primary cycleway:right=lane cycleway:right:oneway=no parking:right=lane", way(6, 2, "lane", side="right")),
+    ("highway=primary cycleway:left=lane cycleway:left:oneway=no oneway=-1", way(6, 2, "lane", side="left")),
+    ("highway=primary oneway=yes cycleway=lane", way(7, 2, "lane", 1, side="right")),
+    ("highway=primary oneway=yes cycleway:left=lane parking:left=street_side", way(7, 1, "lane", 1, side="left", **RISK)),
+    ("highway=primary oneway=yes cycleway:left=lane cycleway:right=lane parking:both=lane", way(7, 2, "lane", side="left")),
+    ("cycleway:both=shared_lane", way(8, 1, "lane", **WITH_CARS)),
+    ("cycleway=shared_lane", None),
+    ("highway=primary cycleway=shared maxspeed=30 oneway=yes", way(8, 3, "lane", 1, **WITH_CARS)),
+    ("highway=primary cycleway=shared maxspeed=31 oneway=yes oneway:bicycle=no", way(8, 1, "lane", **WITH_CARS)),
+    ("highway=primary cycleway=shared motor_vehicle=private maxspeed=90", way(8, 3, "lane", **WITH_CARS)),
+    ("highway=residential bicycle=yes maxspeed=30 cycleway:right=lane cycleway:left=no", way(9, 3, "lane", **WITH_CARS)),
+    ("highway=residential bicycle=designated maxspeed=20 foot=yes oneway=yes", way(9, 3, "lane", 1, **WITH_CARS | SHARED)),
+    ("highway=residential bicycle=yes", None),
+    ("highway=primary cycleway:right=lane cycleway:left=no", way(10, 2, "lane", 1, side="right")),
+    ("highway=primary cycleway:left=lane cycleway:right=no parking:both=lane", way(10, 1, "lane", -1, side="left", **RISK)),
+    ("highway=motorway", None),
+]
 
 
 VALUES = {
@@ -70,13 +70,30 @@ def run(spark, cases: list[dict | None], **policy):
     return [got.get(i) for i in range(len(cases))]
 
 
-@pytest.mark.parametrize("policy", ["zero", "null"])
-def test_random_tags_match_the_if_chain(spark, policy):
+def test_expected_rows(spark):
+    cases = [dict(x.split("=") for x in tags.split()) for tags, _ in EXPECTED]
+    assert run(spark, cases) == [want for _, want in EXPECTED]
+
+
+def test_speeds_that_are_no_numbers(spark):
+    street = {"highway": "residential", "bicycle": "yes"}
+    cases = [street | {"maxspeed": v} for v in ("30", "+30", "50 mph", "none", "")]
+    assert [bool(g) for g in run(spark, cases)] == [True] * 5
+    assert [bool(g) for g in run(spark, cases, maxspeed_invalid="null")] == [True, True, False, False, False]
+
+
+def test_random_tags_match_the_sql(spark):
     rng = random.Random(5)
     cases = [{k: rng.choice(v) for k, v in VALUES.items() if rng.random() < (0.75 if k == "highway" else 0.3)} for _ in range(4000)]
-    want = [plain(c, policy == "zero") for c in cases]
-    assert {w["branch"] for w in want if w} == set(range(1, 11))
-    assert run(spark, cases, maxspeed_invalid=policy) == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE ways (way_id BIGINT, " + ", ".join(f'"{k}" VARCHAR' for k in [*VALUES, "name", "surface"]) + ")")
+    con.executemany(f"INSERT INTO ways VALUES ({', '.join('?' * (len(VALUES) + 3))})", [(i, *[c.get(k) for k in VALUES], None, None) for i, c in enumerate(cases)])
+    found = con.execute(f"WITH {oracle.RULES} SELECT * FROM lines")
+    names = [d[0] for d in found.description]
+    want = {r[0]: {k: v for k, v in zip(names[1:], r[1:]) if v is not None} for r in found.fetchall()}
+    assert {w["branch"] for w in want.values()} == set(range(1, 11))
+    works = ("website", "opening_date")
+    assert [g and {k: v for k, v in g.items() if k not in works} for g in run(spark, cases)] == [want.get(i) for i in range(len(cases))]
 
 
 def test_traps(spark):
