@@ -12,12 +12,15 @@ Since levels round down, the p of a context sum to 1 at most, false positives of
 
 Scale: counts are merged per block of tokens before they travel, as packed arrays, dealt by range of hash; a range is one group of about
 RANGE bytes of text whatever the corpus' size, and becomes one segment of the filter. The model is measured: up to BROADCAST bytes it
-goes along with the tasks and texts are scored without a shuffle; beyond that the distinct tokens and pairs of the texts
-meet the segments in a join, and each row gets the numbers that it needs. Both ways ask the same filter and give the same scores.
+goes along with the tasks and texts are scored without a shuffle. Beyond that, up to MAPPED bytes, tasks lay the segments out side by side as
+flat files in the shared folder and map those into memory, so that texts are still not shuffled and an executor's tasks share one copy. Where the shared folder
+can't be mapped, or for a larger model, the distinct tokens and pairs of the texts meet the segments in a join, and each row gets the numbers
+that it needs. All ways ask the same filter and give the same scores.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagatlas.llm.common import kept, unused
+from tagatlas.llm.common import kept, new_folder, unused
 from tagatlas.llm.hashes import PACKED, looked_up, merged, mixed, packed, segment
 
 #: Hash functions of the filter: for the first level, which most pairs that are asked for don't have, and for each further one.
 FIRST, NEXT = 6, 5
 #: How many tokens the base distribution counts for after each context; chosen on training rows (crc32 mod 10 = 1, learned from the rest).
 MU = 300
-BROADCAST = 256 << 20
+BROADCAST, MAPPED = 64 << 20, 4 << 30
 #: Bytes of training text for each segment of the model.
 RANGE = 16 << 20
 #: Tokens that are counted together, those that are scored together, and bytes of a text that are split at a time.
@@ -191,7 +194,7 @@ def _scores(texts: list, n: int, v: int, count, pair) -> pd.DataFrame:
     return pd.DataFrame({"n_tokens": out[0].astype(np.int64), "n_known": out[1].astype(np.int64), "train_tokens": np.full(len(texts), n), "base_score": out[2], "score": out[3]})
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", broadcast: int | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", broadcast: int | None = None, mapped: int | None = None) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text and its end).
 
     Null and empty texts are one end; a row's numbers depend on its text and the model only, so repeated rows agree; an empty
@@ -199,21 +202,35 @@ def score(docs: DataFrame, model: Model, text: str = "text", broadcast: int | No
     """
     whole, own = F.struct(*docs.columns).alias("row"), [c for c in docs.columns if c.lower() not in RESULT]
     rows = docs.select(whole, F.col(text).alias("text"))
-    scored = _by_broadcast(rows, model) if model.size <= (BROADCAST if broadcast is None else broadcast) else _by_join(rows, model)
+    if model.size <= (BROADCAST if broadcast is None else broadcast):
+        scored = _by_broadcast(rows, model)
+    else:
+        flat = _flat_files(model) if model.size <= (MAPPED if mapped is None else mapped) else None
+        scored = _by_join(rows, model) if flat is None else _by_files(rows, model, *flat)
     return scored.select(*(F.col("row")[c].alias(c) for c in own), *(F.col("s")[c].alias(c) for c in RESULT))
 
 
-def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
-    n, v, parts = model.n, model.v, model.parts
-    # what is sent is laid out first and then filled, a file of the table at a time, so that the driver holds it once
-    about = model.table.select("kind", "part", "n", F.octet_length("data").alias("size")).collect()
-    words, sizes = [0] * (parts + 1), [8] * parts
-    for r in about:
+def _layout(model: Model) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Where each segment's tokens and bits begin when all lie one behind the other, and the bytes of each segment of bits."""
+    words, sizes = [0] * (model.parts + 1), [8] * model.parts
+    for r in model.table.select("kind", "part", "n", F.octet_length("data").alias("size")).collect():
         if r.kind == WORDS:
             words[r.part + 1] = r.n
         else:
             sizes[r.part] = r.size
-    first, start = np.cumsum(words), np.concatenate([[0], np.cumsum(sizes)])
+    return np.cumsum(words), np.concatenate([[0], np.cumsum(sizes)]), sizes
+
+
+def _scored(texts: Iterator[pd.Series], n: int, v: int, parts: int, known: np.ndarray, counts: np.ndarray, bits: np.ndarray, sizes: list[int]) -> Iterator[pd.DataFrame]:
+    pairs, value = Filter(bits, sizes), np.concatenate([[0], SCALE])
+    for part in texts:
+        yield _scores(list(part), n, v, lambda u: looked_up(u, known, counts).astype(np.int64), lambda u: value[pairs.level(u, segment(u, parts).astype(np.int64))])
+
+
+def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
+    n, v, parts = model.n, model.v, model.parts
+    # what is sent is laid out first and then filled, a file of the table at a time, so that the driver holds it once
+    first, start, sizes = _layout(model)
     known, counts, bits = np.zeros(first[-1], np.uint64), np.zeros(first[-1], np.uint32 if n < 1 << 32 else np.int64), np.zeros(start[-1], np.uint8)
     for r in model.table.select("kind", "part", "keys", "data").toLocalIterator():
         if r.kind == WORDS:
@@ -226,16 +243,56 @@ def _by_broadcast(rows: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf(STRUCT)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, counts, bits, sizes = sent.value
-        pairs, value = Filter(bits, sizes), np.concatenate([[0], SCALE])
-        for part in texts:
-            yield _scores(list(part), n, v, lambda u: looked_up(u, known, counts).astype(np.int64), lambda u: value[pairs.level(u, segment(u, parts).astype(np.int64))])
+        yield from _scored(texts, n, v, parts, *sent.value)
+
+    return rows.withColumn("s", of("text"))
+
+
+def _flat_files(model: Model) -> tuple[str, list[int]] | None:
+    """The folder with the model as flat files (known, counts, bits), each segment written to its place by a task, and the sizes of segments; None if the shared folder can't be mapped."""
+    folder = new_folder(model.table.sparkSession, "language-model-flat")
+    folder = re.sub(r"^file:/+", "/", folder)
+    if "://" in folder or not folder.startswith("/"):
+        return None
+    first, start, sizes = _layout(model)
+    os.makedirs(folder)
+    for name, size in (("known", 8 * int(first[-1])), ("counts", 8 * int(first[-1])), ("bits", int(start[-1]))):
+        with open(f"{folder}/{name}", "wb") as file:
+            file.truncate(max(size, 8))
+
+    def put(name: str, at: int, data: bytes) -> None:
+        with open(f"{folder}/{name}", "r+b") as file:  # a repeated task writes the same again
+            file.seek(at)
+            file.write(data)
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                part, data = batch["part"][k].as_py(), batch["data"][k].as_py()
+                if batch["kind"][k].as_py() == WORDS:
+                    put("known", 8 * int(first[part]), batch["keys"][k].as_py())
+                    put("counts", 8 * int(first[part]), data)
+                else:
+                    put("bits", int(start[part]), data)
+            yield batch.select(["part"])
+
+    model.table.select("kind", "part", "keys", "data").mapInArrow(filled, "part long").count()
+    return folder, sizes
+
+
+def _by_files(rows: DataFrame, model: Model, folder: str, sizes: list[int]) -> DataFrame:
+    n, v, parts = model.n, model.v, model.parts
+
+    @F.pandas_udf(STRUCT)
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known, counts, bits = (np.asarray(np.memmap(f"{folder}/{name}", kind, "r")) for name, kind in (("known", np.uint64), ("counts", np.int64), ("bits", np.uint8)))
+        yield from _scored(texts, n, v, parts, known[:v], counts[:v], bits, sizes)
 
     return rows.withColumn("s", of("text"))
 
 
 def _by_join(rows: DataFrame, model: Model) -> DataFrame:
-    """For models of any size: each row is joined with the counts of its own tokens and pairs; the filter is asked segment by segment."""
+    """For models of any size, in any store: each row is joined with the counts of its own tokens and pairs; the filter is asked segment by segment."""
     at = unused(rows, "at")
     rows = kept(rows.withColumn(at, F.monotonically_increasing_id()), "scored")
     n, v, parts = model.n, model.v, model.parts

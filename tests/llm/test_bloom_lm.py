@@ -105,3 +105,18 @@ def test_probabilities_of_a_context_sum_to_one_at_most(spark):
     last = lambda w: math.log10((floor(two[w, b""]) + bloom_lm.MU * base[b""]) / (one[w] + bloom_lm.MU))
     off = [got[f"w3 {w}"] - (start(b"w3") + math.log10(p[w.encode()]) + last(w.encode())) for w in vocabulary]
     assert np.median(np.abs(off)) < 1e-9
+
+
+def test_a_model_beyond_a_broadcast_is_mapped_and_texts_are_not_shuffled(spark):
+    docs = documents(spark)
+    model = bloom_lm.train(docs.where("doc_id % 2 = 0"), range_bytes=200_000)
+    assert model.parts > 1
+    key = lambda df: sorted((str(r.text), r.n_known, r.base_score, r.score) for r in df.collect())
+    mapped, joined = bloom_lm.score(docs, model, broadcast=0), bloom_lm.score(docs.repartition(7), model, broadcast=0, mapped=0)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(mapped) and "Exchange" in plan(joined)
+    assert key(mapped) == key(bloom_lm.score(docs, model))
+    for a, b in zip(key(mapped), key(joined), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-12)
+    none = bloom_lm.train(empty(spark))
+    assert bloom_lm.score(docs, none, broadcast=-1).count() == docs.count() and bloom_lm.score(empty(spark), model, broadcast=0).count() == 0
