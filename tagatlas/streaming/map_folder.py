@@ -62,8 +62,9 @@ def touched_ways(old: Elements, now: Elements, changed: dict[str, DataFrame]) ->
 
 
 class MapFolder:
-    def __init__(self, spark: SparkSession, folder: str, max_zoom: int = 14) -> None:
-        self.spark, self.folder, self.max_zoom = spark, folder.rstrip("/"), max_zoom
+    def __init__(self, spark: SparkSession, folder: str, max_zoom: int = 14, beyond: bool = False) -> None:
+        """beyond: as in features.in_tiles."""
+        self.spark, self.folder, self.max_zoom, self.beyond = spark, folder.rstrip("/"), max_zoom, beyond
 
     # versions
 
@@ -112,7 +113,7 @@ class MapFolder:
     def _placed(self, of: Elements, only: DataFrame | None = None) -> DataFrame:
         ways = of.ways if only is None else of.ways.join(only, "way_id", "left_semi")
         shaped = geometry.with_geometry(ways, of.nodes)
-        return features.in_tiles(features.lines(routes.with_routes(shaped, of.relations)), self.max_zoom)
+        return features.in_tiles(features.lines(routes.with_routes(shaped, of.relations)), self.max_zoom, beyond=self.beyond)
 
     def build(self, nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> None:
         """Builds the map from all elements, as version 0; a map that was there before is no longer read once this one counts."""
@@ -157,7 +158,7 @@ class MapFolder:
 
     def compact(self) -> None:
         """Writes base and deltas as a new base in a folder of its own, which then is this map's folder."""
-        to = MapFolder(self.spark, f"{self.folder}/compacted-{self.version()}", self.max_zoom)
+        to = MapFolder(self.spark, f"{self.folder}/compacted-{self.version()}", self.max_zoom, self.beyond)
         for table, key in [*((t, [k]) for t, k in KEY.items()), ("index", ["way_id"]), ("lines", TILE)]:
             to._write(table, 0, None, self._read(table, key))
         to._count(0, max(self.batches(), default=None))

@@ -1,6 +1,10 @@
 """Merging of lines: small shapes by hand, and both steps against merging in one go."""
 
+import math
+
 import numpy as np
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tagatlas.operators import features, merge
@@ -88,3 +92,14 @@ def test_a_long_way_is_only_in_tiles_along_it(spark):
     assert len(rows) == len(set(rows)) and 64 < len(rows) < 300
     point = features.parking_points(spark.sql("SELECT 'node' AS feature_type, 1L AS osm_id, map('amenity', 'bicycle_parking') AS tags, array(named_struct('x', 10D, 'y', 10D)) AS geom, true AS is_point, false AS can_be_line, false AS can_be_polygon"))
     assert [r["z"] for r in features.in_tiles(point, 14).orderBy("z").collect()] == [12, 13, 14]
+
+
+def test_lines_beyond_the_map_stay_where_they_are(spark):
+    leg = lambda lat: [Row(x=10.0, y=lat), Row(x=10.001, y=lat)]
+    rows = spark.createDataFrame([(1, leg(86.0)), (2, leg(-86.0)), (3, leg(60.0))], "osm_id long, geom array<struct<x: double, y: double>>").withColumns({"kind": F.lit("line"), "min_zoom": F.lit(8), "buffer_px": F.lit(4.0)})
+    wy = lambda lat: (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2
+    got = {r.osm_id: r for r in features.in_tiles(rows, 8, beyond=True).collect()}
+    for i, lat in ((1, 86.0), (2, -86.0), (3, 60.0)):
+        assert got[i].y == math.floor(wy(lat) * 256) and got[i].geom[0].y == pytest.approx((wy(lat) * 256 - got[i].y) * 256, abs=1e-6)
+    assert got[1].y < 0 and got[2].y > 255
+    assert {r.osm_id: r.y for r in features.in_tiles(rows, 8).collect()} == {1: 0, 2: 255, 3: got[3].y}
