@@ -24,6 +24,7 @@ from contextlib import ExitStack
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -38,6 +39,7 @@ SCHEMAS = {
     "legacy": "archive string, directory bigint, z int, x bigint, y bigint, is_dir boolean, offset bigint, length bigint",
 }
 ENDING = ".pmtiles"
+ENTRY = ("z", "x", "y", "is_dir", "offset", "length")
 DEPTH, ROOT_ROOM, LEAF_ENTRIES = 4, fmt.FIRST_READ - fmt.LAYOUT.size, 4096
 READ_AHEAD = 8 << 20
 
@@ -111,23 +113,31 @@ def legacy_directories(entries: DataFrame) -> DataFrame:
 
     A directory is one blob, which readers hold whole, and so one row."""
 
-    @F.pandas_udf("binary")
-    def packed(groups: pd.Series) -> pd.Series:
-        return pd.Series([fmt.packed_legacy_directory([tuple(e[c] for c in ("z", "x", "y", "is_dir", "offset", "length")) for e in g]) for g in groups], dtype=object)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):  # one directory at a time becomes Python values, however many a batch has
+                own = batch["_e"][k].values
+                data = fmt.packed_legacy_directory(list(zip(*(own.field(c).to_pylist() for c in ENTRY))))
+                yield pa.RecordBatch.from_arrays([batch["directory"].slice(k, 1), pa.array([data], pa.binary())], ["directory", "data"])
 
-    rows = entries.groupBy("directory").agg(F.collect_list(F.struct("z", "x", "y", "is_dir", "offset", "length")).alias("_e"))
-    return rows.select("directory", packed("_e").alias("data"))
+    rows = entries.groupBy("directory").agg(F.collect_list(F.struct(*ENTRY)).alias("_e"))
+    return rows.mapInArrow(packed, f"directory {rows.schema['directory'].dataType.simpleString()}, data binary")
 
 
 def legacy_entries(directories: DataFrame) -> DataFrame:
     """Rows directory, place (from 0), z, x, y, is_dir, offset, length of directories (directory, data) of the old format."""
-
-    @F.pandas_udf("array<struct<z:int,x:bigint,y:bigint,is_dir:boolean,offset:bigint,length:bigint>>")
-    def read(blobs: pd.Series) -> pd.Series:
-        names = ("z", "x", "y", "is_dir", "offset", "length")
-        return pd.Series([[dict(zip(names, e)) for e in fmt.legacy_directory(bytes(b))] for b in blobs], dtype=object)
-
-    return directories.select("directory", F.posexplode(read("data")).alias("place", "_e")).select("directory", "place", "_e.*")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                found = fmt.legacy_directory(batch["data"][k].as_py())
+                own = batch["directory"].take(pa.array([k] * len(found), pa.int64()))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*found), kinds)] or [pa.array([], kind) for kind in kinds]
+                yield pa.RecordBatch.from_arrays([own, pa.array(range(len(found)), pa.int32()), *columns], ["directory", "place", *ENTRY])
+
+    kind = directories.schema["directory"].dataType.simpleString()
+    return directories.select("directory", "data").mapInArrow(read, f"directory {kind}, place int, z int, x bigint, y bigint, is_dir boolean, offset bigint, length bigint")
 
 
 def archive_name(path: str) -> str:

@@ -16,7 +16,7 @@ from tagatlas.plans import map_build
 from tagatlas.sources import archive_format as fmt
 from tagatlas.sources.files import Ranges, http_range
 from tagatlas.sources.osm_pbf import OsmPbf
-from tagatlas.sources.tile_archive import TileArchive, _directories, _Narrowed
+from tagatlas.sources.tile_archive import TileArchive, _directories, _Narrowed, legacy_directories, legacy_entries
 from tagatlas.sources.tile_archive import blob as tile_at
 
 
@@ -326,3 +326,13 @@ def test_leaves_out_of_range_are_not_read(spark_sources, tmp_path):
         assert sorted(r["tile_id"] for r in got.collect()) == ids[30_000:30_101]
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_old_directories_of_a_batch_are_read_one_at_a_time(spark):
+    rows = spark.range(3000).selectExpr("id % 300 AS directory", "CAST(14 AS INT) AS z", "id AS x", "id * 3 AS y", "id % 5 = 0 AS is_dir", "281474976000000 + id AS offset", "1 + id AS length").coalesce(1)
+    made = legacy_directories(rows)
+    back = legacy_entries(made)
+    assert back.drop("place").exceptAll(rows).count() == rows.exceptAll(back.drop("place")).count() == 0
+    # plain pandas functions turn all directories of a batch into Python values at once
+    for df in (made, back):
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
