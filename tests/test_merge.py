@@ -103,3 +103,13 @@ def test_lines_beyond_the_map_stay_where_they_are(spark):
         assert got[i].y == math.floor(wy(lat) * 256) and got[i].geom[0].y == pytest.approx((wy(lat) * 256 - got[i].y) * 256, abs=1e-6)
     assert got[1].y < 0 and got[2].y > 255
     assert {r.osm_id: r.y for r in features.in_tiles(rows, 8).collect()} == {1: 0, 2: 255, 3: got[3].y}
+
+
+def test_lines_kept_apart_by_their_own_ids_are_not_shuffled(spark):
+    line = [Row(x=1.0, y=1.0), Row(x=90.0, y=1.0)]
+    rows = spark.createDataFrame([(i, 1, line) for i in range(50)], "osm_id long, oneway int, geom array<struct<x: double, y: double>>").selectExpr("*", "14 AS z", "0L AS x", "0L AS y", "'cycling' AS layer")
+    seen = merge.merge_lines(rows, ["oneway"])
+    got = seen.collect()
+    assert len(got) == 50 and {(r.n_lines, len(r.geom)) for r in got} == {(1, 2)}
+    plan = merge.merge_lines(rows.where("oneway = 1"), ["oneway"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
