@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagatlas.operators import styles
+from tagatlas.plans import catalog
 
 
 @pytest.fixture()
@@ -65,6 +66,25 @@ def test_paint_by_hand(spark):
     assert all(got["background", 4][c] is None for c in ("color", "width", "dash", "label"))
 
 
+@pytest.mark.parametrize("layers", [styles.PAINT, styles.BASEMAP_PAINT], ids=["cycling", "basemap"])
+def test_whole_levels_are_painted_by_a_small_table(spark, layers):
+    """The same values as row by row, at all levels and at none; the rows themselves meet no interpolation."""
+    rows = spark.createDataFrame([(name, z, z is not None and z % 3 == 0) for name in [*layers, "unknown", None] for z in [*range(-3, 31), None]], "style_layer string, z int, selected boolean")
+    rows = rows.withColumns({"oneway": F.col("z") % 2, "name": F.lit("n"), "name:latin": F.lit("a"), "name:nonlatin": F.lit("b"), "ref": F.lit("r")})
+    got, want = styles.painted(rows, layers), styles.painted(rows.withColumn("z", F.col("z").cast("double")), layers)
+    assert got.columns == want.columns and got.count() == rows.count()
+    order = lambda df: sorted((tuple(r) for r in df.withColumn("z", F.col("z").cast("double")).collect()), key=repr)
+    assert order(got) == order(want)
+    plan = got.select("color", "width", "dash")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_features_are_spread_before_levels_multiply_them(spark):
+    plan = catalog.style_basemap_paint(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    spread = plan.index("hashpartitioning(k")  # plans are printed from the last step to the first
+    assert all(plan.index(step) < spread for step in ("Generate explode", "BroadcastHashJoin")) and "[0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17]" not in plan
+
+
 def test_every_layer_with_features_is_painted():
     for layers, paint in ((styles.CYCLING, styles.PAINT), (styles.BASEMAP + styles.WALKING, styles.BASEMAP_PAINT)):
         assert {layer[0] for layer in layers if layer[1]} == set(paint)
