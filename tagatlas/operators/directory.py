@@ -38,14 +38,24 @@ def runs(tiles: DataFrame, block_bits: int = 16) -> DataFrame:
 
     Runs are found within blocks of ids, so that neither a large archive nor one blob behind a third of all tiles lands in one
     task; then only the runs at the blocks' edges, two per block, are put together."""
+    return joined_runs(block_runs(tiles, block_bits), block_bits)
+
+
+def block_runs(tiles: DataFrame, block_bits: int = 16) -> DataFrame:
+    """The first step of runs(): runs that end where a block of ids ends."""
     block = F.expr(f"shiftright(tile_id, {block_bits})")
     w = Window.partitionBy("archive", "_block").orderBy("tile_id")
     same = (F.lag("tile_id").over(w) + 1 == F.col("tile_id")) & (F.lag("offset").over(w) == F.col("offset")) & (F.lag("length").over(w) == F.col("length"))
     rows = tiles.withColumn("_block", block).withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     found = rows.groupBy("archive", "_block", "_run", "offset", "length").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run_length"))
-    low, high = F.shiftleft("_block", block_bits), F.shiftleft(F.col("_block") + 1, block_bits)
-    edge = (F.col("tile_id") == low) | (F.col("tile_id") + F.col("run_length") == high)
+    return found.select("archive", "tile_id", "run_length", "offset", "length")
+
+
+def joined_runs(found: DataFrame, block_bits: int = 16) -> DataFrame:
+    """The second step: puts together the runs at the blocks' edges. It reads found twice, which may be a table where there are many runs."""
+    inside = F.lit((1 << block_bits) - 1)
+    edge = (F.col("tile_id").bitwiseAND(inside) == 0) | ((F.col("tile_id") + F.col("run_length")).bitwiseAND(inside) == 0)
     plain = ("archive", "tile_id", "run_length", "offset", "length")
     inner = found.where(~edge).select(*plain)
     v = Window.partitionBy("archive").orderBy("tile_id")

@@ -21,18 +21,21 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagatlas.operators.directory import runs
+from tagatlas.operators.directory import block_runs, joined_runs
 from tagatlas.sources import archive_format as fmt
 from tagatlas.sources.files import shared_folder, store
 from tagatlas.sources.tile_archive import LEAF_ENTRIES, ROOT_ROOM, level
 
 #: Tiles of one content from which on its place is broadcast; there are at most (all tiles / SHARED) such contents.
 SHARED = 100_000
+#: So many pointers to leaves fit into a root: those of more entries have larger leaves, which are then packed once and not until they are few enough.
+POINTERS = 2048
 PIECE = 8 << 20
 
 
@@ -55,7 +58,7 @@ def write_one(tiles: DataFrame, path: str, parts: int | None = None, **options:
     root_uri = path[: -len(name)] + work[len(folder) + 1 :]
     blobs = _table(by_range(contents, "first").select("first", "n", "hash", "data").mapInArrow(_data_segments(root_uri, compression == fmt.GZIP), "first long, n long, hash string, segment string, at long, length long"), "blobs")
     data = _segments(blobs)
-    entries = _table(runs(_places(named, blobs, data).withColumn("archive", F.lit(name))).select("tile_id", "run_length", "offset", "length"), "entries")
+    entries = joined_runs(_table(block_runs(_places(named, blobs, data).withColumn("archive", F.lit(name))), "runs")).select("tile_id", "run_length", "offset", "length")
     count = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("run_length"), F.lit(0)).alias("tiles"), F.min("tile_id").alias("low"), F.max(F.col("tile_id") + F.col("run_length") - 1).alias("high")).first()
 
     root, leaves = None, []
@@ -65,6 +68,8 @@ def write_one(tiles: DataFrame, path: str, parts: int | None = None, **options:
         root = gzip.compress(fmt.packed_directory(rows), mtime=0)
         root = root if len(root) <= ROOT_ROOM else None
     size = LEAF_ENTRIES
+    while count.n > POINTERS * size:
+        size *= 2
     while root is None:
         packed = _table(by_range(entries, "tile_id").mapInArrow(_leaf_segments(root_uri, size), "first long, last long, segment string, at long, length long"), "leaves")
         leaves = _segments(packed)
@@ -145,23 +150,25 @@ def _leaf_segments(folder: str, size: int):
     """Entries in order, packed as leaves of at most size entries; a range ends with a shorter one."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, held = _Segment(folder), []
+        segment, held = _Segment(folder), np.zeros((4, 0), np.int64)
 
-        def leaf(entries: list[tuple]) -> tuple:
-            _ascending([(e[0], e[0] + e[1] - 1) for e in entries])
-            packed = gzip.compress(fmt.packed_directory(entries), mtime=0)
-            return entries[0][0], entries[-1][0] + entries[-1][1] - 1, segment.name, segment.append(packed), len(packed)
+        def leaf(entries: np.ndarray) -> tuple:
+            firsts, lasts = entries[0], entries[0] + entries[1] - 1
+            for k in np.flatnonzero(firsts[1:] <= lasts[:-1])[:1]:
+                _ascending([(firsts[k], lasts[k]), (firsts[k + 1], lasts[k + 1])])
+            packed = gzip.compress(fmt.packed_columns(*entries), mtime=0)
+            return int(firsts[0]), int(lasts[-1]), segment.name, segment.append(packed), len(packed)
 
         names = ["first", "last", "segment", "at", "length"]
         rows = lambda found: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names)
         for batch in batches:
-            held += zip(*(batch[c].to_pylist() for c in ("tile_id", "run_length", "offset", "length")))
-            full = len(held) // size * size
-            found = [leaf(held[k : k + size]) for k in range(0, full, size)]
-            held = held[full:]
+            held = np.concatenate([held, [batch[c].to_numpy(zero_copy_only=False) for c in ("tile_id", "run_length", "offset", "length")]], axis=1)
+            full = held.shape[1] // size * size
+            found = [leaf(held[:, k : k + size]) for k in range(0, full, size)]
+            held = held[:, full:]
             if found:
                 yield rows(found)
-        if held:
+        if held.shape[1]:
             yield rows([leaf(held)])
         segment.close()
 
