@@ -10,8 +10,8 @@
 With option("pushdown", "true"), and spark.sql.python.filterPushdown.enabled set, filters on tile_id leave out leaves without such ids.
 Reads are of one snapshot: the planner pins what each file is known by, and a task that meets another file fails (files.steady reads anew). With
 option("pins", json.dumps(pins(path))), a read is held to a snapshot taken earlier. mode("overwrite") replaces all archives of a folder in one step.
-A path is an archive or a folder of them. The planner reads each archive's first bytes; tasks read one leaf directory each and the
-ranges of bytes that it lists. A task writes one archive, of its range of ids, so no blob passes the driver and a lost task is written again.
+A path is an archive or a folder of them. The planner reads each archive's first bytes; tasks read one leaf directory each (some, where there are over 400) and
+the ranges of bytes that it lists. A task writes one archive, of its range of ids, so no blob passes the driver and a lost task is written again.
 """
 
 from __future__ import annotations
@@ -41,7 +41,9 @@ SCHEMAS = {
 ENDING = ".pmtiles"
 ENTRY = ("z", "x", "y", "is_dir", "offset", "length")
 DEPTH, ROOT_ROOM, LEAF_ENTRIES = 4, fmt.FIRST_READ - fmt.LAYOUT.size, 4096
-READ_AHEAD = 8 << 20
+READ_AHEAD, ROWS = 8 << 20, 10_000
+#: Tasks in which an archive's leaves are read, at most; a task takes longer to begin than a leaf to read.
+PARTS = 400
 
 
 class TileArchive(DataSource):
@@ -59,7 +61,7 @@ class TileArchive(DataSource):
         return SCHEMAS[self._what()]
 
     def reader(self, schema) -> DataSourceReader:
-        kind = _Narrowed if self.options.get("pushdown", "false").lower() == "true" else _Reader
+        kind = _Narrowed if self.options.get("pushdown", "false").lower() == "true" else _Batches
         return kind(self._what(), self.options["path"], json.loads(self.options.get("pins", "{}")))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
@@ -68,12 +70,10 @@ class TileArchive(DataSource):
 
 @dataclass
 class Part(InputPartition):
-    """A directory of an archive: where it lies in the file (None: the root), and its place in the leaf section."""
+    """Directories of an archive: offset and length of neighbouring leaves in the leaf section (None: the root)."""
 
     path: str
-    at: int | None
-    length: int
-    directory: int | None
+    leaves: list[tuple[int, int]] | None
     snapshot: str
 
 
@@ -155,35 +155,52 @@ class _Reader(DataSourceReader):
             known = snapshot(path)
             if self.pinned.get(archive_name(path), known) != known:
                 raise Changed(path)
-            out.append(Part(path, None, 0, None, known))
+            out.append(Part(path, None, known))
             if self.what in ("tiles", "entries"):
                 with Ranges(path, known) as file:
-                    head, root = _root(file)
+                    head, columns = _root(file)
+                    root = list(zip(*(c.tolist() for c in columns)))
                     # a leaf holds ids from its own first up to the next entry's
                     ends = [e[0] for e in root[1:]] + [1 << 62]
-                    out += [Part(path, head["leaf_offset"] + offset, length, offset, known) for (first, run, offset, length), end in zip(root, ends) if run == 0 and first <= self.high and end > self.low]
-        return out or [Part("", None, 0, None, "")]
+                    leaves = [(offset, length) for (first, run, offset, length), end in zip(root, ends) if run == 0 and first <= self.high and end > self.low]
+                    each = -(-len(leaves) // PARTS) or 1
+                    out += [Part(path, leaves[k : k + each], known) for k in range(0, len(leaves), each)]
+        return out or [Part("", None, "")]
 
     def read(self, part: Part) -> Iterator[tuple]:
+        if self.what in ("tiles", "entries"):
+            for batch in self.batches(part):
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+        elif part.path:
+            with Ranges(part.path, part.snapshot) as file:
+                if self.what == "headers":
+                    yield _header_row(archive_name(part.path), file)
+                else:
+                    yield from _legacy_rows(archive_name(part.path), file)
+
+    def batches(self, part: Part) -> Iterator[pa.RecordBatch]:
+        """Tiles or entries of a part; a directory of entries is a batch, tiles are in batches of up to ROWS rows and about READ_AHEAD bytes."""
         if not part.path:
             return
         name = archive_name(part.path)
         with Ranges(part.path, part.snapshot) as file:
-            if self.what == "headers":
-                yield _header_row(name, file)
-            elif self.what == "legacy":
-                yield from _legacy_rows(name, file)
-            else:
-                head, root = _root(file)
-                if self.what == "entries":
-                    for directory, entries in _tree(file, head, part, root, pointers=True):
-                        yield from ((name, directory, *e) for e in entries)
-                else:
-                    for _, entries in _tree(file, head, part, root, pointers=False):
-                        yield from _tiles(name, file, head, entries)
+            for head, directory, entries in _tree(file, part, pointers=self.what == "entries"):
+                n = len(entries[0])
+                if self.what == "entries" and n:
+                    yield pa.RecordBatch.from_arrays([pa.repeat(name, n), pa.repeat(pa.scalar(directory, pa.int64()), n), *map(pa.array, entries)], ["archive", "directory", "tile_id", "run_length", "offset", "length"])
+                elif n:
+                    for ids, tiles in _tiles(file, head, entries):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(name, len(ids)), pa.array(ids, pa.int64()), pa.array(tiles, pa.binary())], ["archive", "tile_id", "data"])
+
 
+class _Batches(_Reader):
+    """The reader as Spark takes it: whole batches where there are many rows."""
 
-class _Narrowed(_Reader):
+    def read(self, part: Part) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        yield from self.batches(part) if self.what in ("tiles", "entries") else super().read(part)
+
+
+class _Narrowed(_Batches):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Narrows the ids sought, so that leaves without any of them are no parts (which needs spark.sql.python.filterPushdown.enabled).
 
@@ -202,44 +219,67 @@ class _Narrowed(_Reader):
             yield f
 
 
-def _root(file: Ranges) -> tuple[dict, list]:
+def _head(file: Ranges) -> tuple[dict, bytes]:
     first = file.read(0, fmt.FIRST_READ)
     head = fmt.header(first)
     if head["version"] != 3:
         raise ValueError("archives of version 1 and 2 are read with what = legacy")
+    return head, first
+
+
+def _root(file: Ranges) -> tuple[dict, tuple]:
+    """The header, and the root's tile_id, run_length, offset and length."""
+    head, first = _head(file)
     at, n = head["root_offset"], head["root_length"]
     data = first[at : at + n] if at + n <= len(first) else file.read(at, n)
-    return head, fmt.directory(fmt.unpacked(data, head["internal_compression"]))
+    return head, fmt.directory_columns(fmt.unpacked(data, head["internal_compression"]))
 
 
-def _tree(file: Ranges, head: dict, part: Part, root: list, pointers: bool) -> Iterator[tuple[int | None, list]]:
-    """The part's own directory and, for a leaf, those below it; the root's leaves are parts of their own."""
-    if part.at is None:
-        yield None, [e for e in root if pointers or e[1] > 0]
+def _tree(file: Ranges, part: Part, pointers: bool) -> Iterator[tuple[dict, int | None, tuple]]:
+    """The header with the part's own directory and, for a leaf, those below it; the root's leaves are parts of their own."""
+    kept = lambda entries: entries if pointers else tuple(c[entries[1] > 0] for c in entries)
+    if part.leaves is None:
+        head, root = _root(file)
+        yield head, None, kept(root)
         return
-    todo = [(part.directory, part.length, 1)]
+    head, _ = _head(file)
+    todo = [(offset, length, 1) for offset, length in reversed(part.leaves)]
     while todo:
         offset, length, depth = todo.pop()
         if depth >= DEPTH:
             raise ValueError("tile directories are nested too deeply")
-        entries = fmt.directory(fmt.unpacked(file.read(head["leaf_offset"] + offset, length), head["internal_compression"]))
-        yield offset, [e for e in entries if pointers or e[1] > 0]
-        todo += [(e[2], e[3], depth + 1) for e in entries if e[1] == 0]
+        entries = fmt.directory_columns(fmt.unpacked(file.read(head["leaf_offset"] + offset, length), head["internal_compression"]))
+        yield head, offset, kept(entries)
+        below = entries[1] == 0
+        todo += [(at, n, depth + 1) for at, n in zip(entries[2][below].tolist(), entries[3][below].tolist())]
 
 
-def _tiles(name: str, file: Ranges, head: dict, entries: list) -> Iterator[tuple]:
-    """Tiles of a directory; neighbouring places are read together, up to READ_AHEAD bytes."""
-    k = 0
+def _tiles(file: Ranges, head: dict, columns: tuple) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and tiles of a directory, some at a time. Neighbouring places are read together, up to READ_AHEAD bytes; if all places are so close, all at once."""
+    entries, k = list(zip(*(c.tolist() for c in columns))), 0
+    low, high = int(columns[2].min()), int((columns[2] + columns[3]).max())
+    ids, tiles, held = [], [], 0
     while k < len(entries):
         start, end, j = entries[k][2], entries[k][2] + entries[k][3], k + 1
+        if high - low <= READ_AHEAD:
+            start, end, j = low, high, len(entries)
         while j < len(entries) and start <= entries[j][2] <= end and entries[j][2] + entries[j][3] - start <= READ_AHEAD:
             end = max(end, entries[j][2] + entries[j][3])
             j += 1
         data = file.read(head["data_offset"] + start, end - start)
         for tile_id, run, offset, length in entries[k:j]:
-            tile = fmt.unpacked(data[offset - start : offset - start + length], head["tile_compression"])
-            yield from ((name, tile_id + i, tile) for i in range(run))
+            tile, last = fmt.unpacked(data[offset - start : offset - start + length], head["tile_compression"]), tile_id + run
+            while tile_id < last:
+                n = min(last - tile_id, ROWS - len(ids), max(1, (READ_AHEAD - held) // max(1, len(tile))))
+                ids.extend(range(tile_id, tile_id + n))
+                tiles.extend([tile] * n)
+                tile_id, held = tile_id + n, held + n * len(tile)
+                if len(ids) >= ROWS or held >= READ_AHEAD:
+                    yield ids, tiles
+                    ids, tiles, held = [], [], 0
         k = j
+    if ids:
+        yield ids, tiles
 
 
 def _header_row(name: str, file: Ranges) -> tuple:

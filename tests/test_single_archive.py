@@ -1,10 +1,12 @@
 import json
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tagatlas.sources import archive_format as fmt
-from tagatlas.sources import single_archive
+from tagatlas.sources import single_archive, tile_archive
 from tagatlas.sources.files import Changed, current, make_current, remove_unlisted, snapshot, steady
 from tagatlas.sources.single_archive import write_one
 from tagatlas.sources.tile_archive import TileArchive, _Reader, blob, pins
@@ -53,6 +55,58 @@ def test_one_file_from_many_tasks(spark, tmp_path, monkeypatch, shared, local):
     assert pairs(read(spark, path)) == pairs(tiles.where("tile_id % 2 = 0"))
 
 
+def test_many_entries_are_packed_once_and_read_by_batches(spark, tmp_path, monkeypatch):
+    """Leaves are as large as the root asks for from the start; runs are a table, not made twice; tasks give Spark whole batches of a few leaves."""
+    monkeypatch.setattr(single_archive, "LEAF_ENTRIES", 16)
+    monkeypatch.setattr(tile_archive, "PARTS", 7)
+    made_tables, table = [], single_archive._table
+    monkeypatch.setattr(single_archive, "_table", lambda df, what: made_tables.append(what) or table(df, what))
+    tiles, path = made(spark, 100_000), str(tmp_path / "a.pmtiles")
+    write_one(tiles, path, parts=4, tile_compression=1)
+    assert made_tables == ["tiles", "blobs", "runs", "leaves"]
+    entries = read(spark, path, "entries").collect()
+    leaves = {r.offset for r in entries if r.directory is None}
+    assert 700 < len(leaves) <= single_archive.POINTERS + 4 and {r.directory for r in entries} == leaves | {None}
+    reader = TileArchive({"path": path, "what": "tiles"}).reader(None)
+    parts = reader.partitions()
+    assert len(parts) <= 8 and sum(len(p.leaves or []) for p in parts) == len(leaves)
+    batches = [b for p in parts for b in reader.read(p)]
+    assert all(isinstance(b, pa.RecordBatch) and b.num_rows <= tile_archive.ROWS for b in batches) and sum(b.num_rows for b in batches) == 100_000
+    assert pairs(read(spark, path)) == pairs(tiles)
+
+
+def test_a_run_of_large_tiles_comes_in_bounded_batches(spark, tmp_path):
+    rows = spark.range(30).selectExpr("id + 5 AS tile_id", "CAST(repeat('x', 1000000) AS BINARY) AS data")
+    write_one(rows, path := str(tmp_path / "a.pmtiles"))
+    batches = [b for p in _Reader("tiles", path).partitions() for b in _Reader("tiles", path).batches(p)]
+    assert max(b.nbytes for b in batches) <= tile_archive.READ_AHEAD + 1_100_000
+    assert pairs(read(spark, path)) == [(k, b"x" * 1_000_000) for k in range(5, 35)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_directories_by_columns(n):
+    """The same bytes as number by number."""
+    rnd = random.Random(n)
+    at, entries = 0, []
+    for _ in range(n):
+        at += rnd.choice([1, 3, 200, 2**40 // (n + 1)])
+        run, length = rnd.choice([0, 1, 1, 130]), rnd.choice([1, 127, 128, 2**31])
+        offset = entries[-1][2] + entries[-1][3] if entries and rnd.random() < 0.6 else rnd.choice([0, 126, 127, 2**45])
+        entries.append((at, run, offset, length))
+        at += run
+    follows = [i > 0 and e[2] == entries[i - 1][2] + entries[i - 1][3] for i, e in enumerate(entries)]
+    ids = [e[0] for e in entries]
+    columns = [[n], [b - a for a, b in zip([0, *ids], ids)], [e[1] for e in entries], [e[3] for e in entries], [0 if f else e[2] + 1 for f, e in zip(follows, entries)]]
+    data = b"".join(fmt.varint(v) for c in columns for v in c)
+    assert fmt.packed_directory(entries) == data and fmt.directory(data) == entries and fmt._numbers(data).tolist() == fmt.varints(data)
+    if n:
+        for wrong in (data[:-1], data + b"\x80", b"\x80" * 11 + data):
+            with pytest.raises(ValueError):
+                fmt.directory(wrong)
+        with pytest.raises(ValueError):
+            fmt.packed_directory([(5, 1, 0, 1), (4, 1, 0, 1)])
+
+
 def test_small_empty_and_wrong(spark, tmp_path):
     path = str(tmp_path / "a.pmtiles")
     rows = spark.createDataFrame([(5, b"x"), (6, b"x"), (7, b""), (0, b"y"), (None, b"z"), (9, None)], "tile_id long, data binary")
