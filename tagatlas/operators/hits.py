@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tagatlas.functions.tiles import world_xy
 from tagatlas.operators.features import TILE_PX
 
-CELL_PX = 64
+#: Pixels of a cell; and the level of the map whose tiles are the blocks of near().
+CELL_PX, BLOCK_LEVEL = 64, 10
 FEATURE = ("layer_ord", "style_layer", "feature_type", "osm_id")
 
 
@@ -24,6 +25,25 @@ def placed(rows: DataFrame, geom: str = "geom") -> DataFrame:
     return rows.withColumn(geom, F.transform(world, lambda p: F.struct((p.x * side).alias("x"), (p.y * side).alias("y"))))
 
 
+def near(rows: DataFrame, clicks: DataFrame, z: int, reach: float, geom: str = "geom") -> DataFrame:
+    """rows with geom, points of lon x and lat y, without most of those that no click (lon, lat) can be near: for use before rows are made into what is drawn.
+
+    reach is the greatest, in pixels at the lowest level z. A row goes if its box, reach included, lies in one block of the map and no click does; rows
+    over several blocks stay. There are at most 4 ** BLOCK_LEVEL blocks, which are broadcast."""
+    n = 1 << BLOCK_LEVEL
+    margin = (reach + 1) / (TILE_PX << z)  # and a pixel, for what rounding does
+    block = lambda v: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v * n).cast("bigint")))
+    at = clicks.where("lon is not null and lat is not null").select(world_xy(F.col("lon"), F.col("lat")).alias("_p"))
+    asked = at.select((block(F.col("_p.x")) * n + block(F.col("_p.y"))).alias("_asked")).distinct()
+    side = lambda c, of: of(F.transform(geom, lambda p: p[c]))
+    corners = rows.withColumn("_a", world_xy(side("x", F.array_min), side("y", F.array_max))).withColumn("_z", world_xy(side("x", F.array_max), side("y", F.array_min)))
+    first, last = ([block(F.col(f"{end}.{c}") + d) for c in "xy"] for end, d in (("_a", -margin), ("_z", margin)))
+    number = ~F.isnan("_a.x") & ~F.isnan("_a.y") & ~F.isnan("_z.x") & ~F.isnan("_z.y")  # no number is in no block
+    placed = corners.withColumn("_block", F.when(number & (first[0] == last[0]) & (first[1] == last[1]), first[0] * n + first[1]))
+    met = placed.join(F.broadcast(asked), F.col("_block") == F.col("_asked"), "left").where("_asked is not null or _block is null")
+    return met.select(*rows.columns)
+
+
 def cells(drawn: DataFrame, cell_px: int = CELL_PX) -> DataFrame:
     """drawn (z, geom in pixels, reach in pixels, ...) once for each leg and cell that the leg, reach included, may touch: adds ax, ay, bx, by, cx, cy.
 
