@@ -17,11 +17,15 @@ def with_geometry(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Unknown nodes are left out; a way of which none is known has an empty geom. The join is by node, so a node that many ways pass is
     a key of as many rows as there are ways through it, which stays small; the lists gathered are of one way each."""
+    empty = F.expr("cast(array() as array<struct<x:double,y:double>>)")
+    return ways.drop("geom").join(shapes(ways, nodes), "way_id", "left").withColumn("geom", F.coalesce("geom", empty))
+
+
+def shapes(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(way_id, geom) of ways of which a node is known."""
     legs = ways.select("way_id", F.posexplode("nodes").alias("_i", "node_id"))
     placed = legs.join(nodes.select("node_id", "lon", "lat"), "node_id")
-    shapes = placed.groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "lon", "lat"))), lambda p: F.struct(p.lon.alias("x"), p.lat.alias("y"))).alias("geom"))
-    empty = F.expr("cast(array() as array<struct<x:double,y:double>>)")
-    return ways.drop("geom").join(shapes, "way_id", "left").withColumn("geom", F.coalesce("geom", empty))
+    return placed.groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "lon", "lat"))), lambda p: F.struct(p.lon.alias("x"), p.lat.alias("y"))).alias("geom"))
 
 
 def closed(nodes: Column) -> Column:

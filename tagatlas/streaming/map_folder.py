@@ -7,9 +7,10 @@
     follow(folder, "s3://bucket/changes", "s3://bucket/checkpoint")   # the same for each file of changes that comes
 
 What depends on what is found by semi-joins: a changed node reaches the ways through it, a changed relation its members, and a way the tiles
-where it was and where it is now (the index: tile and way). Those tiles are merged from all lines that they have.
+where it was and where it is now (the index: tile and way). Those tiles are merged from all lines that they have, whose shapes
+(classified, with routes and places) are kept, so that only ways that were reached are joined to nodes and routes anew.
 
-Every table (elements, index, merged lines) is a base and deltas: a delta has a version, the keys that it replaces and their rows. Readers
+Every table (elements, shapes, index, merged lines) is a base and deltas: a delta has a version, the keys that it replaces and their rows. Readers
 take of each key the rows of the last version that replaced it. A version counts once the folder's list names it, which is
 swapped in one step; so readers see all of a change set or nothing of it, and an update that was lost is written again under its number.
 """
@@ -53,7 +54,8 @@ def last_changes(changes: DataFrame, table: str) -> DataFrame:
 
 def touched_ways(old: Elements, now: Elements, changed: dict[str, DataFrame]) -> DataFrame:
     """(way_id) of ways that a change reaches, by themselves, by a node or by a relation they are or were a member of."""
-    through = old.ways.unionByName(now.ways, allowMissingColumns=True).select("way_id", F.explode("nodes").alias("node_id"))
+    # a way that passes other nodes than before is among the changed ones
+    through = old.ways.select("way_id", F.explode("nodes").alias("node_id"))
     by_node = through.join(changed["nodes"].select("node_id"), "node_id", "left_semi").select("way_id")
     groups = old.relations.select("relation_id", "members").unionByName(now.relations.select("relation_id", "members"))
     groups = groups.join(changed["relations"].select("relation_id"), "relation_id", "left_semi")
@@ -110,19 +112,28 @@ class MapFolder:
 
     # work
 
-    def _placed(self, of: Elements, only: DataFrame | None = None) -> DataFrame:
+    def _shaped(self, of: Elements, only: DataFrame | None = None) -> DataFrame:
+        """Ways that are lines of the map, with all that they are drawn by."""
         ways = of.ways if only is None else of.ways.join(only, "way_id", "left_semi")
-        shaped = geometry.with_geometry(ways, of.nodes)
-        return features.in_tiles(features.lines(routes.with_routes(shaped, of.relations)), self.max_zoom, beyond=self.beyond)
+        # attributes are less to shuffle than tags, and nodes go their own way to their places
+        lines = features.lines(ways).withColumnRenamed("osm_id", "way_id").join(geometry.shapes(ways, of.nodes), "way_id")
+        return routes.with_routes(lines, of.relations).select("way_id", "layer", *LOOK, "min_zoom", "buffer_px", "geom")
+
+    def _merged(self, shapes: DataFrame, only: DataFrame | None = None) -> DataFrame:
+        return merge.merged(shapes.withColumnRenamed("way_id", "osm_id"), LOOK, self.max_zoom, beyond=self.beyond, only=only)
+
+    def _places(self, shapes: DataFrame) -> DataFrame:
+        return merge.tiles_of(shapes.withColumnRenamed("way_id", "osm_id"), self.max_zoom, beyond=self.beyond).withColumnRenamed("osm_id", "way_id")
 
     def build(self, nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> None:
         """Builds the map from all elements, as version 0; a map that was there before is no longer read once this one counts."""
         for table, rows in zip(KEY, (nodes, ways, relations)):
             self._write(table, 0, None, rows.select(KEY[table], *KINDS[table][1]))
         own = Elements(*(self._read(t, [KEY[t]], 0) for t in KEY))
-        placed = self._placed(own)
-        self._write("index", 0, None, placed.select(*TILE, F.col("osm_id").alias("way_id")).distinct())
-        self._write("lines", 0, None, merge.merge_lines(placed, LOOK))
+        self._write("shapes", 0, None, self._shaped(own))
+        shapes = self._read("shapes", ["way_id"], 0)
+        self._write("index", 0, None, self._places(shapes))
+        self._write("lines", 0, None, self._merged(shapes))
         self._count(0, None)
 
     def update(self, changes: DataFrame, batch: int | None = None) -> int:
@@ -136,30 +147,30 @@ class MapFolder:
             raise ValueError(f"{self.folder}: nothing built yet")
         version, old, changed = before + 1, self.elements(), {}
         for table, key in KEY.items():
-            rows = last_changes(changes, table)
+            self._write(f"changed-{table}", version, None, last_changes(changes, table))
+            rows = self.spark.read.parquet(f"{self.folder}/changed-{table}/rows/version={version}")
             self._write(table, version, rows.select(key), rows.where("op <> 'delete'").drop("op"))
             changed[table] = self.spark.read.parquet(f"{self.folder}/{table}/keys/version={version}")
         now = self.elements(version)
         self._write("reached", version, None, touched_ways(old, now, changed))
         ways = self.spark.read.parquet(f"{self.folder}/reached/rows/version={version}")
-        index = self._read("index", ["way_id"], before)
-        places = self._placed(now, ways).select(*TILE, F.col("osm_id").alias("way_id")).distinct()
-        self._write("index", version, ways, places)
+        self._write("shapes", version, ways, self._shaped(now, ways))
+        self._write("index", version, ways, self._places(self.spark.read.parquet(f"{self.folder}/shapes/rows/version={version}")))
         places = self.spark.read.parquet(f"{self.folder}/index/rows/version={version}")
-        was = index.join(ways, "way_id", "left_semi")
+        was = self._places(self._read("shapes", ["way_id"], before).join(ways, "way_id", "left_semi"))
         self._write("dirty", version, None, was.select(*TILE).unionByName(places.select(*TILE)).distinct())
         dirty = self.spark.read.parquet(f"{self.folder}/dirty/rows/version={version}")
-        # all lines that those tiles have now
-        there = self._read("index", ["way_id"], version).join(dirty, TILE, "left_semi").select("way_id").distinct()
-        placed = self._placed(now, there).join(dirty, TILE, "left_semi")
-        self._write("lines", version, dirty, merge.merge_lines(placed, LOOK))
+        # all lines that those tiles have now: what is in a tile is in the tile above it too, so the lowest level says which
+        lowest = F.col("z") == features.LINE_ZOOM
+        there = self._read("index", ["way_id"], version).where(lowest).join(dirty.where(lowest), TILE, "left_semi").select("way_id").distinct()
+        self._write("lines", version, dirty, self._merged(self._read("shapes", ["way_id"], version).join(there, "way_id", "left_semi"), dirty))
         self._count(version, batch)
         return version
 
     def compact(self) -> None:
         """Writes base and deltas as a new base in a folder of its own, which then is this map's folder."""
         to = MapFolder(self.spark, f"{self.folder}/compacted-{self.version()}", self.max_zoom, self.beyond)
-        for table, key in [*((t, [k]) for t, k in KEY.items()), ("index", ["way_id"]), ("lines", TILE)]:
+        for table, key in [*((t, [k]) for t, k in KEY.items()), ("shapes", ["way_id"]), ("index", ["way_id"]), ("lines", TILE)]:
             to._write(table, 0, None, self._read(table, key))
         to._count(0, max(self.batches(), default=None))
         self.folder = to.folder

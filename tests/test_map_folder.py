@@ -92,3 +92,18 @@ def test_lost_and_repeated_updates(spark, tmp_path, monkeypatch):
     full = MapFolder(spark, str(tmp_path / "full"), 7)
     full.build(*frames(spark, state))
     assert rows(folder.lines()) == rows(full.lines()) and current(folder.folder) == ["batch-0", "version-1"]
+
+
+def test_an_update_shapes_only_what_was_reached(spark, tmp_path):
+    rnd = random.Random(6)
+    state = town(rnd)
+    folder, full = MapFolder(spark, str(tmp_path / "map"), 9), MapFolder(spark, str(tmp_path / "full"), 9)
+    folder.build(*frames(spark, state))
+    folder.update(spark.createDataFrame(changed(rnd, state, 1), CHANGES))
+    full.build(*frames(spark, state))
+    reached = spark.read.parquet(f"{folder.folder}/reached/rows/version=1")
+    shaped = spark.read.parquet(f"{folder.folder}/shapes/rows/version=1")
+    assert 0 < shaped.count() < full._read("shapes", ["way_id"]).count() and shaped.join(reached, "way_id", "left_anti").count() == 0
+    for table in ("shapes", "index"):
+        want = full._read(table, ["way_id"])
+        assert sorted(map(str, folder._read(table, ["way_id"]).select(want.columns).collect())) == sorted(map(str, want.collect()))
