@@ -3,12 +3,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tagatlas.operators import features, merge
-from tagatlas.plans import views
+from tagatlas.plans import catalog, map_build, views
 
 
 def shape(lines):
@@ -113,3 +114,62 @@ def test_lines_kept_apart_by_their_own_ids_are_not_shuffled(spark):
     assert len(got) == 50 and {(r.n_lines, len(r.geom)) for r in got} == {(1, 2)}
     plan = merge.merge_lines(rows.where("oneway = 1"), ["oneway"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan
+
+
+def net(spark):
+    """Ways over a grid of places, some long, some many times the same, some past the northern edge; names and looks differ."""
+    rnd, rows = np.random.default_rng(6), []
+    for k in range(260):
+        north, p = (85.0, 0.05) if k % 9 == 0 else (49.2, 0.01), rnd.integers(0, 12, 2)
+        points = [p]
+        for _ in range(int(rnd.integers(1, 4))):
+            points.append(points[-1] + [(0, 1), (1, 0), (0, -1), (-1, 0), (3, 2)][int(rnd.integers(5))])
+        shape = [Row(x=-123.1 + float(x) * 0.01, y=north[0] + float(y) * north[1]) for x, y in points]
+        tags = {"highway": "cycleway"} | ({"oneway": "yes"} if k % 13 == 0 else {}) | ({"name": f"N{k % 2}"} if k % 3 else {}) | ({"foot": "designated", "segregated": "no"} if k % 4 == 0 else {})
+        rows += [(len(rows) + i, tags | ({"name": str(i % 2)} if k % 10 == 1 else {}), shape) for i in range((1, 1, 1, 2, 3, 7)[k % 6])]
+    rows += [(10_000, {"highway": "cycleway"}, [Row(x=1.0, y=1.0)]), (10_001, {"highway": "cycleway"}, []), (10_002, {"highway": "cycleway"}, [Row(x=179.99, y=1.0), Row(x=180.5, y=1.0)])]
+    return features.lines(spark.createDataFrame(rows, "way_id long, tags map<string,string>, geom array<struct<x: double, y: double>>"))
+
+
+def drawn(df):
+    def shape(g):
+        p = [(round(v.x, 6), round(v.y, 6)) for v in g]
+        return () if p[0] == p[-1] else min(p, p[::-1])  # a ring may begin anywhere
+
+    return sorted((str((r.z, r.x, r.y, *[r[c] for c in map_build.LOOK], r.n_lines)), str(shape(r.geom))) for r in df.collect())
+
+
+@pytest.mark.parametrize("beyond", [False, True])
+def test_merging_before_tiles_gives_what_merging_in_tiles_gives(spark, beyond):
+    rows = net(spark)
+    placed = features.in_tiles(rows, 14, beyond=beyond).cache()
+    want = merge.merge_lines(placed, map_build.LOOK)
+    got = drawn(merge.merged(rows, map_build.LOOK, 14, beyond=beyond))
+    assert got == drawn(want) and len(got) > 5000
+    only = placed.where("x % 2 = 0").select("z", "x", "y").distinct()
+    assert drawn(merge.merged(rows, map_build.LOOK, 14, beyond=beyond, only=only)) == drawn(want.join(only, ["z", "x", "y"], "left_semi"))
+    tiles = merge.tiles_of(rows, 14, beyond=beyond).collect()
+    assert sorted(map(tuple, tiles)) == sorted(map(tuple, placed.where("size(geom) > 1").select("z", "x", "y", "osm_id").collect()))
+
+
+def test_pieces_of_a_batch_end_where_a_key_ends():
+    keys = [[1, 1, 2], [2], [2, 2], [2, 3, 3], [], [3, 4], [5]]
+    got = list(merge._runs((pa.RecordBatch.from_pydict({"_h": pa.array(k, pa.int64())}) for k in keys), "_h"))
+    assert sum((b["_h"].to_pylist() for b in got), []) == sum(keys, [])
+    few = merge.AT_ONCE
+    try:
+        merge.AT_ONCE = 2
+        got = [b["_h"].to_pylist() for b in merge._runs((pa.RecordBatch.from_pydict({"_h": pa.array(k, pa.int64())}) for k in keys), "_h")]
+    finally:
+        merge.AT_ONCE = few
+    assert sum(got, []) == sum(keys, []) and len(got) > 2 and all(a[-1] != b[0] for a, b in zip(got, got[1:]))
+
+
+def test_lines_that_meet_no_other_are_not_shuffled_by_tile(spark):
+    def written():
+        of = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(of.apply(i).shuffleWriteRecords() for i in range(of.size()))
+
+    before = written()
+    rows = len(catalog.merged_lines(spark, "/root/testdata/sf0.001").select("n_lines").collect())
+    assert rows > 10_000 and written() - before < rows
